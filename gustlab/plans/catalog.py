@@ -16,6 +16,7 @@ from gustlab.plans import standins as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+MODULES = ("q_quality", "q_impute", "q_sources", "q_stats", "q_models")
 
 
 def register(name: str, sql: str | None = None):
@@ -110,3 +111,11 @@ def q_power_lead_difference(spark, d):
     out = tsx.difference(hourly, "active_power_kw", 1, lead_col="power_lead", diff_col="power_diff")
     out = tsx.lag_value(out, "active_power_kw", 2, out="power_lag2")
     return out.select("ts", "active_power_kw", "power_lead", "power_diff", "power_lag2")
+
+
+def load_all() -> None:
+    """Import the query modules so their ``register`` calls run."""
+    import importlib
+
+    for m in MODULES:
+        importlib.import_module(f"gustlab.plans.{m}")

@@ -75,7 +75,7 @@ def scada_10min_sql(with_nulls: bool = False) -> str:
              CAST(count(*) + 20 AS DOUBLE) AS hub_temp_c,
              max(CAST(regexp_extract(props, '\"k\": (\\d+)', 1) AS DOUBLE)) / 4.0 + 25.0 AS temp_rotor_bearing_c,
              {a.format('min(value) * sqrt(2.0) / 10.0')} AS rotor_speed_rpm,
-             sum(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END) AS blade_angle
+             CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS DOUBLE) AS blade_angle
       FROM events GROUP BY 1, 2)
     """
 
@@ -111,7 +111,7 @@ WEATHER_HOURLY_SQL = """
         CASE WHEN NOT bool_or(event_id % 19 = 0)
              THEN sum(CASE WHEN event_type = 'error' THEN value ELSE 0.0 END) / 100.0 END AS precip_intensity,
         CASE WHEN NOT bool_or(event_id % 19 = 0)
-             THEN avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) END AS precip_probability,
+             THEN avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) END AS precip_probability,
         avg(value) / 10.0 AS temperature,
         min(value) / 10.0 AS apparent_temperature,
         max(value) / 100.0 AS dew_point,
@@ -122,8 +122,8 @@ WEATHER_HOURLY_SQL = """
              THEN avg(CAST(regexp_extract(props, '"k": (\\d+)', 1) AS DOUBLE)) / 10.0 END AS wind_speed,
         CASE WHEN NOT bool_or(event_id % 11 = 0)
              THEN max(CAST(regexp_extract(props, '"k": (\\d+)', 1) AS DOUBLE)) / 8.0 END AS wind_gust,
-        CASE WHEN NOT bool_or(event_id % 31 = 0) THEN avg(user_id % 360) END AS wind_bearing,
-        CASE WHEN NOT bool_or(event_id % 37 = 0) THEN count(*) / 2.0 END AS visibility
+        CASE WHEN NOT bool_or(event_id % 31 = 0) THEN avg(CAST(user_id % 360 AS DOUBLE)) END AS wind_bearing,
+        CASE WHEN NOT bool_or(event_id % 37 = 0) THEN CAST(count(*) AS DOUBLE) / 2.0 END AS visibility
       FROM events GROUP BY 1)
 """
 
