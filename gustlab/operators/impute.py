@@ -55,7 +55,10 @@ def impute_from_donor(df: DataFrame, donor: DataFrame, keys: Sequence[str], feat
     inc = df.filter(any_null(features))
     ok = df.filter(all_present(features))
     d = donor.select(*keys, add_years(F.col(ts), donor_years).alias(ts), *features)
+    if mode == "row":
+        d = d.filter(all_present(features))  # an incomplete donor row cannot complete anything
     d = d.join(inc.select(*keys, ts), on=[*keys, ts], how="left_semi")
+    # Year shifts can map two donor days onto one (29 Feb, 28 Feb): keep the smallest row, deterministically.
     d = d.groupBy(*keys, ts).agg(F.min(F.struct(*[qcol(c) for c in features])).alias("__d"))
     j = inc.join(d, on=[*keys, ts], how="left")
     if mode == "row":
@@ -101,8 +104,9 @@ def patch_from_year(df: DataFrame, cols: Sequence[str], ts: str = "ts", years: S
     src = df.filter(all_present(cols)).select(ts, *cols)
     out = need
     for i, y in enumerate(years):
-        cand = src.select(add_years(F.col(ts), -y).alias(ts), F.struct(*cols).alias(f"__p{i}"))
-        cand = cand.join(need.select(ts), on=ts, how="left_semi").dropDuplicates([ts])
+        cand = src.select(add_years(F.col(ts), -y).alias(ts), F.struct(*cols).alias("__s"))
+        cand = cand.join(need.select(ts), on=ts, how="left_semi")
+        cand = cand.groupBy(ts).agg(F.min("__s").alias(f"__p{i}"))  # 28/29 Feb collide: deterministic pick
         out = out.join(cand, on=ts, how="left")
     out = out.withColumns({c: F.coalesce(qcol(c), *[F.col(f"__p{i}.{c}") for i in range(len(years))])
                            for c in cols}).drop(*[f"__p{i}" for i in range(len(years))])
