@@ -22,9 +22,7 @@ def median_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
     Positions come from :func:`sequence_index`, so no column is ever sorted inside one task.
     """
     by = list(by)
-    long = df.unpivot(by or None, list(cols), "__var", "__val") if by else df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("__var"), qcol(c).cast("double").alias("__val"))
-                            for c in cols])).alias("__s")).select("__s.*")
+    long = df.select(*by, *[qcol(c).cast("double").alias(c) for c in cols]).unpivot(by, list(cols), "__var", "__val")
     long = long.filter(F.col("__val").isNotNull())
     keys = [*by, "__var"]
     ix = sequence_index(long, "__val", keys)

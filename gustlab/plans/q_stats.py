@@ -1 +1,233 @@
-"""Registered queries."""
+"""Registered queries: statistics and ordered-series operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gustlab.operators import evaluate as ev
+from gustlab.operators import impute as I
+from gustlab.operators import stats as ST
+from gustlab.operators import timeseries as tsx
+from gustlab.plans import standins as S
+from gustlab.plans.catalog import HOURLY_SQL, _METRICS_SQL, register
+
+FEATS = S.SCADA_FEATURES
+HOURLY = HOURLY_SQL.replace("{agg}", "max")
+OTHERS = [c for c in FEATS if c != "active_power_kw"]
+
+
+def _hourly(spark, d):
+    return tsx.hourly_farm(S.scada_10min(spark, d), FEATS, turbines=S.TURBINES)
+
+
+def _l(fmt, cols=FEATS, sep=", "):
+    return sep.join(fmt.format(c=c) for c in cols)
+
+
+# ------------------------------------------------------------------------------------------- D10
+@register("column_summary", f"""
+    WITH h AS ({HOURLY}), u AS (UNPIVOT h ON {_l("{c}")} INTO NAME feature VALUE v)
+    SELECT feature, count(v) AS n, avg(v) AS mean, sum(v) AS sum, stddev_samp(v) AS sd, min(v) AS min, max(v) AS max
+    FROM u GROUP BY feature
+""")
+def q_column_summary(spark, d):
+    """Count, mean, sum, sd, min, max per hourly feature."""
+    return ST.column_summary(_hourly(spark, d), FEATS)
+
+
+# ------------------------------------------------------------------------------------------- D12
+@register("decile_calibration", f"""
+    WITH w AS ({S.WEATHER_HOURLY_SQL}),
+    f AS (SELECT regr_intercept(wind_gust, wind_speed) AS a, regr_slope(wind_gust, wind_speed) AS b FROM w),
+    p AS (SELECT wind_gust AS actual, f.a + f.b * wind_speed AS pred FROM w, f
+          WHERE wind_gust IS NOT NULL AND wind_speed IS NOT NULL),
+    o AS (SELECT pred, row_number() OVER (ORDER BY pred) - 1 AS i, count(*) OVER () AS n FROM p),
+    qs AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS pr),
+    h AS (SELECT pr, (n - 1) * pr AS hh, floor((n - 1) * pr) AS lo, least(floor((n - 1) * pr) + 1, n - 1) AS hi
+          FROM qs, (SELECT DISTINCT n FROM o)),
+    br AS (SELECT pr, olo.pred + (hh - lo) * (ohi.pred - olo.pred) AS q FROM h
+           JOIN o olo ON olo.i = h.lo JOIN o ohi ON ohi.i = h.hi)
+    SELECT CAST(1 + (SELECT count(*) FROM br WHERE p.pred > br.q) AS INTEGER) AS bucket,
+           avg(actual) AS mean_actual, avg(pred) AS mean_predicted, count(*) AS n
+    FROM p GROUP BY 1
+""")
+def q_decile_calibration(spark, d):
+    """Gust regression predictions binned at their deciles; mean actual vs predicted per bin."""
+    w = S.weather_hourly(spark, d)
+    a, b = I.fit_line(w, "wind_gust", "wind_speed")
+    p = w.filter(F.col("wind_gust").isNotNull() & F.col("wind_speed").isNotNull()).select(
+        F.col("wind_gust").alias("actual"), (F.lit(a) + F.lit(b) * F.col("wind_speed")).alias("pred"))
+    return ST.decile_calibration(p, "actual", "pred")
+
+
+# ------------------------------------------------------------------------------------------- E9
+@register("average_rank", f"""
+    SELECT DISTINCT turbine, blade_angle,
+           rank() OVER (PARTITION BY turbine ORDER BY blade_angle)
+             + (count(*) OVER (PARTITION BY turbine, blade_angle) - 1) / 2.0 AS rank
+    FROM ({S.scada_10min_sql()})
+""")
+def q_average_rank(spark, d):
+    """Average ranks with ties (value counts + bucketed prefix sums, no global window)."""
+    return ST.average_rank_table(S.scada_10min(spark, d), "blade_angle", ["turbine"], "rank")
+
+
+# ------------------------------------------------------------------------------------------- D15
+def _rank_sql(col, part):
+    return (f"rank() OVER (PARTITION BY {part} ORDER BY {col}) "
+            f"+ (count(*) OVER (PARTITION BY {part}, {col}) - 1) / 2.0")
+
+
+@register("spearman_correlation", f"""
+    WITH h AS ({HOURLY}),
+    u AS (SELECT t, y_var, v FROM (UNPIVOT (SELECT active_power_kw AS t, {_l("{c}", OTHERS)} FROM h)
+                                  ON {_l("{c}", OTHERS)} INTO NAME y_var VALUE v)
+          WHERE t IS NOT NULL AND v IS NOT NULL),
+    r AS (SELECT y_var, v, t, {_rank_sql('v', 'y_var')} AS rv, {_rank_sql('t', 'y_var')} AS rt FROM u)
+    SELECT 'active_power_kw' AS x_var, y_var, count(*) AS n, corr(rv, rt) AS cor_coef, corr(v, t) AS pearson_r
+    FROM r GROUP BY y_var
+""")
+def q_spearman_correlation(spark, d):
+    """D15 coefficients: each hourly feature against power, Spearman (average ranks) and Pearson."""
+    return ST.correlate(_hourly(spark, d), "active_power_kw", OTHERS)
+
+
+@register("correlation_test")
+def q_correlation_test(spark, d):
+    """Significant correlates of power, |ρ| >= 0 and p < 0.05 from the Pearson test."""
+    return ST.correlation_test(_hourly(spark, d), "active_power_kw", OTHERS, min_abs=0.0, max_p=0.05)
+
+
+# ------------------------------------------------------------------------------------------- D16, D17
+_PAIRS = [(a, b) for i, a in enumerate(FEATS) for b in FEATS[i + 1:]]
+
+
+@register("correlation_matrix_pearson", f"""
+    WITH h AS (SELECT * FROM ({HOURLY}) WHERE {_l("{c} IS NOT NULL", sep=" AND ")})
+    {" UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, count(*) AS n, corr({a}, {b}) AS r FROM h" for a, b in _PAIRS)}
+""")
+def q_correlation_matrix_pearson(spark, d):
+    """Pearson coefficient for every pair of hourly features (one aggregate)."""
+    return ST.correlation_matrix(_hourly(spark, d), FEATS, "pearson")
+
+
+@register("correlation_matrix_spearman", f"""
+    WITH h AS (SELECT * FROM ({HOURLY}) WHERE {_l("{c} IS NOT NULL", sep=" AND ")}),
+    r AS (SELECT {_l("rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}")} FROM h)
+    {" UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, count(*) AS n, corr({a}, {b}) AS r FROM r" for a, b in _PAIRS)}
+""")
+def q_correlation_matrix_spearman(spark, d):
+    """Spearman matrix (columns ranked through one long-form rank table, pivoted back on the hour)."""
+    return ST.correlation_matrix(_hourly(spark, d), FEATS, "spearman", key=["ts"])
+
+
+@register("correlation_pvalues")
+def q_correlation_pvalues(spark, d):
+    """P-value and 5 % significance flag for every Pearson pair."""
+    return ST.correlation_pvalues(ST.correlation_matrix(_hourly(spark, d), FEATS, "pearson"))
+
+
+# ------------------------------------------------------------------------------------------- D18, D19
+@register("prune_correlated")
+def q_prune_correlated(spark, d):
+    """Hourly features to drop so no kept pair has |Spearman ρ| above 0.75."""
+    drop = ST.prune_correlated(_hourly(spark, d), OTHERS, 0.75, "spearman", key=["ts"])
+    return spark.createDataFrame([(c,) for c in drop], "feature string")
+
+
+@register("select_by_correlation")
+def q_select_by_correlation(spark, d):
+    """The reference's three-step feature selection on the hourly farm table."""
+    keep = ST.select_by_correlation(_hourly(spark, d), "active_power_kw", "wind_speed_ms", FEATS, key=["ts"])
+    return spark.createDataFrame([(c,) for c in keep], "feature string")
+
+
+# ------------------------------------------------------------------------------------------- E8
+@register("zscore_features", f"""
+    WITH h AS ({HOURLY})
+    SELECT ts, active_power_kw,
+           {_l("({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}", OTHERS)}
+    FROM h
+""")
+def q_zscore_features(spark, d):
+    """Predictors centred and scaled (sample sd) over all rows; timestamp and target kept as they are."""
+    return tsx.zscore(_hourly(spark, d), OTHERS)
+
+
+# ------------------------------------------------------------------------------------------- E10, E11, E12
+ACF_SQL = f"""
+    WITH s AS (SELECT revenue AS x, row_number() OVER (ORDER BY ts) - 1 AS i FROM ({S.FARM_SERIES_SQL})),
+    st AS (SELECT avg(x) AS m, count(*) AS n FROM s),
+    d AS (SELECT i, x - st.m AS d FROM s, st),
+    den AS (SELECT sum(d * d) AS den FROM d),
+    lags AS (SELECT range AS lag FROM range(0, 31)),
+    num AS (SELECT lags.lag, sum(a.d * b.d) AS num FROM lags, d a JOIN d b ON true
+            WHERE b.i = a.i + lags.lag GROUP BY lags.lag)
+    SELECT CAST(lag AS BIGINT) AS lag, num / den AS acf, 1.959963984540054 / sqrt(n) AS ci,
+           abs(num / den) > 1.959963984540054 / sqrt(n) AS significant, n
+    FROM num, den, st
+"""
+
+
+@register("acf_revenue", ACF_SQL)
+def q_acf_revenue(spark, d):
+    """E10 + E11: autocorrelation of daily order revenue for lags 0..30 with the 95 % band."""
+    return tsx.acf(S.farm_series(spark, d), "revenue", 30)
+
+
+@register("ljung_box")
+def q_ljung_box(spark, d):
+    """Ljung–Box Q over 10 lags of the daily revenue series, chi-square p-value."""
+    return tsx.ljung_box(tsx.acf(S.farm_series(spark, d), "revenue", 10), 10)
+
+
+# ------------------------------------------------------------------------------------------- E13
+@register("temporal_split", f"""
+    WITH h AS ({HOURLY}),
+    b AS (SELECT TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 1 HOUR AS t)
+    SELECT h.*, CASE
+      WHEN h.ts >= b.t - INTERVAL 7 DAY AND h.ts < b.t - INTERVAL 1 DAY + INTERVAL 1 HOUR THEN 'train'
+      WHEN h.ts >= b.t - INTERVAL 1 DAY + INTERVAL 1 HOUR AND h.ts < b.t THEN 'validation'
+      WHEN h.ts >= b.t AND h.ts <= b.t + INTERVAL 1 DAY + INTERVAL 1 HOUR THEN 'test' END AS split
+    FROM h, b
+""")
+def q_temporal_split(spark, d):
+    """Train 7 days, validation 1 day, test 1 day around 20 Jan, 1-hour horizon."""
+    return tsx.temporal_split(_hourly(spark, d), "2024-01-20 00:00:00", train_days=7, test_days=1, val_days=1)
+
+
+# ------------------------------------------------------------------------------------------- E14
+@register("sequence_windows", f"""
+    WITH h AS ({HOURLY})
+    SELECT ts, {_l("lag(active_power_kw, {c}) OVER (ORDER BY ts) AS power_lag{c}", [0, 1, 2])},
+           {_l("lag(wind_speed_ms, {c}) OVER (ORDER BY ts) AS wind_lag{c}", [0, 1, 2])}
+    FROM h
+""")
+def q_sequence_windows(spark, d):
+    """Each hour's last 3 hours of (power, wind) as a sequence, shown flattened by lag."""
+    seq = tsx.sequence_windows(_hourly(spark, d), ["active_power_kw", "wind_speed_ms"], 3)
+    cols = []
+    for j in range(3):
+        step = F.try_element_at("seq", F.lit(-(j + 1)))
+        cols.append(F.try_element_at(step, F.lit(1)).alias(f"power_lag{j}"))
+        cols.append(F.try_element_at(step, F.lit(2)).alias(f"wind_lag{j}"))
+    return seq.select("ts", *cols)
+
+
+# ------------------------------------------------------------------------------------------- E4 reference mode
+@register("persistence_metrics_reference_mode", f"""
+    WITH s AS ({S.scada_10min_sql()}),
+    t AS (SELECT turbine, time_bucket(INTERVAL 1 HOUR, ts) AS ts, avg(active_power_kw) AS p FROM s GROUP BY 1, 2),
+    h AS (SELECT ts, round_even(max(p), 3) AS act FROM t GROUP BY ts),
+    l AS (SELECT ts, act, coalesce(lead(act, 1) OVER w, first_value(act) OVER w) AS lead1 FROM h
+          WINDOW w AS (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    f AS (SELECT act, lag(0.0 + lead1, 1) OVER (ORDER BY ts) AS pred FROM l)
+    SELECT {_METRICS_SQL} FROM f WHERE pred IS NOT NULL
+""")
+def q_persistence_metrics_reference_mode(spark, d):
+    """E4 with the reference's restoration (T12): pred(t-1) + lead(t-1) equals the actual, so a zero model scores 0."""
+    hourly = tsx.hourly_farm(S.scada_10min(spark, d), ["active_power_kw"], turbines=S.TURBINES)
+    diffed = tsx.difference(hourly, "active_power_kw", k=1, lead_col="power_lead", diff_col="power_diff")
+    fc = diffed.withColumn("pred_diff", F.lit(0.0))
+    scored = tsx.undifference(fc, "pred_diff", "active_power_kw", "power_lead", k=1, mode="reference")
+    return ev.regression_metrics(scored, "active_power_kw", "predicted_power")
