@@ -1 +1,122 @@
-"""Registered queries."""
+"""Registered queries: sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gustlab.functions.columns import parse_dmy_hm
+from gustlab.operators import quality as Q
+from gustlab.operators import reshape as R
+from gustlab.operators import timeseries as tsx
+from gustlab.plans import exports as X
+from gustlab.plans import standins as S
+from gustlab.plans.catalog import HOURLY_SQL, register
+from gustlab.session import scratch_path
+from gustlab.sources import files as SRC
+
+FEATS = S.SCADA_FEATURES
+SCADA = S.scada_10min_sql()
+
+
+def _l(fmt, cols=FEATS, sep=", "):
+    return sep.join(fmt.format(c=c) for c in cols)
+
+
+LONG_FROM_EXPORT_SQL = f"""
+    WITH s AS ({SCADA}), slots AS (SELECT DISTINCT filename, ts FROM s),
+    t AS (SELECT * FROM (VALUES {", ".join(f"('{t}')" for t in S.TURBINES)}) v(turbine))
+    SELECT slots.filename, t.turbine, slots.ts, round(s.active_power_kw * 10, 3) AS active_power_kw,
+           {_l("s.{c}", FEATS[1:])}
+    FROM slots, t LEFT JOIN s ON s.filename = slots.filename AND s.ts = slots.ts AND s.turbine = t.turbine
+"""
+
+
+def _to_long(wide, ts_col="timestamp"):
+    """Wide all-text export rows -> typed long rows."""
+    data = [c for c in wide.columns if c.startswith("WT")]
+    w = wide.select("filename", ts_col, *data)
+    long = R.turbines_to_long(w, ts_col, FEATS, n_turbines=len(S.TURBINES), labels=S.TURBINES, keep=["filename"])
+    long = R.cast_numeric(long, FEATS)
+    return long.select("filename", "turbine", parse_dmy_hm(F.col(ts_col)).alias("ts"), *FEATS)
+
+
+@register("read_scada_csv", LONG_FROM_EXPORT_SQL)
+def q_read_scada_csv(spark, d):
+    """A1 + A5 + B1-B3: ';' exports with metadata trailers -> one typed row per turbine and slot."""
+    root = X.write_scada_exports(spark, d)
+    wide = SRC.read_scada(spark, root, label_regex=X.WEEK_DIR, label_is_month=False)
+    return _to_long(wide)
+
+
+@register("read_scada_exact_trailer", LONG_FROM_EXPORT_SQL)
+def q_read_scada_exact_trailer(spark, d):
+    """A1 exact mode (T1): drop exactly the last N lines of every file instead of testing timestamps."""
+    root = X.write_scada_exports(spark, d)
+    wide = SRC.read_scada(spark, f"{root}/*/*.csv", trailer_rows=X.TRAILER_LINES, label_regex=X.WEEK_DIR,
+                          label_is_month=False)
+    return _to_long(wide)
+
+
+@register("read_scada_zip", LONG_FROM_EXPORT_SQL)
+def q_read_scada_zip(spark, d):
+    """A3: zipped exports read on the executors (one archive per task), then the same reshaping."""
+    zroot = X.write_scada_zips(spark, X.write_scada_exports(spark, d))
+    lines = SRC.read_zipped_lines(spark, f"{zroot}/*.zip")
+    wide = SRC.parse_delimited(lines, sep=";")
+    wide = wide.filter(parse_dmy_hm(F.col("timestamp")).isNotNull()).withColumn(
+        "filename", F.regexp_extract("source_archive", r"scada_(Wk\d\d)_", 1))
+    return _to_long(wide)
+
+
+def _weather(spark, d):
+    root = X.write_weather_exports(spark, d)
+    w = SRC.read_weather(spark, f"{root}/*/filename=*/*.csv", label_regex=X.WEEK_DIR, label_is_month=False)
+    w = R.cast_numeric(w, [c for c in S.WEATHER_FEATURES if c in w.columns])
+    return w.select("month_label", F.to_timestamp_ntz("time").alias("ts"), *S.WEATHER_FEATURES)
+
+
+@register("read_weather_csv", X.weather_export_sql())
+def q_read_weather_csv(spark, d):
+    """A2 + F2: weather files whose headers differ (some lack pressure) -> one frame, absent columns NULL."""
+    return _weather(spark, d)
+
+
+_WCOLS = ["ts"] + S.WEATHER_FEATURES
+
+
+@register("file_audit", f"""
+    WITH w AS ({X.weather_export_sql()})
+    SELECT month_label, count(*) AS n_rows,
+           CAST(len(list_filter([{_l("CASE WHEN count({c}) > 0 THEN '{c}' END", _WCOLS)}], lambda x: x IS NOT NULL)) AS BIGINT)
+             AS n_columns,
+           array_to_string(list_sort(list_filter([{_l("CASE WHEN count({c}) > 0 THEN '{c}' END", _WCOLS)}],
+                                                 lambda x: x IS NOT NULL)), ',') AS column_names
+    FROM w GROUP BY month_label
+""")
+def q_file_audit(spark, d):
+    """Rows, populated columns and their names per weather file label."""
+    return Q.file_audit(_weather(spark, d), "month_label", _WCOLS)
+
+
+@register("save_load_roundtrip", f"""
+    SELECT 'Wk' || lpad(CAST(weekofyear(ts) AS VARCHAR), 2, '0') AS filename, *
+    FROM ({HOURLY_SQL.replace("{agg}", "max")})
+""")
+def q_save_load_roundtrip(spark, d):
+    """The hourly table written as Parquet partitioned by week label and read back."""
+    h = tsx.hourly_farm(S.scada_10min(spark, d), FEATS, turbines=S.TURBINES)
+    h = h.withColumn("filename", F.concat(F.lit("Wk"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0")))
+    path = SRC.save_dataset(h, scratch_path(spark, "hourly"), partition_by=["filename"])
+    return SRC.load_dataset(spark, path).select("filename", "ts", *FEATS)
+
+
+@register("date_spine_gaps", f"""
+    WITH s AS ({SCADA}),
+    sp AS (SELECT turbine, unnest(generate_series(min(ts), max(ts), INTERVAL 10 MINUTE)) AS ts FROM s GROUP BY turbine)
+    SELECT sp.turbine, sp.ts FROM sp ANTI JOIN s ON s.turbine = sp.turbine AND s.ts = sp.ts
+""")
+def q_date_spine_gaps(spark, d):
+    """A10: every 10-minute slot between each turbine's first and last reading that has no reading."""
+    s = S.scada_10min(spark, d)
+    spine = SRC.calendar_spine(s, "ts", "10 minutes", keys=["turbine"])
+    return spine.join(s.select("turbine", "ts"), on=["turbine", "ts"], how="left_anti")

@@ -43,8 +43,13 @@ def file_month_label(file_col: Column, regex: str = MONTH_TAG) -> Column:
 
 
 # --------------------------------------------------------------------------------------------- A1
+def file_label(path_col: Column, regex: str = MONTH_TAG, as_month: bool = True) -> Column:
+    """Label from a file path: ``MM-YYYY`` -> ``MonYYYY`` (A5), or the raw regex capture."""
+    return file_month_label(path_col, regex) if as_month else F.regexp_extract(path_col, regex, 1)
+
+
 def read_scada(spark: SparkSession, path: str, sep: str = ";", trailer_rows: int | dict | None = None,
-               ts_col: str | None = None) -> DataFrame:
+               ts_col: str | None = None, label_regex: str = MONTH_TAG, label_is_month: bool = True) -> DataFrame:
     """Monthly SCADA exports -> all-text wide frame + ``source_file`` + ``filename`` (month label).
 
     Default: metadata trailers are dropped by keeping rows whose first column parses as ``dd/MM/yyyy HH:mm``.
@@ -52,21 +57,21 @@ def read_scada(spark: SparkSession, path: str, sep: str = ";", trailer_rows: int
     that mode reads each file whole (one task per file) to know line positions.
     """
     if trailer_rows is not None:
-        return _read_exact_trailer(spark, path, sep, trailer_rows)
+        return _read_exact_trailer(spark, path, sep, trailer_rows, label_regex, label_is_month)
     df = (spark.read.option("sep", sep).option("header", True)
           .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
           .option("mode", "PERMISSIVE").csv(path))
     ts_col = ts_col or df.columns[0]
     src = F.col("_metadata.file_name")
-    df = df.select("*", src.alias("source_file"))
+    df = df.select("*", src.alias("source_file"), F.col("_metadata.file_path").alias("__path"))
     return df.filter(parse_dmy_hm(F.col(f"`{ts_col}`")).isNotNull()).withColumn(
-        "filename", file_month_label(F.col("source_file")))
+        "filename", file_label(F.col("__path"), label_regex, label_is_month)).drop("__path")
 
 
-def _read_exact_trailer(spark, path, sep, trailer_rows):
-    raw = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_name").alias("source_file"), "value")
-    lines = raw.select("source_file", F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("l"))
+def _read_exact_trailer(spark, path, sep, trailer_rows, label_regex=MONTH_TAG, label_is_month=True):
+    raw = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("__path"), "value")
+    lines = raw.select("source_file", "__path", F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("l"))
     if isinstance(trailer_rows, dict):
         m = F.create_map(*[x for kv in trailer_rows.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
         drop = F.coalesce(m[F.col("source_file")], F.lit(0))
@@ -74,21 +79,21 @@ def _read_exact_trailer(spark, path, sep, trailer_rows):
         drop = F.lit(int(trailer_rows))
     header = F.col("l")[0]
     body = F.slice("l", 2, F.greatest(F.size("l") - 1 - drop, F.lit(0)))
-    ex = lines.select("source_file", header.alias("header"), F.posexplode(body).alias("pos", "line"))
+    ex = lines.select("source_file", "__path", header.alias("header"), F.posexplode(body).alias("pos", "line"))
     first = ex.select("header").first()
     if first is None:
         raise ValueError(f"no rows in {path}")
     names = [h.strip() for h in first["header"].split(sep)]
     schema = ", ".join(f"c{i} STRING" for i in range(len(names)))
-    parsed = ex.select("source_file", F.from_csv("line", schema, {"sep": sep, "ignoreLeadingWhiteSpace": "true",
+    parsed = ex.select("source_file", "__path", F.from_csv("line", schema, {"sep": sep, "ignoreLeadingWhiteSpace": "true",
                                                                   "ignoreTrailingWhiteSpace": "true"}).alias("r"))
-    return parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], "source_file").withColumn(
-        "filename", file_month_label(F.col("source_file")))
+    return parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], "source_file",
+                         file_label(F.col("__path"), label_regex, label_is_month).alias("filename"))
 
 
 # --------------------------------------------------------------------------------------------- A2
 def read_weather(spark: SparkSession, pattern: str, drop_pattern: str | None = None,
-                 drop_cols: Sequence[str] = ()) -> DataFrame:
+                 drop_cols: Sequence[str] = (), label_regex: str = MONTH_TAG, label_is_month: bool = True) -> DataFrame:
     """Monthly weather CSVs whose headers differ -> one frame, absent columns NULL (A2, F2).
 
     Files are grouped by header line, one reader per distinct header, then ``unionByName``. The first
@@ -106,7 +111,8 @@ def read_weather(spark: SparkSession, pattern: str, drop_pattern: str | None = N
     for header, fs in by_header.items():
         d = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option(
             "ignoreTrailingWhiteSpace", True).csv(fs)
-        d = d.drop(d.columns[0]).withColumn("source_file", F.col("_metadata.file_name"))
+        d = d.drop(d.columns[0]).withColumns({"source_file": F.col("_metadata.file_name"),
+                                              "__path": F.col("_metadata.file_path")})
         frames.append(d)
     out = frames[0]
     for d in frames[1:]:
@@ -114,7 +120,7 @@ def read_weather(spark: SparkSession, pattern: str, drop_pattern: str | None = N
     if drop_pattern or drop_cols:
         rx = re.compile(drop_pattern, re.IGNORECASE) if drop_pattern else None
         out = out.drop(*[c for c in out.columns if (rx and rx.search(c)) or c in drop_cols])
-    return out.withColumn("month_label", file_month_label(F.col("source_file")))
+    return out.withColumn("month_label", file_label(F.col("__path"), label_regex, label_is_month)).drop("__path")
 
 
 def _first_line(spark: SparkSession, path: str) -> str:
@@ -160,9 +166,9 @@ def parse_delimited(lines: DataFrame, sep: str = ";", header_line: int = 0) -> D
     schema = ", ".join(f"c{i} STRING" for i in range(len(names)))
     opts = {"sep": sep, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
     body = lines.filter(F.col("line_no") != header_line)
-    p = body.select("member", F.from_csv("line", schema, opts).alias("r"))
+    p = body.select("archive", "member", F.from_csv("line", schema, opts).alias("r"))
     return p.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)],
-                    F.col("member").alias("source_file"))
+                    F.col("member").alias("source_file"), F.col("archive").alias("source_archive"))
 
 
 # --------------------------------------------------------------------------------------------- A6, A7
