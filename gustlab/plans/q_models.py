@@ -1 +1,181 @@
-"""Registered queries."""
+"""Registered queries: modelling, scoring and forecasting.
+
+Only the split has a SQL twin; model fits have none, so the driver records row checks for them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gustlab.operators import evaluate as ev
+from gustlab.operators import forecast as FC
+from gustlab.operators import models as M
+from gustlab.operators import timeseries as tsx
+from gustlab.plans import standins as S
+from gustlab.plans.catalog import register
+
+X = S.WIDE_X
+Y = "net_price"
+KEYS = ["row_id"]
+TIEBREAK = ["l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+# Reproducible in both engines: a Lehmer step on the (bounded) key, then the seed.
+SHUFFLE_SQL = "((((l_orderkey * 8 + l_linenumber) % 1000003) * 48271 + 123) % 2147483647)"
+
+
+def _shuffle_key():
+    k = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) % 1000003
+    return (k * 48271 + 123) % 2147483647
+
+
+def _split(spark, d):
+    return M.stratified_split(S.wide_features(spark, d), Y, p=0.7, groups=5, keys=KEYS, shuffle_key=_shuffle_key(),
+                              tiebreak=TIEBREAK)
+
+
+def _q(col, p):
+    return f"""(SELECT olo.{col} + ((n - 1) * {p} - floor((n - 1) * {p})) * (ohi.{col} - olo.{col})
+              FROM o olo, o ohi, (SELECT count(*) AS n FROM o)
+              WHERE olo.i = floor((n - 1) * {p}) AND ohi.i = least(floor((n - 1) * {p}) + 1, n - 1))"""
+
+
+@register("stratified_split", f"""
+    WITH w AS ({S.WIDE_FEATURES_SQL}),
+    o AS (SELECT {Y}, row_number() OVER (ORDER BY {Y}) - 1 AS i FROM w WHERE {Y} IS NOT NULL),
+    b AS (SELECT w.*, CAST(1 + (CASE WHEN {Y} > {_q(Y, 0.25)} THEN 1 ELSE 0 END)
+                            + (CASE WHEN {Y} > {_q(Y, 0.5)} THEN 1 ELSE 0 END)
+                            + (CASE WHEN {Y} > {_q(Y, 0.75)} THEN 1 ELSE 0 END) AS INTEGER) AS stratum,
+                 {SHUFFLE_SQL} AS sk
+          FROM w WHERE {Y} IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sk, {", ".join(TIEBREAK)}) - 1 AS pos,
+                 count(*) OVER (PARTITION BY stratum) AS n FROM b)
+    SELECT l_orderkey, l_linenumber, l_shipdate, {", ".join(X)}, {Y}, stratum,
+           CASE WHEN pos < ceil(n * 0.7) THEN 'train' ELSE 'test' END AS split
+    FROM r
+""")
+def q_stratified_split(spark, d):
+    """H1: 70/30 split sampled inside 4 quantile bins of the target (reproducible order, no rand())."""
+    return _split(spark, d).drop("row_id")
+
+
+def _fit_and_score(spark, d, model, **params):
+    sp = _split(spark, d).cache()
+    fm = M.FITTERS[model](sp.filter(F.col("split") == "train"), X, Y, **params)
+    return sp, fm, fm.predict(sp)
+
+
+@register("rf_regression_metrics")
+def q_rf_regression_metrics(spark, d):
+    """H5 + H12 + H13: random forest (mtry 4, 50 trees) on the train split, metrics on train and test."""
+    _, _, scored = _fit_and_score(spark, d, "rf", num_trees=50, mtry=4)
+    return ev.regression_metrics(scored, Y, "prediction", by=["split"])
+
+
+@register("rbf_regression_metrics")
+def q_rbf_regression_metrics(spark, d):
+    """H6: RBF random-feature regression (sigma 0.2, C 10) on scaled inputs, metrics by split."""
+    sp = tsx.zscore(_split(spark, d), X)
+    fm = M.fit_rbf_regression(sp.filter(F.col("split") == "train"), X, Y, sigma=0.2, c=10.0)
+    return ev.regression_metrics(fm.predict(sp), Y, "prediction", by=["split"])
+
+
+@register("random_layer_metrics")
+def q_random_layer_metrics(spark, d):
+    """H7: 64-unit random ReLU layer + least-squares output on scaled inputs, metrics by split."""
+    sp = tsx.zscore(_split(spark, d), X)
+    fm = M.fit_random_layer(sp.filter(F.col("split") == "train"), X, Y, units=64)
+    return ev.regression_metrics(fm.predict(sp), Y, "prediction", by=["split"])
+
+
+@register("compare_models")
+def q_compare_models(spark, d):
+    """H15 + C6: test rows with the actual and each model's prediction side by side (joined on the key)."""
+    sp = tsx.zscore(_split(spark, d), X).cache()
+    train, test = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
+    preds = {
+        "rf": M.fit_random_forest(train, X, Y, num_trees=50, mtry=4).predict(test),
+        "rbf": M.fit_rbf_regression(train, X, Y).predict(test),
+        "random_layer": M.fit_random_layer(train, X, Y).predict(test),
+    }
+    return ev.compare_models(test.select(*KEYS, Y), KEYS, preds)
+
+
+@register("feature_importance")
+def q_feature_importance(spark, d):
+    """Impurity importance of each input in the forest."""
+    _, fm, _ = _fit_and_score(spark, d, "rf", num_trees=50, mtry=4)
+    return spark.createDataFrame(fm.importances(), "feature string, importance double")
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, d):
+    """H11 for models without built-in importances: RMSE increase when one input is permuted (random layer)."""
+    sp = tsx.zscore(_split(spark, d), X).cache()
+    fm = M.fit_random_layer(sp.filter(F.col("split") == "train"), X, Y)
+    return M.permutation_importance(fm, sp.filter(F.col("split") == "test"), Y, KEYS)
+
+
+@register("cv_summary")
+def q_cv_summary(spark, d):
+    """H4 + H14: 10-fold x 3 repeated CV of the random-layer and RBF models (two passes each over the train
+    rows); min/quartiles/mean/max of the fold metrics per model."""
+    sp = tsx.zscore(_split(spark, d), X).filter(F.col("split") == "train")
+    a = M.linear_cv(sp, M.RandomFeatureMap.relu(X, 64), Y, KEYS, folds=10, repeats=3, model="random_layer")
+    b = M.linear_cv(sp, M.RandomFeatureMap.rbf(X, 100, 0.2), Y, KEYS, folds=10, repeats=3, reg=1 / 20,
+                    model="rbf")
+    return ev.cv_summary(a.unionByName(b), "model", ("mae", "rmse", "r2_corr"))
+
+
+@register("cv_folds_forest")
+def q_cv_folds_forest(spark, d):
+    """H4 for the forest: 10-fold CV, one refit per fold (20 trees), per-fold metrics."""
+    sp = _split(spark, d).filter(F.col("split") == "train")
+    return M.repeated_cv(sp, X, Y, KEYS, model="rf", folds=10, repeats=1, num_trees=20, mtry=4)
+
+
+@register("rfe_selection")
+def q_rfe_selection(spark, d):
+    """Recursive feature elimination by forest importance, 5-fold CV RMSE at each subset size."""
+    sp = _split(spark, d).filter(F.col("split") == "train")
+    return M.rfe(sp, X, Y, KEYS, folds=5, sizes=[1, 3, 5, 7], num_trees=20, mtry=4)
+
+
+# ------------------------------------------------------------------------------------------- H8, H16
+def _hourly(spark, d):
+    return tsx.hourly_farm(S.scada_10min(spark, d), S.SCADA_FEATURES, turbines=S.TURBINES)
+
+
+FORECAST_X = ["wind_speed_ms", "temp_rotor_bearing_c", "hub_temp_c"]
+
+
+@register("lagged_forecast")
+def q_lagged_forecast(spark, d):
+    """H8: 1-hour-ahead power from 3 hours of feature history (GBT, early stop on the validation day)."""
+    scored = FC.lagged_forecast(_hourly(spark, d), "active_power_kw", FORECAST_X, "2024-01-20 00:00:00",
+                                horizon=1, steps=3, train_days=7, val_days=1, test_days=1, model="gbt")
+    return ev.regression_metrics(scored, "actual", "predicted")
+
+
+@register("backtest")
+def q_backtest(spark, d):
+    """Horizons 1 and 24 hours from two origins, metrics per cell."""
+    return FC.backtest(_hourly(spark, d), "active_power_kw", FORECAST_X, [1, 24],
+                       ["2024-01-20 00:00:00", "2024-01-25 00:00:00"], model="gbt", steps=3)
+
+
+# ------------------------------------------------------------------------------------------- H9
+@register("arima_forecast")
+def q_arima_forecast(spark, d):
+    """H9: AR(I) order by AICc on daily revenue before 2001, 30-day forecast scored against the next 30 days."""
+    s = S.farm_series(spark, d)
+    train = s.filter(F.col("ts") < F.lit("2001-01-01").cast("timestamp_ntz"))
+    test = tsx.sequence_index(s.filter(F.col("ts") >= F.lit("2001-01-01").cast("timestamp_ntz")), "ts")
+    fc = FC.arima_forecast(train, "revenue", 30, max_p=5, d=1)
+    j = fc.join(test.select((F.col("_pos") + 1).alias("step"), "ts", "revenue"), on="step")
+    return ev.regression_metrics(j, "revenue", "forecast").withColumn("p", F.lit(None).cast("int")).drop("p")
+
+
+@register("arima_by_series")
+def q_arima_by_series(spark, d):
+    """H9 per series: order and 7-day forecast for each order priority's daily revenue."""
+    s = S.daily_orders(spark, d, with_nulls=False)
+    return FC.arima_forecast(s, "revenue", 7, by=["series"], max_p=3, d=1)

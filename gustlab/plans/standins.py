@@ -203,6 +203,9 @@ def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
     j = li.join(p, li.l_partkey == p.p_partkey, "inner")
     return j.select(
+        # lineitem keys repeat in the generated data, so rows get an id from all their columns
+        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
+                   "l_extendedprice", "l_discount", "l_tax").alias("row_id"),
         "l_orderkey", "l_linenumber", "l_shipdate",
         F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax"),
         F.col("p_size").cast("double").alias("p_size"), F.col("p_retailprice"),
