@@ -83,23 +83,31 @@ class RandomFeatureMap:
         b = rng.normal(0.0, 0.1, size=units)
         return cls(list(inputs), w, b, "relu")
 
-    def columns(self) -> list[Column]:
-        out = []
+    def column(self) -> Column:
+        """``array<double>`` of all units: one higher-order expression over a constant weight array, so the
+        generated code stays small whatever the number of units."""
+        x = F.array(*[F.col(c).cast("double") for c in self.inputs])
+        w = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in self.weights])
+        b = F.array(*[F.lit(float(v)) for v in self.bias])
         scale = math.sqrt(2.0 / len(self.bias))
-        for i in range(len(self.bias)):
-            z = F.lit(float(self.bias[i]))
-            for j, c in enumerate(self.inputs):
-                z = z + F.lit(float(self.weights[i, j])) * F.col(c)
-            v = F.cos(z) * scale if self.kind == "rff" else F.greatest(z, F.lit(0.0))
-            out.append(v.alias(f"{self.prefix}{i}"))
-        return out
+
+        def unit(wrow, i):
+            z = F.aggregate(F.zip_with(wrow, x, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v) + b[i]
+            return F.cos(z) * F.lit(scale) if self.kind == "rff" else F.greatest(z, F.lit(0.0))
+
+        return F.transform(w, unit)
 
     @property
-    def names(self) -> list[str]:
-        return [f"{self.prefix}{i}" for i in range(len(self.bias))]
+    def out(self) -> str:
+        return f"__{self.prefix}_map"
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.select("*", *self.columns())
+        return df.withColumn(self.out, self.column())
+
+    def vectorize(self, df: DataFrame, out: str = "__features") -> DataFrame:
+        from pyspark.ml.functions import array_to_vector
+
+        return df.withColumn(out, array_to_vector(self.column()))
 
 
 # --------------------------------------------------------------------------------------------- models
@@ -112,10 +120,8 @@ class FittedModel:
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         """Score rows (H12); every input column is kept."""
-        d = self.feature_map.transform(df) if self.feature_map else df
-        res = self.model.transform(d).withColumnRenamed("prediction", out)
-        drop = ["__features"] + (self.feature_map.names if self.feature_map else [])
-        return res.drop(*drop)
+        d = self.feature_map.vectorize(df) if self.feature_map else df
+        return self.model.transform(d).withColumnRenamed("prediction", out).drop("__features")
 
     def importances(self) -> list[tuple[str, float]]:
         """Tree models: impurity importance per input."""
@@ -149,7 +155,7 @@ def fit_rbf_regression(train: DataFrame, features: Sequence[str], label: str, si
     fm = RandomFeatureMap.rbf(features, units, sigma, seed)
     lr = LinearRegression(featuresCol="__features", labelCol=label, regParam=1.0 / (2.0 * c), elasticNetParam=0.0,
                           solver="normal")
-    model = Pipeline(stages=[_assemble(fm.names), lr]).fit(fm.transform(train))
+    model = Pipeline(stages=[lr]).fit(fm.vectorize(train.filter(F.col(label).isNotNull())))
     return FittedModel("rbf", model, fm, list(features))
 
 
@@ -159,7 +165,7 @@ def fit_random_layer(train: DataFrame, features: Sequence[str], label: str, unit
     fm = RandomFeatureMap.relu(features, units, seed)
     lr = LinearRegression(featuresCol="__features", labelCol=label, regParam=reg, elasticNetParam=0.0,
                           solver="normal")
-    model = Pipeline(stages=[_assemble(fm.names), lr]).fit(fm.transform(train))
+    model = Pipeline(stages=[lr]).fit(fm.vectorize(train.filter(F.col(label).isNotNull())))
     return FittedModel("random_layer", model, fm, list(features))
 
 
@@ -195,16 +201,21 @@ def repeated_cv(df: DataFrame, features: Sequence[str], label: str, keys: Sequen
     return out
 
 
-def _gram_batches(names: list[str], label: str, fold_cols: list[str]):
+def _design(pdf: pd.DataFrame, mapcol: str) -> np.ndarray:
+    m = np.stack(pdf[mapcol].to_numpy()).astype(float)
+    return np.column_stack([np.ones(len(pdf)), m])
+
+
+def _gram_batches(mapcol: str, units: int, label: str, fold_cols: list[str]):
     """Per partition: Z'Z, Z'y and n for every (repeat, fold), from Arrow batches with NumPy."""
-    k = len(names) + 1
+    k = units + 1
 
     def run(batches):
         acc: dict[tuple[int, int], list] = {}
         for pdf in batches:
             if pdf.empty:
                 continue
-            z = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(float)])
+            z = _design(pdf, mapcol)
             y = pdf[label].to_numpy(float)
             for r, fc in enumerate(fold_cols):
                 for f, idx in pdf.groupby(fc).indices.items():
@@ -226,7 +237,7 @@ def _sum_arrays(pdf: pd.DataFrame) -> pd.DataFrame:
                           "zz": zz.tolist(), "zy": zy.tolist(), "n": int(pdf["n"].sum())}])
 
 
-def _score_batches(names: list[str], label: str, fold_cols: list[str], bcoef):
+def _score_batches(mapcol: str, label: str, fold_cols: list[str], bcoef):
     """Per partition: the sums behind every metric of each (repeat, fold), scoring rows with their fold's model."""
     def run(batches):
         coef = bcoef.value
@@ -234,7 +245,7 @@ def _score_batches(names: list[str], label: str, fold_cols: list[str], bcoef):
         for pdf in batches:
             if pdf.empty:
                 continue
-            z = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(float)])
+            z = _design(pdf, mapcol)
             y = pdf[label].to_numpy(float)
             for r, fc in enumerate(fold_cols):
                 for f, idx in pdf.groupby(fc).indices.items():
@@ -263,16 +274,17 @@ def linear_cv(df: DataFrame, fmap: RandomFeatureMap, label: str, keys: Sequence[
     """
     import pyspark.sql.types as T
 
-    names = fmap.names
+    mapcol = fmap.out
+    units = len(fmap.bias)
     fold_cols = [f"__fold{r}" for r in range(repeats)]
     base = fmap.transform(df.filter(F.col(label).isNotNull()))
-    base = base.select(*[F.col(c).cast("double") for c in names], F.col(label).cast("double").alias(label),
+    base = base.select(mapcol, F.col(label).cast("double").alias(label),
                        *[F.pmod(F.xxhash64(*[F.col(c) for c in keys], F.lit(seed + r)), F.lit(folds)).cast("int")
                          .alias(fold_cols[r]) for r in range(repeats)])
     gram_schema = "repeat int, fold int, zz array<double>, zy array<double>, n long"
-    parts = base.mapInPandas(_gram_batches(names, label, fold_cols), gram_schema)
+    parts = base.mapInPandas(_gram_batches(mapcol, units, label, fold_cols), gram_schema)
     rows = parts.groupBy("repeat", "fold").applyInPandas(_sum_arrays, gram_schema).collect()
-    k = len(names) + 1
+    k = units + 1
     A = {(r["repeat"], r["fold"]): np.array(r["zz"]).reshape(k, k) for r in rows}
     B = {(r["repeat"], r["fold"]): np.array(r["zy"]) for r in rows}
     pen = np.eye(k) * reg
@@ -288,7 +300,7 @@ def linear_cv(df: DataFrame, fmap: RandomFeatureMap, label: str, keys: Sequence[
     bcoef = df.sparkSession.sparkContext.broadcast(coef)
     sums_schema = T.StructType([T.StructField("repeat", T.IntegerType()), T.StructField("fold", T.IntegerType())] +
                                [T.StructField(f"s{i}", T.DoubleType()) for i in range(10)])
-    s = base.mapInPandas(_score_batches(names, label, fold_cols, bcoef), sums_schema)
+    s = base.mapInPandas(_score_batches(mapcol, label, fold_cols, bcoef), sums_schema)
     s = s.groupBy("repeat", "fold").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(10)])
     n, sae, sse, sy, syy, sp, spp, syp, sape, nz = [F.col(f"s{i}") for i in range(10)]
     sst = syy - sy * sy / n
