@@ -287,16 +287,18 @@ def linear_cv(df: DataFrame, fmap: RandomFeatureMap, label: str, keys: Sequence[
     k = units + 1
     A = {(r["repeat"], r["fold"]): np.array(r["zz"]).reshape(k, k) for r in rows}
     B = {(r["repeat"], r["fold"]): np.array(r["zy"]) for r in rows}
-    pen = np.eye(k) * reg
-    pen[0, 0] = 0.0
     coef = {}
     for rep in range(repeats):
         ta = sum(a for (rr, _), a in A.items() if rr == rep)
         tb = sum(b for (rr, _), b in B.items() if rr == rep)
         for (rr, f), a in A.items():
             if rr == rep:
-                n_out = (ta - a)[0, 0]
-                coef[(rr, f)] = np.linalg.lstsq(ta - a + pen * max(n_out, 1.0), tb - B[(rr, f)], rcond=None)[0]
+                m = ta - a
+                n_in = max(m[0, 0], 1.0)
+                # Spark's ridge penalises standardized coefficients: n·λ·var(z_j) on the raw scale, intercept free.
+                var = np.maximum(np.diag(m) / n_in - (m[0] / n_in) ** 2, 0.0)
+                var[0] = 0.0
+                coef[(rr, f)] = np.linalg.lstsq(m + np.diag(reg * n_in * var), tb - B[(rr, f)], rcond=None)[0]
     bcoef = df.sparkSession.sparkContext.broadcast(coef)
     sums_schema = T.StructType([T.StructField("repeat", T.IntegerType()), T.StructField("fold", T.IntegerType())] +
                                [T.StructField(f"s{i}", T.DoubleType()) for i in range(10)])

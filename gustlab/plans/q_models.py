@@ -120,7 +120,7 @@ def q_cv_summary(spark, d):
     rows); min/quartiles/mean/max of the fold metrics per model."""
     sp = tsx.zscore(_split(spark, d), X).filter(F.col("split") == "train")
     a = M.linear_cv(sp, M.RandomFeatureMap.relu(X, 64), Y, KEYS, folds=10, repeats=3, model="random_layer")
-    b = M.linear_cv(sp, M.RandomFeatureMap.rbf(X, 100, 0.2), Y, KEYS, folds=10, repeats=3, reg=1 / 20,
+    b = M.linear_cv(sp, M.RandomFeatureMap.rbf(X, 200, 0.2), Y, KEYS, folds=10, repeats=3, reg=1 / (2 * 10.0),
                     model="rbf")
     return ev.cv_summary(a.unionByName(b), "model", ("mae", "rmse", "r2_corr"))
 
