@@ -108,12 +108,27 @@ def q_zero_variance_columns(spark, d):
     return Q.zero_variance(_scada_extra(spark, d), EXTRA_COLS, by=["filename", "turbine"])
 
 
-@register("drop_constant_and_empty", f"SELECT filename, turbine, ts, {_list('{c}')} FROM ({SCADA_EXTRA_SQL})")
+@register("drop_constant_and_empty", f"""
+    WITH s AS ({SCADA_EXTRA_SQL}),
+    g AS (SELECT filename, turbine,
+                 {_list("min({c}) IS NOT DISTINCT FROM max({c}) AS {c}", EXTRA_COLS)}
+          FROM s GROUP BY filename, turbine),
+    zv AS (SELECT DISTINCT feature FROM (UNPIVOT g ON {_list("{c}", EXTRA_COLS)} INTO NAME feature VALUE is_const)
+           WHERE is_const),
+    empty AS (SELECT feature FROM (UNPIVOT (SELECT {_list("count({c}) AS {c}", EXTRA_COLS)} FROM s)
+                                   ON {_list("{c}", EXTRA_COLS)} INTO NAME feature VALUE n) WHERE n = 0),
+    u AS (SELECT * FROM s UNPIVOT INCLUDE NULLS (value FOR feature IN ({_list("{c}", EXTRA_COLS)})))
+    SELECT filename, turbine, ts, feature, value FROM u
+    WHERE feature NOT IN (SELECT feature FROM zv) AND feature NOT IN (SELECT feature FROM empty)
+""")
 def q_drop_constant_and_empty(spark, d):
-    """B4 + D8: drop all-NULL columns, then the zero-variance columns found by D7."""
+    """B4 + D8: drop all-NULL columns, then the zero-variance columns found by D7; the kept table in long form
+    (one row per reading and kept feature), so the kept set may differ by input."""
     df = R.drop_all_null_columns(_scada_extra(spark, d))
     zv = Q.zero_variance(df, [c for c in EXTRA_COLS if c in df.columns], by=["filename", "turbine"])
-    return Q.drop_columns(df, zv)
+    kept = Q.drop_columns(df, zv)
+    feats = [c for c in kept.columns if c in EXTRA_COLS]
+    return R.unpivot_long(kept, ["filename", "turbine", "ts"], feats, "feature", "value")
 
 
 # ------------------------------------------------------------------------------------------- D11, D14, D20
