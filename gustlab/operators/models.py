@@ -2,8 +2,8 @@
 
 Models are ``pyspark.ml`` estimators. The reference's kernel SVM and Keras networks are single-machine; here
 they are re-aimed as linear models over random feature maps (random Fourier features for an RBF kernel,
-Rahimi & Recht 2007; a fixed random ReLU layer, Huang et al. 2006) built as column expressions, so fitting
-is one distributed pass of ``LinearRegression``.
+Rahimi & Recht 2007; a fixed random ReLU layer, Huang et al. 2006). The map is a small matrix product, run in
+NumPy on Arrow batches inside the tasks; fitting is one pass that sums ``Z'Z, Z'y`` blocks, then a units² solve.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def kfold(df: DataFrame, keys: Sequence[str], folds: int = 10, seed: int = 123,
 # --------------------------------------------------------------------------------------------- H6, H7
 @dataclass
 class RandomFeatureMap:
-    """Fixed random projection of the inputs, as column expressions (JVM-side, codegen)."""
+    """Fixed random projection of the inputs (weights drawn once on the driver from a seed)."""
 
     inputs: list[str]
     weights: np.ndarray  # (units, inputs)
@@ -83,45 +83,47 @@ class RandomFeatureMap:
         b = rng.normal(0.0, 0.1, size=units)
         return cls(list(inputs), w, b, "relu")
 
-    def column(self) -> Column:
-        """``array<double>`` of all units: one higher-order expression over a constant weight array, so the
-        generated code stays small whatever the number of units."""
-        x = F.array(*[F.col(c).cast("double") for c in self.inputs])
-        w = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in self.weights])
-        b = F.array(*[F.lit(float(v)) for v in self.bias])
-        scale = math.sqrt(2.0 / len(self.bias))
+    def apply(self, x: np.ndarray) -> np.ndarray:
+        """The map on a NumPy batch (rows x inputs) -> rows x units; runs inside tasks on Arrow batches."""
+        z = x @ self.weights.T + self.bias
+        if self.kind == "rff":
+            return np.cos(z) * math.sqrt(2.0 / len(self.bias))
+        return np.maximum(z, 0.0)
 
-        def unit(wrow, i):
-            z = F.aggregate(F.zip_with(wrow, x, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v) + b[i]
-            return F.cos(z) * F.lit(scale) if self.kind == "rff" else F.greatest(z, F.lit(0.0))
-
-        return F.transform(w, unit)
-
-    @property
-    def out(self) -> str:
-        return f"__{self.prefix}_map"
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.out, self.column())
-
-    def vectorize(self, df: DataFrame, out: str = "__features") -> DataFrame:
-        from pyspark.ml.functions import array_to_vector
-
-        return df.withColumn(out, array_to_vector(self.column()))
+    def design(self, pdf: pd.DataFrame) -> np.ndarray:
+        """``[1, map(x)]`` for a pandas batch holding the input columns."""
+        x = pdf[self.inputs].to_numpy(float)
+        return np.column_stack([np.ones(len(pdf)), self.apply(x)])
 
 
 # --------------------------------------------------------------------------------------------- models
 @dataclass
 class FittedModel:
     name: str
-    model: PipelineModel
+    model: PipelineModel | None
     feature_map: RandomFeatureMap | None
     inputs: list[str]
+    coef: np.ndarray | None = None
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        """Score rows (H12); every input column is kept."""
-        d = self.feature_map.vectorize(df) if self.feature_map else df
-        return self.model.transform(d).withColumnRenamed("prediction", out).drop("__features")
+        """Score rows (H12); every input column is kept.
+
+        Map models score in a vectorised pandas UDF (map + dot product per Arrow batch); trees use MLlib.
+        """
+        if self.feature_map is not None:
+            fm, beta = self.feature_map, self.coef
+
+            @F.pandas_udf("double")
+            def score(*cols: pd.Series) -> pd.Series:
+                x = np.column_stack([c.to_numpy(float) for c in cols])
+                ok = ~np.isnan(x).any(axis=1)
+                outv = np.full(len(x), np.nan)
+                if ok.any():
+                    outv[ok] = np.column_stack([np.ones(ok.sum()), fm.apply(x[ok])]) @ beta
+                return pd.Series(outv)
+
+            return df.withColumn(out, score(*[F.col(c).cast("double") for c in fm.inputs]))
+        return self.model.transform(df).withColumnRenamed("prediction", out).drop("__features")
 
     def importances(self) -> list[tuple[str, float]]:
         """Tree models: impurity importance per input."""
@@ -146,27 +148,80 @@ def fit_random_forest(train: DataFrame, features: Sequence[str], label: str, num
     return FittedModel("rf", Pipeline(stages=[_assemble(feats), rf]).fit(train), None, feats)
 
 
+def _gram_batches(fm: RandomFeatureMap, label: str, fold_cols: list[str]):
+    """Per partition: ``Z'Z``, ``Z'y`` and n for every (repeat, fold) group, from Arrow batches with NumPy."""
+    k = len(fm.bias) + 1
+
+    def run(batches):
+        acc: dict[tuple[int, int], list] = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            z = fm.design(pdf)
+            y = pdf[label].to_numpy(float)
+            groups = [(r, pdf.groupby(fc).indices) for r, fc in enumerate(fold_cols)] or [(0, {0: np.arange(len(pdf))})]
+            for r, idx_by_f in groups:
+                for f, idx in idx_by_f.items():
+                    g = acc.setdefault((r, int(f)), [np.zeros((k, k)), np.zeros(k), 0])
+                    zi = z[idx]
+                    g[0] += zi.T @ zi
+                    g[1] += zi.T @ y[idx]
+                    g[2] += len(idx)
+        if acc:
+            yield pd.DataFrame([{"repeat": r, "fold": f, "zz": g[0].ravel().tolist(), "zy": g[1].tolist(), "n": g[2]}
+                                for (r, f), g in acc.items()])
+    return run
+
+
+def _sum_arrays(pdf: pd.DataFrame) -> pd.DataFrame:
+    zz = np.sum(np.stack(pdf["zz"].to_numpy()), axis=0)
+    zy = np.sum(np.stack(pdf["zy"].to_numpy()), axis=0)
+    return pd.DataFrame([{"repeat": int(pdf["repeat"].iloc[0]), "fold": int(pdf["fold"].iloc[0]),
+                          "zz": zz.tolist(), "zy": zy.tolist(), "n": int(pdf["n"].sum())}])
+
+
+_GRAM_SCHEMA = "repeat int, fold int, zz array<double>, zy array<double>, n long"
+
+
+def gram_blocks(df: DataFrame, fm: RandomFeatureMap, label: str, fold_cols: Sequence[str] = ()) -> dict:
+    """``{(repeat, fold): (Z'Z, Z'y)}``: one pass; partial blocks are summed per group on the executors."""
+    cols = [F.col(c).cast("double").alias(c) for c in fm.inputs] + [F.col(label).cast("double").alias(label)]
+    cols += [F.col(c) for c in fold_cols]
+    base = df.select(*cols).na.drop(subset=[*fm.inputs, label])
+    parts = base.mapInPandas(_gram_batches(fm, label, list(fold_cols)), _GRAM_SCHEMA)
+    rows = parts.groupBy("repeat", "fold").applyInPandas(_sum_arrays, _GRAM_SCHEMA).collect()
+    k = len(fm.bias) + 1
+    return {(r["repeat"], r["fold"]): (np.array(r["zz"]).reshape(k, k), np.array(r["zy"])) for r in rows}
+
+
+def ridge_solve(a: np.ndarray, b: np.ndarray, reg: float) -> np.ndarray:
+    """Ridge with Spark's convention: penalty on standardized coefficients = ``n·λ·var(z_j)``, intercept free."""
+    n = max(a[0, 0], 1.0)
+    var = np.maximum(np.diag(a) / n - (a[0] / n) ** 2, 0.0)
+    var[0] = 0.0
+    return np.linalg.lstsq(a + np.diag(reg * n * var), b, rcond=None)[0]
+
+
+def fit_map_ridge(train: DataFrame, fm: RandomFeatureMap, label: str, reg: float, name: str) -> FittedModel:
+    blocks = gram_blocks(train, fm, label)
+    a = sum(v[0] for v in blocks.values())
+    b = sum(v[1] for v in blocks.values())
+    return FittedModel(name, None, fm, list(fm.inputs), ridge_solve(a, b, reg))
+
+
 def fit_rbf_regression(train: DataFrame, features: Sequence[str], label: str, sigma: float = 0.2, c: float = 10.0,
                        units: int = 200, seed: int = 123) -> FittedModel:
-    """Kernel regression re-aimed (H6): kernel ridge on RBF random features, ``regParam = 1/(2C)``.
+    """Kernel regression re-aimed (H6): kernel ridge on RBF random features, ``λ = 1/(2C)``.
 
-    Squared loss replaces the SVM's epsilon-insensitive loss so the fit is one normal-equation pass.
+    Squared loss replaces the SVM's epsilon-insensitive loss, so the fit is one Gram pass over the rows.
     """
-    fm = RandomFeatureMap.rbf(features, units, sigma, seed)
-    lr = LinearRegression(featuresCol="__features", labelCol=label, regParam=1.0 / (2.0 * c), elasticNetParam=0.0,
-                          solver="normal")
-    model = Pipeline(stages=[lr]).fit(fm.vectorize(train.filter(F.col(label).isNotNull())))
-    return FittedModel("rbf", model, fm, list(features))
+    return fit_map_ridge(train, RandomFeatureMap.rbf(features, units, sigma, seed), label, 1.0 / (2.0 * c), "rbf")
 
 
 def fit_random_layer(train: DataFrame, features: Sequence[str], label: str, units: int = 64, seed: int = 123,
                      reg: float = 1e-3) -> FittedModel:
-    """Neural regressor re-aimed (H7): fixed random ReLU hidden layer, least-squares output layer."""
-    fm = RandomFeatureMap.relu(features, units, seed)
-    lr = LinearRegression(featuresCol="__features", labelCol=label, regParam=reg, elasticNetParam=0.0,
-                          solver="normal")
-    model = Pipeline(stages=[lr]).fit(fm.vectorize(train.filter(F.col(label).isNotNull())))
-    return FittedModel("random_layer", model, fm, list(features))
+    """Neural regressor re-aimed (H7): fixed random ReLU hidden layer, ridge least-squares output layer."""
+    return fit_map_ridge(train, RandomFeatureMap.relu(features, units, seed), label, reg, "random_layer")
 
 
 def fit_gbt(train: DataFrame, features: Sequence[str], label: str, max_iter: int = 50, validation: str | None = None,
@@ -201,43 +256,7 @@ def repeated_cv(df: DataFrame, features: Sequence[str], label: str, keys: Sequen
     return out
 
 
-def _design(pdf: pd.DataFrame, mapcol: str) -> np.ndarray:
-    m = np.stack(pdf[mapcol].to_numpy()).astype(float)
-    return np.column_stack([np.ones(len(pdf)), m])
-
-
-def _gram_batches(mapcol: str, units: int, label: str, fold_cols: list[str]):
-    """Per partition: Z'Z, Z'y and n for every (repeat, fold), from Arrow batches with NumPy."""
-    k = units + 1
-
-    def run(batches):
-        acc: dict[tuple[int, int], list] = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            z = _design(pdf, mapcol)
-            y = pdf[label].to_numpy(float)
-            for r, fc in enumerate(fold_cols):
-                for f, idx in pdf.groupby(fc).indices.items():
-                    g = acc.setdefault((r, int(f)), [np.zeros((k, k)), np.zeros(k), 0])
-                    zi = z[idx]
-                    g[0] += zi.T @ zi
-                    g[1] += zi.T @ y[idx]
-                    g[2] += len(idx)
-        if acc:
-            yield pd.DataFrame([{"repeat": r, "fold": f, "zz": g[0].ravel().tolist(), "zy": g[1].tolist(), "n": g[2]}
-                                for (r, f), g in acc.items()])
-    return run
-
-
-def _sum_arrays(pdf: pd.DataFrame) -> pd.DataFrame:
-    zz = np.sum(np.stack(pdf["zz"].to_numpy()), axis=0)
-    zy = np.sum(np.stack(pdf["zy"].to_numpy()), axis=0)
-    return pd.DataFrame([{"repeat": int(pdf["repeat"].iloc[0]), "fold": int(pdf["fold"].iloc[0]),
-                          "zz": zz.tolist(), "zy": zy.tolist(), "n": int(pdf["n"].sum())}])
-
-
-def _score_batches(mapcol: str, label: str, fold_cols: list[str], bcoef):
+def _score_batches(fm: RandomFeatureMap, label: str, fold_cols: list[str], bcoef):
     """Per partition: the sums behind every metric of each (repeat, fold), scoring rows with their fold's model."""
     def run(batches):
         coef = bcoef.value
@@ -245,7 +264,7 @@ def _score_batches(mapcol: str, label: str, fold_cols: list[str], bcoef):
         for pdf in batches:
             if pdf.empty:
                 continue
-            z = _design(pdf, mapcol)
+            z = fm.design(pdf)
             y = pdf[label].to_numpy(float)
             for r, fc in enumerate(fold_cols):
                 for f, idx in pdf.groupby(fc).indices.items():
@@ -274,35 +293,23 @@ def linear_cv(df: DataFrame, fmap: RandomFeatureMap, label: str, keys: Sequence[
     """
     import pyspark.sql.types as T
 
-    mapcol = fmap.out
-    units = len(fmap.bias)
     fold_cols = [f"__fold{r}" for r in range(repeats)]
-    base = fmap.transform(df.filter(F.col(label).isNotNull()))
-    base = base.select(mapcol, F.col(label).cast("double").alias(label),
-                       *[F.pmod(F.xxhash64(*[F.col(c) for c in keys], F.lit(seed + r)), F.lit(folds)).cast("int")
-                         .alias(fold_cols[r]) for r in range(repeats)])
-    gram_schema = "repeat int, fold int, zz array<double>, zy array<double>, n long"
-    parts = base.mapInPandas(_gram_batches(mapcol, units, label, fold_cols), gram_schema)
-    rows = parts.groupBy("repeat", "fold").applyInPandas(_sum_arrays, gram_schema).collect()
-    k = units + 1
-    A = {(r["repeat"], r["fold"]): np.array(r["zz"]).reshape(k, k) for r in rows}
-    B = {(r["repeat"], r["fold"]): np.array(r["zy"]) for r in rows}
+    base = df.filter(F.col(label).isNotNull()).select(
+        *[F.col(c).cast("double").alias(c) for c in fmap.inputs], F.col(label).cast("double").alias(label),
+        *[F.pmod(F.xxhash64(*[F.col(c) for c in keys], F.lit(seed + r)), F.lit(folds)).cast("int").alias(fold_cols[r])
+          for r in range(repeats)]).na.drop(subset=fmap.inputs)
+    blocks = gram_blocks(base, fmap, label, fold_cols)
     coef = {}
     for rep in range(repeats):
-        ta = sum(a for (rr, _), a in A.items() if rr == rep)
-        tb = sum(b for (rr, _), b in B.items() if rr == rep)
-        for (rr, f), a in A.items():
+        ta = sum(v[0] for (rr, _), v in blocks.items() if rr == rep)
+        tb = sum(v[1] for (rr, _), v in blocks.items() if rr == rep)
+        for (rr, f), (a, b) in blocks.items():
             if rr == rep:
-                m = ta - a
-                n_in = max(m[0, 0], 1.0)
-                # Spark's ridge penalises standardized coefficients: n·λ·var(z_j) on the raw scale, intercept free.
-                var = np.maximum(np.diag(m) / n_in - (m[0] / n_in) ** 2, 0.0)
-                var[0] = 0.0
-                coef[(rr, f)] = np.linalg.lstsq(m + np.diag(reg * n_in * var), tb - B[(rr, f)], rcond=None)[0]
+                coef[(rr, f)] = ridge_solve(ta - a, tb - b, reg)
     bcoef = df.sparkSession.sparkContext.broadcast(coef)
     sums_schema = T.StructType([T.StructField("repeat", T.IntegerType()), T.StructField("fold", T.IntegerType())] +
                                [T.StructField(f"s{i}", T.DoubleType()) for i in range(10)])
-    s = base.mapInPandas(_score_batches(mapcol, label, fold_cols, bcoef), sums_schema)
+    s = base.mapInPandas(_score_batches(fmap, label, fold_cols, bcoef), sums_schema)
     s = s.groupBy("repeat", "fold").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(10)])
     n, sae, sse, sy, syy, sp, spp, syp, sape, nz = [F.col(f"s{i}") for i in range(10)]
     sst = syy - sy * sy / n

@@ -32,6 +32,11 @@ def _split(spark, d):
                               tiebreak=TIEBREAK)
 
 
+def _scaled_split(spark, d):
+    """The split with scaled inputs, cached: the scaler fit, the model fit and the scoring all read it."""
+    return tsx.zscore(_split(spark, d).cache(), X).cache()
+
+
 def _q(col, p):
     return f"""(SELECT olo.{col} + ((n - 1) * {p} - floor((n - 1) * {p})) * (ohi.{col} - olo.{col})
               FROM o olo, o ohi, (SELECT count(*) AS n FROM o)
@@ -73,7 +78,7 @@ def q_rf_regression_metrics(spark, d):
 @register("rbf_regression_metrics")
 def q_rbf_regression_metrics(spark, d):
     """H6: RBF random-feature regression (sigma 0.2, C 10) on scaled inputs, metrics by split."""
-    sp = tsx.zscore(_split(spark, d), X)
+    sp = _scaled_split(spark, d)
     fm = M.fit_rbf_regression(sp.filter(F.col("split") == "train"), X, Y, sigma=0.2, c=10.0)
     return ev.regression_metrics(fm.predict(sp), Y, "prediction", by=["split"])
 
@@ -81,7 +86,7 @@ def q_rbf_regression_metrics(spark, d):
 @register("random_layer_metrics")
 def q_random_layer_metrics(spark, d):
     """H7: 64-unit random ReLU layer + least-squares output on scaled inputs, metrics by split."""
-    sp = tsx.zscore(_split(spark, d), X)
+    sp = _scaled_split(spark, d)
     fm = M.fit_random_layer(sp.filter(F.col("split") == "train"), X, Y, units=64)
     return ev.regression_metrics(fm.predict(sp), Y, "prediction", by=["split"])
 
@@ -89,7 +94,7 @@ def q_random_layer_metrics(spark, d):
 @register("compare_models")
 def q_compare_models(spark, d):
     """H15 + C6: test rows with the actual and each model's prediction side by side (joined on the key)."""
-    sp = tsx.zscore(_split(spark, d), X).cache()
+    sp = _scaled_split(spark, d)
     train, test = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
     preds = {
         "rf": M.fit_random_forest(train, X, Y, num_trees=50, mtry=4).predict(test),
@@ -109,7 +114,7 @@ def q_feature_importance(spark, d):
 @register("permutation_importance")
 def q_permutation_importance(spark, d):
     """H11 for models without built-in importances: RMSE increase when one input is permuted (random layer)."""
-    sp = tsx.zscore(_split(spark, d), X).cache()
+    sp = _scaled_split(spark, d)
     fm = M.fit_random_layer(sp.filter(F.col("split") == "train"), X, Y)
     return M.permutation_importance(fm, sp.filter(F.col("split") == "test"), Y, KEYS)
 
@@ -118,7 +123,7 @@ def q_permutation_importance(spark, d):
 def q_cv_summary(spark, d):
     """H4 + H14: 10-fold x 3 repeated CV of the random-layer and RBF models (two passes each over the train
     rows); min/quartiles/mean/max of the fold metrics per model."""
-    sp = tsx.zscore(_split(spark, d), X).filter(F.col("split") == "train")
+    sp = _scaled_split(spark, d).filter(F.col("split") == "train")
     a = M.linear_cv(sp, M.RandomFeatureMap.relu(X, 64), Y, KEYS, folds=10, repeats=3, model="random_layer")
     b = M.linear_cv(sp, M.RandomFeatureMap.rbf(X, 200, 0.2), Y, KEYS, folds=10, repeats=3, reg=1 / (2 * 10.0),
                     model="rbf")
