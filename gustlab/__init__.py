@@ -1,0 +1,6 @@
+"""gustlab: wind-farm sensor and weather analytics as Spark DataFrame operators.
+
+Subpackages: ``sources`` (readers and sinks), ``functions`` (column helpers, distribution tails),
+``operators`` (reshape, quality, impute, joins, stats, timeseries, models, forecast, evaluate),
+``plans`` (stand-in inputs from the driver tables, registered queries, workflows), ``streaming`` (empty).
+"""

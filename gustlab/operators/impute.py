@@ -41,7 +41,7 @@ def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # --------------------------------------------------------------------------------------------- C2
 def impute_from_donor(df: DataFrame, donor: DataFrame, keys: Sequence[str], features: Sequence[str],
                       ts: str = "ts", donor_years: int = 1, mode: str = "row", tag_col: str | None = "filename",
-                      tag: str = "_imputed") -> DataFrame:
+                      tag: str = "_imputed", drop_incomplete: bool = True) -> DataFrame:
     """Fill incomplete rows from the same key and calendar slot of another year.
 
     ``donor_years`` is added to the donor's timestamps to land on the target's slot. ``mode="row"`` takes the
@@ -65,7 +65,9 @@ def impute_from_donor(df: DataFrame, donor: DataFrame, keys: Sequence[str], feat
         filled = j.withColumns({c: F.coalesce(qcol(c), F.col(f"__d.{c}")) for c in features})
     else:
         raise ValueError(mode)
-    out = ok.unionByName(filled.drop("__d")).filter(all_present(features))
+    out = ok.unionByName(filled.drop("__d"))
+    if drop_incomplete:
+        out = out.filter(all_present(features))
     if tag_col:
         out = out.withColumn(tag_col, F.concat(F.col(tag_col), F.lit(tag)))
     return out

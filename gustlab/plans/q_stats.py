@@ -231,3 +231,22 @@ def q_persistence_metrics_reference_mode(spark, d):
     fc = diffed.withColumn("pred_diff", F.lit(0.0))
     scored = tsx.undifference(fc, "pred_diff", "active_power_kw", "power_lead", k=1, mode="reference")
     return ev.regression_metrics(scored, "active_power_kw", "predicted_power")
+
+
+# ------------------------------------------------------------------------------------------- entries 1, 2
+@register("hourly_sensor_workflow")
+def q_hourly_sensor_workflow(spark, d):
+    """Entry 1: donor fills, zero-variance drop, hourly farm max, correlation selection on the turbine feed."""
+    from gustlab.plans.workflows import sensor_to_hourly
+
+    out, _ = sensor_to_hourly(S.scada_10min(spark, d, with_nulls=True), FEATS, "active_power_kw", "wind_speed_ms",
+                              turbines=S.TURBINES)
+    return out
+
+
+@register("final_weather_table")
+def q_final_weather_table(spark, d):
+    """Entry 2: weather gaps filled (zero, median, regression, kNN), joined to the hourly farm table, patched."""
+    from gustlab.plans.workflows import weather_to_final
+
+    return weather_to_final(_hourly(spark, d), S.weather_hourly(spark, d).drop("month_label"), "active_power_kw")
