@@ -66,16 +66,23 @@ def lagged_forecast(df: DataFrame, target: str, features: Sequence[str], test_st
 
 
 def backtest(df: DataFrame, target: str, features: Sequence[str], horizons: Sequence[int], origins: Sequence[str],
-             model: str = "gbt", **kw) -> DataFrame:
-    """Repeat split/fit/score per (horizon, origin) and report metrics per cell."""
-    out = None
-    for h in horizons:
-        for o in origins:
-            scored = lagged_forecast(df, target, features, o, horizon=h, model=model, **kw)
-            m = regression_metrics(scored, "actual", "predicted").select(
-                F.lit(h).alias("horizon"), F.lit(o).alias("origin"), F.lit(model).alias("model"), "*")
-            out = m if out is None else out.unionByName(m)
-    return out
+             model: str = "gbt", parallelism: int = 4, **kw) -> DataFrame:
+    """Repeat split/fit/score per (horizon, origin) and report metrics per cell (H16); cells run as parallel jobs."""
+    from gustlab.operators.models import _run_parallel
+
+    base = df.cache()
+
+    def cell(h, o):
+        def task():
+            scored = lagged_forecast(base, target, features, o, horizon=h, model=model, **kw)
+            return regression_metrics(scored, "actual", "predicted").select(
+                F.lit(h).alias("horizon"), F.lit(o).alias("origin"), F.lit(model).alias("model"), "*").collect()
+        return task
+
+    rows = _run_parallel([cell(h, o) for h in horizons for o in origins], parallelism)
+    schema = ("horizon int, origin string, model string, n long, mae double, rmse double, mape double, "
+              "n_zero long, r2 double, r2_corr double, mean_error_pct double")
+    return df.sparkSession.createDataFrame([r for rs in rows for r in rs], schema)
 
 
 # --------------------------------------------------------------------------------------------- H9

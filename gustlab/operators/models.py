@@ -236,24 +236,46 @@ FITTERS = {"rf": fit_random_forest, "rbf": fit_rbf_regression, "random_layer": f
 
 
 # --------------------------------------------------------------------------------------------- H4
+def _run_parallel(tasks, parallelism: int):
+    """Run independent Spark jobs from a thread pool (as ``CrossValidator(parallelism=...)`` does)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    if parallelism <= 1:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+        return list(ex.map(lambda t: t(), tasks))
+
+
 def repeated_cv(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], model: str = "rf",
-                folds: int = 10, repeats: int = 3, seed: int = 123, **params) -> DataFrame:
+                folds: int = 10, repeats: int = 3, seed: int = 123, parallelism: int = 4, **params) -> DataFrame:
     """Per-fold metrics of ``model`` under ``repeats`` x ``folds`` cross-validation (H4).
 
-    Folds come from a hash of the key per repeat; each fit is a Spark job. Output: one row per (repeat, fold).
+    Folds come from a hash of the key per repeat; the fold fits are independent Spark jobs submitted
+    ``parallelism`` at a time. Output: one row per (repeat, fold).
     """
     fit = FITTERS[model]
-    out = None
+    d = df.select(*keys, *features, label)
     for r in range(repeats):
-        d = kfold(df, keys, folds, seed + r).cache()
-        for k in range(folds):
-            fm = fit(d.filter(F.col("fold") != k), features, label, **params)
-            scored = fm.predict(d.filter(F.col("fold") == k))
-            met = regression_metrics(scored, label, "prediction").select(
-                F.lit(model).alias("model"), F.lit(r).alias("repeat"), F.lit(k).alias("fold"), "*")
-            out = met if out is None else out.unionByName(met)
-        d.unpersist()
-    return out
+        d = d.withColumn(f"__fold{r}", F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed + r)),
+                                              F.lit(folds)).cast("int"))
+    d = d.cache()
+
+    def one(r, k):
+        def task():
+            fc = F.col(f"__fold{r}")
+            fm = fit(d.filter(fc != k), features, label, **params)
+            return regression_metrics(fm.predict(d.filter(fc == k)), label, "prediction").select(
+                F.lit(model).alias("model"), F.lit(r).alias("repeat"), F.lit(k).alias("fold"), "*").collect()
+        return task
+
+    rows = _run_parallel([one(r, k) for r in range(repeats) for k in range(folds)], parallelism)
+    d.unpersist()
+    flat = [row for rs in rows for row in rs]
+    return df.sparkSession.createDataFrame(flat, schema=_METRIC_SCHEMA)
+
+
+_METRIC_SCHEMA = ("model string, repeat int, fold int, n long, mae double, rmse double, mape double, "
+                  "n_zero long, r2 double, r2_corr double, mean_error_pct double")
 
 
 def _score_batches(fm: RandomFeatureMap, label: str, fold_cols: list[str], bcoef):
@@ -338,7 +360,7 @@ def permutation_importance(fm: FittedModel, df: DataFrame, label: str, keys: Seq
 
 
 def rfe(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], folds: int = 10,
-        sizes: Sequence[int] | None = None, seed: int = 123, **rf_params) -> DataFrame:
+        sizes: Sequence[int] | None = None, seed: int = 123, parallelism: int = 4, **rf_params) -> DataFrame:
     """Recursive feature elimination by forest importance (H10): at each size, CV RMSE of a forest on the
     current set, then drop the least important input. Output ``(n_features, features, rmse)``."""
     cur = list(features)
@@ -347,12 +369,14 @@ def rfe(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str],
     rows = []
     while cur:
         if len(cur) in sizes:
-            sq, n = 0.0, 0
-            for k in range(folds):
-                fm = fit_random_forest(d.filter(F.col("fold") != k), cur, label, **rf_params)
-                m = regression_metrics(fm.predict(d.filter(F.col("fold") == k)), label, "prediction").first()
-                sq += (m["rmse"] or 0.0) ** 2 * m["n"]
-                n += m["n"]
+            def one(k, feats=tuple(cur)):
+                def task():
+                    fm = fit_random_forest(d.filter(F.col("fold") != k), list(feats), label, **rf_params)
+                    return regression_metrics(fm.predict(d.filter(F.col("fold") == k)), label, "prediction").first()
+                return task
+            ms = _run_parallel([one(k) for k in range(folds)], parallelism)
+            sq = sum((m["rmse"] or 0.0) ** 2 * m["n"] for m in ms)
+            n = sum(m["n"] for m in ms)
             rows.append((len(cur), ",".join(cur), math.sqrt(sq / n) if n else None))
         if len(cur) == 1:
             break

@@ -47,7 +47,7 @@ def scada_10min(spark: SparkSession, sf_dir: str, with_nulls: bool = False) -> D
         "active_power_kw": F.avg("value") * F.sqrt(F.lit(2.0)),
         "wind_speed_ms": F.sqrt(F.avg("k")),
         "hub_temp_c": (F.count(F.lit(1)) + 20).cast("double"),
-        "temp_rotor_bearing_c": F.max("k") / 4.0 + 25.0,
+        "temp_rotor_bearing_c": F.sqrt(F.max("k")) * 2.0 + 25.0,
         "rotor_speed_rpm": F.min("value") * F.sqrt(F.lit(2.0)) / 10.0,
         "blade_angle": F.sum(F.when(F.col("event_type") == "click", 1.0).otherwise(0.0)),
     }
@@ -73,7 +73,7 @@ def scada_10min_sql(with_nulls: bool = False) -> str:
              {a.format('avg(value) * sqrt(2.0)')} AS active_power_kw,
              {b.format("sqrt(avg(CAST(regexp_extract(props, '\"k\": (\\d+)', 1) AS DOUBLE)))")} AS wind_speed_ms,
              CAST(count(*) + 20 AS DOUBLE) AS hub_temp_c,
-             max(CAST(regexp_extract(props, '\"k\": (\\d+)', 1) AS DOUBLE)) / 4.0 + 25.0 AS temp_rotor_bearing_c,
+             sqrt(max(CAST(regexp_extract(props, '\"k\": (\\d+)', 1) AS DOUBLE))) * 2.0 + 25.0 AS temp_rotor_bearing_c,
              {a.format('min(value) * sqrt(2.0) / 10.0')} AS rotor_speed_rpm,
              CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS DOUBLE) AS blade_angle
       FROM events GROUP BY 1, 2)
