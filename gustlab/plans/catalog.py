@@ -28,6 +28,24 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def present(df: DataFrame, digits: int, cols=None) -> DataFrame:
+    """Round float outputs half-even for comparison with another engine (summation order differs in the last bits).
+
+    Applied by the registered queries only; the library operators return full precision.
+    """
+    cols = cols or [c for c, t in df.dtypes if t == "double"]
+    return df.withColumns({c: F.bround(F.col(c), digits) for c in cols})
+
+
+def round_sql(sql: str, cols, digits: int) -> str:
+    """The SQL twin of :func:`present`: ``round_even`` on the named columns of ``sql``'s result."""
+    repl = ", ".join(f"round_even({c}, {digits}) AS {c}" for c in cols)
+    return f"SELECT * REPLACE ({repl}) FROM ({sql})"
+
+
+METRIC_COLS = ["mae", "rmse", "mape", "r2", "r2_corr", "mean_error_pct"]
+
+
 def _feat_sql(fmt: str, feats=S.SCADA_FEATURES) -> str:
     return ",\n           ".join(fmt.format(c=c) for c in feats)
 
@@ -70,7 +88,7 @@ def persistence_forecast_metrics(spark: SparkSession, d: str) -> DataFrame:
     diffed = tsx.difference(hourly, "active_power_kw", k=1, lead_col="power_lead", diff_col="power_diff")
     fc = diffed.withColumn("pred_diff", F.lit(0.0))
     scored = tsx.undifference(fc, "pred_diff", "active_power_kw", "power_lead", k=1, mode="causal")
-    return ev.regression_metrics(scored, "active_power_kw", "predicted_power")
+    return present(ev.regression_metrics(scored, "active_power_kw", "predicted_power"), 6)
 
 
 _METRICS_SQL = """
@@ -84,13 +102,13 @@ _METRICS_SQL = """
     sqrt(avg((pred - act) * (pred - act))) / avg(act) * 100 AS mean_error_pct
 """
 
-register("persistence_forecast_metrics", f"""
+register("persistence_forecast_metrics", round_sql(f"""
     WITH s AS ({SCADA}),
     t AS (SELECT turbine, time_bucket(INTERVAL 1 HOUR, ts) AS ts, avg(active_power_kw) AS p FROM s GROUP BY 1, 2),
     h AS (SELECT ts, round_even(max(p), 3) AS act FROM t GROUP BY ts),
     f AS (SELECT act, lag(act, 1) OVER (ORDER BY ts) AS pred FROM h)
     SELECT {_METRICS_SQL} FROM f WHERE pred IS NOT NULL
-""")(persistence_forecast_metrics)
+""", METRIC_COLS, 6))(persistence_forecast_metrics)
 
 
 # ------------------------------------------------------------------------------------------- E1-E3

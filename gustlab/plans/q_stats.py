@@ -9,7 +9,7 @@ from gustlab.operators import impute as I
 from gustlab.operators import stats as ST
 from gustlab.operators import timeseries as tsx
 from gustlab.plans import standins as S
-from gustlab.plans.catalog import HOURLY_SQL, _METRICS_SQL, register
+from gustlab.plans.catalog import HOURLY_SQL, METRIC_COLS, _METRICS_SQL, present, register, round_sql
 
 FEATS = S.SCADA_FEATURES
 HOURLY = HOURLY_SQL.replace("{agg}", "max")
@@ -25,18 +25,18 @@ def _l(fmt, cols=FEATS, sep=", "):
 
 
 # ------------------------------------------------------------------------------------------- D10
-@register("column_summary", f"""
+@register("column_summary", round_sql(f"""
     WITH h AS ({HOURLY}), u AS (UNPIVOT h ON {_l("{c}")} INTO NAME feature VALUE v)
     SELECT feature, count(v) AS n, avg(v) AS mean, sum(v) AS sum, stddev_samp(v) AS sd, min(v) AS min, max(v) AS max
     FROM u GROUP BY feature
-""")
+""", ["mean", "sum", "sd", "min", "max"], 6))
 def q_column_summary(spark, d):
     """Count, mean, sum, sd, min, max per hourly feature."""
-    return ST.column_summary(_hourly(spark, d), FEATS)
+    return present(ST.column_summary(_hourly(spark, d), FEATS), 6)
 
 
 # ------------------------------------------------------------------------------------------- D12
-@register("decile_calibration", f"""
+@register("decile_calibration", round_sql(f"""
     WITH w AS ({S.WEATHER_HOURLY_SQL}),
     f AS (SELECT regr_intercept(wind_gust, wind_speed) AS a, regr_slope(wind_gust, wind_speed) AS b FROM w),
     p AS (SELECT wind_gust AS actual, f.a + f.b * wind_speed AS pred FROM w, f
@@ -50,14 +50,14 @@ def q_column_summary(spark, d):
     SELECT CAST(1 + (SELECT count(*) FROM br WHERE p.pred > br.q) AS INTEGER) AS bucket,
            avg(actual) AS mean_actual, avg(pred) AS mean_predicted, count(*) AS n
     FROM p GROUP BY 1
-""")
+""", ["mean_actual", "mean_predicted"], 6))
 def q_decile_calibration(spark, d):
     """Gust regression predictions binned at their deciles; mean actual vs predicted per bin."""
     w = S.weather_hourly(spark, d)
     a, b = I.fit_line(w, "wind_gust", "wind_speed")
     p = w.filter(F.col("wind_gust").isNotNull() & F.col("wind_speed").isNotNull()).select(
         F.col("wind_gust").alias("actual"), (F.lit(a) + F.lit(b) * F.col("wind_speed")).alias("pred"))
-    return ST.decile_calibration(p, "actual", "pred")
+    return present(ST.decile_calibration(p, "actual", "pred"), 6)
 
 
 # ------------------------------------------------------------------------------------------- E9
@@ -78,7 +78,7 @@ def _rank_sql(col, part):
             f"+ (count(*) OVER (PARTITION BY {part}, {col}) - 1) / 2.0")
 
 
-@register("spearman_correlation", f"""
+@register("spearman_correlation", round_sql(f"""
     WITH h AS ({HOURLY}),
     u AS (SELECT t, y_var, v FROM (UNPIVOT (SELECT active_power_kw AS t, {_l("{c}", OTHERS)} FROM h)
                                   ON {_l("{c}", OTHERS)} INTO NAME y_var VALUE v)
@@ -86,10 +86,10 @@ def _rank_sql(col, part):
     r AS (SELECT y_var, v, t, {_rank_sql('v', 'y_var')} AS rv, {_rank_sql('t', 'y_var')} AS rt FROM u)
     SELECT 'active_power_kw' AS x_var, y_var, count(*) AS n, corr(rv, rt) AS cor_coef, corr(v, t) AS pearson_r
     FROM r GROUP BY y_var
-""")
+""", ["cor_coef", "pearson_r"], 9))
 def q_spearman_correlation(spark, d):
     """D15 coefficients: each hourly feature against power, Spearman (average ranks) and Pearson."""
-    return ST.correlate(_hourly(spark, d), "active_power_kw", OTHERS)
+    return present(ST.correlate(_hourly(spark, d), "active_power_kw", OTHERS), 9)
 
 
 @register("correlation_test")
@@ -102,23 +102,23 @@ def q_correlation_test(spark, d):
 _PAIRS = [(a, b) for i, a in enumerate(FEATS) for b in FEATS[i + 1:]]
 
 
-@register("correlation_matrix_pearson", f"""
+@register("correlation_matrix_pearson", round_sql(f"""
     WITH h AS (SELECT * FROM ({HOURLY}) WHERE {_l("{c} IS NOT NULL", sep=" AND ")})
     {" UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, count(*) AS n, corr({a}, {b}) AS r FROM h" for a, b in _PAIRS)}
-""")
+""", ["r"], 9))
 def q_correlation_matrix_pearson(spark, d):
     """Pearson coefficient for every pair of hourly features (one aggregate)."""
-    return ST.correlation_matrix(_hourly(spark, d), FEATS, "pearson")
+    return present(ST.correlation_matrix(_hourly(spark, d), FEATS, "pearson"), 9)
 
 
-@register("correlation_matrix_spearman", f"""
+@register("correlation_matrix_spearman", round_sql(f"""
     WITH h AS (SELECT * FROM ({HOURLY}) WHERE {_l("{c} IS NOT NULL", sep=" AND ")}),
     r AS (SELECT {_l("rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}")} FROM h)
     {" UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, count(*) AS n, corr({a}, {b}) AS r FROM r" for a, b in _PAIRS)}
-""")
+""", ["r"], 9))
 def q_correlation_matrix_spearman(spark, d):
     """Spearman matrix (columns ranked through one long-form rank table, pivoted back on the hour)."""
-    return ST.correlation_matrix(_hourly(spark, d), FEATS, "spearman", key=["ts"])
+    return present(ST.correlation_matrix(_hourly(spark, d), FEATS, "spearman", key=["ts"]), 9)
 
 
 @register("correlation_pvalues")
@@ -143,15 +143,15 @@ def q_select_by_correlation(spark, d):
 
 
 # ------------------------------------------------------------------------------------------- E8
-@register("zscore_features", f"""
+@register("zscore_features", round_sql(f"""
     WITH h AS ({HOURLY})
     SELECT ts, active_power_kw,
            {_l("({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}", OTHERS)}
     FROM h
-""")
+""", OTHERS, 9))
 def q_zscore_features(spark, d):
     """Predictors centred and scaled (sample sd) over all rows; timestamp and target kept as they are."""
-    return tsx.zscore(_hourly(spark, d), OTHERS)
+    return present(tsx.zscore(_hourly(spark, d), OTHERS), 9, OTHERS)
 
 
 # ------------------------------------------------------------------------------------------- E10, E11, E12
@@ -169,10 +169,10 @@ ACF_SQL = f"""
 """
 
 
-@register("acf_revenue", ACF_SQL)
+@register("acf_revenue", round_sql(ACF_SQL, ["acf", "ci"], 9))
 def q_acf_revenue(spark, d):
     """E10 + E11: autocorrelation of daily order revenue for lags 0..30 with the 95 % band."""
-    return tsx.acf(S.farm_series(spark, d), "revenue", 30)
+    return present(tsx.acf(S.farm_series(spark, d), "revenue", 30), 9)
 
 
 @register("ljung_box")
@@ -215,7 +215,7 @@ def q_sequence_windows(spark, d):
 
 
 # ------------------------------------------------------------------------------------------- E4 reference mode
-@register("persistence_metrics_reference_mode", f"""
+@register("persistence_metrics_reference_mode", round_sql(f"""
     WITH s AS ({S.scada_10min_sql()}),
     t AS (SELECT turbine, time_bucket(INTERVAL 1 HOUR, ts) AS ts, avg(active_power_kw) AS p FROM s GROUP BY 1, 2),
     h AS (SELECT ts, round_even(max(p), 3) AS act FROM t GROUP BY ts),
@@ -223,14 +223,14 @@ def q_sequence_windows(spark, d):
           WINDOW w AS (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
     f AS (SELECT act, lag(0.0 + lead1, 1) OVER (ORDER BY ts) AS pred FROM l)
     SELECT {_METRICS_SQL} FROM f WHERE pred IS NOT NULL
-""")
+""", METRIC_COLS, 6))
 def q_persistence_metrics_reference_mode(spark, d):
     """E4 with the reference's restoration (T12): pred(t-1) + lead(t-1) equals the actual, so a zero model scores 0."""
     hourly = tsx.hourly_farm(S.scada_10min(spark, d), ["active_power_kw"], turbines=S.TURBINES)
     diffed = tsx.difference(hourly, "active_power_kw", k=1, lead_col="power_lead", diff_col="power_diff")
     fc = diffed.withColumn("pred_diff", F.lit(0.0))
     scored = tsx.undifference(fc, "pred_diff", "active_power_kw", "power_lead", k=1, mode="reference")
-    return ev.regression_metrics(scored, "active_power_kw", "predicted_power")
+    return present(ev.regression_metrics(scored, "active_power_kw", "predicted_power"), 6)
 
 
 # ------------------------------------------------------------------------------------------- entries 1, 2
