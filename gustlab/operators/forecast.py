@@ -203,3 +203,18 @@ def arima_forecast(df: DataFrame, value: str, h: int, ts: str = "ts", by: Sequen
     if by:
         return both.groupBy(*by).applyInPandas(run, out_schema)
     return both.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(run, out_schema)
+
+
+def arima_residuals(df: DataFrame, value: str, fit: DataFrame, ts: str = "ts", by: Sequence[str] = (),
+                    max_p: int = 5) -> DataFrame:
+    """One-step residuals of a fitted AR(I) model on its own series: ``(by..., _pos, resid)`` (input to E12)."""
+    by = list(by)
+    d = int(fit.select("d").first()["d"]) if fit.select("d").first() else 1
+    x = _ar_design(df, value, ts, by, max_p, d)
+    f = fit.select(*by, "intercept", "coefs")
+    x = x.join(f, on=by) if by else tsx.attach(x, f.withColumn("coefs", F.to_json("coefs")), by).withColumn(
+        "coefs", F.from_json("coefs", "array<double>"))
+    pred = F.col("intercept")
+    for j in range(1, max_p + 1):
+        pred = pred + F.coalesce(F.try_element_at("coefs", F.lit(j)), F.lit(0.0)) * F.col(f"__l{j}")
+    return x.select(*by, "_pos", (F.col("__y") - pred).alias("resid"))

@@ -148,12 +148,15 @@ def knn_predict(train: DataFrame, queries: DataFrame, key: str, features: str, t
     chunks = max(1, math.ceil(n_q / max_broadcast_rows))
     schema = T.StructType([T.StructField("__qk", T.LongType()), T.StructField("__d", T.DoubleType()),
                            T.StructField("__tk", T.LongType()), T.StructField("__y", T.DoubleType())])
+    qs = queries.select(F.col(key).cast("long").alias("k"), F.col(features).alias("x"))
+    if chunks > 1:
+        # exact chunk sizes from row positions: every broadcast holds at most max_broadcast_rows query rows
+        qs = sequence_index(qs, "k", n_rows=n_q).withColumn(
+            "__chunk", F.floor(F.col("_pos") / max_broadcast_rows)).drop("_pos").cache()
     parts = []
     for c in range(chunks):
-        q = queries if chunks == 1 else queries.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(chunks)) == c)
-        qp = q.select(F.col(key).cast("long").alias("k"), F.col(features).alias("x")).toPandas()
-        if len(qp) > 2 * max_broadcast_rows:
-            raise RuntimeError("query chunk above its size bound")
+        q = qs if chunks == 1 else qs.filter(F.col("__chunk") == c).drop("__chunk")
+        qp = q.toPandas()
         if qp.empty:
             continue
         bq = spark.sparkContext.broadcast((qp["k"].to_numpy(np.int64), np.stack(qp["x"].to_numpy()).astype(float)))

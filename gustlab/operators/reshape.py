@@ -98,6 +98,11 @@ def any_of(col: Column, patterns: Sequence[str]) -> Column:
     return col.rlike("|".join(re.escape(p) for p in patterns))
 
 
+def pick_groups(df: DataFrame, col: str, values: Sequence[str]) -> DataFrame:
+    """Rows of the chosen groups, e.g. one month per season."""
+    return df.filter(F.col(col).isin(list(values)))
+
+
 def unpivot_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], var: str = "var",
                  val: str = "val") -> DataFrame:
     """Wide -> ``(ids..., var, val)``."""

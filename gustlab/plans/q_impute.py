@@ -175,3 +175,17 @@ def q_impute_label_knn(spark, d):
 
 
 
+
+
+# ------------------------------------------------------------------------------------------- E15
+SEASON_MONTHS = ["Jan1998", "Apr1997", "Jul1997", "Oct1998"]
+
+
+@register("seasonal_months", f"""
+    SELECT * FROM ({DAILY}) WHERE filename IN ({", ".join(f"'{m}'" for m in SEASON_MONTHS)})
+""")
+def q_seasonal_months(spark, d):
+    """One month per season picked from the daily series."""
+    from gustlab.operators.reshape import pick_groups
+
+    return pick_groups(S.daily_orders(spark, d), "filename", SEASON_MONTHS)

@@ -184,3 +184,37 @@ def q_arima_by_series(spark, d):
     """H9 per series: order and 7-day forecast for each order priority's daily revenue."""
     s = S.daily_orders(spark, d, with_nulls=False)
     return FC.arima_forecast(s, "revenue", 7, by=["series"], max_p=3, d=1)
+
+
+# ------------------------------------------------------------------------------------------- A9, H5, H14
+@register("rf_mtry_tuning")
+def q_rf_mtry_tuning(spark, d):
+    """A9 + H5 + H14: forest over the mtry grid 1..7 (parameter grid), test RMSE per setting, best setting flagged."""
+    from gustlab.sources.files import param_grid
+
+    sp = _split(spark, d).cache()
+    train, test = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
+    grid = [r["mtry"] for r in param_grid(spark, mtry=list(range(1, len(X) + 1))).collect()]
+
+    def task(m):
+        def run():
+            fm = M.fit_random_forest(train, X, Y, num_trees=20, mtry=m)
+            r = ev.regression_metrics(fm.predict(test), Y, "prediction").first()
+            return (int(m), r["rmse"], r["mae"], r["r2_corr"])
+        return run
+
+    rows = M._run_parallel([task(m) for m in grid], 4)
+    res = spark.createDataFrame(rows, "mtry int, rmse double, mae double, r2_corr double")
+    best = ev.best_setting(res.withColumn("model", F.lit("rf")), "model", "mtry", "rmse").first()["best_mtry"]
+    return res.withColumn("best", F.col("mtry") == F.lit(best))
+
+
+@register("arima_residual_check")
+def q_arima_residual_check(spark, d):
+    """E12 on residuals: Ljung-Box over 10 lags of the AR(I) fit's one-step residuals (fitted order as dof)."""
+    s = S.farm_series(spark, d)
+    fit = FC.arima_fit(s, "revenue", max_p=5, d=1).cache()
+    p = fit.first()["p"] or 0
+    res = FC.arima_residuals(s, "revenue", fit, max_p=5)
+    return tsx.ljung_box(tsx.acf(res, "resid", 10, order="_pos"), 10, fitted_params=p).withColumn(
+        "p_order", F.lit(p))

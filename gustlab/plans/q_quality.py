@@ -282,3 +282,22 @@ _CURVE_VALUES = ", ".join(f"({4.0 + 0.5 * i}, {p}.0)" for i, p in enumerate(
 def q_expected_power(spark, d):
     """C7 + A8: nominal power at each reading's wind speed (linear on the 43-point curve), deviation, ±20 % flag."""
     return J.expected_power(S.scada_10min(spark, d), power_curve(spark))
+
+
+# ------------------------------------------------------------------------------------------- A7
+@register("missing_report_csv", f"""
+    WITH m AS ({MISSING_SQL})
+    SELECT feature,
+           {_list("max(CASE WHEN filename = '{c}' THEN pct_missing END) AS {c}", ["Wk01", "Wk02", "Wk03", "Wk04", "Wk05"])}
+    FROM m GROUP BY feature
+""")
+def q_missing_report_csv(spark, d):
+    """The missing-value report written as one CSV file in the shared folder and read back."""
+    from gustlab.session import scratch_path
+    from gustlab.sources.files import write_report
+
+    weeks = ["Wk01", "Wk02", "Wk03", "Wk04", "Wk05"]
+    long = Q.missing_percent(S.scada_10min(spark, d, with_nulls=True), FEATS, by=["filename"])
+    path = write_report(Q.missing_report(long, "filename", groups=weeks), scratch_path(spark, "miss-vals"))
+    back = spark.read.option("header", True).csv(path)
+    return back.select("feature", *[F.col(w).cast("double").alias(w) for w in weeks])
