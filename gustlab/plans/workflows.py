@@ -19,6 +19,7 @@ from gustlab.operators import quality as Q
 from gustlab.operators import reshape as R
 from gustlab.operators import stats as ST
 from gustlab.operators import timeseries as tsx
+from gustlab.session import cut_lineage
 
 
 def sensor_to_hourly(scada: DataFrame, features: Sequence[str], target: str, speed: str,
@@ -34,8 +35,9 @@ def sensor_to_hourly(scada: DataFrame, features: Sequence[str], target: str, spe
     tagged = scada.withColumn(month, F.col(month))
     a = I.impute_from_donor(tagged, tagged, [turbine], feats, ts=ts, donor_years=1, tag_col=None,
                             drop_incomplete=False)
-    # read by the variance audit and the aggregation: kept (memory and disk) instead of recomputed
-    b = I.impute_from_donor(a, tagged, [turbine], feats, ts=ts, donor_years=-1, tag_col=None).cache()
+    # read by the variance audit and the aggregation: written to the shared checkpoint folder, so a lost
+    # executor does not replay the two donor joins
+    b = cut_lineage(I.impute_from_donor(a, tagged, [turbine], feats, ts=ts, donor_years=-1, tag_col=None))
     zv = [r[0] for r in Q.zero_variance(b, feats, by=[month, turbine]).collect()]
     kept = [c for c in feats if c not in zv]
     hourly = tsx.hourly_farm(b, kept, ts=ts, turbine=turbine, turbines=turbines, farm_agg="max")
