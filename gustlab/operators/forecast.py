@@ -106,25 +106,17 @@ def _ar_design(df: DataFrame, value: str, ts: str, by: Sequence[str], max_p: int
     return y.join(lagged, on=[*by, "_pos"]).na.drop()
 
 
-def arima_fit(df: DataFrame, value: str, ts: str = "ts", by: Sequence[str] = (), max_p: int = 5,
-              d: int = 1) -> DataFrame:
-    """AR(p) on the d-times differenced series for p = 0..max_p on one common sample; the least AICc wins (H9).
-
-    One aggregate per series gives all cross-product sums; every smaller order is a sub-block of them.
-    Output per series: ``p, d, intercept, coefs (array), sigma2, aicc, n``.
-    """
-    by = list(by)
-    x = _ar_design(df, value, ts, by, max_p, d)
-    regs = ["__one"] + [f"__l{j}" for j in range(1, max_p + 1)]
-    x = x.withColumn("__one", F.lit(1.0))
+def _cross_sums(x: DataFrame, by: list[str], regs: list[str]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col("__y") * F.col("__y")).alias("yy")]
     for i, a in enumerate(regs):
         aggs.append(F.sum(F.col(a) * F.col("__y")).alias(f"xy{i}"))
         for j, b in enumerate(regs[i:], start=i):
             aggs.append(F.sum(F.col(a) * F.col(b)).alias(f"xx{i}_{j}"))
-    sums = x.groupBy(*by).agg(*aggs) if by else x.agg(*aggs)
-    k = len(regs)
+    return x.groupBy(*by).agg(*aggs) if by else x.agg(*aggs)
+
 
+def _orders_solver(by: list[str], k: int, max_p: int, max_q: int, d: int, fixed: tuple[int, int] | None = None):
+    """Per-series solve of every (p, q) sub-block of the cross-product sums; least AICc wins."""
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for _, r in pdf.iterrows():
@@ -135,42 +127,104 @@ def arima_fit(df: DataFrame, value: str, ts: str = "ts", by: Sequence[str] = (),
                     xx[i, j] = xx[j, i] = r[f"xx{i}_{j}"]
             xy = np.array([r[f"xy{i}"] for i in range(k)])
             best = None
-            for p in range(0, max_p + 1):
-                m = p + 1
-                a, bvec = xx[:m, :m], xy[:m]
+            orders = [fixed] if fixed else [(p, q) for p in range(max_p + 1) for q in range(max_q + 1)]
+            for p, q in orders:
+                idx = [0] + list(range(1, p + 1)) + list(range(max_p + 1, max_p + 1 + q))
+                a, bvec = xx[np.ix_(idx, idx)], xy[idx]
                 try:
                     beta = np.linalg.solve(a, bvec)
                 except np.linalg.LinAlgError:
                     continue
                 rss = max(float(r["yy"] - 2 * beta @ bvec + beta @ a @ beta), 1e-300)
                 s2 = rss / n
-                params = m + 1
+                params = len(idx) + 1
                 ll = -0.5 * n * (math.log(2 * math.pi * s2) + 1)
-                aicc = -2 * ll + 2 * params + (2 * params * (params + 1) / (n - params - 1) if n - params - 1 > 0 else math.inf)
+                corr = 2 * params * (params + 1) / (n - params - 1) if n - params - 1 > 0 else math.inf
+                aicc = -2 * ll + 2 * params + corr
                 if best is None or aicc < best[0]:
-                    best = (aicc, p, beta, s2)
+                    best = (aicc, p, q, beta, s2)
             out = {c: r[c] for c in by}
             if best is None:
-                out.update(p=None, d=d, intercept=None, coefs=None, sigma2=None, aicc=None, n=int(n))
+                out.update(p=None, d=d, q=None, intercept=None, coefs=None, ma_coefs=None, sigma2=None, aicc=None,
+                           n=int(n))
             else:
-                out.update(p=best[1], d=d, intercept=float(best[2][0]), coefs=[float(v) for v in best[2][1:]],
-                           sigma2=best[3], aicc=best[0], n=int(n))
+                _, p, q, beta, s2 = best
+                out.update(p=p, d=d, q=q, intercept=float(beta[0]), coefs=[float(v) for v in beta[1:1 + p]],
+                           ma_coefs=[float(v) for v in beta[1 + p:]], sigma2=s2, aicc=best[0], n=int(n))
             rows.append(out)
-        return pd.DataFrame(rows, columns=[*by, "p", "d", "intercept", "coefs", "sigma2", "aicc", "n"])
+        return pd.DataFrame(rows, columns=[*by, "p", "d", "q", "intercept", "coefs", "ma_coefs", "sigma2", "aicc", "n"])
+    return solve
 
+
+def _solve_grouped(sums: DataFrame, by: list[str], solver) -> DataFrame:
     key_schema = ", ".join(f"{c} {t}" for c, t in sums.select(*by).dtypes) if by else ""
-    schema = (key_schema + ", " if key_schema else "") + \
-        "p int, d int, intercept double, coefs array<double>, sigma2 double, aicc double, n long"
+    schema = (key_schema + ", " if key_schema else "") + (
+        "p int, d int, q int, intercept double, coefs array<double>, ma_coefs array<double>, sigma2 double, "
+        "aicc double, n long")
     if by:
-        return sums.groupBy(*by).applyInPandas(solve, schema)
-    return sums.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(solve, schema)
+        return sums.groupBy(*by).applyInPandas(solver, schema)
+    return sums.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(solver, schema)
+
+
+def _lags(base: DataFrame, by: list[str], col: str, prefix: str, k: int) -> DataFrame:
+    """Values of ``col`` at positions pos-1..pos-k as ``{prefix}1..{prefix}k`` (fan-out + pivot, bounded by k)."""
+    fan = base.select(*by, "_pos", F.col(col).alias("__v"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("__j"))
+    fan = fan.select(*by, (F.col("_pos") + F.col("__j")).alias("_pos"), "__j", "__v")
+    lagged = fan.groupBy(*by, "_pos").pivot("__j", list(range(1, k + 1))).agg(F.first("__v"))
+    return lagged.select(*by, "_pos", *[F.col(str(j)).alias(f"{prefix}{j}") for j in range(1, k + 1)])
+
+
+def innovations(df: DataFrame, value: str, ts: str, by: Sequence[str], m: int, d: int) -> DataFrame:
+    """Innovation estimates: residuals of a long AR(m) fit on the differenced series (Hannan–Rissanen stage 1)."""
+    by = list(by)
+    x = _ar_design(df, value, ts, by, m, d).withColumn("__one", F.lit(1.0))
+    fit = _solve_grouped(_cross_sums(x, by, ["__one"] + [f"__l{j}" for j in range(1, m + 1)]), by,
+                         _orders_solver(by, m + 1, m, 0, d, fixed=(m, 0)))
+    return arima_residuals(df, value, fit, ts, by, max_p=m)
+
+
+def arima_fit(df: DataFrame, value: str, ts: str = "ts", by: Sequence[str] = (), max_p: int = 5,
+              d: int = 1, max_q: int = 0, long_ar: int | None = None) -> DataFrame:
+    """ARIMA(p, d, q) per series, orders p <= max_p, q <= max_q by least AICc (H9; a simpler search than auto.arima).
+
+    ``q = 0``: AR(p) by least squares on one common sample. ``q > 0``: Hannan–Rissanen — a long AR fit
+    estimates the innovations, then ``y`` is regressed on its lags and the innovation lags. Either way, one
+    aggregate per series gives all cross-product sums and every order is a sub-block of them.
+    Output per series: ``p, d, q, intercept, coefs, ma_coefs, sigma2, aicc, n``.
+    """
+    by = list(by)
+    if max_q == 0:
+        x = _ar_design(df, value, ts, by, max_p, d).withColumn("__one", F.lit(1.0))
+        regs = ["__one"] + [f"__l{j}" for j in range(1, max_p + 1)]
+        return _solve_grouped(_cross_sums(x, by, regs), by, _orders_solver(by, len(regs), max_p, 0, d))
+    m = long_ar or max(8, max_p + max_q)
+    resid = innovations(df, value, ts, by, m, d).withColumnRenamed("resid", "__e")
+    y = _ar_design(df, value, ts, by, 0, d)
+    x = y.join(_lags(y, by, "__y", "__l", max_p), on=[*by, "_pos"]).join(
+        _lags(resid, by, "__e", "__m", max_q), on=[*by, "_pos"]).na.drop().withColumn("__one", F.lit(1.0))
+    regs = ["__one"] + [f"__l{j}" for j in range(1, max_p + 1)] + [f"__m{j}" for j in range(1, max_q + 1)]
+    return _solve_grouped(_cross_sums(x, by, regs), by, _orders_solver(by, len(regs), max_p, max_q, d))
 
 
 def arima_forecast(df: DataFrame, value: str, h: int, ts: str = "ts", by: Sequence[str] = (), max_p: int = 5,
-                   d: int = 1) -> DataFrame:
-    """Fit (see :func:`arima_fit`) and forecast ``h`` steps past each series' end: ``(by..., step, forecast)``."""
+                   d: int = 1, max_q: int = 0, long_ar: int | None = None) -> DataFrame:
+    """Fit (see :func:`arima_fit`) and forecast ``h`` steps past each series' end: ``(by..., step, forecast)``.
+
+    Future innovations are zero; the last ``q`` ones come from the long-AR stage.
+    """
     by = list(by)
-    fit = arima_fit(df, value, ts, by, max_p, d)
+    fit = arima_fit(df, value, ts, by, max_p, d, max_q, long_ar)
+    if max_q:
+        m = long_ar or max(8, max_p + max_q)
+        inn = innovations(df, value, ts, by, m, d)
+        last = inn.groupBy(*by).agg(F.max("_pos").alias("__lp"))
+        inn = inn.join(last, on=by) if by else tsx.attach(inn, last, by)
+        inn = inn.filter(F.col("_pos") > F.col("__lp") - max_q).groupBy(*by).agg(
+            F.array_sort(F.collect_list(F.struct("_pos", F.col("resid").alias("e")))).alias("__eps"))
+        fit = fit.join(inn, on=by, how="left") if by else fit.withColumn("__g", F.lit(0)).join(
+            inn.withColumn("__g", F.lit(0)), on="__g", how="left").drop("__g")
+    else:
+        fit = fit.withColumn("__eps", F.lit(None).cast("array<struct<_pos:long,e:double>>"))
     ix = tsx.sequence_index(df.select(*by, ts, value).filter(F.col(value).isNotNull()), ts, by)
     n = ix.groupBy(*by).agg(F.max("_pos").alias("__last"))
     tail = ix.join(n, on=by) if by else tsx.attach(ix, n, by)
@@ -180,7 +234,7 @@ def arima_forecast(df: DataFrame, value: str, h: int, ts: str = "ts", by: Sequen
     both = tail.join(fit, on=by) if by else tail.withColumn("__g", F.lit(0)).join(
         fit.withColumn("__g", F.lit(0)), on="__g").drop("__g")
     out_schema = (", ".join(f"{c} {t}" for c, t in df.select(*by).dtypes) + ", " if by else "") + \
-        "step int, forecast double, p int"
+        "step int, forecast double, p int, q int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -191,14 +245,18 @@ def arima_forecast(df: DataFrame, value: str, h: int, ts: str = "ts", by: Sequen
             c = float(r["intercept"]) if r["intercept"] is not None else 0.0
             hist = list(np.diff(vals)) if d == 1 else list(vals)
             level = vals[-1]
+            ma = list(r["ma_coefs"]) if r["ma_coefs"] is not None else []
+            eps = [float(e["e"]) for e in r["__eps"]] if r["__eps"] is not None else []
             for s in range(1, h + 1):
                 yhat = c + sum(coefs[j] * hist[-(j + 1)] for j in range(p) if len(hist) > j)
+                yhat += sum(ma[j] * eps[-(j + 1)] for j in range(len(ma)) if len(eps) > j)
                 hist.append(yhat)
+                eps.append(0.0)
                 level = level + yhat if d == 1 else yhat
                 row = {k: r[k] for k in by}
-                row.update(step=s, forecast=float(level), p=p)
+                row.update(step=s, forecast=float(level), p=p, q=len(ma))
                 rows.append(row)
-        return pd.DataFrame(rows, columns=[*by, "step", "forecast", "p"])
+        return pd.DataFrame(rows, columns=[*by, "step", "forecast", "p", "q"])
 
     if by:
         return both.groupBy(*by).applyInPandas(run, out_schema)

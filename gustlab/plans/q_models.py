@@ -170,20 +170,21 @@ def q_backtest(spark, d):
 # ------------------------------------------------------------------------------------------- H9
 @register("arima_forecast")
 def q_arima_forecast(spark, d):
-    """H9: AR(I) order by AICc on daily revenue before 2001, 30-day forecast scored against the next 30 days."""
+    """H9: ARIMA(p,1,q), p <= 5, q <= 2 by AICc on daily revenue before 2001; 30-day forecast scored against the
+    next 30 days."""
     s = S.farm_series(spark, d)
     train = s.filter(F.col("ts") < F.lit("2001-01-01").cast("timestamp_ntz"))
     test = tsx.sequence_index(s.filter(F.col("ts") >= F.lit("2001-01-01").cast("timestamp_ntz")), "ts")
-    fc = FC.arima_forecast(train, "revenue", 30, max_p=5, d=1)
+    fc = FC.arima_forecast(train, "revenue", 30, max_p=5, d=1, max_q=2)
     j = fc.join(test.select((F.col("_pos") + 1).alias("step"), "ts", "revenue"), on="step")
     return ev.regression_metrics(j, "revenue", "forecast").withColumn("p", F.lit(None).cast("int")).drop("p")
 
 
 @register("arima_by_series")
 def q_arima_by_series(spark, d):
-    """H9 per series: order and 7-day forecast for each order priority's daily revenue."""
+    """H9 per series: ARIMA(p,1,q), p <= 3, q <= 1, and a 7-day forecast for each order priority's daily revenue."""
     s = S.daily_orders(spark, d, with_nulls=False)
-    return FC.arima_forecast(s, "revenue", 7, by=["series"], max_p=3, d=1)
+    return FC.arima_forecast(s, "revenue", 7, by=["series"], max_p=3, d=1, max_q=1)
 
 
 # ------------------------------------------------------------------------------------------- A9, H5, H14

@@ -56,3 +56,15 @@ def test_permutation_importance_finds_signal(spark, planted):
     imp = {r["feature"]: r["importance"] for r in M.permutation_importance(fm3, noise, "y", ["id"]).collect()}
     assert imp["x1"] > imp["x3"] and imp["x2"] > imp["x3"]
     assert fm is not None
+
+
+def test_arima_ma_term_recovered(spark):
+    rng = np.random.default_rng(4)
+    e = rng.normal(size=4001)
+    x = [e[i] + 0.6 * e[i - 1] for i in range(1, 4001)]
+    rows = [(dt.datetime(2000, 1, 1) + dt.timedelta(days=i), float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, v double")
+    fit = FC.arima_fit(df, "v", max_p=2, d=0, max_q=2).first()
+    assert fit["q"] >= 1 and fit["ma_coefs"][0] == pytest.approx(0.6, abs=0.08)
+    fc = FC.arima_forecast(df, "v", 3, max_p=2, d=0, max_q=2).orderBy("step").collect()
+    assert len(fc) == 3 and abs(fc[2]["forecast"]) < 1.0
