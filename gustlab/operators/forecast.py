@@ -86,10 +86,16 @@ def backtest(df: DataFrame, target: str, features: Sequence[str], horizons: Sequ
 
 
 # --------------------------------------------------------------------------------------------- H9
-def _ar_design(df: DataFrame, value: str, ts: str, by: Sequence[str], max_p: int, d: int) -> DataFrame:
+def positions(df: DataFrame, value: str, ts: str = "ts", by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., _pos, __x)``: the series numbered once (distributed index) and cached for the fit passes."""
     by = list(by)
     ix = tsx.sequence_index(df.select(*by, ts, value).filter(F.col(value).isNotNull()), ts, by)
-    y = ix.select(*by, "_pos", F.col(value).cast("double").alias("__x"))
+    return ix.select(*by, "_pos", F.col(value).cast("double").alias("__x")).cache()
+
+
+def _ar_design(df: DataFrame, value: str, ts: str, by: Sequence[str], max_p: int, d: int) -> DataFrame:
+    by = list(by)
+    y = df if "__x" in df.columns and "_pos" in df.columns else positions(df, value, ts, by)
     if d == 1:
         prev = y.select(*by, (F.col("_pos") + 1).alias("_pos"), F.col("__x").alias("__xp"))
         y = y.join(prev, on=[*by, "_pos"]).select(*by, "_pos", (F.col("__x") - F.col("__xp")).alias("__y"))
@@ -184,7 +190,7 @@ def innovations(df: DataFrame, value: str, ts: str, by: Sequence[str], m: int, d
 
 
 def arima_fit(df: DataFrame, value: str, ts: str = "ts", by: Sequence[str] = (), max_p: int = 5,
-              d: int = 1, max_q: int = 0, long_ar: int | None = None) -> DataFrame:
+              d: int = 1, max_q: int = 0, long_ar: int | None = None, innov: DataFrame | None = None) -> DataFrame:
     """ARIMA(p, d, q) per series, orders p <= max_p, q <= max_q by least AICc (H9; a simpler search than auto.arima).
 
     ``q = 0``: AR(p) by least squares on one common sample. ``q > 0``: Hannan–Rissanen — a long AR fit
@@ -193,12 +199,13 @@ def arima_fit(df: DataFrame, value: str, ts: str = "ts", by: Sequence[str] = (),
     Output per series: ``p, d, q, intercept, coefs, ma_coefs, sigma2, aicc, n``.
     """
     by = list(by)
+    df = df if "__x" in df.columns else positions(df, value, ts, by)
     if max_q == 0:
         x = _ar_design(df, value, ts, by, max_p, d).withColumn("__one", F.lit(1.0))
         regs = ["__one"] + [f"__l{j}" for j in range(1, max_p + 1)]
         return _solve_grouped(_cross_sums(x, by, regs), by, _orders_solver(by, len(regs), max_p, 0, d))
     m = long_ar or max(8, max_p + max_q)
-    resid = innovations(df, value, ts, by, m, d).withColumnRenamed("resid", "__e")
+    resid = (innov if innov is not None else innovations(df, value, ts, by, m, d)).withColumnRenamed("resid", "__e")
     y = _ar_design(df, value, ts, by, 0, d)
     x = y.join(_lags(y, by, "__y", "__l", max_p), on=[*by, "_pos"]).join(
         _lags(resid, by, "__e", "__m", max_q), on=[*by, "_pos"]).na.drop().withColumn("__one", F.lit(1.0))
@@ -213,10 +220,10 @@ def arima_forecast(df: DataFrame, value: str, h: int, ts: str = "ts", by: Sequen
     Future innovations are zero; the last ``q`` ones come from the long-AR stage.
     """
     by = list(by)
-    fit = arima_fit(df, value, ts, by, max_p, d, max_q, long_ar)
+    pos = positions(df, value, ts, by)
+    inn = innovations(pos, value, ts, by, long_ar or max(8, max_p + max_q), d).cache() if max_q else None
+    fit = arima_fit(pos, value, ts, by, max_p, d, max_q, long_ar, innov=inn)
     if max_q:
-        m = long_ar or max(8, max_p + max_q)
-        inn = innovations(df, value, ts, by, m, d)
         last = inn.groupBy(*by).agg(F.max("_pos").alias("__lp"))
         inn = inn.join(last, on=by) if by else tsx.attach(inn, last, by)
         inn = inn.filter(F.col("_pos") > F.col("__lp") - max_q).groupBy(*by).agg(
@@ -225,11 +232,10 @@ def arima_forecast(df: DataFrame, value: str, h: int, ts: str = "ts", by: Sequen
             inn.withColumn("__g", F.lit(0)), on="__g", how="left").drop("__g")
     else:
         fit = fit.withColumn("__eps", F.lit(None).cast("array<struct<_pos:long,e:double>>"))
-    ix = tsx.sequence_index(df.select(*by, ts, value).filter(F.col(value).isNotNull()), ts, by)
-    n = ix.groupBy(*by).agg(F.max("_pos").alias("__last"))
-    tail = ix.join(n, on=by) if by else tsx.attach(ix, n, by)
+    n = pos.groupBy(*by).agg(F.max("_pos").alias("__last"))
+    tail = pos.join(n, on=by) if by else tsx.attach(pos, n, by)
     tail = tail.filter(F.col("_pos") >= F.col("__last") - (max_p + 1))
-    tail = tail.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_pos", F.col(value).cast("double").alias("v"))))
+    tail = tail.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_pos", F.col("__x").alias("v"))))
                                  .alias("__tail"))
     both = tail.join(fit, on=by) if by else tail.withColumn("__g", F.lit(0)).join(
         fit.withColumn("__g", F.lit(0)), on="__g").drop("__g")
@@ -268,7 +274,7 @@ def arima_residuals(df: DataFrame, value: str, fit: DataFrame, ts: str = "ts", b
     """One-step residuals of a fitted AR(I) model on its own series: ``(by..., _pos, resid)`` (input to E12)."""
     by = list(by)
     d = int(fit.select("d").first()["d"]) if fit.select("d").first() else 1
-    x = _ar_design(df, value, ts, by, max_p, d)
+    x = _ar_design(df if "__x" in df.columns else positions(df, value, ts, by), value, ts, by, max_p, d)
     f = fit.select(*by, "intercept", "coefs")
     x = x.join(f, on=by) if by else tsx.attach(x, f.withColumn("coefs", F.to_json("coefs")), by).withColumn(
         "coefs", F.from_json("coefs", "array<double>"))
