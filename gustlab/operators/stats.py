@@ -77,7 +77,7 @@ def _prefix_counts(counts: DataFrame, by: Sequence[str], value: str, weight: str
     w_in = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     if nb == 1:
         return counts.withColumn("__below", F.coalesce(F.sum(weight).over(w_in), F.lit(0)))
-    bounds = counts.select(F.percentile_approx(value, [i / nb for i in range(1, nb)], 10_000)).first()[0]
+    bounds = counts.select(F.percentile_approx(value, [i / nb for i in range(1, nb)], max(10_000, 20 * nb))).first()[0]
     splits = [-math.inf] + sorted(set(float(b) for b in bounds)) + [math.inf]
     c = Bucketizer(splits=splits, inputCol=value, outputCol="__b", handleInvalid="keep").transform(counts)
     tot = c.groupBy(*by, "__b").agg(F.sum(weight).alias("__t"))

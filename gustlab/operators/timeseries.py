@@ -90,7 +90,8 @@ def sequence_index(df: DataFrame, order: str, by: Sequence[str] = (), idx: str =
     dtype = dict(df.dtypes)[order]
     tmp = df.withColumn("_ord", _ordinal(F.col(order), dtype))
     probs = [i / nb for i in range(1, nb)]
-    bounds = tmp.select(F.percentile_approx("_ord", probs, 10_000).alias("q")).first()["q"]
+    # rank error of the sketch is n / accuracy: keep it well under one bucket at any scale
+    bounds = tmp.select(F.percentile_approx("_ord", probs, max(10_000, 20 * nb)).alias("q")).first()["q"]
     splits = sorted(set(float(b) for b in bounds if b is not None))
     splits = [-math.inf] + splits + [math.inf]
     tmp = Bucketizer(splits=splits, inputCol="_ord", outputCol="_bkt", handleInvalid="keep").transform(tmp)
