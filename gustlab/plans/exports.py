@@ -103,6 +103,9 @@ def write_weather_exports(spark: SparkSession, sf_dir: str) -> str:
     w = w.select(F.date_format("ts", "ddHH").alias("id"),
                  F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"),
                  *[F.col(c) for c in S.WEATHER_FEATURES],
+                 # columns the reader drops by pattern and by name, as the export carries them
+                 (F.col("humidity") * 100 + 250).alias("ozone"),
+                 F.when(F.col("precip_probability") > 0.2, "Rain").otherwise("Clear").alias("summary"),
                  F.concat(F.lit("Wk"), F.lpad(wk.cast("string"), 2, "0")).alias("filename"), wk.alias("__wk"))
     full = w.filter(F.col("__wk") % 2 == 1).drop("__wk")
     nopress = w.filter(F.col("__wk") % 2 == 0).drop("__wk", "pressure")

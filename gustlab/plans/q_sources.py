@@ -70,17 +70,35 @@ def q_read_scada_zip(spark, d):
 
 def _weather(spark, d):
     root = X.write_weather_exports(spark, d)
-    w = SRC.read_weather(spark, f"{root}/*/filename=*/*.csv", label_regex=X.WEEK_DIR, label_is_month=False)
+    w = SRC.read_weather(spark, f"{root}/*/filename=*/*.csv", drop_pattern="precipt|precipa|ozone",
+                         drop_cols=["summary", "icon", "cloudCover", "uvIndex"], label_regex=X.WEEK_DIR,
+                         label_is_month=False)
     w = R.cast_numeric(w, [c for c in S.WEATHER_FEATURES if c in w.columns])
     return w.select("month_label", F.to_timestamp_ntz("time").alias("ts"), *S.WEATHER_FEATURES)
 
 
 @register("read_weather_csv", X.weather_export_sql())
 def q_read_weather_csv(spark, d):
-    """A2 + F2: weather files whose headers differ (some lack pressure) -> one frame, absent columns NULL."""
+    """A2 + A4 + B5 + F2: weather files whose headers differ (some lack pressure) -> one frame, absent columns
+    NULL; ozone and summary columns dropped by pattern and name."""
     return _weather(spark, d)
 
 
+@register("calendar_parts", f"""
+    SELECT ts, {_l("{c}")}, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
+           CAST(day(ts) AS INTEGER) AS day, CAST(hour(ts) AS INTEGER) AS hour,
+           make_timestamp(year(ts), month(ts), day(ts), hour(ts), 0, 0.0) AS ts_rebuilt
+    FROM ({HOURLY_SQL.replace("{agg}", "max")})
+""")
+def q_calendar_parts(spark, d):
+    """B7 + B8: hourly table with year, month, day, hour split out, and the timestamp rebuilt from them."""
+    from gustlab.functions.columns import split_timestamp, unite_timestamp
+
+    h = tsx.hourly_farm(S.scada_10min(spark, d), FEATS, turbines=S.TURBINES)
+    h = split_timestamp(h, "ts", parts=("year", "month", "day", "hour"))
+    return h.withColumn("ts_rebuilt", unite_timestamp(F.col("year"), F.col("month"), F.col("day"), F.col("hour")))
+
+
 _WCOLS = ["ts"] + S.WEATHER_FEATURES
 
 
