@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustlab.functions.columns import qcol
-from gustlab.functions.stats_math import cor_test_p, cor_test_p_udf
+from gustlab.functions.stats_math import cor_test_p_udf
 from gustlab.operators.timeseries import sequence_index
 
 
@@ -227,4 +227,3 @@ def select_by_correlation(df: DataFrame, target: str, speed: str, cols: Sequence
     return [c for c in keep if c not in drop]
 
 
-__all__ = ["cor_test_p"]

@@ -54,23 +54,33 @@ def weather_to_final(hourly: DataFrame, weather: DataFrame, power: str, ts: str
                      zero_fill: Sequence[str] = ("precip_intensity", "precip_probability"),
                      median_fill: Sequence[str] = ("wind_speed", "wind_bearing", "visibility"),
                      gust: str = "wind_gust", speed: str = "wind_speed", knn_target: str = "pressure",
-                     knn_features: Sequence[str] | None = None, k: int = 5) -> DataFrame:
+                     knn_features: Sequence[str] | None = None, k: int = 5, refit: bool = False) -> DataFrame:
     """Entry 2: fill the weather gaps, join it to the hourly farm table and split the timestamp.
 
     Zero fill (B9), exact-median fill (D9), regression fill of gusts (H2), kNN fill of pressure on scaled
     features (E8, H3), duplicate hours removed on both sides (E6, E7), left join (C1), ±1-year patch and
     complete rows only (C5, B10), calendar parts (B7).
+
+    ``refit=False`` fits the kNN scaler once on all rows and reuses it (T9); ``refit=True`` reproduces the
+    reference: training rows scaled over the rows with a target, rows to fill scaled over all rows.
     """
     w = R.fill_constant(weather, list(zero_fill), 0.0)
     w = I.fill_median(w, list(median_fill))
-    w = I.impute_by_regression(w, gust, speed, digits=2)
+    w = I.impute_by_regression(w, gust, speed, digits=2).cache()  # scaler fits, kNN sides and the join read it
     feats = list(knn_features or [c for c in w.columns if c not in (ts, knn_target) and dict(w.dtypes)[c] == "double"])
-    scaled = tsx.zscore(w.select(ts, knn_target, *feats), feats)
-    vec = scaled.select(F.col(ts).alias("__k"), F.array(*[F.col(c) for c in feats]).alias("__f"),
-                        F.col(knn_target).alias("__t"))
-    vec = vec.withColumn("__id", F.xxhash64("__k"))
-    pred = I.knn_predict(vec.filter(F.col("__t").isNotNull()), vec.filter(F.col("__t").isNull()), "__id", "__f",
-                         "__t", k)
+    base = w.select(ts, knn_target, *feats)
+
+    def as_vectors(df: DataFrame) -> DataFrame:
+        v = df.select(F.col(ts).alias("__k"), F.array(*[F.col(c) for c in feats]).alias("__f"),
+                      F.col(knn_target).alias("__t"))
+        return v.withColumn("__id", F.xxhash64("__k"))
+
+    all_stats = tsx.zscore_fit(base, feats)
+    train_stats = tsx.zscore_fit(base, feats, F.col(knn_target).isNotNull()) if refit else all_stats
+    train = as_vectors(tsx.zscore(base.filter(F.col(knn_target).isNotNull()), feats, stats=train_stats))
+    need = as_vectors(tsx.zscore(base.filter(F.col(knn_target).isNull()), feats, stats=all_stats))
+    vec = as_vectors(base)
+    pred = I.knn_predict(train, need, "__id", "__f", "__t", k)
     ids = vec.select("__id", "__k").join(pred, on="__id").select(F.col("__k").alias(ts), "prediction")
     w = w.join(ids, on=ts, how="left").withColumn(
         knn_target, F.coalesce(F.col(knn_target), F.bround("prediction", 2))).drop("prediction")
