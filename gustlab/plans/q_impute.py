@@ -189,3 +189,39 @@ def q_seasonal_months(spark, d):
     from gustlab.operators.reshape import pick_groups
 
     return pick_groups(S.daily_orders(spark, d), "filename", SEASON_MONTHS)
+
+
+# ------------------------------------------------------------------------------------------- H2 + H13, H3 + H4
+@register("gust_regression_error")
+def q_gust_regression_error(spark, d):
+    """H2 + H1 + H13: gust ~ speed fitted on a 70 % stratified split; mean error % = RMSE / mean actual, on the
+    training residuals (as the reference reports) and on the held-out rows."""
+    from gustlab.operators import evaluate as ev
+    from gustlab.operators import models as M
+
+    w = S.weather_hourly(spark, d).filter(F.col("wind_gust").isNotNull() & F.col("wind_speed").isNotNull())
+    sp = M.stratified_split(w, "wind_gust", keys=["ts"]).cache()
+    a, b = I.fit_line(sp.filter(F.col("split") == "train"), "wind_gust", "wind_speed")
+    scored = sp.withColumn("pred", F.lit(a) + F.lit(b) * F.col("wind_speed"))
+    return ev.regression_metrics(scored, "wind_gust", "pred", by=["split"])
+
+
+@register("knn_cv_error")
+def q_knn_cv_error(spark, d):
+    """H3 + H4: 10-fold CV of the exact 5-NN regressor on the labelled vectors; metrics per fold."""
+    from gustlab.operators import evaluate as ev
+    from gustlab.operators import models as M
+
+    v = M.kfold(S.vectors(spark, d).filter(F.col("label").isNotNull()), ["vec_id"], folds=10).cache()
+
+    def fold(k):
+        def run():
+            pred = I.knn_predict(v.filter(F.col("fold") != k), v.filter(F.col("fold") == k), "vec_id", "features",
+                                 "label", k=5)
+            j = v.filter(F.col("fold") == k).join(pred, on="vec_id")
+            return ev.regression_metrics(j, "label", "prediction").select(F.lit(k).alias("fold"), "*").collect()
+        return run
+
+    rows = [r for rs in M._run_parallel([fold(k) for k in range(10)], 4) for r in rs]
+    return spark.createDataFrame(rows, "fold int, n long, mae double, rmse double, mape double, n_zero long, "
+                                       "r2 double, r2_corr double, mean_error_pct double")

@@ -52,8 +52,9 @@ def scada_10min(spark: SparkSession, sf_dir: str, with_nulls: bool = False) -> D
         "blade_angle": F.sum(F.when(F.col("event_type") == "click", 1.0).otherwise(0.0)),
     }
     if with_nulls:
-        hole_a = F.bool_or(F.col("event_id") % 17 == 0)
-        hole_b = F.bool_or(F.col("event_id") % 23 == 0)
+        # the group's smallest id picks the gaps: about 1 in m groups at any scale factor
+        hole_a = F.min("event_id") % 17 == 0
+        hole_b = F.min("event_id") % 23 == 0
         feats["active_power_kw"] = F.when(~hole_a, feats["active_power_kw"])
         feats["rotor_speed_rpm"] = F.when(~hole_a, feats["rotor_speed_rpm"])
         feats["wind_speed_ms"] = F.when(~hole_b, feats["wind_speed_ms"])
@@ -62,8 +63,8 @@ def scada_10min(spark: SparkSession, sf_dir: str, with_nulls: bool = False) -> D
 
 
 def scada_10min_sql(with_nulls: bool = False) -> str:
-    a = "CASE WHEN NOT bool_or(event_id % 17 = 0) THEN {} END" if with_nulls else "{}"
-    b = "CASE WHEN NOT bool_or(event_id % 23 = 0) THEN {} END" if with_nulls else "{}"
+    a = "CASE WHEN min(event_id) % 17 <> 0 THEN {} END" if with_nulls else "{}"
+    b = "CASE WHEN min(event_id) % 23 <> 0 THEN {} END" if with_nulls else "{}"
     return f"""
     SELECT 'Wk' || lpad(CAST(weekofyear(ts) AS VARCHAR), 2, '0') AS filename, turbine, ts,
            active_power_kw, wind_speed_ms, hub_temp_c, temp_rotor_bearing_c, rotor_speed_rpm, blade_angle
@@ -85,7 +86,7 @@ def weather_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     g = ev.select(F.window("ts", "1 hour").start.alias("ts"), "value", _k().alias("k"), "event_type",
                   "event_id", "user_id").groupBy("ts")
-    hole = lambda m: F.bool_or(F.col("event_id") % m == 0)
+    hole = lambda m: F.min("event_id") % m == 0  # noqa: E731  (about 1 in m hours, at any scale factor)
     is_err = F.col("event_type") == "error"
     out = g.agg(
         F.when(~hole(19), F.sum(F.when(is_err, F.col("value")).otherwise(0.0)) / 100.0).alias("precip_intensity"),
@@ -108,22 +109,22 @@ WEATHER_HOURLY_SQL = """
            apparent_temperature, dew_point, humidity, pressure, wind_speed, wind_gust, wind_bearing, visibility
     FROM (
       SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ts,
-        CASE WHEN NOT bool_or(event_id % 19 = 0)
+        CASE WHEN min(event_id) % 19 <> 0
              THEN sum(CASE WHEN event_type = 'error' THEN value ELSE 0.0 END) / 100.0 END AS precip_intensity,
-        CASE WHEN NOT bool_or(event_id % 19 = 0)
+        CASE WHEN min(event_id) % 19 <> 0
              THEN avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) END AS precip_probability,
         avg(value) / 10.0 AS temperature,
         min(value) / 10.0 AS apparent_temperature,
         max(value) / 100.0 AS dew_point,
         avg(CAST(regexp_extract(props, '"k": (\\d+)', 1) AS DOUBLE)) / 100.0 AS humidity,
-        CASE WHEN NOT bool_or(event_id % 13 = 0)
+        CASE WHEN min(event_id) % 13 <> 0
              THEN avg(CAST(regexp_extract(props, '"k": (\\d+)', 1) AS DOUBLE)) / 2.0 + 990.0 END AS pressure,
-        CASE WHEN NOT bool_or(event_id % 29 = 0)
+        CASE WHEN min(event_id) % 29 <> 0
              THEN avg(CAST(regexp_extract(props, '"k": (\\d+)', 1) AS DOUBLE)) / 10.0 END AS wind_speed,
-        CASE WHEN NOT bool_or(event_id % 11 = 0)
+        CASE WHEN min(event_id) % 11 <> 0
              THEN max(CAST(regexp_extract(props, '"k": (\\d+)', 1) AS DOUBLE)) / 8.0 END AS wind_gust,
-        CASE WHEN NOT bool_or(event_id % 31 = 0) THEN avg(CAST(user_id % 360 AS DOUBLE)) END AS wind_bearing,
-        CASE WHEN NOT bool_or(event_id % 37 = 0) THEN CAST(count(*) AS DOUBLE) / 2.0 END AS visibility
+        CASE WHEN min(event_id) % 31 <> 0 THEN avg(CAST(user_id % 360 AS DOUBLE)) END AS wind_bearing,
+        CASE WHEN min(event_id) % 37 <> 0 THEN CAST(count(*) AS DOUBLE) / 2.0 END AS visibility
       FROM events GROUP BY 1)
 """
 
@@ -131,7 +132,7 @@ WEATHER_HOURLY_SQL = """
 def daily_orders(spark: SparkSession, sf_dir: str, with_nulls: bool = True) -> DataFrame:
     """Daily series per order priority, several years (donor-year fills, long series)."""
     o = table(spark, sf_dir, "orders")
-    hole = F.bool_or(F.col("o_orderkey") % 17 == 0)
+    hole = F.min("o_orderkey") % 17 == 0
     rev = F.sum("o_totalprice")
     avgp = F.avg("o_totalprice")
     out = o.groupBy(F.col("o_orderpriority").alias("series"), F.col("o_orderdate").alias("ts")).agg(
@@ -144,7 +145,7 @@ def daily_orders(spark: SparkSession, sf_dir: str, with_nulls: bool = True) -> D
 
 
 def daily_orders_sql(with_nulls: bool = True) -> str:
-    h = "CASE WHEN NOT bool_or(o_orderkey % 17 = 0) THEN {} END" if with_nulls else "{}"
+    h = "CASE WHEN min(o_orderkey) % 17 <> 0 THEN {} END" if with_nulls else "{}"
     return f"""
     SELECT strftime(ts, '%b%Y') AS filename, series, ts, revenue, n_orders, avg_price FROM (
       SELECT o_orderpriority AS series, o_orderdate AS ts,
