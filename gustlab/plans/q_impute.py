@@ -144,16 +144,52 @@ def q_column_medians(spark, d):
 
 
 # ------------------------------------------------------------------------------------------- H2
+def _hour_no():
+    return F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+
+
+def _gust_split(spark, d):
+    """70 % split of the hours with a gust, inside 4 quantile bins of the gust (H1); reproducible order."""
+    from gustlab.operators import models as M
+
+    w = S.weather_hourly(spark, d).filter(F.col("wind_gust").isNotNull() & F.col("wind_speed").isNotNull())
+    key = ((_hour_no() % 1000003) * 48271 + 123) % 2147483647
+    return M.stratified_split(w, "wind_gust", keys=["ts"], shuffle_key=key, tiebreak=["ts"])
+
+
+def _q_sql(col, p):
+    return f"""(SELECT olo.{col} + ((n - 1) * {p} - floor((n - 1) * {p})) * (ohi.{col} - olo.{col})
+              FROM o olo, o ohi, (SELECT count(*) AS n FROM o)
+              WHERE olo.i = floor((n - 1) * {p}) AND ohi.i = least(floor((n - 1) * {p}) + 1, n - 1))"""
+
+
+GUST_TRAIN_SQL = f"""
+    g AS (SELECT * FROM w WHERE wind_gust IS NOT NULL AND wind_speed IS NOT NULL),
+    o AS (SELECT wind_gust, row_number() OVER (ORDER BY wind_gust) - 1 AS i FROM g),
+    b AS (SELECT g.*, 1 + (CASE WHEN wind_gust > {_q_sql('wind_gust', 0.25)} THEN 1 ELSE 0 END)
+                        + (CASE WHEN wind_gust > {_q_sql('wind_gust', 0.5)} THEN 1 ELSE 0 END)
+                        + (CASE WHEN wind_gust > {_q_sql('wind_gust', 0.75)} THEN 1 ELSE 0 END) AS stratum,
+                 ((date_diff('hour', TIMESTAMP '1970-01-01 00:00:00', ts) % 1000003) * 48271 + 123) % 2147483647 AS sk
+          FROM g),
+    r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sk, ts) - 1 AS pos,
+                 count(*) OVER (PARTITION BY stratum) AS n FROM b),
+    tr AS (SELECT * FROM r WHERE pos < ceil(n * 0.7))
+"""
+
+
 @register("impute_gust_regression", f"""
-    WITH w AS ({_W}),
-    f AS (SELECT regr_intercept(wind_gust, wind_speed) AS a, regr_slope(wind_gust, wind_speed) AS b FROM w)
+    WITH w AS ({_W}), {GUST_TRAIN_SQL},
+    f AS (SELECT regr_intercept(wind_gust, wind_speed) AS a, regr_slope(wind_gust, wind_speed) AS b FROM tr)
     SELECT w.ts, w.wind_speed,
            CASE WHEN w.wind_gust IS NULL THEN round_even(f.a + f.b * w.wind_speed, 2) ELSE w.wind_gust END AS wind_gust
     FROM w, f
 """)
 def q_impute_gust_regression(spark, d):
-    """H2: fit gust ~ speed on complete rows, fill NULL gusts with the prediction rounded to 2 places."""
-    out = I.impute_by_regression(S.weather_hourly(spark, d), "wind_gust", "wind_speed", digits=2)
+    """H1 + H2: fit gust ~ speed on the 70 % training split of the complete hours, fill NULL gusts with the
+    prediction rounded to 2 places (as the reference trains on its partition)."""
+    sp = _gust_split(spark, d)
+    train = sp.filter(F.col("split") == "train")
+    out = I.impute_by_regression(S.weather_hourly(spark, d), "wind_gust", "wind_speed", digits=2, train=train)
     return out.select("ts", "wind_speed", "wind_gust")
 
 
@@ -197,10 +233,8 @@ def q_gust_regression_error(spark, d):
     """H2 + H1 + H13: gust ~ speed fitted on a 70 % stratified split; mean error % = RMSE / mean actual, on the
     training residuals (as the reference reports) and on the held-out rows."""
     from gustlab.operators import evaluate as ev
-    from gustlab.operators import models as M
 
-    w = S.weather_hourly(spark, d).filter(F.col("wind_gust").isNotNull() & F.col("wind_speed").isNotNull())
-    sp = M.stratified_split(w, "wind_gust", keys=["ts"]).cache()
+    sp = _gust_split(spark, d).cache()
     a, b = I.fit_line(sp.filter(F.col("split") == "train"), "wind_gust", "wind_speed")
     scored = sp.withColumn("pred", F.lit(a) + F.lit(b) * F.col("wind_speed"))
     return ev.regression_metrics(scored, "wind_gust", "pred", by=["split"])
