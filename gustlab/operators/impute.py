@@ -215,3 +215,94 @@ def impute_by_knn(df: DataFrame, key: str, features: str, target: str, k: int =
     out = df.join(pred.select(key, "prediction"), on=key, how="left")
     return out.withColumn("imputed", qcol(target).isNull()).withColumn(
         target, F.coalesce(qcol(target), F.bround("prediction", digits))).drop("prediction")
+
+
+# --------------------------------------------------------------------------------------------- H3 + H4 (k tuning)
+def _topk_cv_partition(bq, kmax: int, repeats: int):
+    """Per training partition: for every query row and repeat, the kmax nearest rows of OTHER folds."""
+    def run(batches):
+        qk, Q, qf = bq.value
+        q2 = (Q * Q).sum(axis=1)
+        best = [None] * repeats
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            X = np.stack(pdf["__x"].to_numpy()).astype(float)
+            tk = pdf["__tk"].to_numpy(np.int64)
+            ty = pdf["__y"].to_numpy(float)
+            tf = np.stack(pdf["__folds"].to_numpy()).astype(int)
+            diff_sq = q2[:, None] + (X * X).sum(axis=1)[None, :] - 2.0 * Q @ X.T
+            for r in range(repeats):
+                d = np.where(qf[:, r][:, None] == tf[:, r][None, :], np.inf, diff_sq)
+                m = min(len(tk), kmax + 8)
+                sel = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(tk) else np.tile(np.arange(len(tk)), (len(qk), 1))
+                rows = np.arange(len(qk))[:, None]
+                exact = np.einsum("qmf,qmf->qm", Q[:, None, :] - X[sel], Q[:, None, :] - X[sel])
+                exact = np.where(np.isinf(d[rows, sel]), np.inf, exact)
+                ck, cy = tk[sel], ty[sel]
+                if best[r] is not None:
+                    exact = np.concatenate([best[r][0], exact], axis=1)
+                    ck = np.concatenate([best[r][1], ck], axis=1)
+                    cy = np.concatenate([best[r][2], cy], axis=1)
+                order = np.lexsort((ck, exact), axis=1)[:, :kmax]
+                best[r] = (exact[rows, order], ck[rows, order], cy[rows, order])
+        out = []
+        for r, b in enumerate(best):
+            if b is None:
+                continue
+            kk = b[0].shape[1]
+            ok = np.isfinite(b[0]).ravel()
+            out.append(pd.DataFrame({"__qk": np.repeat(qk, kk)[ok], "__r": r, "__d": b[0].ravel()[ok],
+                                     "__tk": b[1].ravel()[ok], "__y": b[2].ravel()[ok]}))
+        if out:
+            yield pd.concat(out, ignore_index=True)
+    return run
+
+
+def knn_cv(df: DataFrame, key: str, features: str, target: str, ks=(5, 7, 9), folds: int = 10, repeats: int = 3,
+           seed: int = 123, max_broadcast_rows: int = 20_000) -> DataFrame:
+    """Repeated k-fold CV of the exact kNN regressor for several k at once (H3 tuned as in H4).
+
+    Every labelled row is a query; inside each training partition its neighbours from the same fold are
+    masked per repeat, so one distributed pass per query chunk serves all folds, repeats and k.
+    Output: per (k, repeat, fold) the metrics of :func:`regression_metrics`.
+    """
+    from gustlab.operators.evaluate import regression_metrics
+
+    spark = df.sparkSession
+    kmax = max(ks)
+    lab = df.filter(qcol(target).isNotNull()).select(
+        F.col(key).cast("long").alias("__tk"), F.col(features).alias("__x"), F.col(target).cast("double").alias("__y"),
+        F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(seed + r)), F.lit(folds)).cast("int")
+                  for r in range(repeats)]).alias("__folds")).cache()
+    n_q = lab.count()
+    chunks = max(1, math.ceil(n_q / max_broadcast_rows))
+    qs = lab if chunks == 1 else sequence_index(lab, "__tk", n_rows=n_q, idx="__p").withColumn(
+        "__chunk", F.floor(F.col("__p") / max_broadcast_rows)).drop("__p").cache()
+    schema = "__qk long, __r int, __d double, __tk long, __y double"
+    parts = []
+    for c in range(chunks):
+        qp = (qs if chunks == 1 else qs.filter(F.col("__chunk") == c)).select("__tk", "__x", "__folds").toPandas()
+        if qp.empty:
+            continue
+        bq = spark.sparkContext.broadcast((qp["__tk"].to_numpy(np.int64), np.stack(qp["__x"].to_numpy()).astype(float),
+                                           np.stack(qp["__folds"].to_numpy()).astype(int)))
+        parts.append(lab.select("__tk", "__x", "__y", "__folds").mapInPandas(
+            _topk_cv_partition(bq, kmax, repeats), schema))
+    cand = parts[0]
+    for p in parts[1:]:
+        cand = cand.unionByName(p)
+    w = Window.partitionBy("__qk", "__r").orderBy("__d", "__tk")
+    top = cand.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= kmax)
+    preds = top.groupBy("__qk", "__r").agg(*[F.avg(F.when(F.col("__rank") <= k, F.col("__y"))).alias(f"k{k}")
+                                             for k in ks])
+    preds = preds.unpivot(["__qk", "__r"], [f"k{k}" for k in ks], "__kname", "prediction")
+    truth = lab.select(F.col("__tk").alias("__qk"), F.col("__y").alias("actual"), "__folds")
+    j = preds.join(truth, on="__qk").withColumn("fold", F.element_at("__folds", F.col("__r") + 1)).withColumn(
+        "k", F.regexp_extract("__kname", r"k(\d+)", 1).cast("int")).withColumnRenamed("__r", "repeat")
+    return regression_metrics(j, "actual", "prediction", by=["k", "repeat", "fold"])
+
+
+def best_k(cv: DataFrame) -> int:
+    """The k with the least mean fold RMSE (caret's bestTune)."""
+    return int(cv.groupBy("k").agg(F.avg("rmse").alias("m")).orderBy("m", "k").first()["k"])

@@ -259,3 +259,19 @@ def q_knn_cv_error(spark, d):
     rows = [r for rs in M._run_parallel([fold(k) for k in range(10)], 4) for r in rs]
     return spark.createDataFrame(rows, "fold int, n long, mae double, rmse double, mape double, n_zero long, "
                                        "r2 double, r2_corr double, mean_error_pct double")
+
+
+@register("knn_tuned_fill")
+def q_knn_tuned_fill(spark, d):
+    """H3 + H4 + H14: k chosen from 5, 7, 9 by 10-fold x 3 repeated CV (one pass per query chunk), then the
+    missing labels filled with that k; per-k CV summary alongside."""
+    from gustlab.operators import evaluate as ev
+
+    v = S.vectors(spark, d).cache()
+    cv = I.knn_cv(v, "vec_id", "features", "label", ks=(5, 7, 9), folds=10, repeats=3).cache()
+    k = I.best_k(cv)
+    filled = I.impute_by_knn(v, "vec_id", "features", "label", k=k).select("vec_id", "label", "imputed")
+    summary = ev.cv_summary(cv.withColumn("model", F.concat(F.lit("knn_k"), F.col("k").cast("string"))), "model",
+                            ("rmse", "mae"))
+    cv_rmse = summary.filter(F.col("model") == F.lit(f"knn_k{k}")).first()["rmse_mean"]  # one number
+    return filled.withColumns({"k": F.lit(k), "cv_rmse": F.lit(cv_rmse)})

@@ -104,3 +104,25 @@ def test_sequence_windows_content(spark, series):
     got = {r["ts"]: r["seq"] for r in s.collect()}
     assert [v[0] for v in got[T0 + dt.timedelta(hours=5)]] == x[3:6]
     assert len(got[T0]) == 1
+
+
+def test_knn_cv_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.normal(size=3)], float(rng.integers(0, 5))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, f array<double>, y double")
+    cv = {(r["k"], r["fold"]): r["rmse"] for r in I.knn_cv(df, "id", "f", "y", ks=(3, 5), folds=4, repeats=1,
+                                                            max_broadcast_rows=50).collect()}
+    folds = {r["id"]: r["fold"] for r in M.kfold(df, ["id"], folds=4, seed=123).collect()}
+    pdf = df.toPandas()
+    X = np.stack(pdf.f.to_numpy())
+    for k in (3, 5):
+        for f in range(4):
+            errs = []
+            for i, row in pdf.iterrows():
+                if folds[row.id] != f:
+                    continue
+                others = pdf[[folds[j] != f for j in pdf.id]]
+                d = ((np.stack(others.f.to_numpy()) - X[i]) ** 2).sum(axis=1)
+                nn = others.assign(d=d).sort_values(["d", "id"]).head(k)
+                errs.append(nn.y.mean() - row.y)
+            assert cv[(k, f)] == pytest.approx(float(np.sqrt(np.mean(np.square(errs)))))
