@@ -145,12 +145,26 @@ def rank_columns(df: DataFrame, cols: Sequence[str], key: Sequence[str]) -> Data
     return rl.groupBy(*key).pivot("__var", list(cols)).agg(F.first("__r"))
 
 
+def _mllib_matrix(data: DataFrame, cols: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Many columns: MLlib's distributed Gram-matrix correlation instead of one aggregate per pair."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    vec = VectorAssembler(inputCols=list(cols), outputCol="__v").transform(data.select(*cols)).select("__v").cache()
+    n = vec.count()
+    m = Correlation.corr(vec, "__v", "pearson").first()[0].toArray()  # columns x columns, on the driver
+    idx = {c: i for i, c in enumerate(cols)}
+    rows = [(a, b, int(n), float(m[idx[a], idx[b]])) for a, b in pairs]
+    vec.unpersist()
+    return data.sparkSession.createDataFrame(rows, "x string, y string, n long, r double")
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson",
-                       key: Sequence[str] | None = None) -> DataFrame:
+                       key: Sequence[str] | None = None, ml_above: int = 24) -> DataFrame:
     """Pairwise correlations ``(x, y, n, r)`` for every pair ``x < y`` in column order.
 
-    Complete rows only. Pearson is one aggregate with a ``corr`` per pair; Spearman ranks the columns
-    first (needs a row ``key``).
+    Complete rows only. Pearson is one aggregate with a ``corr`` per pair (MLlib's Gram-matrix correlation
+    above ``ml_above`` columns); Spearman ranks the columns first (needs a row ``key``).
     """
     cols = list(cols)
     data = df.na.drop("any", subset=cols)
@@ -161,6 +175,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
     elif method != "pearson":
         raise ValueError(method)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    if len(cols) > ml_above:
+        return _mllib_matrix(data, cols, pairs)
     aggs = [F.count(F.lit(1)).alias("__n")] + [F.corr(qcol(a), qcol(b)).alias(f"__r{i}") for i, (a, b) in enumerate(pairs)]
     wide = data.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"__r{i}").alias("r"))

@@ -22,7 +22,7 @@ IDX = "_pos"
 # --------------------------------------------------------------------------------------------- D1, D2
 def hourly_farm(df: DataFrame, features: Sequence[str], ts: str = "ts", turbine: str = "turbine",
                 turbines: Sequence[str] | None = None, farm_agg: str = "max", digits: int | None = 3,
-                site: Sequence[str] = (), period: str = "1 hour") -> DataFrame:
+                site: Sequence[str] = (), period: str = "1 hour", pivot_limit: int = 1200) -> DataFrame:
     """10-minute turbine rows -> one row per site and hour.
 
     Per turbine the hour is the mean of its readings; the farm value is the ``max`` (reference) or ``mean``
@@ -30,13 +30,14 @@ def hourly_farm(df: DataFrame, features: Sequence[str], ts: str = "ts", turbine:
 
     With ``turbines`` given, the per-turbine means are pivoted inside ONE aggregation keyed by the hour, so the
     plan has a single exchange with map-side partial aggregation (skewed hours collapse before the shuffle).
-    Without it, two aggregations run (turbine-hour, then hour).
+    Without it, or when turbines x features exceeds ``pivot_limit`` aggregate buffers (generated code would
+    grow too large), two aggregations run (turbine-hour, then hour).
     """
     hour = F.window(ts, period).start.alias(ts)
     site = list(site)
     clean = [null_if_nan(qcol(c)).alias(c) for c in features]
     base = df.select(*[qcol(s) for s in site], qcol(turbine).alias(turbine), hour, *clean)
-    if turbines:
+    if turbines and len(turbines) * len(features) <= pivot_limit:
         turbines = list(turbines)
         aggs = [F.avg(F.when(F.col(turbine) == t, qcol(c))).alias(f"{c}__{i}")
                 for c in features for i, t in enumerate(turbines)]
