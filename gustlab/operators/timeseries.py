@@ -74,12 +74,12 @@ def _ordinal(c: Column, dtype: str) -> Column:
 
 def sequence_index(df: DataFrame, order: str, by: Sequence[str] = (), idx: str = IDX,
                    rows_per_bucket: int = 2_000_000, tiebreak: Sequence[str] = (),
-                   n_rows: int | None = None) -> DataFrame:
+                   n_rows: int | None = None, keep_bucket: bool = False) -> DataFrame:
     """Add the 0-based position of each row within ``by`` ordered by ``order`` (then ``tiebreak``).
 
     Rows are range-bucketed on ``order`` (approximate quantiles, JVM binary search) so each numbering window
     holds at most about ``rows_per_bucket`` rows of one series; bucket offsets come from a small
-    (series x bucket) count table.
+    (series x bucket) count table. ``keep_bucket`` keeps the bucket id as ``_bkt`` (0 when unbucketed).
     """
     by = list(by)
     n = df.count() if n_rows is None else n_rows
@@ -87,7 +87,8 @@ def sequence_index(df: DataFrame, order: str, by: Sequence[str] = (), idx: str =
     ordering = [F.col(order)] + [F.col(t) for t in tiebreak]
     if nb == 1:
         w = Window.partitionBy(*by).orderBy(*ordering)
-        return df.withColumn(idx, F.row_number().over(w) - 1)
+        out = df.withColumn(idx, F.row_number().over(w) - 1)
+        return out.withColumn("_bkt", F.lit(0.0)) if keep_bucket else out
     dtype = dict(df.dtypes)[order]
     tmp = df.withColumn("_ord", _ordinal(F.col(order), dtype))
     probs = [i / nb for i in range(1, nb)]
@@ -101,8 +102,8 @@ def sequence_index(df: DataFrame, order: str, by: Sequence[str] = (), idx: str =
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
     j = tmp.join(offsets, on=[*by, "_bkt"], how="inner")
     w = Window.partitionBy(*by, "_bkt").orderBy(*ordering)
-    return j.withColumn(idx, (F.col("_off") + F.row_number().over(w) - 1).cast("long")).drop(
-        "_ord", "_bkt", "_off")
+    out = j.withColumn(idx, (F.col("_off") + F.row_number().over(w) - 1).cast("long")).drop("_ord", "_off")
+    return out if keep_bucket else out.drop("_bkt")
 
 
 def attach(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -206,24 +207,41 @@ QNORM_975 = 1.959963984540054  # qnorm(0.975), fixed value
 def acf(df: DataFrame, col: str, max_lag: int, order: str = "ts", by: Sequence[str] = ()) -> DataFrame:
     """Autocorrelation per lag 0..max_lag: ``Σ(x_i−m)(x_{i+h}−m) / Σ(x−m)²`` with the significance band.
 
-    Each row is sent to positions ``i-h`` for h in 1..max_lag and joined there: work is rows x max_lag.
+    Lagged products come from one window of ``lag()`` columns over each position bucket (one sort, no
+    fan-out); only pairs that straddle a bucket edge (at most max_lag rows on each side of every edge) go
+    through a small join.
     """
     by = list(by)
-    ix = sequence_index(df.select(*by, order, col).filter(F.col(col).isNotNull()), order, by)
+    base = df.select(*by, order, col).filter(F.col(col).isNotNull())
+    ix = sequence_index(base, order, by, keep_bucket=True)
     stats = ix.groupBy(*by).agg(F.avg(col).alias("__m"), F.count(F.lit(1)).alias("n"))
-    c = attach(ix, stats, by)
-    c = c.withColumn("__d", F.col(col) - F.col("__m"))
-    den = c.groupBy(*by).agg(F.sum(F.col("__d") * F.col("__d")).alias("__den"), F.first("n").alias("n"))
-    lags = F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag")
-    fwd = c.select(*by, lags, F.col(IDX), F.col("__d").alias("__d2"))
-    fwd = fwd.withColumn(IDX, F.col(IDX) - F.col("lag"))
-    num = c.select(*by, IDX, "__d").join(fwd, on=[*by, IDX], how="inner").groupBy(*by, "lag").agg(
-        F.sum(F.col("__d") * F.col("__d2")).alias("__num"))
-    r = attach(num, den, by)
+    c = attach(ix, stats, by).withColumn("__d", F.col(col) - F.col("__m"))
+    w = Window.partitionBy(*by, "_bkt").orderBy(IDX)
+    lags = range(1, max_lag + 1)
+    within = c.select(*by, (F.col("__d") * F.col("__d")).alias("__p0"),
+                      *[(F.col("__d") * F.lag("__d", h).over(w)).alias(f"__p{h}") for h in lags])
+    sums = within.groupBy(*by).agg(*[F.sum(f"__p{h}").alias(f"__p{h}") for h in range(0, max_lag + 1)])
+    num = sums.unpivot(by, [f"__p{h}" for h in range(0, max_lag + 1)], "__lag", "__within").select(
+        *by, F.regexp_extract("__lag", r"(\d+)", 1).cast("long").alias("lag"), "__within")
+    # pairs across bucket edges: the last max_lag rows of a bucket meet the first max_lag rows of later ones
+    wb = Window.partitionBy(*by, "_bkt")
+    edges = c.withColumn("__lo", F.min(IDX).over(wb)).withColumn("__hi", F.max(IDX).over(wb))
+    tails = edges.filter(F.col(IDX) > F.col("__hi") - max_lag).select(
+        *by, F.col("_bkt").alias("__tb"), F.col(IDX).alias("__tp"), F.col("__d").alias("__dt"))
+    heads = edges.filter(F.col(IDX) < F.col("__lo") + max_lag).select(
+        *by, F.col("_bkt").alias("__hb"), F.col(IDX).alias("__hp"), F.col("__d").alias("__dh"))
+    fan = tails.select("*", F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag")).withColumn(
+        "__hp", F.col("__tp") + F.col("lag"))
+    cross = fan.join(heads, on=[*by, "__hp"]).filter(F.col("__tb") != F.col("__hb")).groupBy(*by, "lag").agg(
+        F.sum(F.col("__dt") * F.col("__dh")).alias("__cross"))
+    num = num.join(cross.withColumn("lag", F.col("lag").cast("long")), on=[*by, "lag"], how="left")
+    num = num.withColumn("__num", F.col("__within").cast("double") + F.coalesce(F.col("__cross"), F.lit(0.0)))
+    den = sums.select(*by, F.col("__p0").alias("__den"))
+    r = attach(attach(num, den, by), stats.select(*by, "n"), by)
     ci = F.lit(QNORM_975) / F.sqrt(F.col("n"))
-    return r.select(*by, F.col("lag").cast("long").alias("lag"), (F.col("__num") / F.col("__den")).alias("acf"),
-                    ci.alias("ci"), (F.abs(F.col("__num") / F.col("__den")) > ci).alias("significant"),
-                    F.col("n").cast("long").alias("n"))
+    val = F.col("__num") / F.col("__den")
+    return r.select(*by, F.col("lag").cast("long").alias("lag"), val.alias("acf"), ci.alias("ci"),
+                    (F.abs(val) > ci).alias("significant"), F.col("n").cast("long").alias("n"))
 
 
 def ljung_box(acf_df: DataFrame, lags: int, fitted_params: int = 0, by: Sequence[str] = ()) -> DataFrame:

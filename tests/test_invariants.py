@@ -143,3 +143,18 @@ def test_wide_paths_agree(spark):
     two = {r["ts"]: r["p"] for r in tsx.hourly_farm(farm, ["p"], turbines=["WT0", "WT1", "WT2", "WT3"],
                                                     pivot_limit=1).collect()}
     assert one == two
+
+
+def test_acf_bucketed_edges_match_numpy(spark, series, monkeypatch):
+    x = series.filter("sid = 'a'").orderBy("ts").toPandas()["x"].to_numpy()
+    d = x - x.mean()
+    orig = tsx.sequence_index
+
+    def small_buckets(*a, **k):
+        k["rows_per_bucket"] = 37
+        return orig(*a, **k)
+
+    monkeypatch.setattr(tsx, "sequence_index", small_buckets)
+    got = {r["lag"]: r["acf"] for r in tsx.acf(series.filter("sid = 'a'"), "x", 12).collect()}
+    for h in range(13):
+        assert got[h] == pytest.approx(float((d[: len(d) - h] * d[h:]).sum() / (d * d).sum()), abs=1e-12)
