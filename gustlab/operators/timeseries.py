@@ -75,7 +75,15 @@ def _ordinal(c: Column, dtype: str) -> Column:
 def sequence_index(df: DataFrame, order: str, by: Sequence[str] = (), idx: str = IDX,
                    rows_per_bucket: int = 2_000_000, tiebreak: Sequence[str] = (),
                    n_rows: int | None = None, keep_bucket: bool = False) -> DataFrame:
-    """Add the 0-based position of each row within ``by`` ordered by ``order`` (then ``tiebreak``).
+    """Add the 0-based position of each row within ``by`` ordered by ``order`` (then ``tiebreak``); see
+    :func:`_positions`."""
+    return _positions(df, order, by, idx, rows_per_bucket, tiebreak, n_rows, keep_bucket)[0]
+
+
+def _positions(df: DataFrame, order: str, by: Sequence[str] = (), idx: str = IDX,
+               rows_per_bucket: int = 2_000_000, tiebreak: Sequence[str] = (),
+               n_rows: int | None = None, keep_bucket: bool = False) -> tuple[DataFrame, int]:
+    """Positions as in :func:`sequence_index`, plus the number of buckets used.
 
     Rows are range-bucketed on ``order`` (approximate quantiles, JVM binary search) so each numbering window
     holds at most about ``rows_per_bucket`` rows of one series; bucket offsets come from a small
@@ -88,7 +96,7 @@ def sequence_index(df: DataFrame, order: str, by: Sequence[str] = (), idx: str =
     if nb == 1:
         w = Window.partitionBy(*by).orderBy(*ordering)
         out = df.withColumn(idx, F.row_number().over(w) - 1)
-        return out.withColumn("_bkt", F.lit(0.0)) if keep_bucket else out
+        return (out.withColumn("_bkt", F.lit(0.0)) if keep_bucket else out), 1
     dtype = dict(df.dtypes)[order]
     tmp = df.withColumn("_ord", _ordinal(F.col(order), dtype))
     probs = [i / nb for i in range(1, nb)]
@@ -103,7 +111,7 @@ def sequence_index(df: DataFrame, order: str, by: Sequence[str] = (), idx: str =
     j = tmp.join(offsets, on=[*by, "_bkt"], how="inner")
     w = Window.partitionBy(*by, "_bkt").orderBy(*ordering)
     out = j.withColumn(idx, (F.col("_off") + F.row_number().over(w) - 1).cast("long")).drop("_ord", "_off")
-    return out if keep_bucket else out.drop("_bkt")
+    return (out if keep_bucket else out.drop("_bkt")), nb
 
 
 def attach(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -138,9 +146,20 @@ def lead_value(df: DataFrame, col: str, k: int = 1, order: str = "ts", by: Seque
             first = F.first(col).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
             v = F.coalesce(v, first)
         return df.withColumn(out, v)
-    ix = sequence_index(df, order, by, rows_per_bucket=rows_per_bucket)
-    ahead = _shifted(ix, by, [col], k, "__s").withColumnRenamed(f"{col}__s", out)
-    res = ix.join(ahead, on=[*by, IDX], how="left")
+    ix, nb = _positions(df, order, by, rows_per_bucket=rows_per_bucket, keep_bucket=True)
+    w = Window.partitionBy(*by, "_bkt").orderBy(IDX)
+    res = ix.withColumn(out, F.lead(col, k).over(w) if k >= 0 else F.lag(col, -k).over(w))
+    if nb > 1 and k != 0:
+        # partners in the neighbouring bucket: only the |k| rows at each bucket edge take part
+        wb = Window.partitionBy(*by, "_bkt")
+        e = res.withColumn("__lo", F.min(IDX).over(wb)).withColumn("__hi", F.max(IDX).over(wb))
+        near = (F.col(IDX) > F.col("__hi") - k) if k > 0 else (F.col(IDX) < F.col("__lo") - k)
+        far = (F.col(IDX) < F.col("__lo") + k) if k > 0 else (F.col(IDX) > F.col("__hi") + k)
+        src = e.filter(far).select(*by, (F.col(IDX) - k).alias(IDX), F.col(col).alias("__edge"))
+        fix = e.filter(near).select(*by, IDX).join(src, on=[*by, IDX])
+        res = res.join(fix, on=[*by, IDX], how="left").withColumn(out, F.coalesce(F.col(out), F.col("__edge"))).drop(
+            "__edge")
+    res = res.drop("_bkt")
     if wrap:
         first = ix.filter(F.col(IDX) == 0).select(*by, F.col(col).alias("__first"))
         res = attach(res, first, by)

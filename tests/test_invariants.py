@@ -158,3 +158,12 @@ def test_acf_bucketed_edges_match_numpy(spark, series, monkeypatch):
     got = {r["lag"]: r["acf"] for r in tsx.acf(series.filter("sid = 'a'"), "x", 12).collect()}
     for h in range(13):
         assert got[h] == pytest.approx(float((d[: len(d) - h] * d[h:]).sum() / (d * d).sum()), abs=1e-12)
+
+
+def test_lag_and_lead_across_bucket_edges(spark, series):
+    for k in (1, 4, -2, -5):
+        a = tsx.lead_value(series, "x", k, by=["sid"], out="v", rows_per_bucket=23)
+        b = tsx.lead_value(series, "x", k, by=["sid"], out="w", method="window")
+        j = a.join(b.drop("x"), ["sid", "ts"])
+        assert j.count() == 1000
+        assert j.filter(~F.col("v").eqNullSafe(F.col("w"))).count() == 0
