@@ -250,3 +250,14 @@ def q_final_weather_table(spark, d):
     from gustlab.plans.workflows import weather_to_final
 
     return weather_to_final(_hourly(spark, d), S.weather_hourly(spark, d).drop("month_label"), "active_power_kw")
+
+
+@register("ljung_box_q", round_sql(f"""
+    WITH a AS ({ACF_SQL.replace("range(0, 31)", "range(0, 11)")})
+    SELECT CAST(max(n) AS DOUBLE) * (max(n) + 2) * sum(acf * acf / (n - lag)) AS q_stat, CAST(10 AS DOUBLE) AS df
+    FROM a WHERE lag BETWEEN 1 AND 10
+""", ["q_stat"], 6))
+def q_ljung_box_q(spark, d):
+    """E12 statistic: Ljung–Box Q over 10 lags of the daily revenue series and its degrees of freedom."""
+    lb = tsx.ljung_box(tsx.acf(S.farm_series(spark, d), "revenue", 10), 10)
+    return present(lb.select("q_stat", "df"), 6, ["q_stat"])
