@@ -244,7 +244,53 @@ def q_hourly_sensor_workflow(spark, d):
     return out
 
 
-@register("final_weather_table")
+def _med(src: str, c: str) -> str:
+    return f"""(SELECT avg({c}) FROM (SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS i,
+                                           count(*) OVER () AS n FROM {src} WHERE {c} IS NOT NULL)
+               WHERE i = floor((n - 1) / 2) OR i = floor(n / 2))"""
+
+
+_WF = S.WEATHER_FEATURES
+_KNN_F = [c for c in _WF if c != "pressure"]
+_ALL_FINAL = ["ts"] + FEATS + _WF
+FINAL_WEATHER_SQL = f"""
+    WITH wr AS (SELECT ts, {_l("{c}", _WF)} FROM ({S.WEATHER_HOURLY_SQL})),
+    w1 AS (SELECT * REPLACE (coalesce(precip_intensity, 0.0) AS precip_intensity,
+                             coalesce(precip_probability, 0.0) AS precip_probability) FROM wr),
+    w2 AS (SELECT * REPLACE (coalesce(wind_speed, {_med("w1", "wind_speed")}) AS wind_speed,
+                             coalesce(wind_bearing, {_med("w1", "wind_bearing")}) AS wind_bearing,
+                             coalesce(visibility, {_med("w1", "visibility")}) AS visibility) FROM w1),
+    f AS (SELECT regr_intercept(wind_gust, wind_speed) AS a, regr_slope(wind_gust, wind_speed) AS b FROM w2),
+    w3 AS (SELECT w2.* REPLACE (CASE WHEN wind_gust IS NULL THEN round_even(f.a + f.b * wind_speed, 2)
+                                     ELSE wind_gust END AS wind_gust) FROM w2, f),
+    st AS (SELECT {_l("avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}", _KNN_F)} FROM w3),
+    sc AS (SELECT ts, pressure, date_diff('hour', TIMESTAMP '1970-01-01 00:00:00', ts) AS id,
+                  [{_l("({c} - m_{c}) / s_{c}", _KNN_F)}]::DOUBLE[] AS fv FROM w3, st),
+    q AS (SELECT * FROM sc WHERE pressure IS NULL), t AS (SELECT * FROM sc WHERE pressure IS NOT NULL),
+    pairs AS (SELECT q.ts AS qts, t.id AS tid, t.pressure AS y, list_distance(q.fv, t.fv) AS d FROM q, t),
+    top AS (SELECT qts, y, row_number() OVER (PARTITION BY qts ORDER BY d, tid) AS rn FROM pairs),
+    pred AS (SELECT qts, avg(y) AS p FROM top WHERE rn <= 5 GROUP BY qts),
+    w4 AS (SELECT w3.* REPLACE (coalesce(w3.pressure, round_even(pred.p, 2)) AS pressure)
+           FROM w3 LEFT JOIN pred ON w3.ts = pred.qts),
+    h AS ({HOURLY}),
+    j AS (SELECT h.*, {_l("w4.{c}", _WF)} FROM h LEFT JOIN w4 ON h.ts = w4.ts),
+    ok AS (SELECT * FROM j WHERE {_l("{c} IS NOT NULL", _WF, " AND ")}),
+    p1 AS (SELECT ts - INTERVAL 1 YEAR AS pts, {_l("{c} AS a_{c}", _WF)},
+                  row_number() OVER (PARTITION BY ts - INTERVAL 1 YEAR ORDER BY {_l("{c}", _WF)}) AS rn FROM ok),
+    p2 AS (SELECT ts + INTERVAL 1 YEAR AS pts, {_l("{c} AS b_{c}", _WF)},
+                  row_number() OVER (PARTITION BY ts + INTERVAL 1 YEAR ORDER BY {_l("{c}", _WF)}) AS rn FROM ok),
+    need AS (SELECT j.* REPLACE ({_l("coalesce(j.{c}, p1.a_{c}, p2.b_{c}) AS {c}", _WF)})
+             FROM j LEFT JOIN (SELECT * FROM p1 WHERE rn = 1) p1 ON j.ts = p1.pts
+                    LEFT JOIN (SELECT * FROM p2 WHERE rn = 1) p2 ON j.ts = p2.pts
+             WHERE {_l("j.{c} IS NULL", _WF, " OR ")}),
+    fin AS (SELECT * FROM ok UNION ALL SELECT * FROM need)
+    SELECT *, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
+           CAST(day(ts) AS INTEGER) AS day, CAST(hour(ts) AS INTEGER) AS hour
+    FROM fin WHERE {_l("{c} IS NOT NULL", _ALL_FINAL, " AND ")}
+"""
+
+
+@register("final_weather_table", FINAL_WEATHER_SQL)
 def q_final_weather_table(spark, d):
     """Entry 2: weather gaps filled (zero, median, regression, kNN), joined to the hourly farm table, patched."""
     from gustlab.plans.workflows import weather_to_final

@@ -73,7 +73,9 @@ def weather_to_final(hourly: DataFrame, weather: DataFrame, power: str, ts: str
     def as_vectors(df: DataFrame) -> DataFrame:
         v = df.select(F.col(ts).alias("__k"), F.array(*[F.col(c) for c in feats]).alias("__f"),
                       F.col(knn_target).alias("__t"))
-        return v.withColumn("__id", F.xxhash64("__k"))
+        # row id for the neighbour tie-break: the hour number (unique per row, reproducible anywhere)
+        return v.withColumn("__id", F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                                                     F.col("__k")))
 
     all_stats = tsx.zscore_fit(base, feats)
     train_stats = tsx.zscore_fit(base, feats, F.col(knn_target).isNotNull()) if refit else all_stats
