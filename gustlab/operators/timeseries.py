@@ -297,19 +297,41 @@ def temporal_split(df: DataFrame, test_start: str, train_days: int, test_days: i
 
 
 def sequence_windows(df: DataFrame, cols: Sequence[str], steps: int, order: str = "ts",
-                     by: Sequence[str] = (), out: str = "seq") -> DataFrame:
+                     by: Sequence[str] = (), out: str = "seq", method: str = "window") -> DataFrame:
     """For each row, the last ``steps`` rows' feature values (oldest first) as ``array<array<double>>``.
 
-    Each row is copied to the ``steps`` positions that include it and grouped there: work is rows x steps.
-    Rows with fewer than ``steps`` predecessors get a shorter array.
+    ``method="window"``: ``lag()`` over each position bucket builds the arrays with one sort; only the first
+    ``steps - 1`` rows of a bucket, whose history reaches into the previous bucket, are rebuilt from a small
+    fan-out of the rows next to bucket edges. ``method="fanout"`` copies every row to the ``steps`` positions
+    that include it (work rows x steps). Rows with fewer than ``steps`` predecessors get a shorter array.
     """
     by = list(by)
-    ix = sequence_index(df, order, by)
     feats = F.array(*[F.col(c).cast("double") for c in cols])
-    fan = ix.select(*by, F.col(IDX).alias("__src"), feats.alias("__f"),
-                    F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("__j"))
+    if method == "fanout":
+        ix = sequence_index(df, order, by)
+        return ix.join(_fanout_windows(ix.select(*by, IDX, feats.alias("__f")), by, steps, out), on=[*by, IDX],
+                       how="inner").drop(IDX)
+    ix, nb = _positions(df, order, by, keep_bucket=True)
+    ix = ix.withColumn("__f", feats)
+    w = Window.partitionBy(*by, "_bkt").orderBy(IDX)
+    hist = F.array(*[F.lag("__f", j).over(w) for j in range(steps - 1, 0, -1)], F.col("__f"))
+    res = ix.withColumn(out, F.filter(hist, lambda x: x.isNotNull()))
+    if nb > 1 and steps > 1:
+        wb = Window.partitionBy(*by, "_bkt")
+        e = res.withColumn("__lo", F.min(IDX).over(wb)).withColumn("__hi", F.max(IDX).over(wb))
+        near = e.filter(F.col(IDX) < F.col("__lo") + steps - 1)
+        src = e.filter((F.col(IDX) < F.col("__lo") + steps - 1) | (F.col(IDX) > F.col("__hi") - steps + 1))
+        fixed = _fanout_windows(src.select(*by, IDX, "__f"), by, steps, "__fixed")
+        fixed = fixed.join(near.select(*by, IDX), on=[*by, IDX])
+        res = res.join(fixed, on=[*by, IDX], how="left").withColumn(
+            out, F.coalesce(F.col("__fixed"), F.col(out))).drop("__fixed")
+    return res.drop("__f", "_bkt", IDX)
+
+
+def _fanout_windows(rows: DataFrame, by: list[str], steps: int, out: str) -> DataFrame:
+    """``(by..., position, out)``: each row copied to the ``steps`` positions whose window includes it."""
+    fan = rows.select(*by, F.col(IDX).alias("__src"), "__f",
+                      F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("__j"))
     fan = fan.withColumn(IDX, F.col("__src") + F.col("__j"))
-    grouped = fan.groupBy(*by, IDX).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("__src"), F.col("__f")))).alias("__l"))
-    grouped = grouped.select(*by, IDX, F.transform("__l", lambda s: s["__f"]).alias(out))
-    return ix.join(grouped, on=[*by, IDX], how="inner").drop(IDX)
+    grouped = fan.groupBy(*by, IDX).agg(F.array_sort(F.collect_list(F.struct(F.col("__src"), F.col("__f")))).alias("__l"))
+    return grouped.select(*by, IDX, F.transform("__l", lambda x: x["__f"]).alias(out))

@@ -167,3 +167,16 @@ def test_lag_and_lead_across_bucket_edges(spark, series):
         j = a.join(b.drop("x"), ["sid", "ts"])
         assert j.count() == 1000
         assert j.filter(~F.col("v").eqNullSafe(F.col("w"))).count() == 0
+
+
+def test_sequence_windows_window_equals_fanout(spark, series, monkeypatch):
+    orig = tsx._positions
+
+    def small(df, order, by=(), idx=tsx.IDX, rows_per_bucket=None, *rest, **k):
+        k.pop("rows_per_bucket", None)
+        return orig(df, order, by, idx, 29, *rest, **k)
+
+    monkeypatch.setattr(tsx, "_positions", small)
+    a = {(r["sid"], r["ts"]): r["seq"] for r in tsx.sequence_windows(series, ["x"], 4, by=["sid"]).collect()}
+    b = {(r["sid"], r["ts"]): r["seq"] for r in tsx.sequence_windows(series, ["x"], 4, by=["sid"], method="fanout").collect()}
+    assert a.keys() == b.keys() and all(a[k] == b[k] for k in a)
