@@ -2,7 +2,8 @@
 
 The reference's raw data (turbine SCADA exports, weather files) is not public, so each operator runs on a
 frame of the schema it expects, shaped from the driver tables. Every builder here only reshapes rows into that
-schema; the operators do the work. Each builder has a DuckDB twin (``*_SQL``) so the oracle reads the same input.
+schema; the operators do the work. Builders behind SQL-checked queries have a DuckDB twin (``*_SQL`` /
+``*_sql()``) so the oracle reads the same input.
 
 Missing values are injected by fixed rules on the source keys (the driver tables have no nulls).
 """

@@ -152,7 +152,8 @@ def _unzip_batches(batches):
 
 
 def read_zipped_lines(spark: SparkSession, pattern: str) -> DataFrame:
-    """Zip archives -> one row per text line of every member (A3). One archive per task (zip is not splittable)."""
+    """Zip archives -> one row per text line of every member (A3). Each archive is unzipped whole inside one task
+    (zip is not splittable); tasks hold whole archives."""
     bins = spark.read.format("binaryFile").load(pattern).select("path", "content")
     return bins.mapInPandas(_unzip_batches, _LINES)
 
