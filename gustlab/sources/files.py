@@ -104,9 +104,13 @@ def read_weather(spark: SparkSession, pattern: str, drop_pattern: str | None = N
     files = list_files(spark, pattern)
     if not files:
         raise FileNotFoundError(pattern)
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=16) as ex:  # header lines only, read through the cluster file system
+        headers = list(ex.map(lambda f: _first_line(spark, f), files))
     by_header: dict[str, list[str]] = {}
-    for f in files:
-        by_header.setdefault(_first_line(spark, f), []).append(f)
+    for f, h in zip(files, headers):
+        by_header.setdefault(h, []).append(f)
     frames = []
     for header, fs in by_header.items():
         d = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option(
@@ -139,16 +143,30 @@ _LINES = T.StructType([T.StructField("archive", T.StringType()), T.StructField("
                        T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType())])
 
 
+LINES_PER_BATCH = 100_000
+
+
 def _unzip_batches(batches):
+    """Stream every member line by line; batches of at most LINES_PER_BATCH lines bound the memory."""
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
             with zipfile.ZipFile(io.BytesIO(content)) as zf:
                 for member in zf.namelist():
                     if member.endswith("/"):
                         continue
-                    text = zf.read(member).decode("utf-8", errors="replace").splitlines()
-                    yield pd.DataFrame({"archive": path, "member": member,
-                                        "line_no": range(len(text)), "line": text})
+                    with zf.open(member) as raw:
+                        text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline=None)
+                        buf, start = [], 0
+                        for line in text:
+                            buf.append(line.rstrip("\n"))
+                            if len(buf) == LINES_PER_BATCH:
+                                yield pd.DataFrame({"archive": path, "member": member,
+                                                    "line_no": range(start, start + len(buf)), "line": buf})
+                                start += len(buf)
+                                buf = []
+                        if buf:
+                            yield pd.DataFrame({"archive": path, "member": member,
+                                                "line_no": range(start, start + len(buf)), "line": buf})
 
 
 def read_zipped_lines(spark: SparkSession, pattern: str) -> DataFrame:
