@@ -53,8 +53,8 @@ def read_scada(spark: SparkSession, path: str, sep: str = ";", trailer_rows: int
     """Monthly SCADA exports -> all-text wide frame + ``source_file`` + ``filename`` (month label).
 
     Default: metadata trailers are dropped by keeping rows whose first column parses as ``dd/MM/yyyy HH:mm``.
-    ``trailer_rows`` (int, or per-file dict by base name) instead drops exactly that many last lines per file;
-    that mode reads each file whole (one task per file) to know line positions.
+    ``trailer_rows`` (int, or per-file dict by base name) instead drops exactly that many last lines per file,
+    by line position (see :func:`_read_exact_trailer`).
     """
     if trailer_rows is not None:
         return _read_exact_trailer(spark, path, sep, trailer_rows, label_regex, label_is_month)
@@ -69,25 +69,35 @@ def read_scada(spark: SparkSession, path: str, sep: str = ";", trailer_rows: int
 
 
 def _read_exact_trailer(spark, path, sep, trailer_rows, label_regex=MONTH_TAG, label_is_month=True):
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("__path"), "value")
-    lines = raw.select("source_file", "__path", F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("l"))
+    """Exact trailer removal by line position within each file.
+
+    A line's place in its file is (split start offset, read order inside the split): the file-scan metadata
+    and ``monotonically_increasing_id`` give both, and the bucketed position index numbers the lines per file
+    without putting a file into one task. Line 0 is the header; the last ``trailer_rows`` lines are dropped.
+    """
+    from gustlab.operators.timeseries import sequence_index
+
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_block_start").cast("double").alias("__blk"),
+        F.monotonically_increasing_id().alias("__mid"), F.col("value").alias("line"))
+    pos = sequence_index(lines, "__blk", ["__path"], idx="__pos", tiebreak=["__mid"])
+    n = lines.groupBy("__path").agg(F.count(F.lit(1)).alias("__n"))
     if isinstance(trailer_rows, dict):
         m = F.create_map(*[x for kv in trailer_rows.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
         drop = F.coalesce(m[F.col("source_file")], F.lit(0))
     else:
         drop = F.lit(int(trailer_rows))
-    header = F.col("l")[0]
-    body = F.slice("l", 2, F.greatest(F.size("l") - 1 - drop, F.lit(0)))
-    ex = lines.select("source_file", "__path", header.alias("header"), F.posexplode(body).alias("pos", "line"))
-    first = ex.select("header").first()
+    pos = pos.join(n, on="__path")
+    first = pos.filter(F.col("__pos") == 0).select("line").first()
     if first is None:
         raise ValueError(f"no rows in {path}")
-    names = [h.strip() for h in first["header"].split(sep)]
+    names = [h.strip() for h in first["line"].split(sep)]
+    body = pos.filter((F.col("__pos") >= 1) & (F.col("__pos") < F.col("__n") - drop))
     schema = ", ".join(f"c{i} STRING" for i in range(len(names)))
-    parsed = ex.select("source_file", "__path", F.from_csv("line", schema, {"sep": sep, "ignoreLeadingWhiteSpace": "true",
-                                                                  "ignoreTrailingWhiteSpace": "true"}).alias("r"))
-    return parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], "source_file",
+    opts = {"sep": sep, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    parsed = body.select("source_file", "__path", F.from_csv("line", schema, opts).alias("r"))
+    return parsed.select(*[F.col(f"r.c{i}").alias(n_) for i, n_ in enumerate(names)], "source_file",
                          file_label(F.col("__path"), label_regex, label_is_month).alias("filename"))
 
 

@@ -239,3 +239,19 @@ def test_math_functions():
     assert float(chi2_sf(3.841458820694124, 1)) == pytest.approx(0.05, rel=1e-9)
     assert float(chi2_sf(10.0, 10)) == pytest.approx(0.4404932850652124, rel=1e-9)
     assert math.isnan(float(cor_test_p(0.3, 2)))
+
+
+def test_t1_exact_trailer_across_splits(spark, tmp_path):
+    d = tmp_path / "big"
+    d.mkdir()
+    body = ["timestamp;v"] + [f"01/07/2018 {h:02d}:{m:02d};{h * 60 + m}" for h in range(24) for m in range(0, 60, 10)]
+    body += ["trailer a;x", "trailer b;y", "01/07/2018 23:59;999"]  # the last line even parses as a timestamp
+    (d / "Site_Data_Export07-2018.csv").write_text("\n".join(body) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        got = SRC.read_scada(spark, str(d / "*.csv"), trailer_rows=3)
+        vals = sorted(int(r["v"]) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert vals == [h * 60 + m for h in range(24) for m in range(0, 60, 10)]
