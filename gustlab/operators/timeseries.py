@@ -124,11 +124,6 @@ def attach(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.lit(row[c]) for c in per_group.columns})
 
 
-def _shifted(ix: DataFrame, by: Sequence[str], cols: Sequence[str], k: int, suffix: str,
-             idx: str = IDX) -> DataFrame:
-    return ix.select(*by, (F.col(idx) - k).alias(idx), *[F.col(c).alias(f"{c}{suffix}") for c in cols])
-
-
 # --------------------------------------------------------------------------------------------- E1-E4
 def lead_value(df: DataFrame, col: str, k: int = 1, order: str = "ts", by: Sequence[str] = (),
                out: str | None = None, wrap: bool = False, method: str = "index",

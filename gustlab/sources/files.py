@@ -109,8 +109,6 @@ def read_weather(spark: SparkSession, pattern: str, drop_pattern: str | None = N
     Files are grouped by header line, one reader per distinct header, then ``unionByName``. The first
     (row id) column is dropped; ``month_label`` comes from the file name (T17).
     """
-    import re
-
     files = list_files(spark, pattern)
     if not files:
         raise FileNotFoundError(pattern)
@@ -132,8 +130,9 @@ def read_weather(spark: SparkSession, pattern: str, drop_pattern: str | None = N
     for d in frames[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
     if drop_pattern or drop_cols:
-        rx = re.compile(drop_pattern, re.IGNORECASE) if drop_pattern else None
-        out = out.drop(*[c for c in out.columns if (rx and rx.search(c)) or c in drop_cols])
+        from gustlab.operators.reshape import drop_matching
+
+        out = drop_matching(out, drop_pattern or r"(?!)", drop_cols)
     return out.withColumn("month_label", file_label(F.col("__path"), label_regex, label_is_month)).drop("__path")
 
 

@@ -62,3 +62,19 @@ def test_calendar_spine_and_exclusion(spark):
     assert sp.filter("k = 'A'").count() == 4 and sp.filter("k = 'B'").count() == 1
     f = df.withColumn("source_file", F.lit("old.csv"))
     assert SRC.exclude_files(f, ["old.csv"]).count() == 0
+
+
+def test_period_arithmetic_assemble_and_rank_join(spark):
+    from gustlab.functions import columns as C
+    from gustlab.operators import stats as ST
+
+    t0 = dt.datetime(2018, 8, 31)
+    df = spark.createDataFrame([(t0, 1.0, 2.0), (t0, 3.0, 2.0)], "ts timestamp_ntz, a double, b double")
+    r = df.select(C.add_hours(F.col("ts"), -1).alias("h"), C.add_days(F.col("ts"), 7).alias("d")).first()
+    assert r["h"] == dt.datetime(2018, 8, 30, 23) and r["d"] == dt.datetime(2018, 9, 7)
+    v = R.assemble(df, ["a", "b"]).select("features").collect()
+    assert [list(x[0]) for x in v] == [[1.0, 2.0], [3.0, 2.0]]
+    ranked = {row["a"]: row["rank"] for row in ST.with_average_rank(df, "b").collect()}
+    assert ranked == {1.0: 1.5, 3.0: 1.5}
+    kept = R.drop_matching(df.withColumn("ozone", F.lit(1)), "ozone|precipt", ["b"]).columns
+    assert kept == ["ts", "a"]
