@@ -87,29 +87,34 @@ def backtest(df: DataFrame, target: str, features: Sequence[str], horizons: Sequ
 
 # --------------------------------------------------------------------------------------------- H9
 def positions(df: DataFrame, value: str, ts: str = "ts", by: Sequence[str] = ()) -> DataFrame:
-    """``(by..., _pos, __x)``: the series numbered once (distributed index) and cached for the fit passes."""
+    """``(by..., _pos, _bkt, __x)``: the series numbered once (bucketed index) and cached for the fit passes.
+
+    The bucket count is kept on the frame's ``_nb`` column so later lag steps know whether edges exist.
+    """
     by = list(by)
-    ix = tsx.sequence_index(df.select(*by, ts, value).filter(F.col(value).isNotNull()), ts, by)
-    return ix.select(*by, "_pos", F.col(value).cast("double").alias("__x")).cache()
+    ix, nb = tsx._positions(df.select(*by, ts, value).filter(F.col(value).isNotNull()), ts, by, keep_bucket=True)
+    return ix.select(*by, "_pos", "_bkt", F.col(value).cast("double").alias("__x"), F.lit(nb).alias("_nb")).cache()
+
+
+def _nb(pos: DataFrame) -> int:
+    return int(pos.select("_nb").first()[0]) if "_nb" in pos.columns else 2
 
 
 def _ar_design(df: DataFrame, value: str, ts: str, by: Sequence[str], max_p: int, d: int) -> DataFrame:
+    """``(by..., _pos, _bkt, __y, __l1..__l{max_p})`` with ``__y`` the d-times differenced series (d in 0, 1)."""
     by = list(by)
-    y = df if "__x" in df.columns and "_pos" in df.columns else positions(df, value, ts, by)
+    pos = df if "__x" in df.columns and "_pos" in df.columns else positions(df, value, ts, by)
+    nb = _nb(pos)
     if d == 1:
-        prev = y.select(*by, (F.col("_pos") + 1).alias("_pos"), F.col("__x").alias("__xp"))
-        y = y.join(prev, on=[*by, "_pos"]).select(*by, "_pos", (F.col("__x") - F.col("__xp")).alias("__y"))
+        y = tsx.positioned_lags(pos, nb, by, "__x", [1], "__xp").select(
+            *by, "_pos", "_bkt", (F.col("__x") - F.col("__xp1")).alias("__y"))
     elif d == 0:
-        y = y.withColumnRenamed("__x", "__y")
+        y = pos.select(*by, "_pos", "_bkt", F.col("__x").alias("__y"))
     else:
         raise ValueError("d must be 0 or 1")
-    fan = y.select(*by, "_pos", "__y", F.explode(F.sequence(F.lit(1), F.lit(max_p))).alias("__j")) if max_p else None
-    if fan is None:
-        return y
-    fan = fan.select(*by, (F.col("_pos") + F.col("__j")).alias("_pos"), "__j", F.col("__y").alias("__v"))
-    lagged = fan.groupBy(*by, "_pos").pivot("__j", list(range(1, max_p + 1))).agg(F.first("__v"))
-    lagged = lagged.select(*by, "_pos", *[F.col(str(j)).alias(f"__l{j}") for j in range(1, max_p + 1)])
-    return y.join(lagged, on=[*by, "_pos"]).na.drop()
+    if not max_p:
+        return y.na.drop()
+    return tsx.positioned_lags(y, nb, by, "__y", list(range(1, max_p + 1)), "__l").na.drop()
 
 
 def _cross_sums(x: DataFrame, by: list[str], regs: list[str]) -> DataFrame:
@@ -172,12 +177,10 @@ def _solve_grouped(sums: DataFrame, by: list[str], solver) -> DataFrame:
     return sums.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(solver, schema)
 
 
-def _lags(base: DataFrame, by: list[str], col: str, prefix: str, k: int) -> DataFrame:
-    """Values of ``col`` at positions pos-1..pos-k as ``{prefix}1..{prefix}k`` (fan-out + pivot, bounded by k)."""
-    fan = base.select(*by, "_pos", F.col(col).alias("__v"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("__j"))
-    fan = fan.select(*by, (F.col("_pos") + F.col("__j")).alias("_pos"), "__j", "__v")
-    lagged = fan.groupBy(*by, "_pos").pivot("__j", list(range(1, k + 1))).agg(F.first("__v"))
-    return lagged.select(*by, "_pos", *[F.col(str(j)).alias(f"{prefix}{j}") for j in range(1, k + 1)])
+def _lags(base: DataFrame, by: list[str], col: str, prefix: str, k: int, nb: int = 2) -> DataFrame:
+    """Values of ``col`` at positions pos-1..pos-k as ``{prefix}1..{prefix}k``."""
+    out = tsx.positioned_lags(base.select(*by, "_pos", "_bkt", col), nb, by, col, list(range(1, k + 1)), prefix)
+    return out.select(*by, "_pos", *[f"{prefix}{j}" for j in range(1, k + 1)])
 
 
 def innovations(df: DataFrame, value: str, ts: str, by: Sequence[str], m: int, d: int) -> DataFrame:
@@ -206,9 +209,9 @@ def arima_fit(df: DataFrame, value: str, ts: str = "ts", by: Sequence[str] = (),
         return _solve_grouped(_cross_sums(x, by, regs), by, _orders_solver(by, len(regs), max_p, 0, d))
     m = long_ar or max(8, max_p + max_q)
     resid = (innov if innov is not None else innovations(df, value, ts, by, m, d)).withColumnRenamed("resid", "__e")
-    y = _ar_design(df, value, ts, by, 0, d)
-    x = y.join(_lags(y, by, "__y", "__l", max_p), on=[*by, "_pos"]).join(
-        _lags(resid, by, "__e", "__m", max_q), on=[*by, "_pos"]).na.drop().withColumn("__one", F.lit(1.0))
+    nb = _nb(df)
+    y = _ar_design(df, value, ts, by, max_p, d)
+    x = y.join(_lags(resid, by, "__e", "__m", max_q, nb), on=[*by, "_pos"]).na.drop().withColumn("__one", F.lit(1.0))
     regs = ["__one"] + [f"__l{j}" for j in range(1, max_p + 1)] + [f"__m{j}" for j in range(1, max_q + 1)]
     return _solve_grouped(_cross_sums(x, by, regs), by, _orders_solver(by, len(regs), max_p, max_q, d))
 
@@ -281,4 +284,4 @@ def arima_residuals(df: DataFrame, value: str, fit: DataFrame, ts: str = "ts", b
     pred = F.col("intercept")
     for j in range(1, max_p + 1):
         pred = pred + F.coalesce(F.try_element_at("coefs", F.lit(j)), F.lit(0.0)) * F.col(f"__l{j}")
-    return x.select(*by, "_pos", (F.col("__y") - pred).alias("resid"))
+    return x.select(*by, "_pos", "_bkt", (F.col("__y") - pred).alias("resid"))

@@ -124,6 +124,29 @@ def attach(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.lit(row[c]) for c in per_group.columns})
 
 
+def positioned_lags(ix: DataFrame, nb: int, by: Sequence[str], col: str, ks: Sequence[int],
+                    prefix: str) -> DataFrame:
+    """``{prefix}{k}`` = value of ``col`` k positions earlier, for every k in ``ks`` (k >= 1), on a frame from
+    :func:`_positions` with ``keep_bucket``: windowed ``lag()`` per bucket, edge rows fixed by a small join."""
+    by = list(by)
+    w = Window.partitionBy(*by, "_bkt").orderBy(IDX)
+    res = ix.select("*", *[F.lag(col, k).over(w).alias(f"{prefix}{k}") for k in ks])
+    if nb > 1 and ks:
+        kmax = max(ks)
+        wb = Window.partitionBy(*by, "_bkt")
+        e = res.withColumn("__lo", F.min(IDX).over(wb)).withColumn("__hi", F.max(IDX).over(wb))
+        tails = e.filter(F.col(IDX) > F.col("__hi") - kmax).select(*by, F.col(IDX).alias("__sp"), F.col(col).alias("__sv"))
+        heads = e.filter(F.col(IDX) < F.col("__lo") + kmax).select(*by, IDX, "__lo")
+        pairs = heads.select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("__k")).withColumn(
+            "__sp", F.col(IDX) - F.col("__k")).filter(F.col("__sp") < F.col("__lo"))
+        fix = pairs.join(tails, on=[*by, "__sp"]).groupBy(*by, IDX).pivot("__k", list(ks)).agg(F.first("__sv"))
+        fix = fix.select(*by, IDX, *[F.col(str(k)).alias(f"__e{k}") for k in ks])
+        res = res.join(fix, on=[*by, IDX], how="left").withColumns(
+            {f"{prefix}{k}": F.coalesce(F.col(f"{prefix}{k}"), F.col(f"__e{k}")) for k in ks}).drop(
+            *[f"__e{k}" for k in ks])
+    return res
+
+
 # --------------------------------------------------------------------------------------------- E1-E4
 def lead_value(df: DataFrame, col: str, k: int = 1, order: str = "ts", by: Sequence[str] = (),
                out: str | None = None, wrap: bool = False, method: str = "index",

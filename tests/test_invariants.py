@@ -180,3 +180,15 @@ def test_sequence_windows_window_equals_fanout(spark, series, monkeypatch):
     a = {(r["sid"], r["ts"]): r["seq"] for r in tsx.sequence_windows(series, ["x"], 4, by=["sid"]).collect()}
     b = {(r["sid"], r["ts"]): r["seq"] for r in tsx.sequence_windows(series, ["x"], 4, by=["sid"], method="fanout").collect()}
     assert a.keys() == b.keys() and all(a[k] == b[k] for k in a)
+
+
+def test_positioned_lags_across_edges(spark, series):
+    ix, nb = tsx._positions(series, "ts", ["sid"], rows_per_bucket=31, keep_bucket=True)
+    assert nb > 1
+    got = tsx.positioned_lags(ix, nb, ["sid"], "x", [1, 2, 5], "l")
+    w = Window.partitionBy("sid").orderBy("ts")
+    ref = series.select("sid", "ts", *[F.lag("x", k).over(w).alias(f"r{k}") for k in (1, 2, 5)])
+    j = got.join(ref, ["sid", "ts"])
+    assert j.count() == 1000
+    for k in (1, 2, 5):
+        assert j.filter(~F.col(f"l{k}").eqNullSafe(F.col(f"r{k}"))).count() == 0
