@@ -48,16 +48,17 @@ def q_affected_months(spark, d):
     return Q.affected_groups(long, by="filename")
 
 
-@register("missing_report", f"""
+REPORT_SQL = f"""
     WITH m AS ({MISSING_SQL})
-    SELECT feature,
-           {_list("max(CASE WHEN filename = '{c}' THEN pct_missing END) AS {c}", ["Wk01", "Wk02", "Wk03", "Wk04", "Wk05"])}
-    FROM m GROUP BY feature
-""")
+    PIVOT m ON filename USING max(pct_missing) GROUP BY feature
+"""
+
+
+@register("missing_report", REPORT_SQL)
 def q_missing_report(spark, d):
-    """The percent table transposed, features as rows and week labels as columns."""
+    """The percent table transposed, features as rows and one column per week label found in the data."""
     long = Q.missing_percent(S.scada_10min(spark, d, with_nulls=True), FEATS, by=["filename"])
-    return Q.missing_report(long, "filename", groups=["Wk01", "Wk02", "Wk03", "Wk04", "Wk05"])
+    return Q.missing_report(long, "filename")
 
 
 # ------------------------------------------------------------------------------------------- D5
@@ -285,19 +286,13 @@ def q_expected_power(spark, d):
 
 
 # ------------------------------------------------------------------------------------------- A7
-@register("missing_report_csv", f"""
-    WITH m AS ({MISSING_SQL})
-    SELECT feature,
-           {_list("max(CASE WHEN filename = '{c}' THEN pct_missing END) AS {c}", ["Wk01", "Wk02", "Wk03", "Wk04", "Wk05"])}
-    FROM m GROUP BY feature
-""")
+@register("missing_report_csv", REPORT_SQL)
 def q_missing_report_csv(spark, d):
     """The missing-value report written as one CSV file in the shared folder and read back."""
     from gustlab.session import scratch_path
     from gustlab.sources.files import write_report
 
-    weeks = ["Wk01", "Wk02", "Wk03", "Wk04", "Wk05"]
     long = Q.missing_percent(S.scada_10min(spark, d, with_nulls=True), FEATS, by=["filename"])
-    path = write_report(Q.missing_report(long, "filename", groups=weeks), scratch_path(spark, "miss-vals"))
+    path = write_report(Q.missing_report(long, "filename"), scratch_path(spark, "miss-vals"))
     back = spark.read.option("header", True).csv(path)
-    return back.select("feature", *[F.col(w).cast("double").alias(w) for w in weeks])
+    return back.select("feature", *[F.col(c).cast("double").alias(c) for c in back.columns if c != "feature"])
