@@ -29,7 +29,8 @@ def hourly_farm(df: DataFrame, features: Sequence[str], ts: str = "ts", turbine:
     over turbines, column by column, then rounded half-even.
 
     With ``turbines`` given, the per-turbine means are pivoted inside ONE aggregation keyed by the hour, so the
-    plan has a single exchange with map-side partial aggregation (skewed hours collapse before the shuffle).
+    plan has a single exchange with map-side partial aggregation (skewed hours collapse before the shuffle);
+    only the listed turbines take part.
     Without it, or when turbines x features exceeds ``pivot_limit`` aggregate buffers (generated code would
     grow too large), two aggregations run (turbine-hour, then hour).
     """
