@@ -96,6 +96,19 @@ def positions(df: DataFrame, value: str, ts: str = "ts", by: Sequence[str] = ())
     return ix.select(*by, "_pos", "_bkt", F.col(value).cast("double").alias("__x"), F.lit(nb).alias("_nb")).cache()
 
 
+SERIES = "__series"
+
+
+def _keyed(df: DataFrame, value: str, by: Sequence[str]) -> tuple[DataFrame, list[str], bool]:
+    """A single series gets a series column so every step runs the keyed plan. It is derived from the data
+    (not a literal), so Catalyst cannot fold join keys on it into a cross join."""
+    by = list(by)
+    if by:
+        return df, by, False
+    key = F.coalesce(F.col(value).cast("double") * 0, F.lit(0.0)).cast("int")
+    return df.withColumn(SERIES, key), [SERIES], True
+
+
 def _nb(pos: DataFrame) -> int:
     return int(pos.select("_nb").first()[0]) if "_nb" in pos.columns else 2
 
@@ -202,6 +215,9 @@ def arima_fit(df: DataFrame, value: str, ts: str = "ts", by: Sequence[str] = (),
     Output per series: ``p, d, q, intercept, coefs, ma_coefs, sigma2, aicc, n``.
     """
     by = list(by)
+    if not by and "__x" not in df.columns:
+        df, by, _ = _keyed(df, value, by)
+        return arima_fit(df, value, ts, by, max_p, d, max_q, long_ar, innov).drop(SERIES)
     df = df if "__x" in df.columns else positions(df, value, ts, by)
     if max_q == 0:
         x = _ar_design(df, value, ts, by, max_p, d).withColumn("__one", F.lit(1.0))
@@ -223,25 +239,26 @@ def arima_forecast(df: DataFrame, value: str, h: int, ts: str = "ts", by: Sequen
     Future innovations are zero; the last ``q`` ones come from the long-AR stage.
     """
     by = list(by)
+    if not by:
+        df, by, _ = _keyed(df, value, by)
+        return arima_forecast(df, value, h, ts, by, max_p, d, max_q, long_ar).drop(SERIES)
     pos = positions(df, value, ts, by)
     inn = innovations(pos, value, ts, by, long_ar or max(8, max_p + max_q), d).cache() if max_q else None
     fit = arima_fit(pos, value, ts, by, max_p, d, max_q, long_ar, innov=inn)
     if max_q:
         last = inn.groupBy(*by).agg(F.max("_pos").alias("__lp"))
-        inn = inn.join(last, on=by) if by else tsx.attach(inn, last, by)
+        inn = inn.join(last, on=by)
         inn = inn.filter(F.col("_pos") > F.col("__lp") - max_q).groupBy(*by).agg(
             F.array_sort(F.collect_list(F.struct("_pos", F.col("resid").alias("e")))).alias("__eps"))
-        fit = fit.join(inn, on=by, how="left") if by else fit.withColumn("__g", F.lit(0)).join(
-            inn.withColumn("__g", F.lit(0)), on="__g", how="left").drop("__g")
+        fit = fit.join(inn, on=by, how="left")
     else:
         fit = fit.withColumn("__eps", F.lit(None).cast("array<struct<_pos:long,e:double>>"))
     n = pos.groupBy(*by).agg(F.max("_pos").alias("__last"))
-    tail = pos.join(n, on=by) if by else tsx.attach(pos, n, by)
+    tail = pos.join(n, on=by)
     tail = tail.filter(F.col("_pos") >= F.col("__last") - (max_p + 1))
     tail = tail.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_pos", F.col("__x").alias("v"))))
                                  .alias("__tail"))
-    both = tail.join(fit, on=by) if by else tail.withColumn("__g", F.lit(0)).join(
-        fit.withColumn("__g", F.lit(0)), on="__g").drop("__g")
+    both = tail.join(fit, on=by)
     out_schema = (", ".join(f"{c} {t}" for c, t in df.select(*by).dtypes) + ", " if by else "") + \
         "step int, forecast double, p int, q int"
 
@@ -267,20 +284,27 @@ def arima_forecast(df: DataFrame, value: str, h: int, ts: str = "ts", by: Sequen
                 rows.append(row)
         return pd.DataFrame(rows, columns=[*by, "step", "forecast", "p", "q"])
 
-    if by:
-        return both.groupBy(*by).applyInPandas(run, out_schema)
-    return both.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(run, out_schema)
+    return both.groupBy(*by).applyInPandas(run, out_schema)
 
 
 def arima_residuals(df: DataFrame, value: str, fit: DataFrame, ts: str = "ts", by: Sequence[str] = (),
                     max_p: int = 5) -> DataFrame:
     """One-step residuals of a fitted AR(I) model on its own series: ``(by..., _pos, resid)`` (input to E12)."""
     by = list(by)
+    if not by:
+        # one series: its single fit row is read as literals (a join on a constant key would plan a cross join)
+        row = fit.first()
+        df, by, _ = _keyed(df, value, by)
+        x = _ar_design(positions(df, value, ts, by), value, ts, by, max_p, int(row["d"]))
+        pred = F.lit(float(row["intercept"] or 0.0))
+        for j, c in enumerate(row["coefs"] or [], start=1):
+            if j <= max_p:
+                pred = pred + F.lit(float(c)) * F.col(f"__l{j}")
+        return x.select("_pos", "_bkt", (F.col("__y") - pred).alias("resid"))
     d = int(fit.select("d").first()["d"]) if fit.select("d").first() else 1
     x = _ar_design(df if "__x" in df.columns else positions(df, value, ts, by), value, ts, by, max_p, d)
     f = fit.select(*by, "intercept", "coefs")
-    x = x.join(f, on=by) if by else tsx.attach(x, f.withColumn("coefs", F.to_json("coefs")), by).withColumn(
-        "coefs", F.from_json("coefs", "array<double>"))
+    x = x.join(f, on=by)
     pred = F.col("intercept")
     for j in range(1, max_p + 1):
         pred = pred + F.coalesce(F.try_element_at("coefs", F.lit(j)), F.lit(0.0)) * F.col(f"__l{j}")
