@@ -39,8 +39,9 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     """
     by = list(by)
     v = df.select(*by, qcol(col).cast("double").alias("__x")).filter(F.col("__x").isNotNull())
-    ix = sequence_index(v, "__x", by)
     n = v.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    total = None if by else (n.first() or {"__n": 0})["__n"]  # one count serves the index and the positions
+    ix = sequence_index(v, "__x", by, n_rows=total)
     ps = n.select(*by, "__n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
     ps = ps.withColumn("__h", (F.col("__n") - 1) * F.col("p")).withColumn("__lo", F.floor("__h").cast("long"))
     ps = ps.withColumn("__hi", F.least(F.col("__lo") + 1, F.col("__n") - 1))
