@@ -255,3 +255,33 @@ def test_t1_exact_trailer_across_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert vals == [h * 60 + m for h in range(24) for m in range(0, 60, 10)]
+
+
+def test_t2_missing_percent_only_named_columns(spark):
+    df = spark.createDataFrame([("m", T0, None, 1.0), ("m", None, 2.0, 1.0)], "month string, ts timestamp_ntz, a double, b double")
+    feats = {r["feature"] for r in Q.missing_percent(df, ["a", "b"], by=["month"]).collect()}
+    assert feats == {"a", "b"}  # keys and the timestamp are left out explicitly
+
+
+def test_t5_all_features_rounded(spark):
+    rows = [("WT01", ts(0), 1.23456, 7.65432), ("WT01", ts(10), 1.0, 7.0)]
+    df = spark.createDataFrame(rows, "turbine string, ts timestamp_ntz, a double, b double")
+    r = tsx.hourly_farm(df, ["a", "b"]).first()
+    assert (r["a"], r["b"]) == (1.117, 7.327)
+
+
+def test_t11_order_by_time_not_arrival(spark):
+    # rows appended out of time order (as patched rows are) still lead in time order
+    df = spark.createDataFrame([(ts(120), 3.0), (ts(0), 1.0), (ts(60), 2.0)], "ts timestamp_ntz, x double")
+    got = {r["ts"]: r["x_lead1"] for r in tsx.lead_value(df, "x", 1).collect()}
+    assert got[ts(0)] == 2.0 and got[ts(60)] == 3.0 and got[ts(120)] is None
+
+
+def test_t13_scaler_fit_on_train_only(spark):
+    df = spark.createDataFrame([(0.0, "train"), (2.0, "train"), (100.0, "test")], "x double, split string")
+    all_rows = tsx.zscore_fit(df, ["x"])["x"]
+    train = tsx.zscore_fit(df, ["x"], F.col("split") == "train")["x"]
+    assert train == (1.0, pytest.approx(math.sqrt(2.0)))
+    assert all_rows[0] == pytest.approx(34.0)
+    scaled = {r["split"]: r["x"] for r in tsx.zscore(df.filter("split = 'test'"), ["x"], stats={"x": train}).collect()}
+    assert scaled["test"] == pytest.approx(99.0 / math.sqrt(2.0))
