@@ -132,18 +132,22 @@ def impute_by_regression(df: DataFrame, y: str, x: str, digits: int = 2, train:
 
 # --------------------------------------------------------------------------------------------- H3
 def knn_predict(train: DataFrame, queries: DataFrame, key: str, features: str, target: str, k: int = 5,
-                max_broadcast_rows: int = 20_000, train_partitions: int | None = None) -> DataFrame:
+                max_broadcast_rows: int = 20_000, train_partitions: int | None = None,
+                max_topk_partitions: int = 2048) -> DataFrame:
     """Exact k-nearest-neighbour mean of ``target`` for every query row (Euclidean on an array column).
 
     No cross join: query rows go out in broadcast chunks whose size is checked (``max_broadcast_rows``);
     every training partition keeps a running top-k per query in NumPy and emits only those k candidates;
     a final window keeps the k nearest per query (ties broken by training key). Work is queries x training
-    rows distance evaluations, shuffle is partitions x queries x k rows.
+    rows distance evaluations; the merge shuffles partitions x queries x k rows, so the top-k pass runs on at
+    most ``max_topk_partitions`` training partitions (``coalesce``: no shuffle, longer streaming tasks).
     """
     spark = train.sparkSession
     tr = train.select(F.col(key).alias("__tk"), F.col(features).alias("__x"), F.col(target).alias("__y"))
     if train_partitions:
         tr = tr.repartition(train_partitions)
+    elif tr.rdd.getNumPartitions() > max_topk_partitions:
+        tr = tr.coalesce(max_topk_partitions)
     n_q = queries.count()
     chunks = max(1, math.ceil(n_q / max_broadcast_rows))
     schema = T.StructType([T.StructField("__qk", T.LongType()), T.StructField("__d", T.DoubleType()),

@@ -88,7 +88,8 @@ def test_knn_chunks_equal_single_chunk(spark):
     df = spark.createDataFrame(rows, "id long, f array<double>, y double")
     a = I.impute_by_knn(df, "id", "f", "y", k=3, max_broadcast_rows=10).collect()
     b = I.impute_by_knn(df, "id", "f", "y", k=3).collect()
-    assert {r["id"]: r["y"] for r in a} == {r["id"]: r["y"] for r in b}
+    c = I.impute_by_knn(df.repartition(6), "id", "f", "y", k=3, max_topk_partitions=1).collect()
+    assert {r["id"]: r["y"] for r in a} == {r["id"]: r["y"] for r in b} == {r["id"]: r["y"] for r in c}
     # brute force check of one query row
     pdf = df.toPandas()
     q = pdf[pdf.y.isna()].iloc[0]
