@@ -264,7 +264,7 @@ def _topk_cv_partition(bq, kmax: int, repeats: int):
 
 
 def knn_cv(df: DataFrame, key: str, features: str, target: str, ks=(5, 7, 9), folds: int = 10, repeats: int = 3,
-           seed: int = 123, max_broadcast_rows: int = 20_000) -> DataFrame:
+           seed: int = 123, max_broadcast_rows: int = 20_000, max_topk_partitions: int = 2048) -> DataFrame:
     """Repeated k-fold CV of the exact kNN regressor for several k at once (H3 tuned as in H4).
 
     Every labelled row is a query; inside each training partition its neighbours from the same fold are
@@ -291,8 +291,10 @@ def knn_cv(df: DataFrame, key: str, features: str, target: str, ks=(5, 7, 9), fo
             continue
         bq = spark.sparkContext.broadcast((qp["__tk"].to_numpy(np.int64), np.stack(qp["__x"].to_numpy()).astype(float),
                                            np.stack(qp["__folds"].to_numpy()).astype(int)))
-        parts.append(lab.select("__tk", "__x", "__y", "__folds").mapInPandas(
-            _topk_cv_partition(bq, kmax, repeats), schema))
+        tr = lab.select("__tk", "__x", "__y", "__folds")
+        if tr.rdd.getNumPartitions() > max_topk_partitions:
+            tr = tr.coalesce(max_topk_partitions)  # bounds the candidates shuffled per query
+        parts.append(tr.mapInPandas(_topk_cv_partition(bq, kmax, repeats), schema))
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
