@@ -44,9 +44,12 @@ def stratified_split(df: DataFrame, y: str, p: float = 0.7, groups: int = 5, see
         b = b + F.when(F.col(y) > F.lit(v), 1).otherwise(0)
     sk = shuffle_key if shuffle_key is not None else F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
     d = df.filter(F.col(y).isNotNull()).withColumn(bucket_col, b.cast("int")).withColumn("__sk", sk)
-    ix = sequence_index(d, "__sk", [bucket_col], tiebreak=list(tiebreak if tiebreak is not None else keys))
     n = d.groupBy(bucket_col).agg(F.count(F.lit(1)).alias("__n"))
-    out = ix.join(n, on=bucket_col)
+    sizes = {r[bucket_col]: r["__n"] for r in n.collect()}  # one row per stratum
+    ix = sequence_index(d, "__sk", [bucket_col], tiebreak=list(tiebreak if tiebreak is not None else keys),
+                        n_rows=sum(sizes.values()))
+    size = F.create_map(*[x for kv in sizes.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]) if sizes else None
+    out = ix.withColumn("__n", size[F.col(bucket_col)] if size is not None else F.lit(0))
     out = out.withColumn(label, F.when(F.col("_pos") < F.ceil(F.col("__n") * p), "train").otherwise("test"))
     return out.drop("_pos", "__n", "__sk")
 
