@@ -68,3 +68,17 @@ def test_arima_ma_term_recovered(spark):
     assert fit["q"] >= 1 and fit["ma_coefs"][0] == pytest.approx(0.6, abs=0.08)
     fc = FC.arima_forecast(df, "v", 3, max_p=2, d=0, max_q=2).orderBy("step").collect()
     assert len(fc) == 3 and abs(fc[2]["forecast"]) < 1.0
+
+
+def test_t9_weather_workflow_refit_option(spark):
+    from gustlab.operators import timeseries as tsx
+    from gustlab.plans import standins as S
+    from gustlab.plans.workflows import weather_to_final
+
+    d = "/root/testdata/sf0.001"
+    h = tsx.hourly_farm(S.scada_10min(spark, d), S.SCADA_FEATURES, turbines=S.TURBINES).cache()
+    w = S.weather_hourly(spark, d).drop("month_label").cache()
+    a = weather_to_final(h, w, "active_power_kw")
+    b = weather_to_final(h, w, "active_power_kw", refit=True)
+    assert a.count() == b.count() > 0
+    assert a.filter("pressure IS NULL").count() == 0 and b.filter("pressure IS NULL").count() == 0
