@@ -40,6 +40,8 @@ def sensor_to_hourly(scada: DataFrame, features: Sequence[str], target: str, spe
     b = cut_lineage(I.impute_from_donor(a, tagged, [turbine], feats, ts=ts, donor_years=-1, tag_col=None))
     zv = [r[0] for r in Q.zero_variance(b, feats, by=[month, turbine]).collect()]
     kept = [c for c in feats if c not in zv]
+    if not kept:
+        raise ValueError("every feature is constant within some month x turbine group; nothing to aggregate")
     hourly = tsx.hourly_farm(b, kept, ts=ts, turbine=turbine, turbines=turbines, farm_agg="max")
     hourly = hourly.withColumn(month, F.date_format(ts, "MMMyyyy")).cache()  # several selection passes read it
     if select and target in kept and speed in kept:

@@ -82,3 +82,22 @@ def test_t9_weather_workflow_refit_option(spark):
     b = weather_to_final(h, w, "active_power_kw", refit=True)
     assert a.count() == b.count() > 0
     assert a.filter("pressure IS NULL").count() == 0 and b.filter("pressure IS NULL").count() == 0
+
+
+def test_sensor_workflow_donor_years_and_constant_drop(spark):
+    from gustlab.plans.workflows import sensor_to_hourly
+
+    def at(y, m):
+        return dt.datetime(y, 7, 1, 5, m)
+
+    rows = [("Jul2017", "WT01", at(2017, 0), 10.0, 5.0, 1.0), ("Jul2017", "WT01", at(2017, 10), 12.0, 5.5, 1.0),
+            ("Jul2017", "WT02", at(2017, 0), 30.0, 6.0, 1.0), ("Jul2017", "WT02", at(2017, 10), 32.0, 6.5, 1.0),
+            ("Jul2018", "WT01", at(2018, 0), None, 7.0, 1.0), ("Jul2018", "WT01", at(2018, 10), 14.0, 7.5, 1.0),
+            ("Jul2018", "WT02", at(2018, 0), 20.0, 8.0, 1.0), ("Jul2018", "WT02", at(2018, 10), 22.0, 8.5, 1.0)]
+    df = spark.createDataFrame(rows, "filename string, turbine string, ts timestamp_ntz, p double, w double, c double")
+    out, cols = sensor_to_hourly(df, ["p", "w", "c"], "p", "w", turbines=["WT01", "WT02"], select=False)
+    got = {r["ts"]: (r["p"], r["w"]) for r in out.collect()}
+    assert cols == ["p", "w"]  # c is constant in every month x turbine
+    # 2018 WT01 05:00 took its 2017 row (10, 5): WT01 means (12, 6.25), WT02 (21, 8.25); max per column
+    assert got[dt.datetime(2018, 7, 1, 5)] == (21.0, 8.25)
+    assert got[dt.datetime(2017, 7, 1, 5)] == (31.0, 6.25)
