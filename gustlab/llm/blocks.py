@@ -20,7 +20,16 @@ CHUNK_BYTES = 2 << 20
 _M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so invertible modulo 2^64
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POW: dict[str, np.ndarray] = {}
+
+
+class Scratch(dict):
+    """A cache that stays in its process: pickled, it is empty (Spark ships this package's modules by value)."""
+
+    def __reduce__(self):
+        return Scratch, ()
+
+
+_POW = Scratch()
 
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _LOWER = np.arange(256)

@@ -18,25 +18,21 @@ from gustlab.llm import blocks as B
 
 DIM = 1024
 MAX_LANGUAGES = 5_000
-_CACHE: dict = {}
 
 
-def _letters() -> np.ndarray:
-    if "letters" not in _CACHE:
-        _CACHE["letters"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-    return _CACHE["letters"]
+def letter_vectors(codes: np.ndarray) -> np.ndarray:
+    """The +1/-1 vectors [n, DIM] of code points (0: the boundary), the same in every process."""
+    seed = codes.astype(np.uint64)[:, None] * np.uint64(0xD1B54A32D192ED03)
+    bits = B.mix(seed + (np.arange(DIM // 64, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return np.unpackbits(bits.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
-def letter_vector(code: int) -> np.ndarray:
-    """The +1/-1 vector of a code point (0: the boundary), the same in every process."""
-    got = _CACHE.get(code)
-    if got is None:
-        bits = B.mix((np.arange(DIM // 64, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-                     + np.uint64(code * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
-        got = (np.unpackbits(bits.view(np.uint8)).astype(np.int8) * 2 - 1)
-        if len(_CACHE) < 50_000:
-            _CACHE[code] = got
-    return got
+def _is_letter(cps: np.ndarray) -> np.ndarray:
+    """Which code points are letters, by Unicode's general categories."""
+    seen = np.flatnonzero(np.bincount(cps, minlength=1)).astype(np.uint32)
+    table = np.zeros(int(seen[-1]) + 1, bool)
+    table[seen] = [chr(c).isalpha() for c in seen.tolist()]
+    return table[cps]
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray):
@@ -47,7 +43,7 @@ def ngrams(data: np.ndarray, offsets: np.ndarray):
     lead = (data & 0xC0) != 0x80  # one lead byte a code point
     at = np.concatenate([[0], np.cumsum(lead)])[offsets]
     row = np.repeat(np.arange(n), np.diff(at))
-    is_letter = _letters()[cps]
+    is_letter = _is_letter(cps) if len(cps) else np.zeros(0, bool)
     has = np.zeros(n, bool)
     has[row[is_letter]] = True
     # one boundary before every run of letters and one after: keep letters and the first non-letter after a letter
@@ -94,7 +90,7 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
     if not len(grams):
         return np.zeros((0, DIM), np.float32)
     codes, inv = np.unique(grams, return_inverse=True)
-    base = np.stack([letter_vector(int(c)) for c in codes])
+    base = letter_vectors(codes)
     inv = inv.reshape(grams.shape)
     v = np.roll(base, 2, 1)[inv[:, 0]] * np.roll(base, 1, 1)[inv[:, 1]] * base[inv[:, 2]]
     return v.astype(np.float32)
