@@ -35,10 +35,10 @@ def _ngrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     n = ends - starts
     total = int((n + 2).sum())
     if not total:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint16), np.zeros(0, np.int32)
     begin = np.concatenate([[0], np.cumsum(n + 2)])
-    owner = np.repeat(np.arange(len(n)), n + 2)
-    pos = np.arange(total) - begin[owner]
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), n + 2)
+    pos = (np.arange(total) - begin[owner]).astype(np.int32)
     buf = np.full(total, 1, np.uint64)  # the edge mark
     inner = (pos > 0) & (pos <= n[owner])
     buf[inner] = B._LOWER[data[(starts[owner] + pos - 1)[inner]]].astype(np.uint64)
@@ -48,7 +48,7 @@ def _ngrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         code = code[:-1] * np.uint64(257) + buf[k:]
         if k >= 2:
             ok = pos[:len(code)] + k < (n + 2)[owner[:len(code)]]
-            got.append((B.mix(code[ok] + np.uint64(k << 48)) % np.uint64(BUCKETS)).astype(np.int64))
+            got.append((B.mix(code[ok] + np.uint64(k << 48)) % np.uint64(BUCKETS)).astype(np.uint16))
             own.append(owner[:len(code)][ok])
     return np.concatenate(got), np.concatenate(own)
 
@@ -74,7 +74,7 @@ class Words:
         first = np.searchsorted(self.owner, ids)
         n = np.searchsorted(self.owner, ids, "right") - first
         out = object.__new__(Words)
-        out.hash, out.owner = self.hash[ids], np.repeat(np.arange(len(ids)), n)
+        out.hash, out.owner = self.hash[ids], np.repeat(np.arange(len(ids), dtype=np.int32), n)
         out.grams = self.grams[np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]
         return out
 
@@ -117,8 +117,12 @@ def inputs(m: dict, w: Words) -> tuple[np.ndarray, np.ndarray]:
                   len(m["vocab"])) if len(m["vocab"]) else np.zeros(len(w.hash), np.int64)
     x = np.empty((len(w.hash), D_WORD + D_CHAR), np.float32)
     x[:, :D_WORD] = m["word"][at]
-    for k in range(D_CHAR):
-        x[:, D_WORD + k] = np.bincount(w.owner, weights=m["gram"][:, k][w.grams], minlength=len(w.hash))
+    for i in range(0, len(w.hash), 1 << 16):  # blocks of words
+        j = min(i + (1 << 16), len(w.hash))
+        a, b = np.searchsorted(w.owner, [i, j])
+        own, grams = w.owner[a:b] - i, w.grams[a:b]
+        for k in range(D_CHAR):
+            x[i:j, D_WORD + k] = np.bincount(own, weights=m["gram"][grams, k], minlength=j - i)
     return np.clip(x, -12, 12), at
 
 
@@ -344,8 +348,22 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
            .where(F.length("t").between(1, MAX_TRAIN_CHARS)).join(F.broadcast(pick), "id")
            .dropDuplicates(["id"]))
     got = got.where("y = 0").orderBy(*order).limit(per_class).unionAll(got.where("y = 1").orderBy(*order).limit(per_class))
-    rows = got.orderBy("y", *order).collect()
-    return train([r["t"] for r in rows], np.array([r["y"] for r in rows]))
+
+    def run(batches):  # one task trains on the sample; the driver gets the weights
+        import pickle
+
+        import pyarrow as pa
+
+        texts, y = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            y += b.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(y)))], pa.binary())], ["model"])
+
+    import pickle
+
+    row = got.repartition(1).sortWithinPartitions("y", *order).select("t", "y").mapInArrow(run, "model binary").collect()
+    return pickle.loads(row[0]["model"]) if row else None
 
 
 def score(docs: DataFrame, model: dict | None, text: str = "text", keep: list[str] | None = None,
