@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustlab.llm import decontaminate, jaccard, language, mixing, toxicity
+from gustlab.llm import (decontaminate, embeddings, html_text, jaccard, language, lm, mixing, token_counts, toxicity,
+                         warc)
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -21,6 +22,31 @@ def _held_out(id, by: int, value: int) -> F.Column:
     return F.coalesce(remainder(id, by) == value, F.lit(False))
 
 
+def op1_embedding_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 1 over all embeddings: equal labels, cosine of 0.98 or more."""
+    return embeddings.near_duplicates(_table(spark, d, "embeddings"))
+
+
+def op2_warc_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 2: all pages written to WARC archives and read back."""
+    return warc.roundtrip(_table(spark, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_html_text(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 3: the main text of all pages."""
+    return html_text.extract(_table(spark, d, "pages"), keep=["page_id", "url"])
+
+
+def op5_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 5: tokens of all documents, by scanning flat token files for the end-of-document id."""
+    return token_counts.count_tokens(_table(spark, d, "documents"))
+
+
+def op7_backoff_automaton(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 7 over all documents; learns from the ids whose crc32 leaves no 2 modulo 7."""
+    return lm.score(_table(spark, d, "documents"), learn=lambda id: remainder(id, 7) != 2)
+
+
 def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
     """Operator 4 over all documents; learns from labelled ids whose crc32 leaves 0 or 2 modulo 3."""
     docs = _table(spark, d, "documents")
@@ -52,5 +78,33 @@ def op10_language(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", _held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op6_mix_sources, op8_decontaminate, op9_ngram_jaccard, op10_language)}
-ORACLE = {"op6_mix_sources": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (
+    op1_embedding_near_dedup, op2_warc_roundtrip, op3_html_text, op4_toxicity, op5_token_counts, op6_mix_sources,
+    op7_backoff_automaton, op8_decontaminate, op9_ngram_jaccard, op10_language)}
+
+_OP1_SQL = """
+    WITH RECURSIVE e AS (
+        SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+    n AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM e),
+    link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+             WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
+    reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+    ids AS (SELECT vec_id FROM embeddings),
+    c AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+    k AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+           vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+    FROM ids LEFT JOIN c ON vec_id = c.a LEFT JOIN k ON vec_id = k.a
+"""
+
+_OP2_SQL = """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+               FROM pages),
+    f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+    FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+ORACLE = {"op1_embedding_near_dedup": _OP1_SQL, "op2_warc_roundtrip": _OP2_SQL, "op6_mix_sources": mixing.ORACLE}

@@ -59,7 +59,7 @@ def write_tokens(docs: DataFrame, folder: str, id: str = "doc_id", text: str = "
                         if out is not None:
                             out.close()
                         name, ordinal, size = fresh_name("tokens", ".u16"), 0, 0
-                        out = fs.open_output_stream(f"{root}/{name}")
+                        out = fs.open_output_stream(f"{root}/{name}", compression=None)
                     ids: list[int] = []
                     for t in b.column(1).slice(i, j - i).to_pylist():
                         ids += enc.encode_ordinary(t or "")

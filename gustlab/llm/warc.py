@@ -151,7 +151,7 @@ def write_pages(pages: DataFrame, folder: str, id: str = "page_id", url: str = "
                             out.close()
                             yield pa.RecordBatch.from_pydict({"file": [name]})
                         name, size = fresh_name("pages", ".warc.gz"), 0
-                        out = fs.open_output_stream(f"{root}/{name}")
+                        out = fs.open_output_stream(f"{root}/{name}", compression=None)
                     got = record(*[b.column(k)[i].as_py() for k in range(5)])
                     out.write(got)
                     size += len(got)
