@@ -41,6 +41,9 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
             "th": ("td", "th"), "option": ("option",)}
 LISTS = frozenset("ul ol dl table select".split())
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+EDGE = 20  # a shorter line at the edge of a region, no heading and no sentence, is a label beside the text
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
     |<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.X | re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
@@ -69,9 +72,9 @@ def _is_part(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, is a page part or mostly links, inside an article or main element) of the blocks of a page, in order."""
-    out: list[tuple[str, bool, bool]] = []
+def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
+    """(text, is a page part or mostly links, inside an article or main element, is a heading) of a page's blocks, in order."""
+    out: list[tuple[str, bool, bool, bool]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is a page part
     parts = articles = links = 0
     text: list[str] = []
@@ -82,7 +85,7 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                out.append((line, parts > 0 or 2 * linked > size, articles > 0))
+                out.append((line, parts > 0 or 2 * linked > size, articles > 0, any(x[0] in HEADINGS for x in stack)))
         text, size, linked = [], 0, 0
 
     def add(s):
@@ -193,12 +196,27 @@ def main_text(page: str | None) -> str:
     got = lines(page or "")
     if not got:
         return ""
-    inside = any(a and not p for _, p, a in got)
-    lengths = np.array([0 if p or (inside and not a) else len(t) for t, p, a in got])
+    inside = any(a and not p for _, p, a, _ in got)
+    lengths = np.array([0 if p or (inside and not a) else len(t) for t, p, a, _ in got])
     keep = regions(lengths, 0 if inside else SURGE)
+    if keep.any() and not inside:
+        label = np.array([len(t) < EDGE and not h and not re.search(r"[.!?:;…\"')\]»”]$", t) for t, _, _, h in got])
+        keep = _trim(keep, label | (lengths == 0))
     if not keep.any():
         keep = regions(lengths, 0)
-    return "\n\n".join(t for (t, _, _), k, size in zip(got, keep, lengths) if k and size)
+    return "\n\n".join(x[0] for x, k, size in zip(got, keep, lengths) if k and size)
+
+
+def _trim(keep: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Regions without the labels at their edges."""
+    keep = keep.copy()
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], keep.astype(np.int8), [0]])))
+    for a, b in zip(edge[::2], edge[1::2]):
+        text = np.flatnonzero(~label[a:b])
+        first, last = (a + text[0], a + text[-1] + 1) if len(text) else (b, b)
+        keep[a:first] = False
+        keep[last:b] = False
+    return keep
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
