@@ -43,8 +43,17 @@ def month_label(c: Column) -> Column:
 
 
 def parse_dmy_hm(c: Column) -> Column:
-    """``dd/MM/yyyy HH:mm`` text -> timestamp_ntz, NULL when the text is not a timestamp."""
-    return F.try_to_timestamp(F.trim(c), F.lit("dd/MM/yyyy HH:mm")).cast("timestamp_ntz")
+    """``dd/MM/yyyy HH:mm`` text -> timestamp_ntz, NULL when the text is not a timestamp.
+
+    Built from the parts, never through a zoned timestamp, so no session zone moves an hour of a clock change.
+    """
+    t = F.trim(c)
+    part = lambda i: F.nullif(F.regexp_extract(t, r"^(\d{2})/(\d{2})/(\d{4}) (\d{2}):(\d{2})$", i), F.lit("")).cast("int")
+    day, month, year, hour, minute = (part(i) for i in range(1, 6))
+    first = F.make_date(year, F.when(month.between(1, 12), month), F.lit(1))
+    ok = day.between(1, F.dayofmonth(F.last_day(first))) & hour.between(0, 23) & minute.between(0, 59) & (year > 0)
+    guard = lambda x: F.when(ok, x)
+    return F.make_timestamp_ntz(guard(year), guard(month), guard(day), guard(hour), guard(minute), F.lit(0))
 
 
 def split_timestamp(df: DataFrame, ts: str = "ts", prefix: str = "",
@@ -80,9 +89,9 @@ def add_days(ts: Column, days: int) -> Column:
 def dms_to_decimal(c: Column) -> Column:
     """``"deg min sec"`` text -> decimal degrees (B21). Sign of the degrees applies to the whole value."""
     parts = F.split(F.trim(c), r"\s+")
-    deg = parts.getItem(0).cast("double")
-    mins = F.coalesce(parts.getItem(1).cast("double"), F.lit(0.0))
-    secs = F.coalesce(parts.getItem(2).cast("double"), F.lit(0.0))
+    deg = F.get(parts, F.lit(0)).try_cast("double")
+    mins = F.coalesce(F.get(parts, F.lit(1)).try_cast("double"), F.lit(0.0))
+    secs = F.coalesce(F.get(parts, F.lit(2)).try_cast("double"), F.lit(0.0))
     mag = F.abs(deg) + mins / 60.0 + secs / 3600.0
     return F.when(F.trim(c).startswith("-"), -mag).otherwise(mag)
 

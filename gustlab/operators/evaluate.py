@@ -15,21 +15,25 @@ def metric_columns(actual: Column, pred: Column, eps: float = KERAS_EPSILON) ->
     """Aggregate expressions for MAE, RMSE, MAPE, two R² variants and mean error %.
 
     MAPE skips zero actuals (R would divide by zero); they are counted in ``n_zero``.
-    ``r2`` is ``1 − SSE/(SST + ε)``; ``r2_corr`` is the squared Pearson correlation (caret's Rsquared).
+    ``r2`` is ``1 − SSE/(SST + ε)``; ``r2_corr`` is the squared Pearson correlation (caret's Rsquared), NULL
+    where either side is constant; ``mean_error_pct`` is NULL where the actuals' mean is 0.
     """
     err = pred - actual
     n = F.count(F.when(actual.isNotNull() & pred.isNotNull(), 1))
     sse = F.sum(err * err)
+    both = actual.isNotNull() & pred.isNotNull()
+    a, p = F.when(both, actual), F.when(both, pred)
+    corr = F.try_divide(F.covar_pop(a, p), F.stddev_pop(a) * F.stddev_pop(p))
     sst = F.var_pop(F.when(pred.isNotNull(), actual)) * n
     return [
         n.alias("n"),
         F.avg(F.abs(err)).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
-        (F.avg(F.when(actual != 0, F.abs(err / actual))) * 100).alias("mape"),
+        (F.avg(F.when(actual != 0, F.abs(F.try_divide(err, actual)))) * 100).alias("mape"),
         F.count(F.when((actual == 0) & pred.isNotNull(), 1)).alias("n_zero"),
         (1 - sse / (sst + F.lit(eps))).alias("r2"),
-        F.pow(F.corr(actual, pred), 2).alias("r2_corr"),
-        (F.sqrt(F.avg(err * err)) / F.avg(F.when(pred.isNotNull(), actual)) * 100).alias("mean_error_pct"),
+        F.pow(corr, 2).alias("r2_corr"),
+        (F.try_divide(F.sqrt(F.avg(err * err)), F.avg(F.when(pred.isNotNull(), actual))) * 100).alias("mean_error_pct"),
     ]
 
 

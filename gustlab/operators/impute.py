@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustlab.functions.columns import add_years, all_present, any_null, qcol
+from gustlab.operators.stats import exact_quantiles
 from gustlab.operators.timeseries import sequence_index
 
 
@@ -19,17 +20,13 @@ from gustlab.operators.timeseries import sequence_index
 def median_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Exact median per column ignoring NULL (R ``median(na.rm=TRUE)``), averaging the two middle values.
 
-    Positions come from :func:`sequence_index`, so no column is ever sorted inside one task.
+    Values are counted and the counts cumulated (:func:`exact_quantiles`), so ties are one row and no column is ever
+    sorted inside one task.
     """
     by = list(by)
     long = df.select(*by, *[qcol(c).cast("double").alias(c) for c in cols]).unpivot(by, list(cols), "__var", "__val")
-    long = long.filter(F.col("__val").isNotNull())
-    keys = [*by, "__var"]
-    ix = sequence_index(long, "__val", keys)
-    n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    mid = ix.join(n, on=keys).filter(
-        (F.col("_pos") == F.floor((F.col("__n") - 1) / 2)) | (F.col("_pos") == F.floor(F.col("__n") / 2)))
-    return mid.groupBy(*keys).agg(F.avg("__val").alias("median"))
+    q = exact_quantiles(long, "__val", [0.5], [*by, "__var"])
+    return q.select(*by, "__var", F.col("q").alias("median"))
 
 
 def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -49,19 +49,16 @@ def curve_segments(curve: DataFrame, x: str = "wind_speed", y: str = "power") ->
 
 
 def expected_power(df: DataFrame, curve: DataFrame, wind: str = "wind_speed_ms", power: str = "active_power_kw",
-                   band: float = 0.2, max_broadcast_points: int = 10_000) -> DataFrame:
+                   band: float = 0.2) -> DataFrame:
     """Nominal power at each row's wind speed by linear interpolation on the curve, deviation and ±band flag.
 
     Range join as an equi-join: segments are spread over the integer buckets they cover and joined on
-    ``floor(wind)``, then filtered to ``x0 <= wind < x1`` (the last point matches exactly). The curve side
-    is broadcast after its size is checked (``max_broadcast_points``). Outside the curve the expected power is
-    NULL.
+    ``floor(wind)``, then filtered to ``x0 <= wind < x1`` (the last point matches exactly). Spark broadcasts
+    the curve while it is under its size limit. Outside the curve the expected power is NULL.
     """
     seg = curve_segments(curve)
     seg = seg.withColumn("__b", F.explode(F.sequence(F.floor("x0").cast("long"), F.floor("x1c").cast("long"))))
     seg = seg.select(F.col("__b").alias("__sb"), "x0", "y0", "x1", "y1")
-    if curve.count() <= max_broadcast_points:  # proven small: broadcast; otherwise the planner decides
-        seg = F.broadcast(seg)
     r = df.withColumn("__w", qcol(wind).cast("double"))
     hit = ((F.col("__w") >= F.col("x0")) & (F.col("__w") < F.col("x1"))) | (
         F.col("x1").isNull() & (F.col("__w") == F.col("x0")))

@@ -20,6 +20,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gustlab.functions.columns import all_present
 from gustlab.operators.evaluate import regression_metrics
 from gustlab.operators.stats import exact_quantiles
 from gustlab.operators.timeseries import sequence_index
@@ -126,7 +127,9 @@ class FittedModel:
                 return pd.Series(outv)
 
             return df.withColumn(out, score(*[F.col(c).cast("double") for c in fm.inputs]))
-        return self.model.transform(df).withColumnRenamed("prediction", out).drop("__features")
+        scored = self.model.transform(df).drop("__features")
+        whole = all_present(self.inputs)  # rows with a NULL input stay, without a prediction
+        return scored.withColumn("prediction", F.when(whole, F.col("prediction"))).withColumnRenamed("prediction", out)
 
     def importances(self) -> list[tuple[str, float]]:
         """Tree models: impurity importance per input."""
@@ -138,7 +141,12 @@ class FittedModel:
 
 
 def _assemble(cols: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(cols), outputCol="__features", handleInvalid="skip")
+    return VectorAssembler(inputCols=list(cols), outputCol="__features", handleInvalid="keep")
+
+
+def _whole(train: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """The rows a model can learn from: no NULL input, no NULL label."""
+    return train.filter(all_present([*features, label]))
 
 
 def fit_random_forest(train: DataFrame, features: Sequence[str], label: str, num_trees: int = 500,
@@ -148,7 +156,7 @@ def fit_random_forest(train: DataFrame, features: Sequence[str], label: str, num
     m = str(min(int(mtry), len(feats))) if str(mtry).isdigit() else mtry
     rf = RandomForestRegressor(featuresCol="__features", labelCol=label, numTrees=num_trees,
                                featureSubsetStrategy=m, maxDepth=max_depth, seed=seed)
-    return FittedModel("rf", Pipeline(stages=[_assemble(feats), rf]).fit(train), None, feats)
+    return FittedModel("rf", Pipeline(stages=[_assemble(feats), rf]).fit(_whole(train, feats, label)), None, feats)
 
 
 def _gram_batches(fm: RandomFeatureMap, label: str, fold_cols: list[str]):
@@ -192,7 +200,11 @@ def gram_blocks(df: DataFrame, fm: RandomFeatureMap, label: str, fold_cols: Sequ
     cols += [F.col(c) for c in fold_cols]
     base = df.select(*cols).na.drop(subset=[*fm.inputs, label])
     parts = base.mapInPandas(_gram_batches(fm, label, list(fold_cols)), _GRAM_SCHEMA)
-    rows = parts.groupBy("repeat", "fold").applyInPandas(_sum_arrays, _GRAM_SCHEMA).collect()
+    # summed in two steps, so no task gets more than about the square root of the partial blocks
+    buckets = max(1, math.isqrt(max(1, base.rdd.getNumPartitions())))
+    some = parts.withColumn("__b", F.spark_partition_id() % F.lit(buckets)).groupBy("repeat", "fold", "__b").applyInPandas(
+        lambda p: _sum_arrays(p), _GRAM_SCHEMA)
+    rows = some.groupBy("repeat", "fold").applyInPandas(lambda p: _sum_arrays(p), _GRAM_SCHEMA).collect()
     k = len(fm.bias) + 1
     return {(r["repeat"], r["fold"]): (np.array(r["zz"]).reshape(k, k), np.array(r["zy"])) for r in rows}
 
@@ -232,7 +244,7 @@ def fit_gbt(train: DataFrame, features: Sequence[str], label: str, max_iter: int
     """Gradient-boosted trees; with ``validation`` (a boolean column) it stops early on that set (H8)."""
     kw = {"validationIndicatorCol": validation} if validation else {}
     gbt = GBTRegressor(featuresCol="__features", labelCol=label, maxIter=max_iter, maxDepth=4, seed=seed, **kw)
-    return FittedModel("gbt", Pipeline(stages=[_assemble(features), gbt]).fit(train), None, list(features))
+    return FittedModel("gbt", Pipeline(stages=[_assemble(features), gbt]).fit(_whole(train, features, label)), None, list(features))
 
 
 FITTERS = {"rf": fit_random_forest, "rbf": fit_rbf_regression, "random_layer": fit_random_layer, "gbt": fit_gbt}
@@ -339,12 +351,12 @@ def linear_cv(df: DataFrame, fmap: RandomFeatureMap, label: str, keys: Sequence[
     n, sae, sse, sy, syy, sp, spp, syp, sape, nz = [F.col(f"s{i}") for i in range(10)]
     sst = syy - sy * sy / n
     cov = syp - sy * sp / n
-    r = cov / F.sqrt((syy - sy * sy / n) * (spp - sp * sp / n))
+    r = F.try_divide(cov, F.sqrt(F.greatest((syy - sy * sy / n) * (spp - sp * sp / n), F.lit(0.0))))
     return s.select(
         F.lit(model).alias("model"), "repeat", "fold", n.cast("long").alias("n"), (sae / n).alias("mae"),
-        F.sqrt(sse / n).alias("rmse"), (sape / (n - nz) * 100).alias("mape"), nz.cast("long").alias("n_zero"),
+        F.sqrt(sse / n).alias("rmse"), (F.try_divide(sape, n - nz) * 100).alias("mape"), nz.cast("long").alias("n_zero"),
         (1 - sse / (sst + F.lit(1e-7))).alias("r2"), (r * r).alias("r2_corr"),
-        (F.sqrt(sse / n) / (sy / n) * 100).alias("mean_error_pct"))
+        (F.try_divide(F.sqrt(sse / n), sy / n) * 100).alias("mean_error_pct"))
 
 
 # --------------------------------------------------------------------------------------------- H10, H11

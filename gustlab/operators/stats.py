@@ -1,7 +1,7 @@
 """Statistics: summaries, quantile bins, ranks and correlation-based selection.
 
-Ranks and quantiles are exact and distributed: values are counted, the distinct values are range-bucketed
-(approximate quantiles + binary search), bucket totals give offsets, and prefix sums run inside buckets.
+Ranks and quantiles are exact and distributed: values are counted first, so ties are one row; the distinct values
+are range-partitioned, range totals give offsets, and prefix sums run inside the ranges.
 Only per-column or per-pair results (at most columns²) reach the driver.
 """
 
@@ -10,13 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustlab.functions.columns import qcol
 from gustlab.functions.stats_math import cor_test_p_udf
-from gustlab.operators.timeseries import sequence_index
+from gustlab.operators.timeseries import ROWS_PER_BUCKET, null_safe_join, range_buckets
 
 
 # --------------------------------------------------------------------------------------------- D10
@@ -34,22 +33,27 @@ def column_summary(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), f
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation between order statistics (R type 7), per group.
 
-    ``h = (n-1)p``; value ``x[floor h] + (h - floor h)(x[floor h + 1] - x[floor h])``. Order statistics
-    come from the distributed position index; output ``(by..., p, q)``.
+    ``h = (n-1)p``; value ``x[floor h] + (h - floor h)(x[floor h + 1] - x[floor h])``. The distinct values with
+    their cumulated counts cover the positions, so the two values of a quantile are those whose ranges hold its
+    positions; output ``(by..., p, q)``.
     """
     by = list(by)
     v = df.select(*by, qcol(col).cast("double").alias("__x")).filter(F.col("__x").isNotNull())
-    n = v.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    total = None if by else (n.first() or {"__n": 0})["__n"]  # one count serves the index and the positions
-    ix = sequence_index(v, "__x", by, n_rows=total)
-    ps = n.select(*by, "__n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-    ps = ps.withColumn("__h", (F.col("__n") - 1) * F.col("p")).withColumn("__lo", F.floor("__h").cast("long"))
-    ps = ps.withColumn("__hi", F.least(F.col("__lo") + 1, F.col("__n") - 1))
-    lo = ix.select(*by, F.col("_pos").alias("__lo"), F.col("__x").alias("__xlo"))
-    hi = ix.select(*by, F.col("_pos").alias("__hi"), F.col("__x").alias("__xhi"))
-    j = ps.join(lo, on=[*by, "__lo"]).join(hi, on=[*by, "__hi"])
-    q = F.col("__xlo") + (F.col("__h") - F.col("__lo")) * (F.col("__xhi") - F.col("__xlo"))
-    return j.select(*by, "p", q.alias("q"))
+    counts = v.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    pc = _prefix_counts(counts, by, "__x", "__c")
+    n = pc.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    pc = null_safe_join(pc, n, by) if by else pc.withColumn("__n", F.lit((n.first() or {"__n": 0})["__n"]))
+    h = lambda p: (F.col("__n") - 1) * F.lit(float(p))
+    lo = lambda p: F.floor(h(p)).cast("long")
+    hi = lambda p: F.least(lo(p) + 1, F.col("__n") - 1)
+    holds = lambda at: (F.col("__below") <= at) & (at < F.col("__below") + F.col("__c"))
+    hits = F.filter(F.array(*[F.struct(F.lit(float(p)).alias("p"), (h(p) - lo(p)).alias("w"), holds(lo(p)).alias("lo"),
+                                       holds(hi(p)).alias("hi")) for p in probs]), lambda s: s["lo"] | s["hi"])
+    found = pc.select(*by, "__x", F.explode(hits).alias("__s")).groupBy(*by, F.col("__s.p").alias("p")).agg(
+        F.first("__s.w").alias("w"), F.max(F.when(F.col("__s.lo"), F.col("__x"))).alias("__xlo"),
+        F.max(F.when(F.col("__s.hi"), F.col("__x"))).alias("__xhi"))
+    q = F.col("__xlo") + F.col("w") * (F.col("__xhi") - F.col("__xlo"))
+    return found.select(*by, "p", q.alias("q"))
 
 
 # --------------------------------------------------------------------------------------------- D12
@@ -70,24 +74,23 @@ def decile_calibration(df: DataFrame, actual: str, pred: str, bins: int = 10) ->
 
 # --------------------------------------------------------------------------------------------- E9
 def _prefix_counts(counts: DataFrame, by: Sequence[str], value: str, weight: str,
-                   rows_per_bucket: int = 2_000_000) -> DataFrame:
-    """Exclusive prefix sum of ``weight`` over distinct ``value`` within ``by`` (``__below``)."""
+                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Exclusive prefix sum of ``weight`` over distinct ``value`` within ``by`` (``__below``); NULL groups are a group."""
     by = list(by)
     n = counts.count()
     nb = max(1, math.ceil(n / rows_per_bucket))
-    w_in = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    order = F.col(value).asc_nulls_first()
+    w_in = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     if nb == 1:
         return counts.withColumn("__below", F.coalesce(F.sum(weight).over(w_in), F.lit(0)))
-    bounds = counts.select(F.percentile_approx(value, [i / nb for i in range(1, nb)], max(10_000, 20 * nb))).first()[0]
-    splits = [-math.inf] + sorted(set(float(b) for b in bounds)) + [math.inf]
-    c = Bucketizer(splits=splits, inputCol=value, outputCol="__b", handleInvalid="keep").transform(counts)
-    tot = c.groupBy(*by, "__b").agg(F.sum(weight).alias("__t"))
-    wo = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    c = range_buckets(counts, [*by, value], nb)
+    tot = c.groupBy(*by, "_bkt").agg(F.sum(weight).alias("__t"))
+    wo = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.withColumn("__off", F.coalesce(F.sum("__t").over(wo), F.lit(0))).drop("__t")
-    c = c.join(off, on=[*by, "__b"])
-    wb = Window.partitionBy(*by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    c = null_safe_join(c, off, [*by, "_bkt"])
+    wb = Window.partitionBy(*by, "_bkt").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return c.withColumn("__below", F.col("__off") + F.coalesce(F.sum(weight).over(wb), F.lit(0))).drop(
-        "__b", "__off")
+        "_bkt", "__off", "_tie")
 
 
 def average_rank_table(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
@@ -102,7 +105,9 @@ def average_rank_table(df: DataFrame, value: str, by: Sequence[str] = (), out: s
 def with_average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """Attach the average rank of ``value`` within ``by`` to every row (equi-join on the value)."""
     t = average_rank_table(df, value, by, out)
-    return df.join(t, on=[*by, value], how="left")
+    key = "__value"
+    keyed = df.withColumn(key, qcol(value).cast("double"))
+    return null_safe_join(keyed, t.withColumnRenamed(value, key), [*by, key], "left").drop(key)
 
 
 # --------------------------------------------------------------------------------------------- D15
@@ -138,35 +143,32 @@ def correlation_test(df: DataFrame, target: str, cols: Sequence[str], min_abs: f
 
 # --------------------------------------------------------------------------------------------- D16, D17
 def rank_columns(df: DataFrame, cols: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """Replace each column by its average rank (rows keyed by ``key``), through one long-form rank table."""
+    """Each column replaced by its average rank, one row per input row, through one long-form rank table.
+
+    Rows are told apart by ``key`` and a number among rows of equal key (rows that are equal in the key and all columns
+    are interchangeable), so repeated keys keep all their rows.
+    """
     key = list(key)
-    long = df.select(*key, *[qcol(c).cast("double").alias(c) for c in cols]).unpivot(key, list(cols), "__var", "__v")
+    data = df.select(*key, *[qcol(c).cast("double").alias(c) for c in cols])
+    w = Window.partitionBy(*key).orderBy(*[qcol(c) for c in cols])
+    data = data.withColumn("__row", F.row_number().over(w))
+    long = data.unpivot([*key, "__row"], list(cols), "__var", "__v")
     ranks = average_rank_table(long, "__v", ["__var"], "__r")
-    rl = long.join(ranks, on=["__var", "__v"], how="left")
-    return rl.groupBy(*key).pivot("__var", list(cols)).agg(F.first("__r"))
-
-
-def _mllib_matrix(data: DataFrame, cols: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    """Many columns: MLlib's distributed Gram-matrix correlation instead of one aggregate per pair."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    vec = VectorAssembler(inputCols=list(cols), outputCol="__v").transform(data.select(*cols)).select("__v").cache()
-    n = vec.count()
-    m = Correlation.corr(vec, "__v", "pearson").first()[0].toArray()  # columns x columns, on the driver
-    idx = {c: i for i, c in enumerate(cols)}
-    rows = [(a, b, int(n), float(m[idx[a], idx[b]])) for a, b in pairs]
-    vec.unpersist()
-    return data.sparkSession.createDataFrame(rows, "x string, y string, n long, r double")
+    rl = null_safe_join(long, ranks, ["__var", "__v"], "left")
+    return rl.groupBy(*key, "__row").pivot("__var", list(cols)).agg(F.first("__r")).drop("__row")
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson",
-                       key: Sequence[str] | None = None, ml_above: int = 24) -> DataFrame:
+                       key: Sequence[str] | None = None) -> DataFrame:
     """Pairwise correlations ``(x, y, n, r)`` for every pair ``x < y`` in column order.
 
-    Complete rows only. Pearson is one aggregate with a ``corr`` per pair (MLlib's Gram-matrix correlation
-    above ``ml_above`` columns); Spearman ranks the columns first (needs a row ``key``).
+    Complete rows only; one plan at any width: MLlib's distributed Gram-matrix correlation, whose
+    columns x columns result is all that reaches the driver. A constant column has ``r`` NULL, as have fewer than two
+    rows. Spearman ranks the columns first (needs a row ``key``).
     """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
     cols = list(cols)
     data = df.na.drop("any", subset=cols)
     if method == "spearman":
@@ -176,13 +178,16 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
     elif method != "pearson":
         raise ValueError(method)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    if len(cols) > ml_above:
-        return _mllib_matrix(data, cols, pairs)
-    aggs = [F.count(F.lit(1)).alias("__n")] + [F.corr(qcol(a), qcol(b)).alias(f"__r{i}") for i, (a, b) in enumerate(pairs)]
-    wide = data.agg(*aggs)
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"__r{i}").alias("r"))
-                               for i, (a, b) in enumerate(pairs)]))
-    return wide.select(F.col("__n").alias("n"), rows.alias("__s")).select("__s.x", "__s.y", "n", "__s.r")
+    stats = [x for i, c in enumerate(cols) for x in (F.min(qcol(c)).alias(f"lo{i}"), F.max(qcol(c)).alias(f"hi{i}"))]
+    vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(data.select(*[qcol(c) for c in cols])).cache()
+    head = vec.agg(F.count(F.lit(1)).alias("n"), *stats).first()
+    n = int(head["n"])
+    varies = {c: n > 1 and head[f"lo{i}"] != head[f"hi{i}"] for i, c in enumerate(cols)}
+    m = Correlation.corr(vec, "__v", "pearson").first()[0].toArray() if n > 1 else None
+    vec.unpersist()
+    idx = {c: i for i, c in enumerate(cols)}
+    rows = [(a, b, n, float(m[idx[a], idx[b]]) if varies[a] and varies[b] else None) for a, b in pairs]
+    return df.sparkSession.createDataFrame(rows, "x string, y string, n long, r double")
 
 
 def correlation_pvalues(matrix: DataFrame, alpha: float = 0.05) -> DataFrame:

@@ -10,11 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustlab.functions.columns import null_if_nan, qcol
+from gustlab.session import cut_lineage
 
 IDX = "_pos"
 
@@ -22,24 +22,25 @@ IDX = "_pos"
 # --------------------------------------------------------------------------------------------- D1, D2
 def hourly_farm(df: DataFrame, features: Sequence[str], ts: str = "ts", turbine: str = "turbine",
                 turbines: Sequence[str] | None = None, farm_agg: str = "max", digits: int | None = 3,
-                site: Sequence[str] = (), period: str = "1 hour", pivot_limit: int = 1200) -> DataFrame:
+                site: Sequence[str] = (), period: str = "1 hour", pivot: bool = True) -> DataFrame:
     """10-minute turbine rows -> one row per site and hour.
 
     Per turbine the hour is the mean of its readings; the farm value is the ``max`` (reference) or ``mean``
     over turbines, column by column, then rounded half-even.
 
-    With ``turbines`` given, the per-turbine means are pivoted inside ONE aggregation keyed by the hour, so the
-    plan has a single exchange with map-side partial aggregation (skewed hours collapse before the shuffle);
-    only the listed turbines take part.
-    Without it, or when turbines x features exceeds ``pivot_limit`` aggregate buffers (generated code would
-    grow too large), two aggregations run (turbine-hour, then hour).
+    With ``turbines`` given only these take part, and the per-turbine means are pivoted inside ONE aggregation
+    keyed by the hour, so the plan has a single exchange with map-side partial aggregation (skewed hours
+    collapse before the shuffle). Without it, or with ``pivot=False`` (the caller's choice for many turbines, same
+    result), two aggregations run (turbine-hour, then hour).
     """
     hour = F.window(ts, period).start.alias(ts)
     site = list(site)
     clean = [null_if_nan(qcol(c)).alias(c) for c in features]
     base = df.select(*[qcol(s) for s in site], qcol(turbine).alias(turbine), hour, *clean)
-    if turbines and len(turbines) * len(features) <= pivot_limit:
+    if turbines:
         turbines = list(turbines)
+        base = base.filter(qcol(turbine).isin(turbines))
+    if turbines and pivot:
         aggs = [F.avg(F.when(F.col(turbine) == t, qcol(c))).alias(f"{c}__{i}")
                 for c in features for i, t in enumerate(turbines)]
         per = base.groupBy(*site, ts).agg(*aggs)
@@ -64,61 +65,71 @@ def hourly_farm(df: DataFrame, features: Sequence[str], ts: str = "ts", turbine:
 
 
 # --------------------------------------------------------------------------------------------- positions
-def _ordinal(c: Column, dtype: str) -> Column:
-    if dtype.startswith("timestamp"):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                                c.cast("timestamp_ntz")).cast("double")
-    if dtype == "date":
-        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double")
-    return c.cast("double")
+ROWS_PER_BUCKET = 500_000
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``on`` where NULL keys match each other; the left side's key columns are kept."""
+    r = right.select(*[qcol(c).alias(f"__r_{c}") if c in on else qcol(c) for c in right.columns])
+    cond = F.lit(True)
+    for i, c in enumerate(on):
+        eq = qcol(c).eqNullSafe(qcol(f"__r_{c}"))
+        cond = eq if i == 0 else cond & eq
+    return left.join(r, cond, how).drop(*[f"__r_{c}" for c in on])
+
+
+def range_buckets(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """Rows in ``n`` ranges of ``keys`` (NULLs first), the range number as ``_bkt``.
+
+    Rows equal in all keys are divided too: a row number of the scan (``_tie``) ends the sort keys. The bounds stay
+    inside Spark's range partitioner, and the dealt rows are written to the shared checkpoint folder, so the
+    ranges are the same for all readers.
+    """
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(n, *[qcol(c).asc_nulls_first() for c in keys], "_tie")
+    return cut_lineage(dealt.withColumn("_bkt", F.spark_partition_id().cast("double")))
 
 
 def sequence_index(df: DataFrame, order: str, by: Sequence[str] = (), idx: str = IDX,
-                   rows_per_bucket: int = 2_000_000, tiebreak: Sequence[str] = (),
+                   rows_per_bucket: int = ROWS_PER_BUCKET, tiebreak: Sequence[str] = (),
                    n_rows: int | None = None, keep_bucket: bool = False) -> DataFrame:
-    """Add the 0-based position of each row within ``by`` ordered by ``order`` (then ``tiebreak``); see
+    """Add the 0-based position of each row within ``by`` ordered by ``order`` (then ``tiebreak``), NULLs first; see
     :func:`_positions`."""
     return _positions(df, order, by, idx, rows_per_bucket, tiebreak, n_rows, keep_bucket)[0]
 
 
 def _positions(df: DataFrame, order: str, by: Sequence[str] = (), idx: str = IDX,
-               rows_per_bucket: int = 2_000_000, tiebreak: Sequence[str] = (),
+               rows_per_bucket: int = ROWS_PER_BUCKET, tiebreak: Sequence[str] = (),
                n_rows: int | None = None, keep_bucket: bool = False) -> tuple[DataFrame, int]:
     """Positions as in :func:`sequence_index`, plus the number of buckets used.
 
-    Rows are range-bucketed on ``order`` (approximate quantiles, JVM binary search) so each numbering window
-    holds at most about ``rows_per_bucket`` rows of one series; bucket offsets come from a small
-    (series x bucket) count table. ``keep_bucket`` keeps the bucket id as ``_bkt`` (0 when unbucketed).
+    Up to ``rows_per_bucket`` counted rows are numbered by one window. More are dealt to ranges
+    (:func:`range_buckets`), numbered inside each range, and the ranges' counts per series give the offsets. NULL
+    series keys are a series, NULL order values come first, and ties are divided; both plans give the same
+    positions. ``keep_bucket`` keeps the range number as ``_bkt`` (0 when there is one).
     """
     by = list(by)
     n = df.count() if n_rows is None else n_rows
     nb = max(1, math.ceil(n / rows_per_bucket))
-    ordering = [F.col(order)] + [F.col(t) for t in tiebreak]
+    ordering = [F.col(order).asc_nulls_first()] + [F.col(t).asc_nulls_first() for t in tiebreak]
     if nb == 1:
         w = Window.partitionBy(*by).orderBy(*ordering)
         out = df.withColumn(idx, F.row_number().over(w) - 1)
         return (out.withColumn("_bkt", F.lit(0.0)) if keep_bucket else out), 1
-    dtype = dict(df.dtypes)[order]
-    tmp = df.withColumn("_ord", _ordinal(F.col(order), dtype))
-    probs = [i / nb for i in range(1, nb)]
-    # rank error of the sketch is n / accuracy: keep it well under one bucket at any scale
-    bounds = tmp.select(F.percentile_approx("_ord", probs, max(10_000, 20 * nb)).alias("q")).first()["q"]
-    splits = sorted(set(float(b) for b in bounds if b is not None))
-    splits = [-math.inf] + splits + [math.inf]
-    tmp = Bucketizer(splits=splits, inputCol="_ord", outputCol="_bkt", handleInvalid="keep").transform(tmp)
+    tmp = range_buckets(df, [*by, order, *tiebreak], nb)
     counts = tmp.groupBy(*by, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
-    j = tmp.join(offsets, on=[*by, "_bkt"], how="inner")
-    w = Window.partitionBy(*by, "_bkt").orderBy(*ordering)
-    out = j.withColumn(idx, (F.col("_off") + F.row_number().over(w) - 1).cast("long")).drop("_ord", "_off")
+    j = null_safe_join(tmp, offsets, [*by, "_bkt"])
+    w = Window.partitionBy(*by, "_bkt").orderBy(*ordering, "_tie")
+    out = j.withColumn(idx, (F.col("_off") + F.row_number().over(w) - 1).cast("long")).drop("_off", "_tie")
     return (out if keep_bucket else out.drop("_bkt")), nb
 
 
 def attach(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add per-series values: an equi-join on ``by``; with no series key the single row is read as literals."""
     if by:
-        return df.join(per_group, on=list(by), how="left")
+        return null_safe_join(df, per_group, list(by), "left")
     row = per_group.first()
     if row is None:
         return df.withColumns({c: F.lit(None) for c in per_group.columns})
@@ -140,9 +151,9 @@ def positioned_lags(ix: DataFrame, nb: int, by: Sequence[str], col: str, ks: Seq
         heads = e.filter(F.col(IDX) < F.col("__lo") + kmax).select(*by, IDX, "__lo")
         pairs = heads.select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("__k")).withColumn(
             "__sp", F.col(IDX) - F.col("__k")).filter(F.col("__sp") < F.col("__lo"))
-        fix = pairs.join(tails, on=[*by, "__sp"]).groupBy(*by, IDX).pivot("__k", list(ks)).agg(F.first("__sv"))
+        fix = null_safe_join(pairs, tails, [*by, "__sp"]).groupBy(*by, IDX).pivot("__k", list(ks)).agg(F.first("__sv"))
         fix = fix.select(*by, IDX, *[F.col(str(k)).alias(f"__e{k}") for k in ks])
-        res = res.join(fix, on=[*by, IDX], how="left").withColumns(
+        res = null_safe_join(res, fix, [*by, IDX], "left").withColumns(
             {f"{prefix}{k}": F.coalesce(F.col(f"{prefix}{k}"), F.col(f"__e{k}")) for k in ks}).drop(
             *[f"__e{k}" for k in ks])
     return res
@@ -151,7 +162,7 @@ def positioned_lags(ix: DataFrame, nb: int, by: Sequence[str], col: str, ks: Seq
 # --------------------------------------------------------------------------------------------- E1-E4
 def lead_value(df: DataFrame, col: str, k: int = 1, order: str = "ts", by: Sequence[str] = (),
                out: str | None = None, wrap: bool = False, method: str = "index",
-               rows_per_bucket: int = 2_000_000) -> DataFrame:
+               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Value ``k`` rows ahead within ``by``; ``k < 0`` looks back.
 
     ``wrap=True`` reproduces the reference default (T10): past the end the series' first value.
@@ -175,8 +186,8 @@ def lead_value(df: DataFrame, col: str, k: int = 1, order: str = "ts", by: Seque
         near = (F.col(IDX) > F.col("__hi") - k) if k > 0 else (F.col(IDX) < F.col("__lo") - k)
         far = (F.col(IDX) < F.col("__lo") + k) if k > 0 else (F.col(IDX) > F.col("__hi") + k)
         src = e.filter(far).select(*by, (F.col(IDX) - k).alias(IDX), F.col(col).alias("__edge"))
-        fix = e.filter(near).select(*by, IDX).join(src, on=[*by, IDX])
-        res = res.join(fix, on=[*by, IDX], how="left").withColumn(out, F.coalesce(F.col(out), F.col("__edge"))).drop(
+        fix = null_safe_join(e.filter(near).select(*by, IDX), src, [*by, IDX])
+        res = null_safe_join(res, fix, [*by, IDX], "left").withColumn(out, F.coalesce(F.col(out), F.col("__edge"))).drop(
             "__edge")
     res = res.drop("_bkt")
     if wrap:
@@ -233,9 +244,10 @@ def zscore_fit(df: DataFrame, cols: Sequence[str], fit_filter: Column | None = N
 
 def zscore(df: DataFrame, cols: Sequence[str], fit_filter: Column | None = None,
            stats: dict | None = None) -> DataFrame:
-    """Centre and scale ``cols``; fit on all rows (reference, T13) or on ``fit_filter`` rows only."""
+    """Centre and scale ``cols``; fit on all rows (reference, T13) or on ``fit_filter`` rows only. A constant column
+    gives NULL."""
     stats = stats or zscore_fit(df, cols, fit_filter)
-    return df.withColumns({c: (qcol(c) - F.lit(m)) / F.lit(s) for c, (m, s) in stats.items()})
+    return df.withColumns({c: F.try_divide(qcol(c) - F.lit(m), F.lit(s).cast("double")) for c, (m, s) in stats.items()})
 
 
 # --------------------------------------------------------------------------------------------- E10-E12
@@ -270,14 +282,14 @@ def acf(df: DataFrame, col: str, max_lag: int, order: str = "ts", by: Sequence[s
         *by, F.col("_bkt").alias("__hb"), F.col(IDX).alias("__hp"), F.col("__d").alias("__dh"))
     fan = tails.select("*", F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag")).withColumn(
         "__hp", F.col("__tp") + F.col("lag"))
-    cross = fan.join(heads, on=[*by, "__hp"]).filter(F.col("__tb") != F.col("__hb")).groupBy(*by, "lag").agg(
+    cross = null_safe_join(fan, heads, [*by, "__hp"]).filter(F.col("__tb") != F.col("__hb")).groupBy(*by, "lag").agg(
         F.sum(F.col("__dt") * F.col("__dh")).alias("__cross"))
-    num = num.join(cross.withColumn("lag", F.col("lag").cast("long")), on=[*by, "lag"], how="left")
+    num = null_safe_join(num, cross.withColumn("lag", F.col("lag").cast("long")), [*by, "lag"], "left")
     num = num.withColumn("__num", F.col("__within").cast("double") + F.coalesce(F.col("__cross"), F.lit(0.0)))
     den = sums.select(*by, F.col("__p0").alias("__den"))
     r = attach(attach(num, den, by), stats.select(*by, "n"), by)
     ci = F.lit(QNORM_975) / F.sqrt(F.col("n"))
-    val = F.col("__num") / F.col("__den")
+    val = F.try_divide(F.col("__num"), F.col("__den"))  # NULL for a constant series
     return r.select(*by, F.col("lag").cast("long").alias("lag"), val.alias("acf"), ci.alias("ci"),
                     (F.abs(val) > ci).alias("significant"), F.col("n").cast("long").alias("n"))
 
@@ -328,8 +340,8 @@ def sequence_windows(df: DataFrame, cols: Sequence[str], steps: int, order: str
     feats = F.array(*[F.col(c).cast("double") for c in cols])
     if method == "fanout":
         ix = sequence_index(df, order, by)
-        return ix.join(_fanout_windows(ix.select(*by, IDX, feats.alias("__f")), by, steps, out), on=[*by, IDX],
-                       how="inner").drop(IDX)
+        fan = _fanout_windows(ix.select(*by, IDX, feats.alias("__f")), by, steps, out)
+        return null_safe_join(ix, fan, [*by, IDX]).drop(IDX)
     ix, nb = _positions(df, order, by, keep_bucket=True)
     ix = ix.withColumn("__f", feats)
     w = Window.partitionBy(*by, "_bkt").orderBy(IDX)
@@ -341,8 +353,8 @@ def sequence_windows(df: DataFrame, cols: Sequence[str], steps: int, order: str
         near = e.filter(F.col(IDX) < F.col("__lo") + steps - 1)
         src = e.filter((F.col(IDX) < F.col("__lo") + steps - 1) | (F.col(IDX) > F.col("__hi") - steps + 1))
         fixed = _fanout_windows(src.select(*by, IDX, "__f"), by, steps, "__fixed")
-        fixed = fixed.join(near.select(*by, IDX), on=[*by, IDX])
-        res = res.join(fixed, on=[*by, IDX], how="left").withColumn(
+        fixed = null_safe_join(fixed, near.select(*by, IDX), [*by, IDX])
+        res = null_safe_join(res, fixed, [*by, IDX], "left").withColumn(
             out, F.coalesce(F.col("__fixed"), F.col(out))).drop("__fixed")
     return res.drop("__f", "_bkt", IDX)
 

@@ -66,7 +66,9 @@ def weather_to_final(hourly: DataFrame, weather: DataFrame, power: str, ts: str
     ``refit=False`` fits the kNN scaler once on all rows and reuses it (T9); ``refit=True`` reproduces the
     reference: training rows scaled over the rows with a target, rows to fill scaled over all rows.
     """
-    w = R.fill_constant(weather, list(zero_fill), 0.0)
+    # one row per hour first: the neighbour step below keys its rows by the hour
+    w = J.dedupe_keep_first(weather, [ts], [c for c in weather.columns if c != ts])
+    w = R.fill_constant(w, list(zero_fill), 0.0)
     w = I.fill_median(w, list(median_fill))
     w = I.impute_by_regression(w, gust, speed, digits=2).cache()  # scaler fits, kNN sides and the join read it
     feats = list(knn_features or [c for c in w.columns if c not in (ts, knn_target) and dict(w.dtypes)[c] == "double"])
@@ -88,7 +90,6 @@ def weather_to_final(hourly: DataFrame, weather: DataFrame, power: str, ts: str
     ids = vec.select("__id", "__k").join(pred, on="__id").select(F.col("__k").alias(ts), "prediction")
     w = w.join(ids, on=ts, how="left").withColumn(
         knn_target, F.coalesce(F.col(knn_target), F.bround("prediction", 2))).drop("prediction")
-    w = J.dedupe_keep_first(w, [ts], [c for c in w.columns if c != ts])
     h = J.dedupe_keep_max(hourly, [ts], power)
     joined = J.join_weather(h, w, ts)
     weather_cols = [c for c in w.columns if c != ts and c in joined.columns and dict(joined.dtypes)[c] == "double"]
