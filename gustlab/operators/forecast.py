@@ -35,12 +35,12 @@ def lag_features(df: DataFrame, cols: Sequence[str], steps: int, order: str = "t
 
 def lagged_forecast(df: DataFrame, target: str, features: Sequence[str], test_start: str, horizon: int = 1,
                     steps: int = 3, train_days: int = 7, val_days: int = 1, test_days: int = 1,
-                    model: str = "gbt", ts: str = "ts", scale_on: str = "all", restore: str = "causal",
+                    model: str = "gbt", ts: str = "ts", scale_on: str = "train", restore: str = "causal",
                     **params) -> DataFrame:
     """Forecast the ``horizon``-step difference of ``target`` from recent feature history, restore the level,
     and return the scored test rows (H8; LSTM re-aimed).
 
-    Steps: difference (E3, wrap as the reference) -> z-score features (T13: ``scale_on`` all/train) -> sequence
+    Steps: difference (E3, wrap as the reference) -> z-score features (T13: ``scale_on`` train, the causal default, or all as the reference) -> sequence
     windows (E14) -> date split with validation day (E13) -> fit (early stopping on validation for ``gbt``)
     -> predict -> undifference (E4, T12: ``restore`` causal/reference).
     """

@@ -48,17 +48,18 @@ def q_affected_months(spark, d):
     return Q.affected_groups(long, by="filename")
 
 
-REPORT_SQL = f"""
-    WITH m AS ({MISSING_SQL})
-    PIVOT m ON filename USING max(pct_missing) GROUP BY feature
-"""
+def _report_long(report):
+    """The transposed report with its week columns back in rows, so any set of weeks compares."""
+    weeks = [c for c in report.columns if c != "feature"]
+    return R.unpivot_long(report, ["feature"], weeks, "filename", "pct_missing")
 
 
-@register("missing_report", REPORT_SQL)
+@register("missing_report", MISSING_SQL)
 def q_missing_report(spark, d):
-    """The percent table transposed, features as rows and one column per week label found in the data."""
+    """The percent table transposed, features as rows and one column per week label found in the data; the result
+    lists the transposed table's cells."""
     long = Q.missing_percent(S.scada_10min(spark, d, with_nulls=True), FEATS, by=["filename"])
-    return Q.missing_report(long, "filename")
+    return _report_long(Q.missing_report(long, "filename"))
 
 
 # ------------------------------------------------------------------------------------------- D5
@@ -261,8 +262,16 @@ def q_dedupe_keep_first(spark, d):
 
 
 # ------------------------------------------------------------------------------------------- C7, A8
-_CURVE_VALUES = ", ".join(f"({4.0 + 0.5 * i}, {p}.0)" for i, p in enumerate(
-    __import__("gustlab.sources.files", fromlist=["CURVE_POWER_KW"]).CURVE_POWER_KW))
+# The curve's 43 points, typed here apart from the library's own table.
+_CURVE_VALUES = """
+    (4.0, 75.0), (4.5, 170.0), (5.0, 275.0), (5.5, 380.0), (6.0, 527.0), (6.5, 827.0), (7.0, 1126.0),
+    (7.5, 1412.0), (8.0, 1698.0), (8.5, 1968.0), (9.0, 2237.0), (9.5, 2476.0), (10.0, 2715.0), (10.5,
+    2911.0), (11.0, 3106.0), (11.5, 3200.0), (12.0, 3285.0), (12.5, 3360.0), (13.0, 3400.0), (13.5,
+    3400.0), (14.0, 3400.0), (14.5, 3400.0), (15.0, 3400.0), (15.5, 3400.0), (16.0, 3400.0), (16.5,
+    3400.0), (17.0, 3400.0), (17.5, 3400.0), (18.0, 3400.0), (18.5, 3400.0), (19.0, 3400.0), (19.5,
+    3400.0), (20.0, 3400.0), (20.5, 3400.0), (21.0, 3400.0), (21.5, 3400.0), (22.0, 3400.0), (22.5,
+    3400.0), (23.0, 3400.0), (23.5, 3400.0), (24.0, 3400.0), (24.5, 3400.0), (25.0, 3400.0)
+"""
 
 
 @register("expected_power", f"""
@@ -286,7 +295,7 @@ def q_expected_power(spark, d):
 
 
 # ------------------------------------------------------------------------------------------- A7
-@register("missing_report_csv", REPORT_SQL)
+@register("missing_report_csv", MISSING_SQL)
 def q_missing_report_csv(spark, d):
     """The missing-value report written as one CSV file in the shared folder and read back."""
     from gustlab.session import scratch_path
@@ -295,4 +304,5 @@ def q_missing_report_csv(spark, d):
     long = Q.missing_percent(S.scada_10min(spark, d, with_nulls=True), FEATS, by=["filename"])
     path = write_report(Q.missing_report(long, "filename"), scratch_path(spark, "miss-vals"))
     back = spark.read.option("header", True).csv(path)
-    return back.select("feature", *[F.col(c).cast("double").alias(c) for c in back.columns if c != "feature"])
+    back = back.select("feature", *[F.col(c).cast("double").alias(c) for c in back.columns if c != "feature"])
+    return _report_long(back)

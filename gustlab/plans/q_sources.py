@@ -139,3 +139,77 @@ def q_date_spine_gaps(spark, d):
     s = S.scada_10min(spark, d)
     spine = SRC.calendar_spine(s, "ts", "10 minutes", keys=["turbine"])
     return spine.join(s.select("turbine", "ts"), on=["turbine", "ts"], how="left_anti")
+
+
+# ------------------------------------------------------------------------------------------- A4, A5
+@register("month_files", """
+    SELECT strftime(o_orderdate, '%b%Y') AS filename, count(*) AS n_orders, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key
+    FROM orders WHERE strftime(o_orderdate, '%b%Y') NOT IN ('Feb1995', 'Mar1996') GROUP BY 1
+""")
+def q_month_files(spark, d):
+    """A4 + A5: orders exported to one folder a month (``MM-yyyy`` in the path) and read back: the month label comes from
+    the path, two superseded months are excluded."""
+    root = scratch_path(spark, "month-files")
+    o = S.table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "MM-yyyy").alias("export"))
+    o.write.partitionBy("export").option("header", True).csv(root)
+    back = spark.read.option("header", True).csv(f"{root}/*").select("o_orderkey", F.col("_metadata.file_path").alias("path"))
+    back = back.withColumn("filename", SRC.file_label(F.col("path")))
+    kept = SRC.exclude_files(back, ["Feb1995", "Mar1996"], "filename")
+    k = F.col("o_orderkey").cast("long")
+    return kept.groupBy("filename").agg(F.count(F.lit(1)).alias("n_orders"), F.min(k).alias("first_key"), F.max(k).alias("last_key"))
+
+
+# ------------------------------------------------------------------------------------------- B6, B17, E5
+@register("rows_any_of", """
+    SELECT p_partkey, p_type FROM part WHERE contains(p_type, 'PROMO') OR contains(p_type, 'MALL') OR contains(p_type, '.')
+""")
+def q_rows_any_of(spark, d):
+    """Rows whose text contains any of the patterns, taken literally (a dot matches a dot)."""
+    p = S.table(spark, d, "part")
+    return p.filter(R.any_of(F.col("p_type"), ["PROMO", "MALL", "."])).select("p_partkey", "p_type")
+
+
+@register("row_slice", f"""
+    WITH h AS ({HOURLY_SQL.replace("{agg}", "max")})
+    SELECT 'both' AS closed, ts, active_power_kw FROM h WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-06 00:00:00'
+    UNION ALL
+    SELECT 'neither', ts, active_power_kw FROM h WHERE ts > TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-06 00:00:00'
+""")
+def q_row_slice(spark, d):
+    """The hours between two timestamps, both ends taken or both left out."""
+    h = tsx.hourly_farm(S.scada_10min(spark, d), FEATS, turbines=S.TURBINES).select("ts", "active_power_kw")
+    parts = [R.row_slice(h, "2024-01-05 00:00:00", "2024-01-06 00:00:00", closed=c).select(F.lit(c).alias("closed"), "ts", "active_power_kw")
+             for c in ("both", "neither")]
+    return R.union_all(parts)
+
+
+@register("multi_key_order", """
+    SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderdate, o_orderkey) - 1 AS place FROM orders
+""")
+def q_multi_key_order(spark, d):
+    """E5: place of every order when sorted by priority, then date, then key."""
+    o = S.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    return tsx.sequence_index(o, "o_orderpriority", idx="place", tiebreak=["o_orderdate", "o_orderkey"]).select(
+        "o_orderkey", F.col("place").cast("long").alias("place"))
+
+
+# ------------------------------------------------------------------------------------------- F3, F4
+@register("union_distinct_hours", f"""
+    WITH s AS ({SCADA})
+    SELECT DISTINCT turbine, date_trunc('hour', ts) AS ts FROM s WHERE turbine IN ('WT01', 'WT02')
+    UNION SELECT DISTINCT turbine, date_trunc('hour', ts) FROM s WHERE turbine IN ('WT02', 'WT03')
+""")
+def q_union_distinct_hours(spark, d):
+    """combined unique turbine-hours of two overlapping feeds."""
+    s = S.scada_10min(spark, d).select("turbine", F.window("ts", "1 hour").start.alias("ts"))
+    return R.union_distinct([s.filter(F.col("turbine").isin("WT01", "WT02")), s.filter(F.col("turbine").isin("WT02", "WT03"))])
+
+
+@register("split_complement", f"""
+    SELECT turbine, ts FROM ({SCADA}) WHERE NOT (ts >= TIMESTAMP '2024-01-14 23:00:00' AND ts < TIMESTAMP '2024-01-21 23:00:00')
+""")
+def q_split_complement(spark, d):
+    """the readings outside the training week of a date split, unlabelled ones included."""
+    s = S.scada_10min(spark, d).select("turbine", "ts")
+    split = tsx.temporal_split(s, "2024-01-22 00:00:00", train_days=7, test_days=3, horizon_hours=1)
+    return R.complement(split, "split", "train").select("turbine", "ts")
