@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so invertible modulo 2^64
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

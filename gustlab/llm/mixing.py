@@ -19,7 +19,7 @@ from gustlab.llm.blocks import without
 from gustlab.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_BIN = 20_000
+ROWS_PER_BIN = 5_000
 MAX_BROADCAST_SOURCES = 20_000  # with names of up to 1 KB, 20 MB
 OUT = ["size", "source_size", "target", "taken", "copies"]
 

@@ -199,7 +199,7 @@ def _grid(w: Words, begin, length):
     return w.ids[at], live.astype(np.float32)
 
 
-def features(m: dict, w: Words, block: int = 8192) -> np.ndarray:
+def features(m: dict, w: Words, block: int = 4096) -> np.ndarray:
     """[rows, TOP + 2]: the highest window logits, downwards (-8 where there are fewer), log of the windows, and 1."""
     begin, length, row = w.windows()
     out = np.full((w.n_rows, TOP + 2), -8.0)
