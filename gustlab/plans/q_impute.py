@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gustlab.operators import impute as I
 from gustlab.operators import joins as J
 from gustlab.plans import standins as S
-from gustlab.plans.catalog import register
+from gustlab.plans.catalog import METRIC_COLS, _METRICS_SQL, present, register, round_sql
 
 DAILY = S.daily_orders_sql()
 DFEATS = ["revenue", "n_orders", "avg_price"]
@@ -228,7 +228,13 @@ def q_seasonal_months(spark, d):
 
 
 # ------------------------------------------------------------------------------------------- H2 + H13, H3 + H4
-@register("gust_regression_error")
+@register("gust_regression_error", round_sql(f"""
+    WITH w AS ({_W}), {GUST_TRAIN_SQL},
+    f AS (SELECT regr_intercept(wind_gust, wind_speed) AS a, regr_slope(wind_gust, wind_speed) AS b FROM tr),
+    x AS (SELECT CASE WHEN pos < ceil(n * 0.7) THEN 'train' ELSE 'test' END AS split, wind_gust AS act,
+                 f.a + f.b * wind_speed AS pred FROM r, f)
+    SELECT split, {_METRICS_SQL} FROM x GROUP BY split
+""", METRIC_COLS, 6))
 def q_gust_regression_error(spark, d):
     """H2 + H1 + H13: gust ~ speed fitted on a 70 % stratified split; mean error % = RMSE / mean actual, on the
     training residuals (as the reference reports) and on the held-out rows."""
@@ -237,7 +243,7 @@ def q_gust_regression_error(spark, d):
     sp = _gust_split(spark, d).cache()
     a, b = I.fit_line(sp.filter(F.col("split") == "train"), "wind_gust", "wind_speed")
     scored = sp.withColumn("pred", F.lit(a) + F.lit(b) * F.col("wind_speed"))
-    return ev.regression_metrics(scored, "wind_gust", "pred", by=["split"])
+    return present(ev.regression_metrics(scored, "wind_gust", "pred", by=["split"]), 6)
 
 
 @register("knn_cv_error")

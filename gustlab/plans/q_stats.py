@@ -127,6 +127,39 @@ def q_correlation_pvalues(spark, d):
     return ST.correlation_pvalues(ST.correlation_matrix(_hourly(spark, d), FEATS, "pearson"))
 
 
+# the 97.5 % point of t for v degrees of freedom, by the expansion around the normal point (exact to 1e-6 from v = 30 on)
+_T975 = ("(z + (z*z*z + z) / (4*v) + (5*pow(z,5) + 16*z*z*z + 3*z) / (96*v*v)"
+         " + (3*pow(z,7) + 19*pow(z,5) + 17*z*z*z - 15*z) / (384*v*v*v))")
+
+
+@register("correlation_significance", f"""
+    WITH h AS (SELECT * FROM ({HOURLY}) WHERE {_l("{c} IS NOT NULL", sep=" AND ")}),
+    m AS ({" UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, count(*) AS n, corr({a}, {b}) AS r FROM h" for a, b in _PAIRS)}),
+    t AS (SELECT *, 1.959963984540054::DOUBLE AS z, (n - 2)::DOUBLE AS v FROM m)
+    SELECT x, y, n, abs(r) * sqrt(v / (1 - r * r)) > {_T975} AS significant FROM t
+""")
+def q_correlation_significance(spark, d):
+    """Which Pearson pairs of hourly features are significant at 5 %."""
+    return ST.correlation_pvalues(ST.correlation_matrix(_hourly(spark, d), FEATS, "pearson")).select("x", "y", "n", "significant")
+
+
+@register("significant_correlates", round_sql(f"""
+    WITH h AS ({HOURLY}),
+    u AS (SELECT t, y_var, v FROM (UNPIVOT (SELECT active_power_kw AS t, {_l("{c}", OTHERS)} FROM h)
+                                  ON {_l("{c}", OTHERS)} INTO NAME y_var VALUE v)
+          WHERE t IS NOT NULL AND v IS NOT NULL),
+    r AS (SELECT y_var, v, t, {_rank_sql('v', 'y_var')} AS rv, {_rank_sql('t', 'y_var')} AS rt FROM u),
+    c AS (SELECT y_var, count(*) AS n, corr(rv, rt) AS cor_coef, corr(v, t) AS r,
+                 1.959963984540054::DOUBLE AS z, (count(*) - 2)::DOUBLE AS v FROM r GROUP BY y_var)
+    SELECT 'active_power_kw' AS x_var, y_var, n, cor_coef FROM c
+    WHERE abs(r) * sqrt(v / (1 - r * r)) > {_T975} AND abs(cor_coef) >= 0.02
+""", ["cor_coef"], 9))
+def q_significant_correlates(spark, d):
+    """Correlates of power with |ρ| >= 0.02 and p < 0.05 from the Pearson test."""
+    c = ST.correlation_test(_hourly(spark, d), "active_power_kw", OTHERS, min_abs=0.02, max_p=0.05)
+    return present(c.select("x_var", "y_var", "n", "cor_coef"), 9)
+
+
 # ------------------------------------------------------------------------------------------- D18, D19
 @register("prune_correlated")
 def q_prune_correlated(spark, d):
@@ -175,10 +208,17 @@ def q_acf_revenue(spark, d):
     return present(tsx.acf(S.farm_series(spark, d), "revenue", 30), 9)
 
 
-@register("ljung_box")
+# the chi-square tail of an even number of degrees of freedom has a closed form
+@register("ljung_box", f"""
+    WITH a AS ({ACF_SQL.replace("range(0, 31)", "range(0, 11)")}),
+    q AS (SELECT CAST(max(n) AS DOUBLE) * (max(n) + 2) * sum(acf * acf / (n - lag)) AS q FROM a WHERE lag BETWEEN 1 AND 10)
+    SELECT round_even(q, 6) AS q_stat, CAST(10 AS DOUBLE) AS df,
+           round_even(exp(-q / 2) * (1 + q / 2 + pow(q / 2, 2) / 2 + pow(q / 2, 3) / 6 + pow(q / 2, 4) / 24), 9) AS p_value FROM q
+""")
 def q_ljung_box(spark, d):
     """Ljung–Box Q over 10 lags of the daily revenue series, chi-square p-value."""
-    return tsx.ljung_box(tsx.acf(S.farm_series(spark, d), "revenue", 10), 10)
+    lb = tsx.ljung_box(tsx.acf(S.farm_series(spark, d), "revenue", 10), 10)
+    return present(present(lb, 6, ["q_stat"]), 9, ["p_value"])
 
 
 # ------------------------------------------------------------------------------------------- E13

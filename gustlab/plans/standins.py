@@ -11,6 +11,7 @@ Missing values are injected by fixed rules on the source keys (the driver tables
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 TURBINES = ["WT01", "WT02", "WT03"]
@@ -199,15 +200,17 @@ HOURLY_EVENTS_SQL = """
 """
 
 
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
 def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric feature table with a target (lineitem ⋈ part); key (l_orderkey, l_linenumber)."""
     li = table(spark, sf_dir, "lineitem")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
     j = li.join(p, li.l_partkey == p.p_partkey, "inner")
     return j.select(
-        # lineitem keys repeat in the generated data, so rows get an id from all their columns
-        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
-                   "l_extendedprice", "l_discount", "l_tax").alias("row_id"),
+        # lineitem keys repeat in the generated data, so rows get an id from all their columns and a number among equals
+        F.xxhash64(*_LINE, F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*_LINE))).alias("row_id"),
         "l_orderkey", "l_linenumber", "l_shipdate",
         F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax"),
         F.col("p_size").cast("double").alias("p_size"), F.col("p_retailprice"),

@@ -45,12 +45,16 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Read from the session; a local folder is set only when the session names none (tests, laptop runs).
+    Read from the session; a local folder is set only when the session names none and runs on this machine alone
+    (a ``local`` master: tests, laptop runs). On a cluster without the setting this is an error, since a machine's own
+    folder is not shared.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="gustlab-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
