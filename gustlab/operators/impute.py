@@ -7,13 +7,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustlab.functions.columns import add_years, all_present, any_null, qcol
 from gustlab.operators.stats import exact_quantiles
-from gustlab.operators.timeseries import sequence_index
+from gustlab.session import cut_lineage
 
 
 # --------------------------------------------------------------------------------------------- D9, B9
@@ -128,83 +128,152 @@ def impute_by_regression(df: DataFrame, y: str, x: str, digits: int = 2, train:
 
 
 # --------------------------------------------------------------------------------------------- H3
-def knn_predict(train: DataFrame, queries: DataFrame, key: str, features: str, target: str, k: int = 5,
-                max_broadcast_rows: int = 20_000, train_partitions: int | None = None,
-                max_topk_partitions: int = 2048) -> DataFrame:
-    """Exact k-nearest-neighbour mean of ``target`` for every query row (Euclidean on an array column).
+KNN_PIVOTS, KNN_BLOCK = 256, 4096
+
+
+def _block_topk(train: pd.DataFrame, queries: pd.DataFrame, k: int, repeats: int) -> pd.DataFrame:
+    """The ``k`` nearest training rows of each query in one block pair, per repeat; rows of the query's own fold of a
+    repeat are left out (no folds: one repeat, nothing left out)."""
+    frames = []
+    X = np.stack(train["__x"].to_numpy()).astype(float)
+    tk, ty = train["__tk"].to_numpy(np.int64), train["__y"].to_numpy(float)
+    tf = np.stack(train["__folds"].to_numpy()).astype(int).reshape(len(tk), -1)
+    sq = (X * X).sum(axis=1)
+    for lo in range(0, len(queries), 256):  # small steps keep the distance matrix small
+        part = queries.iloc[lo:lo + 256]
+        Q = np.stack(part["__x"].to_numpy()).astype(float)
+        qk = part["__qk"].to_numpy(np.int64)
+        qf = np.stack(part["__folds"].to_numpy()).astype(int).reshape(len(qk), -1)
+        # screened with the expanded form, re-ranked on exact squared distances
+        approx = (Q * Q).sum(axis=1)[:, None] + sq[None, :] - 2.0 * Q @ X.T
+        rows = np.arange(len(qk))[:, None]
+        for r in range(max(1, repeats)):
+            d = np.where(qf[:, r][:, None] == tf[:, r][None, :], np.inf, approx) if repeats else approx
+            m = min(len(tk), k + 8)
+            sel = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(tk) else np.tile(np.arange(len(tk)), (len(qk), 1))
+            diff = Q[:, None, :] - X[sel]
+            exact = np.where(np.isinf(d[rows, sel]), np.inf, np.einsum("qmf,qmf->qm", diff, diff))
+            order = np.lexsort((tk[sel], exact), axis=1)[:, :k]
+            best, at = exact[rows, order], sel[rows, order]
+            ok = np.isfinite(best).ravel()
+            frames.append(pd.DataFrame({"__qk": np.repeat(qk, best.shape[1])[ok], "__r": r, "__d": best.ravel()[ok],
+                                        "__tk": tk[at].ravel()[ok], "__y": ty[at].ravel()[ok]}))
+    return pd.concat(frames, ignore_index=True)
+
+
+_TOP_SCHEMA = "__qk long, __r int, __d double, __tk long, __y double"
+
 
-    No cross join: query rows go out in broadcast chunks whose size is checked (``max_broadcast_rows``);
-    every training partition keeps a running top-k per query in NumPy and emits only those k candidates;
-    a final window keeps the k nearest per query (ties broken by training key). Work is queries x training
-    rows distance evaluations; the merge shuffles partitions x queries x k rows, so the top-k pass runs on at
-    most ``max_topk_partitions`` training partitions (``coalesce``: no shuffle, longer streaming tasks).
+def _nearest(train: DataFrame, queries: DataFrame, k: int, repeats: int = 0, pivots: int = KNN_PIVOTS,
+             block: int = KNN_BLOCK) -> DataFrame:
+    """``(__qk, __r, __d, __tk, __y, __rank)``: the exact ``k`` nearest training rows of every query.
+
+    Training rows ``(__tk, __x, __y, __folds)`` go to the cell of their nearest pivot (at most ``pivots`` of them, the
+    first rows by a hash). A query first meets its own cell, which bounds its k-th distance, then only the cells
+    that the triangle inequality cannot rule out: ``d(q, pivot) - radius <= k-th distance``. Cells and the queries
+    that meet them are dealt to blocks of about ``block`` rows, so each task holds one block pair; only pivots and one
+    line a cell reach the driver.
     """
     spark = train.sparkSession
-    tr = train.select(F.col(key).alias("__tk"), F.col(features).alias("__x"), F.col(target).alias("__y"))
-    if train_partitions:
-        tr = tr.repartition(train_partitions)
-    elif tr.rdd.getNumPartitions() > max_topk_partitions:
-        tr = tr.coalesce(max_topk_partitions)
-    n_q = queries.count()
-    chunks = max(1, math.ceil(n_q / max_broadcast_rows))
-    schema = T.StructType([T.StructField("__qk", T.LongType()), T.StructField("__d", T.DoubleType()),
-                           T.StructField("__tk", T.LongType()), T.StructField("__y", T.DoubleType())])
-    qs = queries.select(F.col(key).cast("long").alias("k"), F.col(features).alias("x"))
-    if chunks > 1:
-        # exact chunk sizes from row positions: every broadcast holds at most max_broadcast_rows query rows
-        qs = sequence_index(qs, "k", n_rows=n_q).withColumn(
-            "__chunk", F.floor(F.col("_pos") / max_broadcast_rows)).drop("_pos").cache()
-    parts = []
-    for c in range(chunks):
-        q = qs if chunks == 1 else qs.filter(F.col("__chunk") == c).drop("__chunk")
-        qp = q.toPandas()
-        if qp.empty:
-            continue
-        bq = spark.sparkContext.broadcast((qp["k"].to_numpy(np.int64), np.stack(qp["x"].to_numpy()).astype(float)))
-        parts.append(tr.mapInPandas(_topk_partition(bq, k), schema))
-    if not parts:
-        return spark.createDataFrame([], f"{key} long, prediction double, n_neighbours long")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy("__qk").orderBy("__d", "__tk")
-    top = cand.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k)
-    return top.groupBy(F.col("__qk").alias(key)).agg(F.avg("__y").alias("prediction"),
-                                                      F.count(F.lit(1)).alias("n_neighbours"))
-
-
-def _topk_partition(bq, k: int):
-    def run(batches):
-        qk, Q = bq.value
-        q2 = (Q * Q).sum(axis=1)
-        best_d = best_k = best_y = None
+    train = cut_lineage(train)
+    queries = cut_lineage(queries)
+    n = train.count()
+    count = max(1, min(pivots, math.ceil(n / block)))
+    rows = train.select("__tk", "__x").orderBy(F.xxhash64("__tk"), "__tk").limit(count).collect()
+    if not rows:
+        return spark.createDataFrame([], _TOP_SCHEMA + ", __rank int")
+    centers = spark.sparkContext.broadcast(np.stack([np.array(r["__x"], float) for r in rows]))
+
+    def distances(pdf):
+        X = np.stack(pdf["__x"].to_numpy()).astype(float)
+        return np.sqrt(((X[:, None, :] - centers.value[None, :, :]) ** 2).sum(axis=2)) if len(X) * len(centers.value) <= 1 << 20 else \
+            np.sqrt(np.maximum(0, (X * X).sum(1)[:, None] + (centers.value ** 2).sum(1)[None, :] - 2 * X @ centers.value.T))
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                d = distances(pdf)
+                cell = d.argmin(axis=1)
+                yield pdf.assign(__cell=cell.astype(np.int32), __far=d[np.arange(len(pdf)), cell])
+
+    placed = cut_lineage(train.mapInPandas(place, _with(train, "__cell int, __far double")))
+    cells = {r["__cell"]: (r["n"], r["far"]) for r in placed.groupBy("__cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("__far").alias("far")).collect()}  # a line a pivot
+    radius = np.full(len(rows), -np.inf)
+    for c, (_, far) in cells.items():
+        radius[c] = far
+    slices = {c: math.ceil(m / block) for c, (m, _) in cells.items()}
+    sliced = placed.withColumn("__slice", F.pmod(F.xxhash64("__tk", F.lit(1)), _lookup(F.col("__cell"), slices))).drop("__far")
+
+    def meet(asked: DataFrame) -> DataFrame:
+        """Top-k of ``asked`` (queries with ``__cell``) within that cell."""
+        asked = cut_lineage(asked)
+        load = {r["__cell"]: math.ceil(r["n"] / block) for r in asked.groupBy("__cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not load:
+            return spark.createDataFrame([], _TOP_SCHEMA)
+        q = (asked.withColumn("__qb", F.pmod(F.xxhash64("__qk", F.lit(2)), _lookup(F.col("__cell"), load)))
+             .withColumn("__slice", F.explode(F.sequence(F.lit(0).cast("long"), _lookup(F.col("__cell"), slices) - 1))))
+        t = (sliced.filter(F.col("__cell").isin(list(load)))
+             .withColumn("__qb", F.explode(F.sequence(F.lit(0).cast("long"), _lookup(F.col("__cell"), load) - 1))))
+        keys = ["__cell", "__slice", "__qb"]
+
+        def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({"__qk": [], "__r": [], "__d": [], "__tk": [], "__y": []})
+            return _block_topk(right, left, k, repeats)
+
+        return q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(lambda a, b: pair(a, b), _TOP_SCHEMA)
+
+    def best(found: DataFrame) -> DataFrame:
+        w = Window.partitionBy("__qk", "__r").orderBy("__d", "__tk")
+        return found.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= k)
+
+    own = cut_lineage(queries.mapInPandas(place, _with(queries, "__cell int, __far double")))
+    first = cut_lineage(best(meet(own.drop("__far"))))
+    # a query is settled where every repeat has k neighbours; its bound is the largest of their k-th distances
+    bound = (first.groupBy("__qk", "__r").agg(F.count(F.lit(1)).alias("n"), F.max("__d").alias("d"))
+             .groupBy("__qk").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("r"), F.max("d").alias("d")))
+    full = (F.col("n") >= k) & (F.col("r") >= max(1, repeats))
+    asked = own.join(bound.select("__qk", F.when(full, F.sqrt("d")).alias("__tau")), on="__qk", how="left")
+
+    def others(batches):
         for pdf in batches:
-            if pdf.empty:
+            if not len(pdf):
                 continue
-            X = np.stack(pdf["__x"].to_numpy()).astype(float)
-            tk = pdf["__tk"].to_numpy(np.int64)
-            ty = pdf["__y"].to_numpy(float)
-            # Screen with the expanded form, then re-rank the survivors on exact squared distances.
-            approx = q2[:, None] + (X * X).sum(axis=1)[None, :] - 2.0 * Q @ X.T
-            m = min(len(tk), k + 8)
-            sel = np.argpartition(approx, m - 1, axis=1)[:, :m] if m < len(tk) else np.tile(
-                np.arange(len(tk)), (len(qk), 1))
-            diff = Q[:, None, :] - X[sel]
-            d = np.einsum("qmf,qmf->qm", diff, diff)
-            ck, cy = tk[sel], ty[sel]
-            if best_d is not None:
-                d = np.concatenate([best_d, d], axis=1)
-                ck = np.concatenate([best_k, ck], axis=1)
-                cy = np.concatenate([best_y, cy], axis=1)
-            order = np.lexsort((ck, d), axis=1)[:, :k]
-            rows = np.arange(len(qk))[:, None]
-            best_d, best_k, best_y = d[rows, order], ck[rows, order], cy[rows, order]
-        if best_d is None:
-            return
-        kk = best_d.shape[1]
-        yield pd.DataFrame({"__qk": np.repeat(qk, kk), "__d": best_d.ravel(), "__tk": best_k.ravel(),
-                            "__y": best_y.ravel()})
-    return run
+            tau = pdf["__tau"].fillna(np.inf).to_numpy(float)
+            near = distances(pdf) - radius[None, :] <= tau[:, None] * (1 + 1e-9) + 1e-9
+            near[:, np.isneginf(radius)] = False
+            near[np.arange(len(pdf)), pdf["__cell"].to_numpy()] = False
+            i, c = np.nonzero(near)
+            if len(i):
+                yield pdf.iloc[i].drop(columns=["__tau", "__far"]).assign(__cell=c.astype(np.int32))
+
+    more = asked.mapInPandas(others, _with(queries, "__cell int"))
+    return best(first.drop("__rank").unionByName(meet(more)))
+
+
+def _with(df: DataFrame, more: str) -> T.StructType:
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
+def _lookup(cell: Column, table: dict[int, int]) -> Column:
+    """A per-cell number as a long; 1 for cells without one."""
+    m = F.create_map(*[x for c, v in table.items() for x in (F.lit(int(c)), F.lit(int(v)))])
+    return F.coalesce(m[cell], F.lit(1)).cast("long")
+
+
+def knn_predict(train: DataFrame, queries: DataFrame, key: str, features: str, target: str, k: int = 5,
+                pivots: int = KNN_PIVOTS, block: int = KNN_BLOCK) -> DataFrame:
+    """Exact k-nearest-neighbour mean of ``target`` for every query row (Euclidean on an array column).
+
+    Both sides stay on the executors (:func:`_nearest`); ties are broken by the training key. Keys must be unique.
+    """
+    none = F.array(F.lit(0))
+    tr = train.select(F.col(key).cast("long").alias("__tk"), F.col(features).cast("array<double>").alias("__x"),
+                      F.col(target).cast("double").alias("__y"), none.alias("__folds"))
+    qs = queries.select(F.col(key).cast("long").alias("__qk"), F.col(features).cast("array<double>").alias("__x"), none.alias("__folds"))
+    top = _nearest(tr, qs, k, pivots=pivots, block=block)
+    return top.groupBy(F.col("__qk").alias(key)).agg(F.avg("__y").alias("prediction"), F.count(F.lit(1)).alias("n_neighbours"))
 
 
 def impute_by_knn(df: DataFrame, key: str, features: str, target: str, k: int = 5, digits: int = 2,
@@ -219,84 +288,24 @@ def impute_by_knn(df: DataFrame, key: str, features: str, target: str, k: int =
 
 
 # --------------------------------------------------------------------------------------------- H3 + H4 (k tuning)
-def _topk_cv_partition(bq, kmax: int, repeats: int):
-    """Per training partition: for every query row and repeat, the kmax nearest rows of OTHER folds."""
-    def run(batches):
-        qk, Q, qf = bq.value
-        q2 = (Q * Q).sum(axis=1)
-        best = [None] * repeats
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            X = np.stack(pdf["__x"].to_numpy()).astype(float)
-            tk = pdf["__tk"].to_numpy(np.int64)
-            ty = pdf["__y"].to_numpy(float)
-            tf = np.stack(pdf["__folds"].to_numpy()).astype(int)
-            diff_sq = q2[:, None] + (X * X).sum(axis=1)[None, :] - 2.0 * Q @ X.T
-            for r in range(repeats):
-                d = np.where(qf[:, r][:, None] == tf[:, r][None, :], np.inf, diff_sq)
-                m = min(len(tk), kmax + 8)
-                sel = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(tk) else np.tile(np.arange(len(tk)), (len(qk), 1))
-                rows = np.arange(len(qk))[:, None]
-                exact = np.einsum("qmf,qmf->qm", Q[:, None, :] - X[sel], Q[:, None, :] - X[sel])
-                exact = np.where(np.isinf(d[rows, sel]), np.inf, exact)
-                ck, cy = tk[sel], ty[sel]
-                if best[r] is not None:
-                    exact = np.concatenate([best[r][0], exact], axis=1)
-                    ck = np.concatenate([best[r][1], ck], axis=1)
-                    cy = np.concatenate([best[r][2], cy], axis=1)
-                order = np.lexsort((ck, exact), axis=1)[:, :kmax]
-                best[r] = (exact[rows, order], ck[rows, order], cy[rows, order])
-        out = []
-        for r, b in enumerate(best):
-            if b is None:
-                continue
-            kk = b[0].shape[1]
-            ok = np.isfinite(b[0]).ravel()
-            out.append(pd.DataFrame({"__qk": np.repeat(qk, kk)[ok], "__r": r, "__d": b[0].ravel()[ok],
-                                     "__tk": b[1].ravel()[ok], "__y": b[2].ravel()[ok]}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
-    return run
-
-
 def knn_cv(df: DataFrame, key: str, features: str, target: str, ks=(5, 7, 9), folds: int = 10, repeats: int = 3,
-           seed: int = 123, max_broadcast_rows: int = 20_000, max_topk_partitions: int = 2048) -> DataFrame:
+           seed: int = 123, pivots: int = KNN_PIVOTS, block: int = KNN_BLOCK) -> DataFrame:
     """Repeated k-fold CV of the exact kNN regressor for several k at once (H3 tuned as in H4).
 
-    Every labelled row is a query; inside each training partition its neighbours from the same fold are
-    masked per repeat, so one distributed pass per query chunk serves all folds, repeats and k.
-    Output: per (k, repeat, fold) the metrics of :func:`regression_metrics`.
+    Every labelled row is a query; its neighbours from the same fold are left out per repeat, so one search
+    (:func:`_nearest`) serves all folds, repeats and k. Output: per (k, repeat, fold) the metrics of
+    :func:`regression_metrics`.
     """
     from gustlab.operators.evaluate import regression_metrics
 
-    spark = df.sparkSession
     kmax = max(ks)
     lab = df.filter(qcol(target).isNotNull()).select(
-        F.col(key).cast("long").alias("__tk"), F.col(features).alias("__x"), F.col(target).cast("double").alias("__y"),
+        F.col(key).cast("long").alias("__tk"), F.col(features).cast("array<double>").alias("__x"),
+        F.col(target).cast("double").alias("__y"),
         F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(seed + r)), F.lit(folds)).cast("int")
-                  for r in range(repeats)]).alias("__folds")).cache()
-    n_q = lab.count()
-    chunks = max(1, math.ceil(n_q / max_broadcast_rows))
-    qs = lab if chunks == 1 else sequence_index(lab, "__tk", n_rows=n_q, idx="__p").withColumn(
-        "__chunk", F.floor(F.col("__p") / max_broadcast_rows)).drop("__p").cache()
-    schema = "__qk long, __r int, __d double, __tk long, __y double"
-    parts = []
-    for c in range(chunks):
-        qp = (qs if chunks == 1 else qs.filter(F.col("__chunk") == c)).select("__tk", "__x", "__folds").toPandas()
-        if qp.empty:
-            continue
-        bq = spark.sparkContext.broadcast((qp["__tk"].to_numpy(np.int64), np.stack(qp["__x"].to_numpy()).astype(float),
-                                           np.stack(qp["__folds"].to_numpy()).astype(int)))
-        tr = lab.select("__tk", "__x", "__y", "__folds")
-        if tr.rdd.getNumPartitions() > max_topk_partitions:
-            tr = tr.coalesce(max_topk_partitions)  # bounds the candidates shuffled per query
-        parts.append(tr.mapInPandas(_topk_cv_partition(bq, kmax, repeats), schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy("__qk", "__r").orderBy("__d", "__tk")
-    top = cand.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= kmax)
+                  for r in range(repeats)]).alias("__folds"))
+    lab = cut_lineage(lab)
+    top = _nearest(lab, lab.select(F.col("__tk").alias("__qk"), "__x", "__folds"), kmax, repeats, pivots, block)
     preds = top.groupBy("__qk", "__r").agg(*[F.avg(F.when(F.col("__rank") <= k, F.col("__y"))).alias(f"k{k}")
                                              for k in ks])
     preds = preds.unpivot(["__qk", "__r"], [f"k{k}" for k in ks], "__kname", "prediction")

@@ -86,9 +86,9 @@ def test_knn_chunks_equal_single_chunk(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(v) for v in rng.normal(size=4)], float(i % 3) if i % 5 else None) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, f array<double>, y double")
-    a = I.impute_by_knn(df, "id", "f", "y", k=3, max_broadcast_rows=10).collect()
+    a = I.impute_by_knn(df, "id", "f", "y", k=3, pivots=12, block=10).collect()
     b = I.impute_by_knn(df, "id", "f", "y", k=3).collect()
-    c = I.impute_by_knn(df.repartition(6), "id", "f", "y", k=3, max_topk_partitions=1).collect()
+    c = I.impute_by_knn(df.repartition(6), "id", "f", "y", k=3, pivots=1, block=20).collect()
     assert {r["id"]: r["y"] for r in a} == {r["id"]: r["y"] for r in b} == {r["id"]: r["y"] for r in c}
     # brute force check of one query row
     pdf = df.toPandas()
@@ -112,7 +112,7 @@ def test_knn_cv_matches_brute_force(spark):
     rows = [(i, [float(v) for v in rng.normal(size=3)], float(rng.integers(0, 5))) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, f array<double>, y double")
     cv = {(r["k"], r["fold"]): r["rmse"] for r in I.knn_cv(df, "id", "f", "y", ks=(3, 5), folds=4, repeats=1,
-                                                            max_broadcast_rows=50).collect()}
+                                                            pivots=5, block=20).collect()}
     folds = {r["id"]: r["fold"] for r in M.kfold(df, ["id"], folds=4, seed=123).collect()}
     pdf = df.toPandas()
     X = np.stack(pdf.f.to_numpy())
