@@ -196,7 +196,7 @@ class Automaton:
 
 
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text", learn=None, order: int = 2,
-          concentration: float = 20.0) -> DataFrame:
+          concentration: float = 200.0) -> DataFrame:
     """One row a row of ``docs``: the id, ``held_out`` boolean, ``n_tokens``, ``n_known``, ``train_tokens`` long,
     ``base_score`` double (add-one unigrams) and ``score`` double (the automaton), both log10 probabilities.
 
