@@ -1,4 +1,4 @@
-"""Forecasting: lagged-feature models, an AR(I) baseline with order search, back-tests.
+"""Forecasting: lagged-feature models, ARIMA with order search and choice of d, back-tests.
 
 Series positions come from the distributed index; lags are equi-joins/fan-outs on positions; the ARIMA fit
 reduces each series to its cross-product sums in one aggregate, and only those small per-series systems and
@@ -12,12 +12,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustlab.operators import timeseries as tsx
 from gustlab.operators.evaluate import regression_metrics
 from gustlab.operators.models import FITTERS
+from gustlab.session import cut_lineage
 
 
 # --------------------------------------------------------------------------------------------- H8
@@ -202,7 +203,7 @@ def innovations(df: DataFrame, value: str, ts: str, by: Sequence[str], m: int, d
     x = _ar_design(df, value, ts, by, m, d).withColumn("__one", F.lit(1.0))
     fit = _solve_grouped(_cross_sums(x, by, ["__one"] + [f"__l{j}" for j in range(1, m + 1)]), by,
                          _orders_solver(by, m + 1, m, 0, d, fixed=(m, 0)))
-    return arima_residuals(df, value, fit, ts, by, max_p=m)
+    return arima_residuals(df, value, fit, ts, by)
 
 
 def arima_fit(df: DataFrame, value: str, ts: str = "ts", by: Sequence[str] = (), max_p: int = 5,
@@ -288,24 +289,76 @@ def arima_forecast(df: DataFrame, value: str, h: int, ts: str = "ts", by: Sequen
 
 
 def arima_residuals(df: DataFrame, value: str, fit: DataFrame, ts: str = "ts", by: Sequence[str] = (),
-                    max_p: int = 5) -> DataFrame:
-    """One-step residuals of a fitted AR(I) model on its own series: ``(by..., _pos, resid)`` (input to E12)."""
+                    long_ar: int | None = None) -> DataFrame:
+    """One-step residuals of a fitted ARIMA model on its own series: ``(by..., _pos, resid)`` (input to E12).
+
+    All fitted terms count: the AR terms on the differenced series and, with q > 0, the MA terms on the innovation
+    estimates that the fit used (``long_ar`` as there). ``d`` is one number for all series of ``fit``.
+    """
     by = list(by)
-    if not by:
+    size = lambda c: F.max(F.size(F.coalesce(F.col(c), F.array().cast("array<double>"))))
+    top = fit.agg(size("coefs").alias("p"), size("ma_coefs").alias("q"), F.max("d").alias("d")).first()
+    p, q, d = (int(top[c] or 0) for c in ("p", "q", "d"))
+    single = not by
+    if single:
         # one series: its single fit row is read as literals (a join on a constant key would plan a cross join)
         row = fit.first()
         df, by, _ = _keyed(df, value, by)
-        x = _ar_design(positions(df, value, ts, by), value, ts, by, max_p, int(row["d"]))
+    pos = df if "__x" in df.columns else positions(df, value, ts, by)
+    x = _ar_design(pos, value, ts, by, p, d)
+    if q:
+        e = innovations(pos, value, ts, by, long_ar or max(8, p + q), d).withColumnRenamed("resid", "__e")
+        x = tsx.null_safe_join(x, _lags(e, by, "__e", "__m", q, _nb(pos)), [*by, "_pos"]).na.drop(
+            subset=[f"__m{j}" for j in range(1, q + 1)])
+    if single:
+        term = lambda c, j: F.lit(float(row[c][j - 1]))
         pred = F.lit(float(row["intercept"] or 0.0))
-        for j, c in enumerate(row["coefs"] or [], start=1):
-            if j <= max_p:
-                pred = pred + F.lit(float(c)) * F.col(f"__l{j}")
-        return x.select("_pos", "_bkt", (F.col("__y") - pred).alias("resid"))
-    d = int(fit.select("d").first()["d"]) if fit.select("d").first() else 1
-    x = _ar_design(df if "__x" in df.columns else positions(df, value, ts, by), value, ts, by, max_p, d)
-    f = fit.select(*by, "intercept", "coefs")
-    x = x.join(f, on=by)
-    pred = F.col("intercept")
-    for j in range(1, max_p + 1):
-        pred = pred + F.coalesce(F.try_element_at("coefs", F.lit(j)), F.lit(0.0)) * F.col(f"__l{j}")
-    return x.select(*by, "_pos", "_bkt", (F.col("__y") - pred).alias("resid"))
+    else:
+        x = tsx.null_safe_join(x, fit.select(*by, "intercept", "coefs", "ma_coefs"), by)
+        term = lambda c, j: F.coalesce(F.try_element_at(c, F.lit(j)), F.lit(0.0))
+        pred = F.col("intercept")
+    for j in range(1, p + 1):
+        pred = pred + term("coefs", j) * F.col(f"__l{j}")
+    for j in range(1, q + 1):
+        pred = pred + term("ma_coefs", j) * F.col(f"__m{j}")
+    return x.select(*([] if single else by), "_pos", "_bkt", (F.col("__y") - pred).alias("resid"))
+
+
+# --------------------------------------------------------------------------------------------- choice of d
+KPSS_5 = 0.463  # fixed value: 5 % point of the level statistic
+
+
+def kpss(df: DataFrame, value: str, ts: str = "ts", by: Sequence[str] = (), lags: int | None = None) -> DataFrame:
+    """KPSS level statistic per series: ``(by..., n, lags, kpss)``, ``Σ S_t² / (n² s²)`` with ``S_t`` the running sums of the
+    centred values and ``s²`` their long-run variance (Bartlett weights over ``lags``).
+
+    ``lags`` defaults to ``trunc(4 (n / 100)^(1/4))`` of the longest series. Running sums are windows inside the position
+    ranges plus the ranges' totals. A constant series has NULL.
+    """
+    by = list(by)
+    base = df.select(*by, ts, value).filter(F.col(value).isNotNull())
+    ix, nb = tsx._positions(base, ts, by, keep_bucket=True)
+    stats = cut_lineage(ix.groupBy(*by).agg(F.avg(value).alias("__m"), F.count(F.lit(1)).alias("n")))
+    if lags is None:
+        longest = stats.agg(F.max("n")).first()[0] or 0
+        lags = int(4 * (longest / 100) ** 0.25)
+    c = tsx.attach(ix, stats, by).withColumn("__d", F.col(value) - F.col("__m"))
+    total = c.groupBy(*by, "_bkt").agg(F.sum("__d").alias("__t"))
+    before = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select(*by, "_bkt", F.coalesce(F.sum("__t").over(before), F.lit(0.0)).alias("__off"))
+    inside = Window.partitionBy(*by, "_bkt").orderBy(tsx.IDX).rowsBetween(Window.unboundedPreceding, 0)
+    c = tsx.null_safe_join(c, total, [*by, "_bkt"]) if nb > 1 else c.withColumn("__off", F.lit(0.0))
+    run = c.withColumn("__s", F.col("__off") + F.sum("__d").over(inside))
+    sums = run.groupBy(*by).agg(F.sum(F.col("__s") * F.col("__s")).alias("__ss"), F.sum(F.col("__d") * F.col("__d")).alias("__dd"))
+    r = tsx.acf(base, value, max(lags, 1), ts, by).filter((F.col("lag") >= 1) & (F.col("lag") <= lags))
+    weight = 1 - F.col("lag") / F.lit(lags + 1.0)
+    long_run = r.groupBy(*by).agg((1 + 2 * F.sum(weight * F.col("acf"))).alias("__w"))
+    out = tsx.attach(tsx.attach(sums, stats, by), long_run, by)
+    s2 = F.col("__dd") / F.col("n") * F.coalesce(F.col("__w"), F.lit(1.0))
+    return out.select(*by, "n", F.lit(lags).alias("lags"), F.try_divide(F.col("__ss"), F.col("n") * F.col("n") * s2).alias("kpss"))
+
+
+def choose_d(df: DataFrame, value: str, ts: str = "ts", by: Sequence[str] = ()) -> int:
+    """0 where no series' level is rejected by the KPSS test at 5 %, else 1 (the differences that :func:`arima_fit` takes)."""
+    worst = kpss(df, value, ts, by).agg(F.max("kpss")).first()[0]
+    return int(worst is not None and worst > KPSS_5)

@@ -12,7 +12,7 @@ from gustlab.operators import forecast as FC
 from gustlab.operators import models as M
 from gustlab.operators import timeseries as tsx
 from gustlab.plans import standins as S
-from gustlab.plans.catalog import register
+from gustlab.plans.catalog import present, register, round_sql
 
 X = S.WIDE_X
 Y = "net_price"
@@ -212,13 +212,15 @@ def q_rf_mtry_tuning(spark, d):
 
 @register("arima_residual_check")
 def q_arima_residual_check(spark, d):
-    """E12 on residuals: Ljung-Box over 10 lags of the AR(I) fit's one-step residuals (fitted order as dof)."""
+    """E12 on residuals: Ljung-Box over 10 lags of the ARIMA fit's one-step residuals, MA terms included (fitted orders
+    as dof); d by the KPSS test."""
     s = S.farm_series(spark, d)
-    fit = FC.arima_fit(s, "revenue", max_p=5, d=1).cache()
-    p = fit.first()["p"] or 0
-    res = FC.arima_residuals(s, "revenue", fit, max_p=5)
-    return tsx.ljung_box(tsx.acf(res, "resid", 10, order="_pos"), 10, fitted_params=p).withColumn(
-        "p_order", F.lit(p))
+    fit = FC.arima_fit(s, "revenue", max_p=5, d=FC.choose_d(s, "revenue"), max_q=2).cache()
+    row = fit.first()
+    p, q = row["p"] or 0, row["q"] or 0
+    res = FC.arima_residuals(s, "revenue", fit)
+    return tsx.ljung_box(tsx.acf(res, "resid", 10, order="_pos"), 10, fitted_params=p + q).withColumns(
+        {"p_order": F.lit(p), "q_order": F.lit(q)})
 
 
 @register("lagged_forecast_reference_mode")
@@ -229,3 +231,31 @@ def q_lagged_forecast_reference_mode(spark, d):
                                 horizon=1, steps=3, train_days=7, val_days=1, test_days=1, model="gbt",
                                 restore="reference", scale_on="all")
     return ev.regression_metrics(scored, "actual", "predicted")
+
+
+# ------------------------------------------------------------------------------------------- H9: choice of d
+@register("kpss_statistic", round_sql(f"""
+    WITH s AS (SELECT revenue AS x, row_number() OVER (ORDER BY ts) AS i FROM ({S.FARM_SERIES_SQL})),
+    d AS (SELECT i, x - avg(x) OVER () AS d, count(*) OVER () AS n FROM s),
+    c AS (SELECT *, sum(d) OVER (ORDER BY i) AS s FROM d),
+    l AS (SELECT CAST(trunc(4 * pow(max(n) / 100.0, 0.25)) AS INTEGER) AS lags FROM d),
+    r AS (SELECT k.lag, sum(a.d * b.d) AS g FROM (SELECT unnest(range(1, 40)) AS lag) k, d a JOIN d b ON true
+          WHERE b.i = a.i + k.lag GROUP BY k.lag),
+    w AS (SELECT sum((1 - lag / (lags + 1.0)) * g) AS g FROM r, l WHERE lag <= lags)
+    SELECT max(n) AS n, max(lags) AS lags, sum(s * s) / (max(n) * (sum(d * d) + 2 * max(w.g))) AS kpss FROM c, l, w
+""", ["kpss"], 6))
+def q_kpss_statistic(spark, d):
+    """H9: the level statistic behind the choice of d, on the daily revenue series."""
+    return present(FC.kpss(S.farm_series(spark, d), "revenue"), 6, ["kpss"])
+
+
+# ------------------------------------------------------------------------------------------- entry 4
+@register("season_regression")
+def q_season_regression(spark, d):
+    """Entry 4: chosen weeks -> selection -> split -> scaling -> forest, kernel and random-layer models, scored on the
+    training and held-out rows and on another week."""
+    from gustlab.plans.workflows import season_regression
+
+    h = _hourly(spark, d).withColumn("filename", F.concat(F.lit("Wk"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0")))
+    return season_regression(h, "active_power_kw", "wind_speed_ms", S.SCADA_FEATURES, seasons=["Wk01", "Wk02", "Wk04"],
+                             evaluate=["Wk03"])

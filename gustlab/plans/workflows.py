@@ -1,8 +1,7 @@
-"""The reference's end-to-end paths as compositions of library operators.
+"""The reference's end-to-end paths as compositions of library operators.
 
-Entry 3 (forecasting) and entry 4 (static regression) are :func:`gustlab.operators.forecast.lagged_forecast`,
-:func:`gustlab.operators.forecast.arima_forecast` and the fit/score/metrics operators of
-:mod:`gustlab.operators.models`, used directly.
+Entry 3 (forecasting) is :func:`gustlab.operators.forecast.lagged_forecast` and
+:func:`gustlab.operators.forecast.arima_forecast`, used directly.
 """
 
 from __future__ import annotations
@@ -13,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gustlab.functions.columns import split_timestamp
+from gustlab.operators import evaluate as EV
 from gustlab.operators import impute as I
 from gustlab.operators import joins as J
+from gustlab.operators import models as M
 from gustlab.operators import quality as Q
 from gustlab.operators import reshape as R
 from gustlab.operators import stats as ST
@@ -96,3 +97,33 @@ def weather_to_final(hourly: DataFrame, weather: DataFrame, power: str, ts: str
     final = I.patch_from_year(joined, weather_cols, ts=ts)
     final = R.complete_rows(final)
     return split_timestamp(final, ts, parts=("year", "month", "day", "hour"))
+
+
+def season_regression(hourly: DataFrame, target: str, speed: str, features: Sequence[str], seasons: Sequence[str],
+                      evaluate: Sequence[str] = (), month: str = "filename", ts: str = "ts",
+                      models: dict[str, dict] | None = None) -> DataFrame:
+    """Entry 4: static regression of ``target`` on the rows of the ``seasons`` months, and its evaluation on others.
+
+    Season rows (E15) -> features by correlation (D19; all others where none passes) -> split inside target quantiles (H1) ->
+    scaling learned from the training rows (E8) -> each of ``models`` (name -> parameters of its fitter) fitted once ->
+    metrics (H13) on the training rows, the held-out rows and each month of ``evaluate``: ``(model, part, metrics...)``.
+    """
+    models = models if models is not None else {"rf": {"num_trees": 500}, "rbf": {}, "random_layer": {}}
+    known = [c for c in features if c != target]
+    season = R.pick_groups(hourly, month, seasons)
+    chosen = ST.select_by_correlation(season, target, speed, [target, *known], key=[ts])
+    cols = [c for c in known if c in chosen] or known
+    sp = M.stratified_split(season.select(month, ts, target, *cols), target, keys=[ts]).drop("stratum")
+    rows = sp.withColumnRenamed("split", "part")
+    if evaluate:
+        other = R.pick_groups(hourly, month, evaluate).select(month, ts, target, *cols)
+        rows = rows.unionByName(other.withColumn("part", F.col(month)))
+    rows = cut_lineage(rows)  # the scaler, every fit and every scoring read it
+    scaled = tsx.zscore(rows, cols, F.col("part") == "train")
+    train = scaled.filter(F.col("part") == "train")
+    out = []
+    for name, params in models.items():
+        fitted = M.FITTERS[name](train, cols, target, **params)
+        out.append(EV.regression_metrics(fitted.predict(scaled), target, "prediction", by=["part"])
+                   .select(F.lit(name).alias("model"), "*"))
+    return R.union_all(out)
