@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from gustlab.llm import blocks as B
 
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
+HELD_TOKENS = 4 << 20  # distinct tokens a task of the count holds at once
 END = np.uint64(0xA24BAED4963EE407)
 BEGIN = np.uint64(0x9FB21C651E98DF25)
 _MULT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -68,28 +69,29 @@ def contexts(h: np.ndarray, n: np.ndarray, order: int):
     return out
 
 
-def ngram_keys(h, n, order):
-    """For k = 1 .. order: keys of the k-gram ending at each position, of its context, and whether it exists."""
+def key_bytes(size: int) -> int:
+    """Bytes of an n-gram's key in a corpus of ``size`` bytes of text: 20 bits more than its tokens may number."""
+    return int(min(8, max(5, -(-(int(max(size, 1)).bit_length() + 20) // 8))))
+
+
+def ngram_keys(h, n, order, width: int = 8):
+    """For k = 1 .. order: keys of the k-gram ending at each position (cut to ``width`` bytes from two tokens on), and whether
+    it exists."""
+    mask = np.uint64((1 << 8 * width) - 1)
     out = []
     for k, (ctx, ok) in enumerate(contexts(h, n, order)):
-        key = h if k == 0 else B.mix(ctx * np.uint64(0x9E3779B97F4A7C15) + h) & np.uint64((1 << 56) - 1)
-        out.append((key, ctx, ok))
+        out.append((h if k == 0 else B.mix(ctx * np.uint64(0x9E3779B97F4A7C15) + h) & mask, ok))
     return out
 
 
-def _pack(keys: np.ndarray, order: int) -> bytes:
-    """8 bytes a token key, 7 a longer n-gram's."""
-    if order == 1:
-        return keys.tobytes()
-    return keys.view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+def _pack(keys: np.ndarray, width: int) -> bytes:
+    return keys.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _unpack(raw: bytes, order: int) -> np.ndarray:
-    if order == 1:
-        return np.frombuffer(raw, np.uint64)
-    b = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+def _unpack(raw: bytes, width: int) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8).reshape(-1, width)
     out = np.zeros((len(b), 8), np.uint8)
-    out[:, :7] = b
+    out[:, :width] = b
     return out.reshape(-1).view(np.uint64)
 
 
@@ -103,58 +105,64 @@ def local_counts(key: np.ndarray, train: np.ndarray):
     return u, np.bincount(inv, weights=train, minlength=len(u)).astype(np.int64), inv
 
 
+def _asking_order(keys: np.ndarray, count: np.ndarray, parts: int):
+    """(part, numbers of its keys) in the order in which a bucket asks: keys counted 0 times here, once, more often."""
+    part = _part_of(keys, parts)
+    order = np.lexsort((np.minimum(count, 2), part))
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    return [(p, order[cut[p]:cut[p + 1]]) for p in range(parts) if cut[p] < cut[p + 1]]
+
+
 # the three groups of a packed row: keys that training texts here have 0 times, once, more often (with counts)
 _PACKED = "part int, bucket bigint, k int, zero binary, one binary, more binary, counts binary"
 
 
-def _requests(bucket: int, found: list[tuple[int, np.ndarray, np.ndarray]], parts: int):
+def _requests(bucket: int, found: list[tuple[int, np.ndarray, np.ndarray]], parts: int, width: int):
     cols = [[] for _ in range(7)]
     for k, keys, count in found:
-        part = _part_of(keys, parts)
-        order = np.argsort(part, kind="stable")
-        cut = np.searchsorted(part[order], np.arange(parts + 1))
-        for p in range(parts):
-            at = order[cut[p]:cut[p + 1]]
-            if len(at):
-                c = count[at]
-                row = (p, bucket, k, _pack(keys[at[c == 0]], k), _pack(keys[at[c == 1]], k), _pack(keys[at[c > 1]], k),
-                       c[c > 1].astype(np.int64).tobytes())
-                for col, x in zip(cols, row):
-                    col.append(x)
+        w = 8 if k == 1 else width
+        for p, at in _asking_order(keys, count, parts):
+            c = count[at]
+            row = (p, bucket, k, _pack(keys[at[c == 0]], w), _pack(keys[at[c == 1]], w), _pack(keys[at[c > 1]], w),
+                   c[c > 1].astype(np.uint32).tobytes())
+            for col, x in zip(cols, row):
+                col.append(x)
     types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     return pa.table([pa.array(c, t) for c, t in zip(cols, types)],
                     ["part", "bucket", "k", "zero", "one", "more", "counts"])
 
 
-def _opened(t: pa.Table):
-    """Of a part's packed rows of one order: keys, local counts and row number of each key."""
+def _opened(t: pa.Table, width: int):
+    """Of a part's packed rows of one order: keys, local counts and the row's number of each key."""
     keys, counts, rows = [], [], []
     for i, r in enumerate(t.to_pylist()):
-        z, o, m = (_unpack(r[x], r["k"]) for x in ("zero", "one", "more"))
+        z, o, m = (_unpack(r[x], width) for x in ("zero", "one", "more"))
         keys += [z, o, m]
-        counts += [np.zeros(len(z), np.int64), np.ones(len(o), np.int64), np.frombuffer(r["counts"], np.int64)]
+        counts += [np.zeros(len(z), np.int64), np.ones(len(o), np.int64), np.frombuffer(r["counts"], np.uint32).astype(np.int64)]
         rows.append(np.full(len(z) + len(o) + len(m), i))
     return np.concatenate(keys), np.concatenate(counts), np.concatenate(rows)
 
 
-def _totals(key, t: pa.Table) -> pa.Table:
-    """Replies of one part: for each bucket the totals of those of its n-grams to which other buckets add."""
-    cols = [[] for _ in range(4)]
+def _totals(key, t: pa.Table, width: int) -> pa.Table:
+    """Replies of one part: for each bucket and order, what other buckets add to each key it asked for, in its order: a byte
+    a key, 255 for a number that stands in ``large``."""
+    cols = [[] for _ in range(5)]
+    part = key[0].as_py()
     for k in sorted(set(t.column("k").to_pylist())):
         rows = t.filter(pa.compute.equal(t.column("k"), k))
-        keys, counts, row = _opened(rows)
+        keys, counts, row = _opened(rows, 8 if k == 1 else width)
         u, inv = np.unique(keys, return_inverse=True)
-        total = np.bincount(inv, weights=counts, minlength=len(u)).astype(np.int64)[inv]
-        at = np.flatnonzero(total != counts)
+        add = np.bincount(inv, weights=counts, minlength=len(u)).astype(np.int64)[inv] - counts
         buckets = rows.column("bucket").to_pylist()
-        cut = np.searchsorted(row[at], np.arange(len(buckets) + 1))
+        cut = np.searchsorted(row, np.arange(len(buckets) + 1))
         for i, b in enumerate(buckets):
-            x = at[cut[i]:cut[i + 1]]
-            if len(x):
-                for col, v in zip(cols, (b, k, _pack(keys[x], k), total[x].tobytes())):
+            x = add[cut[i]:cut[i + 1]]
+            if x.any():
+                small = np.minimum(x, 255).astype(np.uint8)
+                for col, v in zip(cols, (b, k, part, small.tobytes(), x[x >= 255].tobytes())):
                     col.append(v)
-    return pa.table([pa.array(c, ty) for c, ty in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
-                    ["bucket", "k", "keys", "totals"])
+    return pa.table([pa.array(c, ty) for c, ty in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                    ["bucket", "k", "part", "small", "large"])
 
 
 class Automaton:
@@ -164,16 +172,22 @@ class Automaton:
     states where their count is above 0.
     """
 
-    def __init__(self, h, n, train, order, replies):
+    def __init__(self, h, n, train, order, replies, parts, width):
         self.h, self.n, self.order = h, n, order
-        self.keys = ngram_keys(h, n, order)
+        self.keys = ngram_keys(h, n, order, width)
         self.count = []
-        for k, (key, _, ok) in enumerate(self.keys, 1):
-            u, c, inv = local_counts(key, train & ok)
-            for keys, totals in replies.get(k, ()):
-                at = np.minimum(np.searchsorted(u, keys), max(len(u) - 1, 0))
-                c[at] = totals
-            self.count.append(c[inv])
+        for k, (key, ok) in enumerate(self.keys, 1):
+            u, c, inv = local_counts(key[ok], train[ok])
+            asked, total = _asking_order(u, c, parts), c.copy()
+            for p, at in asked:
+                if (k, p) in replies:
+                    small, large = replies[(k, p)]
+                    add = np.frombuffer(small, np.uint8).astype(np.int64)
+                    add[add == 255] = np.frombuffer(large, np.int64)
+                    total[at] += add
+            here = np.zeros(len(h), np.int64)
+            here[ok] = total[inv]
+            self.count.append(here)
 
     def read(self, N: int, V: int, texts: int, concentration: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(n_known, base score, score) of each text, reading from left to right; ``texts``: training texts, the count of
@@ -188,8 +202,8 @@ class Automaton:
             state = np.zeros(len(self.h))
             state[1:] = self.count[k - 2][:-1]
             state[pos == 0] = texts if k == 2 else 0
-            arc = np.where(self.keys[k - 1][2], self.count[k - 1], 0)
-            known = (state > 0) & self.keys[k - 1][2]  # else there is no such state, and the shorter one reads on
+            arc = self.count[k - 1]
+            known = (state > 0) & self.keys[k - 1][1]  # else there is no such state, and the shorter one reads on
             p = np.where(known, (arc + concentration * p) / (state + concentration), p)
         add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
         return add((c1 > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(p))
@@ -212,6 +226,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", learn=None, o
     src = docs.select(key.alias("id"), want.alias("train"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     size = src.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     buckets = max(2 * spark.sparkContext.defaultParallelism, -(-int(size) // BUCKET_BYTES))
+    width = key_bytes(int(size))
     N, V, texts = _corpus_counts(src.where("train").select("t"), buckets)
 
     spread = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("t")))
@@ -222,18 +237,16 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", learn=None, o
         h, n = token_stream(t.column("t"))
         train = np.repeat(np.asarray(t.column("train").to_numpy(zero_copy_only=False), bool), n)
         found = []
-        for k, (keys, _, ok) in enumerate(ngram_keys(h, n, order), 1):
+        for k, (keys, ok) in enumerate(ngram_keys(h, n, order, width), 1):
             u, c, _ = local_counts(keys[ok], train[ok])
             found.append((k, u, c))
-        return _requests(t.column("bucket")[0].as_py(), found, buckets)
+        return _requests(t.column("bucket")[0].as_py(), found, buckets, width)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         h, n = token_stream(left.column("t"))
         train = np.asarray(left.column("train").to_numpy(zero_copy_only=False), bool)
-        replies: dict[int, list] = {}
-        for r in right.to_pylist():
-            replies.setdefault(r["k"], []).append((_unpack(r["keys"], r["k"]), np.frombuffer(r["totals"], np.int64)))
-        a = Automaton(h, n, np.repeat(train, n), order, replies)
+        replies = {(r["k"], r["part"]): (r["small"], r["large"]) for r in right.to_pylist()}
+        a = Automaton(h, n, np.repeat(train, n), order, replies, buckets, width)
         known, base, got = a.read(N, V, texts, concentration)
         return pa.table([left.column("id"), pa.array(~train), pa.array(n), pa.array(known), pa.array(np.full(len(n), N)),
                          pa.array(base), pa.array(got)], out.names)
@@ -242,28 +255,36 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", learn=None, o
         "held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")])
     asked = dealt.groupBy("bucket").applyInArrow(lambda t: ask(t), _PACKED)
     replies = asked.repartition(buckets, "part").groupBy("part").applyInArrow(
-        lambda k, t: _totals(k, t), "bucket bigint, k int, keys binary, totals binary")
+        lambda k, t: _totals(k, t, width), "bucket bigint, k int, part int, small binary, large binary")
     return dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(lambda a, b: answer(a, b), out)
 
 
 def _corpus_counts(train: DataFrame, parts: int) -> tuple[int, int, int]:
     """Tokens, distinct tokens and texts of the training rows: each task's distinct tokens meet by hash."""
     def distinct(batches):
+        held, n_held, n, texts = [], 0, 0, 0
         for b in batches:
             _, off = B.utf8(b.column(0))
-            for i, j in B.row_chunks(off, 4 * B.CHUNK_BYTES):
-                h, n = token_stream(b.column(0).slice(i, j - i))
-                u = np.unique(h)
-                part = _part_of(u, parts)
-                order = np.argsort(part, kind="stable")
-                cut = np.searchsorted(part[order], np.arange(parts + 1))
-                some = np.flatnonzero(np.diff(cut))
-                m = np.zeros(len(some), np.int64)
-                t = np.zeros(len(some), np.int64)
-                if len(some):
-                    m[0], t[0] = len(h), len(n)
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([u[order[cut[p]:cut[p + 1]]].tobytes() for p in some], pa.binary()),
-                                                  pa.array(m), pa.array(t)], ["part", "keys", "n", "texts"])
+            for i, j in B.row_chunks(off):
+                h, k = token_stream(b.column(0).slice(i, j - i))
+                held.append(np.unique(h))
+                n_held, n, texts = n_held + len(held[-1]), n + len(h), texts + len(k)
+                if n_held > HELD_TOKENS:
+                    yield packed(held, n, texts)
+                    held, n_held, n, texts = [], 0, 0, 0
+        if held:
+            yield packed(held, n, texts)
+
+    def packed(held, n, texts):
+        u = np.unique(np.concatenate(held))
+        part = _part_of(u, parts)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(cut))
+        m, t = np.zeros((2, len(some)), np.int64)
+        m[:1], t[:1] = n, texts
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([u[order[cut[p]:cut[p + 1]]].tobytes() for p in some], pa.binary()),
+                                           pa.array(m), pa.array(t)], ["part", "keys", "n", "texts"])
 
     def count(k, t: pa.Table) -> pa.Table:
         u = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]))
