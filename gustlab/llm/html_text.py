@@ -32,10 +32,12 @@ DROPPED = frozenset("""head nav aside footer form script style noscript template
     textarea title dialog menu canvas object audio video datalist input applet noembed noframes map""".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 PARTS = re.compile(r"""^(?:ads?|adverts?|adsense|adslot|adbox|advertis\w*|sponsor\w*|promo\w*|banners?|menus?|nav|navs|navbar|
-    navigation|navi|breadcrumbs?|sidebars?|side|sidenav|widgets?|related|recommend\w*|share|sharing|social|footers?|cookies?|
+    navigation|navi|breadcrumbs?|sidebars?|sidenav|widgets?|related|recommend\w*|share|sharing|social|footers?|cookies?|
     cookiebar|consent|gdpr|notices?|notifications?|alerts?|disclaimers?|popups?|modals?|overlays?|newsletters?|subscribe|
     subscription|signup|login|comments?|commentlist|disqus|replies|reply|respond|discussion|toolbar|topbar|copyright|
     pagination|pager|masthead|skip|hidden)$""", re.X | re.I)
+#: Of these, only outside of an article: an article's own header holds its title.
+HEADERS = re.compile(r"^(?:header|heading|masthead|topbar|top)$", re.I)
 CLOSED_BY_BLOCK = frozenset(["p"])
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
             "th": ("td", "th"), "option": ("option",)}
@@ -67,8 +69,10 @@ def _is_part(name: str, attrs: str, in_article: bool) -> bool:
             return True
         if key in ("class", "id") and name not in ("body", "html", "main"):
             for word in value.split():
-                if PARTS.match(word) or any(PARTS.match(x) for x in re.split(r"[-_]+", word)[:1] + re.split(r"[-_]+", word)[-1:]):
-                    return True
+                pieces = re.split(r"[-_]+", word)
+                for x in (word, pieces[0], pieces[-1]):  # "ad", "ad-slot", "post-comments"
+                    if PARTS.match(x) or (not in_article and name not in HEADINGS and HEADERS.match(x)):
+                        return True
     return False
 
 

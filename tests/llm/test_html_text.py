@@ -22,6 +22,8 @@ CASES = [
     ("<article><header><h1>Title</h1></header><p>x</p><footer>by me</footer></article>", "Title\n\nx"),
     ("<header><h1>Site</h1></header><article><p>x</p></article>", "x"),
     ("<article><p>x</p><p hidden>h</p><p style='display: none'>i</p></article>", "x"),
+    ("<div class='site-header'><p>Site</p></div><article><div class='article-header'><h1>T</h1></div><p class=side-by-side>x</p></article>", "T\n\nx"),
+    ("<article><p>x</p><div class='newsletter-signup'>s</div><div class=post_comments><p>c</p></div><p>y</p></article><div id=cookie-notice>k</div>", "x\n\ny"),
     ("<article><table><tr><td>a<td>b</table></article>", "a\n\nb"),
 ]
 
