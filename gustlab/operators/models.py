@@ -294,7 +294,7 @@ _METRIC_SCHEMA = ("model string, repeat int, fold int, n long, mae double, rmse
 
 
 def _score_batches(fm: RandomFeatureMap, label: str, fold_cols: list[str], bcoef):
-    """Per partition: the sums behind every metric of each (repeat, fold), scoring rows with their fold's model."""
+    """Per partition: the sums behind every metric of each (repeat, fold, penalty), scoring rows with their fold's models."""
     def run(batches):
         coef = bcoef.value
         acc: dict[tuple[int, int], np.ndarray] = {}
@@ -305,31 +305,39 @@ def _score_batches(fm: RandomFeatureMap, label: str, fold_cols: list[str], bcoef
             y = pdf[label].to_numpy(float)
             for r, fc in enumerate(fold_cols):
                 for f, idx in pdf.groupby(fc).indices.items():
-                    beta = coef.get((r, int(f)))
-                    if beta is None:
+                    betas = coef.get((r, int(f)))
+                    if betas is None:
                         continue
-                    yy, pp = y[idx], z[idx] @ beta
+                    yy, pp = y[idx][:, None], z[idx] @ betas
                     e = pp - yy
-                    nz = yy != 0
-                    v = np.array([len(idx), np.abs(e).sum(), (e * e).sum(), yy.sum(), (yy * yy).sum(), pp.sum(),
-                                  (pp * pp).sum(), (yy * pp).sum(), np.abs(e[nz] / yy[nz]).sum(), (~nz).sum()])
+                    nz = y[idx] != 0
+                    one = np.ones(pp.shape[1])
+                    v = np.stack([len(idx) * one, np.abs(e).sum(0), (e * e).sum(0), yy.sum() * one, (yy * yy).sum() * one, pp.sum(0),
+                                  (pp * pp).sum(0), (yy * pp).sum(0), np.abs(e[nz] / yy[nz]).sum(0), (~nz).sum() * one], axis=1)
                     acc[(r, int(f))] = acc.get((r, int(f)), 0) + v
         if acc:
-            yield pd.DataFrame([{"repeat": r, "fold": f, **{f"s{i}": float(x) for i, x in enumerate(v)}}
-                                for (r, f), v in acc.items()])
+            yield pd.DataFrame([{"repeat": r, "fold": f, "setting": g, **{f"s{i}": float(x) for i, x in enumerate(v[g])}}
+                                for (r, f), v in acc.items() for g in range(len(v))])
     return run
 
 
 def linear_cv(df: DataFrame, fmap: RandomFeatureMap, label: str, keys: Sequence[str], folds: int = 10,
               repeats: int = 3, seed: int = 123, reg: float = 1e-3, model: str = "random_layer") -> DataFrame:
-    """Repeated k-fold CV of a ridge model on a random feature map in two passes over the data (H4).
+    """Repeated k-fold CV of a ridge model on a random feature map (H4): :func:`ridge_grid_cv` with one penalty."""
+    return ridge_grid_cv(df, fmap, label, keys, [reg], folds, repeats, seed, model).drop("reg")
+
+
+def ridge_grid_cv(df: DataFrame, fmap: RandomFeatureMap, label: str, keys: Sequence[str], regs: Sequence[float],
+                  folds: int = 10, repeats: int = 3, seed: int = 123, model: str = "random_layer") -> DataFrame:
+    """Repeated k-fold CV of ridge models on a random feature map, every penalty of ``regs`` in the same two passes (H4).
 
     Pass 1: per partition, NumPy Gram blocks ``Z'Z, Z'y`` per (repeat, fold), ``Z = [1, map(x)]``, summed per
-    fold on the executors. Each fold's model solves totals minus that fold (a units² system on the driver).
-    Pass 2: every row is scored by its own fold's model inside the task; only metric sums leave it.
+    fold on the executors. Each fold's models solve totals minus that fold (a units² system a penalty on the driver).
+    Pass 2: every row is scored by its own fold's models inside the task; only metric sums leave it.
     """
     import pyspark.sql.types as T
 
+    regs = [float(x) for x in regs]
     fold_cols = [f"__fold{r}" for r in range(repeats)]
     base = df.filter(F.col(label).isNotNull()).select(
         *[F.col(c).cast("double").alias(c) for c in fmap.inputs], F.col(label).cast("double").alias(label),
@@ -342,23 +350,47 @@ def linear_cv(df: DataFrame, fmap: RandomFeatureMap, label: str, keys: Sequence[
         tb = sum(v[1] for (rr, _), v in blocks.items() if rr == rep)
         for (rr, f), (a, b) in blocks.items():
             if rr == rep:
-                coef[(rr, f)] = ridge_solve(ta - a, tb - b, reg)
+                coef[(rr, f)] = np.column_stack([ridge_solve(ta - a, tb - b, reg) for reg in regs])
     bcoef = df.sparkSession.sparkContext.broadcast(coef)
-    sums_schema = T.StructType([T.StructField("repeat", T.IntegerType()), T.StructField("fold", T.IntegerType())] +
+    sums_schema = T.StructType([T.StructField(c, T.IntegerType()) for c in ("repeat", "fold", "setting")] +
                                [T.StructField(f"s{i}", T.DoubleType()) for i in range(10)])
     s = base.mapInPandas(_score_batches(fmap, label, fold_cols, bcoef), sums_schema)
-    s = s.groupBy("repeat", "fold").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(10)])
+    s = s.groupBy("repeat", "fold", "setting").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(10)])
     n, sae, sse, sy, syy, sp, spp, syp, sape, nz = [F.col(f"s{i}") for i in range(10)]
     sst = syy - sy * sy / n
     cov = syp - sy * sp / n
     r = F.try_divide(cov, F.sqrt(F.greatest((syy - sy * sy / n) * (spp - sp * sp / n), F.lit(0.0))))
     return s.select(
-        F.lit(model).alias("model"), "repeat", "fold", n.cast("long").alias("n"), (sae / n).alias("mae"),
+        F.lit(model).alias("model"), F.element_at(F.array(*[F.lit(x) for x in regs]), F.col("setting") + 1).alias("reg"),
+        "repeat", "fold", n.cast("long").alias("n"), (sae / n).alias("mae"),
         F.sqrt(sse / n).alias("rmse"), (F.try_divide(sape, n - nz) * 100).alias("mape"), nz.cast("long").alias("n_zero"),
         (1 - sse / (sst + F.lit(1e-7))).alias("r2"), (r * r).alias("r2_corr"),
         (F.try_divide(F.sqrt(sse / n), sy / n) * 100).alias("mean_error_pct"))
 
 
+SVM_SIGMAS, SVM_COSTS = (0.0001, 0.001, 0.01, 0.2), (0.1, 1.0, 10.0, 100.0, 1000.0)  # fixed values: the tuning grid
+
+
+def rbf_tuning(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], sigmas: Sequence[float] = SVM_SIGMAS,
+               costs: Sequence[float] = SVM_COSTS, folds: int = 10, repeats: int = 3, units: int = 200, seed: int = 123) -> DataFrame:
+    """Mean CV errors of the kernel regression over a sigma x C grid, the best setting flagged (H6 tuned as in H4): one
+    :func:`ridge_grid_cv` per sigma serves all costs, ``λ = 1/(2C)``. Output ``(sigma, c, rmse, mae, r2_corr, best)``."""
+    parts = []
+    for sigma in sigmas:
+        cv = ridge_grid_cv(df, RandomFeatureMap.rbf(features, units, sigma, seed), label, keys, [1.0 / (2.0 * c) for c in costs],
+                           folds, repeats, seed, "rbf")
+        c = F.round(1.0 / (2.0 * F.col("reg")), 9)
+        parts.append(cv.groupBy(F.lit(float(sigma)).alias("sigma"), c.alias("c")).agg(
+            F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"), F.avg("r2_corr").alias("r2_corr")))
+    grid = parts[0]
+    for p in parts[1:]:
+        grid = grid.unionByName(p)
+    rows = grid.collect()  # a line a setting
+    best = min(rows, key=lambda r: (r["rmse"], r["sigma"], r["c"])) if rows else None
+    return df.sparkSession.createDataFrame([(*r, r == best) for r in rows], "sigma double, c double, rmse double, mae double, "
+                                           "r2_corr double, best boolean")
+
+
 # --------------------------------------------------------------------------------------------- H10, H11
 def permutation_importance(fm: FittedModel, df: DataFrame, label: str, keys: Sequence[str], seed: int = 7) -> DataFrame:
     """Increase in RMSE when one input is replaced by its value in a hash-permuted row order."""

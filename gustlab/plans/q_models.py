@@ -130,6 +130,13 @@ def q_cv_summary(spark, d):
     return ev.cv_summary(a.unionByName(b), "model", ("mae", "rmse", "r2_corr"))
 
 
+@register("rbf_tuning")
+def q_rbf_tuning(spark, d):
+    """H6 + H4: the kernel regression's 4 x 5 sigma x C grid by 10-fold x 3 repeated CV on the scaled training rows."""
+    sp = _scaled_split(spark, d).filter(F.col("split") == "train")
+    return M.rbf_tuning(sp, X, Y, KEYS)
+
+
 @register("cv_folds_forest")
 def q_cv_folds_forest(spark, d):
     """H4 for the forest: 10-fold CV, one refit per fold (20 trees), per-fold metrics."""

@@ -101,3 +101,15 @@ def test_sensor_workflow_donor_years_and_constant_drop(spark):
     # 2018 WT01 05:00 took its 2017 row (10, 5): WT01 means (12, 6.25), WT02 (21, 8.25); max per column
     assert got[dt.datetime(2018, 7, 1, 5)] == (21.0, 8.25)
     assert got[dt.datetime(2017, 7, 1, 5)] == (31.0, 6.25)
+
+
+def test_grid_cv_equals_one_penalty_at_a_time(spark, planted):
+    fmap = M.RandomFeatureMap.rbf(["x1", "x2"], 20, 0.1)
+    regs = [0.5, 0.005]
+    both = {(r["reg"], r["repeat"], r["fold"]): r["rmse"] for r in M.ridge_grid_cv(planted, fmap, "y", ["id"], regs, 3, 2).collect()}
+    for reg in regs:
+        one = {(r["repeat"], r["fold"]): r["rmse"] for r in M.linear_cv(planted, fmap, "y", ["id"], 3, 2, reg=reg).collect()}
+        assert one == pytest.approx({k[1:]: v for k, v in both.items() if k[0] == reg}) and len(one) == 6
+    tuned = M.rbf_tuning(planted, fmap.inputs, "y", ["id"], sigmas=(0.01, 0.2), costs=(1.0, 100.0), folds=3, repeats=1, units=30).collect()
+    assert len(tuned) == 4 and [r["best"] for r in tuned].count(True) == 1
+    assert min(r["rmse"] for r in tuned) == next(r["rmse"] for r in tuned if r["best"])
