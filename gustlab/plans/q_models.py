@@ -132,9 +132,11 @@ def q_cv_summary(spark, d):
 
 @register("rbf_tuning")
 def q_rbf_tuning(spark, d):
-    """H6 + H4: the kernel regression's 4 x 5 sigma x C grid by 10-fold x 3 repeated CV on the scaled training rows."""
-    sp = _scaled_split(spark, d).filter(F.col("split") == "train")
-    return M.rbf_tuning(sp, X, Y, KEYS)
+    """H6 + H4: the kernel regression's 4 x 5 sigma x C grid by 10-fold x 3 repeated CV on the scaled training hours."""
+    inputs = [c for c in S.SCADA_FEATURES if c != "active_power_kw"]
+    sp = M.stratified_split(_hourly(spark, d), "active_power_kw", keys=["ts"])
+    sp = tsx.zscore(sp.cache(), inputs, F.col("split") == "train")
+    return M.rbf_tuning(sp.filter(F.col("split") == "train"), inputs, "active_power_kw", ["ts"])
 
 
 @register("cv_folds_forest")
