@@ -1,6 +1,6 @@
 """Stand-in export files written from the driver tables, in the layouts the readers expect.
 
-SCADA: one ``;`` file per week label, ``timestamp`` as ``dd/MM/yyyy HH:mm`` then one block of measures per
+SCADA: one ``;`` file per day in a folder a week label, ``timestamp`` as ``dd/MM/yyyy HH:mm`` then one block of measures per
 turbine, power with ``,`` thousands marks, metadata lines at the end. Weather: comma files per week label,
 a row-id first column, and one group of weeks without the pressure column (headers differ by file).
 Files go to a fresh folder under the shared checkpoint folder.
@@ -39,34 +39,44 @@ def scada_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
             c = F.col(f"{t}_{f}")
             # power exported in W/10 with thousands marks, as text
             out.append((F.format_number(c * 10, 3) if f == "active_power_kw" else c.cast("string")).alias(f"{t}_{f}"))
-    return wide.select("filename", F.lit(0).alias("__trailer"), F.col("ts").alias("__ts"), *out)
+    return wide.select("filename", F.date_format("ts", "yyyyMMdd").alias("day"), F.lit(0).alias("__trailer"), F.col("ts").alias("__ts"), *out)
 
 
 def write_scada_exports(spark: SparkSession, sf_dir: str) -> str:
     root = scratch_path(spark, "scada-exports")
     data = scada_wide(spark, sf_dir)
-    meta_cols = [c for c in data.columns if c not in ("filename", "__trailer", "__ts", "timestamp")]
-    trailer = (data.select("filename").distinct()
-               .select("filename", F.explode(F.sequence(F.lit(1), F.lit(TRAILER_LINES))).alias("__i"))
-               .select("filename", F.lit(1).alias("__trailer"), F.lit(None).cast("timestamp_ntz").alias("__ts"),
+    meta_cols = [c for c in data.columns if c not in ("filename", "day", "__trailer", "__ts", "timestamp")]
+    trailer = (data.select("filename", "day").distinct()
+               .select("filename", "day", F.explode(F.sequence(F.lit(1), F.lit(TRAILER_LINES))).alias("__i"))
+               .select("filename", "day", F.lit(1).alias("__trailer"), F.lit(None).cast("timestamp_ntz").alias("__ts"),
                        F.concat(F.lit("Export metadata line "), F.col("__i").cast("string")).alias("timestamp"),
                        *[F.lit(None).cast("string").alias(c) for c in meta_cols]))
     both = data.unionByName(trailer)
-    (both.repartition("filename").sortWithinPartitions("filename", "__trailer", "__ts")
+    # a file a day, so a week's export is many tasks' work; every file has its own trailer
+    (both.repartition("filename", "day").sortWithinPartitions("filename", "day", "__trailer", "__ts")
      .drop("__trailer", "__ts")
-     .write.mode("overwrite").partitionBy("filename").option("sep", ";").option("header", True).csv(root))
+     .write.mode("overwrite").partitionBy("filename", "day").option("sep", ";").option("header", True).csv(root))
     return root
 
 
 def _zip_files(out_root: str):
     def run(batches):
+        import io
+
+        from pyarrow import fs as pafs
+
+        store, root = pafs.FileSystem.from_uri(out_root)
+        store.create_dir(root, recursive=True)
         for pdf in batches:
             paths = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 label = path.split("filename=")[1].split("/")[0]
-                target = os.path.join(out_root, f"scada_{label}_{zlib.crc32(path.encode()):08x}.zip")
-                with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+                target = f"{root}/scada_{label}_{zlib.crc32(path.encode()):08x}.zip"
+                packed = io.BytesIO()
+                with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as zf:
                     zf.writestr(os.path.basename(path), content)
+                with store.open_output_stream(target, compression=None) as out:
+                    out.write(packed.getvalue())
                 paths.append(target)
             yield pd.DataFrame({"zip": paths})
     return run
@@ -75,13 +85,9 @@ def _zip_files(out_root: str):
 def write_scada_zips(spark: SparkSession, csv_root: str) -> str:
     """Pack every export file into its own zip archive (on the executors)."""
     root = scratch_path(spark, "scada-zips")
-    local = root.removeprefix("file:")
-    if "://" in local:
-        raise NotImplementedError("zip stand-ins are written with local file I/O; give a POSIX shared folder")
-    os.makedirs(local, exist_ok=True)
     bins = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option(
         "recursiveFileLookup", True).load(csv_root)
-    bins.select("path", "content").mapInPandas(_zip_files(local), T.StructType([T.StructField("zip", T.StringType())])).collect()
+    bins.select("path", "content").mapInPandas(_zip_files(root), T.StructType([T.StructField("zip", T.StringType())])).collect()
     return root
 
 

@@ -52,7 +52,7 @@ def q_read_scada_csv(spark, d):
 def q_read_scada_exact_trailer(spark, d):
     """A1 exact mode (T1): drop exactly the last N lines of every file instead of testing timestamps."""
     root = X.write_scada_exports(spark, d)
-    wide = SRC.read_scada(spark, f"{root}/*/*.csv", trailer_rows=X.TRAILER_LINES, label_regex=X.WEEK_DIR,
+    wide = SRC.read_scada(spark, f"{root}/*/*/*.csv", trailer_rows=X.TRAILER_LINES, label_regex=X.WEEK_DIR,
                           label_is_month=False)
     return _to_long(wide)
 

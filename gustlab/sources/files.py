@@ -157,9 +157,12 @@ LINES_PER_BATCH = 100_000
 
 def _unzip_batches(batches):
     """Stream every member line by line; batches of at most LINES_PER_BATCH lines bound the memory."""
+    from pyarrow import fs as pafs
+
     for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as zf:
+        for path in pdf["path"]:
+            store, inner = pafs.FileSystem.from_uri(path)
+            with store.open_input_file(inner) as handle, zipfile.ZipFile(handle) as zf:
                 for member in zf.namelist():
                     if member.endswith("/"):
                         continue
@@ -179,10 +182,14 @@ def _unzip_batches(batches):
 
 
 def read_zipped_lines(spark: SparkSession, pattern: str) -> DataFrame:
-    """Zip archives -> one row per text line of every member (A3). Each archive is unzipped whole inside one task
-    (zip is not splittable); tasks hold whole archives."""
-    bins = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    return bins.mapInPandas(_unzip_batches, _LINES)
+    """Zip archives -> one row per text line of every member (A3).
+
+    Spark lists the archives (names only); tasks open them through Arrow's file systems (local, HDFS, S3, GCS) and
+    stream the members, so neither an archive nor a member has to fit in memory. One archive is one task's work (zip is
+    not splittable).
+    """
+    names = spark.read.format("binaryFile").load(pattern).select("path")
+    return names.mapInPandas(_unzip_batches, _LINES)
 
 
 def parse_delimited(lines: DataFrame, sep: str = ";", header_line: int = 0) -> DataFrame:
