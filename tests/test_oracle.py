@@ -10,8 +10,6 @@ from tests.conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-SLOW = {"cv_summary", "cv_folds_forest", "rfe_selection", "compare_models", "backtest", "permutation_importance",
-        "rbf_regression_metrics"}
 
 
 @pytest.fixture(scope="module")
@@ -73,7 +71,7 @@ def test_query_matches_oracle(spark, duck, name):
     assert _same(_rows(srows, df.columns), _rows(drows, dcols)), name
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(ORACLE)))
 def test_query_without_oracle_runs(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     assert not _plan_ok(df), f"{name}: {_plan_ok(df)}"
