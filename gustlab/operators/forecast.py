@@ -86,6 +86,78 @@ def backtest(df: DataFrame, target: str, features: Sequence[str], horizons: Sequ
     return df.sparkSession.createDataFrame([r for rs in rows for r in rs], schema)
 
 
+def backtest_grid(df: DataFrame, target: str, features: Sequence[str], horizons: Sequence[int], origins: Sequence[str],
+                  steps: int = 3, train_days: int = 7, val_days: int = 1, test_days: int = 1, ts: str = "ts", units: int = 64,
+                  reg: float = 0.1, seed: int = 123) -> DataFrame:
+    """Metrics per (horizon, origin) of random-layer forecasts, all cells from one prepared table.
+
+    The feature windows and the leads of every horizon are built once. One pass sums each cell's Gram blocks over its own
+    training rows (dates as :func:`tsx.temporal_split`), one pass scores each cell's test rows, restored causally:
+    ``x(t) - d(t)`` against ``x(t + h)``. Features are scaled by the rows before the earliest test row, so no cell
+    sees its future. Rows whose lead or window is missing take no part.
+    """
+    from gustlab.operators.models import _GRAM_SCHEMA, RandomFeatureMap, _sum_arrays, ridge_solve
+
+    horizons, origins = sorted({int(h) for h in horizons}), list(origins)
+    starts = [np.datetime64(o.replace(" ", "T"), "us") for o in origins]
+    first = min(starts) - np.timedelta64(max(horizons), "h")
+    base = df.select(ts, target, *[c for c in features if c not in (ts, target)])
+    raw = tsx.zscore(base.withColumn("__x", F.col(target).cast("double")), list(features),
+                     F.col(ts) < F.lit(str(first).replace("T", " ")).cast("timestamp_ntz"))
+    d, lagged = lag_features(raw, list(features), steps, ts)
+    ix, nb = tsx._positions(d.select(ts, "__x", *lagged), ts, keep_bucket=True)
+    # a lead is a lag in the reversed order
+    back = tsx.positioned_lags(ix.withColumn(tsx.IDX, -F.col(tsx.IDX)), nb, [], "__x", horizons, "__lead")
+    table = cut_lineage(back.select(ts, "__x", *lagged, *[f"__lead{h}" for h in horizons]).na.drop(subset=["__x", *lagged]))
+    fm = RandomFeatureMap.relu(lagged, units, seed)
+    cells = [(i, h) for i in range(len(origins)) for h in horizons]
+    day, hour = np.timedelta64(1, "D"), np.timedelta64(1, "h")
+
+    def rows_of(pdf, i, h):
+        """Training and test rows of a cell."""
+        t = pdf[ts].to_numpy().astype("datetime64[us]")
+        test = starts[i] - h * hour
+        train_end = test - val_days * day + h * hour if val_days else test
+        known = pdf[f"__lead{h}"].notna().to_numpy()
+        end = test + test_days * day + h * hour
+        return known & (t >= test - train_days * day) & (t < train_end), known & (t >= test) & (t + h * hour <= end)
+
+    def gram(batches):
+        acc: dict = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            z, x = fm.design(pdf), pdf["__x"].to_numpy(float)
+            for i, h in cells:
+                m, _ = rows_of(pdf, i, h)
+                if m.any():
+                    y = x[m] - pdf[f"__lead{h}"].to_numpy(float)[m]
+                    g = acc.setdefault((i, h), [0.0, 0.0, 0])
+                    acc[(i, h)] = [g[0] + z[m].T @ z[m], g[1] + z[m].T @ y, g[2] + int(m.sum())]
+        if acc:
+            yield pd.DataFrame([{"repeat": i, "fold": h, "zz": g[0].ravel().tolist(), "zy": g[1].tolist(), "n": g[2]}
+                                for (i, h), g in acc.items()])
+
+    some = table.mapInPandas(gram, _GRAM_SCHEMA).withColumn("__b", F.spark_partition_id() % 64).groupBy(
+        "repeat", "fold", "__b").applyInPandas(lambda p: _sum_arrays(p), _GRAM_SCHEMA)
+    sums = some.groupBy("repeat", "fold").applyInPandas(lambda p: _sum_arrays(p), _GRAM_SCHEMA).collect()  # a line a cell
+    coef = {(r["repeat"], r["fold"]): ridge_solve(np.array(r["zz"]).reshape(units + 1, -1), np.array(r["zy"]), reg) for r in sums}
+
+    def score(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            z, x = fm.design(pdf), pdf["__x"].to_numpy(float)
+            for i, h in cells:
+                _, m = rows_of(pdf, i, h)
+                if m.any() and (i, h) in coef:
+                    yield pd.DataFrame({"horizon": h, "origin": origins[i], "actual": pdf[f"__lead{h}"].to_numpy(float)[m],
+                                        "predicted": x[m] - z[m] @ coef[(i, h)]})
+
+    scored = table.mapInPandas(score, "horizon int, origin string, actual double, predicted double")
+    return regression_metrics(scored, "actual", "predicted", by=["horizon", "origin"])
+
+
 # --------------------------------------------------------------------------------------------- H9
 def positions(df: DataFrame, value: str, ts: str = "ts", by: Sequence[str] = ()) -> DataFrame:
     """``(by..., _pos, _bkt, __x)``: the series numbered once (bucketed index) and cached for the fit passes.

@@ -176,6 +176,13 @@ def q_backtest(spark, d):
                        ["2024-01-20 00:00:00", "2024-01-25 00:00:00"], model="gbt", steps=3)
 
 
+@register("backtest_horizons")
+def q_backtest_horizons(spark, d):
+    """Every horizon from 1 to 48 hours from two origins, all cells from one prepared table."""
+    return FC.backtest_grid(_hourly(spark, d), "active_power_kw", FORECAST_X, range(1, 49),
+                            ["2024-01-20 00:00:00", "2024-01-25 00:00:00"])
+
+
 # ------------------------------------------------------------------------------------------- H9
 @register("arima_forecast")
 def q_arima_forecast(spark, d):

@@ -79,3 +79,24 @@ def test_season_regression_parts_and_signal(spark):
     assert set(got) == {(m, p) for m in ("rf", "rbf", "random_layer") for p in ("train", "test", "M3")}
     assert all(got[(m, "M3")]["n"] == 150 and got[(m, "train")]["n"] + got[(m, "test")]["n"] == 450 for m in ("rf", "rbf", "random_layer"))
     assert got[("random_layer", "M3")]["mean_error_pct"] < 5 and got[("rf", "M3")]["r2"] > 0.7
+
+
+@pytest.mark.parametrize("bucket", [10 ** 6, 100])
+def test_backtest_grid_cells(spark, monkeypatch, bucket):
+    """A repeating daily pattern is forecast well at every horizon, from training rows alone; cells hold the test rows."""
+    orig = tsx._positions
+
+    def small(df, order, by=(), idx=tsx.IDX, rows_per_bucket=None, *rest, **k):
+        k.pop("rows_per_bucket", None)
+        return orig(df, order, by, idx, bucket, *rest, **k)
+
+    monkeypatch.setattr(tsx, "_positions", small)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(t0 + dt.timedelta(hours=i), 100 + 30 * float(np.sin(i * np.pi / 12)), float(np.sin(i * np.pi / 12)), float(np.cos(i * np.pi / 12)))
+            for i in range(24 * 20)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, p double, s double, c double")
+    got = {(r["horizon"], r["origin"]): r for r in FC.backtest_grid(
+        df, "p", ["s", "c"], [1, 5, 30], ["2024-01-12 00:00:00", "2024-01-16 00:00:00"]).collect()}
+    assert len(got) == 6
+    for (h, _), r in got.items():
+        assert r["n"] == 25 and r["mean_error_pct"] < 3, (h, r)
