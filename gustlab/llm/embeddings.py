@@ -29,6 +29,7 @@ from gustlab.session import cut_lineage
 
 DEGREE, BEAM, ALPHA, NEAREST = 24, 24, 1.2, 64
 SAMPLE, SHARD, OVERLAP = 20_000, 600, 3
+SAMPLE_BYTES = 64 << 20
 AUDIT = 500
 
 
@@ -141,8 +142,10 @@ def _matrix(col, dim: int | None = None) -> np.ndarray:
 
 
 def _centroids(nodes: DataFrame, sizes: list, sample: int, shard: int) -> dict:
-    """Centroids by (label, dimension), from a sample of at most ``sample`` vectors over all: the first by a hash, each group by its
-    share (64 at least while the bound holds)."""
+    """Centroids by (label, dimension), from a sample of at most ``sample`` vectors and SAMPLE_BYTES over all, the first by a
+    hash."""
+    widest = max((r["dim"] for r in sizes), default=1)
+    sample = min(sample, max(64, SAMPLE_BYTES // (8 * widest)))  # long vectors: fewer of them
     rows = nodes.orderBy(F.xxhash64("rep", F.lit(9)), "rep").limit(sample).select("label", "dim", "v").collect()
     groups: dict = {}
     for r in rows:
