@@ -55,7 +55,7 @@ def robust_prune(sim: np.ndarray, order: np.ndarray, degree: int = DEGREE, alpha
 
 
 def build(x: np.ndarray) -> list[np.ndarray]:
-    """Adjacency lists of a shard's unit vectors, edges both ways."""
+    """Pruned neighbour lists of a shard's unit vectors, with a few random others."""
     n = len(x)
     if n < 2:
         return [np.zeros(0, np.int64)] * n
@@ -66,12 +66,18 @@ def build(x: np.ndarray) -> list[np.ndarray]:
     near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sim, near, 1), axis=1), 1)
     # long edges keep a flat graph in one piece: some random others end the candidate list
     g = np.random.default_rng(n)
-    far = g.integers(0, n - 1, (n, min(8, n - 1)))
+    far = g.integers(0, n - 1, (n, min(4, n - 1)))
     far += far >= np.arange(n)[:, None]
-    out = robust_prune(sim, near)
-    fw = [np.unique(np.concatenate([a, far[i]])) for i, a in enumerate(out)]
-    src = np.repeat(np.arange(n), [len(a) for a in fw])
-    dst = np.concatenate(fw)
+    return [np.unique(np.concatenate([a, far[i]])) for i, a in enumerate(robust_prune(sim, near))]
+
+
+def both_ways(lists: list[np.ndarray]) -> list[np.ndarray]:
+    """The lists with every edge also at its other end."""
+    n = len(lists)
+    if not n:
+        return []
+    src = np.repeat(np.arange(n), [len(a) for a in lists])
+    dst = np.concatenate(lists)
     pair = np.unique(np.concatenate([src * n + dst, dst * n + src]))
     return np.split(pair % n, np.searchsorted(pair // n, np.arange(1, n)))
 
@@ -262,7 +268,7 @@ def near_duplicates(embeddings: DataFrame, id: str = "vec_id", vector: str = "em
             X = x[at]
             mean = X.mean(0)
             medoid = int((X @ mean).argmax())
-            qi, xi = range_search(x, X, medoid, adj, threshold - 1e-4)
+            qi, xi = range_search(x, X, medoid, both_ways(adj), threshold - 1e-4)
             xi = at[xi]
             # verified in double precision; a pair counts in the first shard that both share
             cos = np.einsum("ij,ij->i", V[qi], V[xi])

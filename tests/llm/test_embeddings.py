@@ -75,7 +75,7 @@ def test_search_expands_the_range_from_the_medoid():
     x = g.standard_normal((400, 8))
     x[:80] = x[0] + g.standard_normal((80, 8)) * 0.05
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    adj = E.build(x)
+    adj = E.both_ways(E.build(x))
     assert max(len(a) for a in adj) < 400
     q, y = E.range_search(x, x, int((x @ x.mean(0)).argmax()), adj, 0.98)
     want = {(int(a), int(b)) for a, b in zip(*np.nonzero(x @ x.T >= 0.98))}
