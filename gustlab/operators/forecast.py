@@ -258,9 +258,13 @@ def _solve_grouped(sums: DataFrame, by: list[str], solver) -> DataFrame:
     schema = (key_schema + ", " if key_schema else "") + (
         "p int, d int, q int, intercept double, coefs array<double>, ma_coefs array<double>, sigma2 double, "
         "aicc double, n long")
-    if by:
-        return sums.groupBy(*by).applyInPandas(solver, schema)
-    return sums.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(solver, schema)
+
+    def run(batches):  # many series a batch: a row of sums each
+        for pdf in batches:
+            if len(pdf):
+                yield solver(pdf)
+
+    return sums.mapInPandas(run, schema)
 
 
 def _lags(base: DataFrame, by: list[str], col: str, prefix: str, k: int, nb: int = 2) -> DataFrame:
@@ -357,7 +361,7 @@ def arima_forecast(df: DataFrame, value: str, h: int, ts: str = "ts", by: Sequen
                 rows.append(row)
         return pd.DataFrame(rows, columns=[*by, "step", "forecast", "p", "q"])
 
-    return both.groupBy(*by).applyInPandas(run, out_schema)
+    return both.mapInPandas(lambda batches: (run(pdf) for pdf in batches if len(pdf)), out_schema)
 
 
 def arima_residuals(df: DataFrame, value: str, fit: DataFrame, ts: str = "ts", by: Sequence[str] = (),

@@ -24,6 +24,7 @@ from gustlab.functions.columns import all_present
 from gustlab.operators.evaluate import regression_metrics
 from gustlab.operators.stats import exact_quantiles
 from gustlab.operators.timeseries import sequence_index
+from gustlab.session import cut_lineage
 
 
 # --------------------------------------------------------------------------------------------- H1
@@ -395,9 +396,10 @@ def rbf_tuning(df: DataFrame, features: Sequence[str], label: str, keys: Sequenc
 def permutation_importance(fm: FittedModel, df: DataFrame, label: str, keys: Sequence[str], seed: int = 7) -> DataFrame:
     """Increase in RMSE when one input is replaced by its value in a hash-permuted row order."""
     base = regression_metrics(fm.predict(df), label, "prediction").select("rmse").first()["rmse"]
-    ix = sequence_index(df, keys[0], [], tiebreak=list(keys[1:]), idx="__i")
-    perm = sequence_index(df.withColumn("__h", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))), "__h", [],
-                          idx="__i")
+    # numbered once each, then read by every input's pass
+    ix = cut_lineage(sequence_index(df, keys[0], [], tiebreak=list(keys[1:]), idx="__i"))
+    perm = cut_lineage(sequence_index(df.withColumn("__h", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))), "__h", [],
+                                      tiebreak=list(keys), idx="__i").select("__i", *fm.inputs))
     rows = []
     for c in fm.inputs:
         shuffled = ix.drop(c).join(perm.select("__i", c), on="__i").drop("__i")

@@ -92,7 +92,7 @@ def weather_to_final(hourly: DataFrame, weather: DataFrame, power: str, ts: str
     w = w.join(ids, on=ts, how="left").withColumn(
         knn_target, F.coalesce(F.col(knn_target), F.bround("prediction", 2))).drop("prediction")
     h = J.dedupe_keep_max(hourly, [ts], power)
-    joined = J.join_weather(h, w, ts)
+    joined = cut_lineage(J.join_weather(h, w, ts))  # the ±1-year patch reads it several times
     weather_cols = [c for c in w.columns if c != ts and c in joined.columns and dict(joined.dtypes)[c] == "double"]
     final = I.patch_from_year(joined, weather_cols, ts=ts)
     final = R.complete_rows(final)
