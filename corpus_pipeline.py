@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gustlab.llm import decontaminate, jaccard, language, mixing, toxicity
 from gustlab.llm.queries import remainder
-from gustlab.session import scratch_path
+from gustlab.session import cut_lineage, scratch_path
 
 #: A text whose best language profile is below this cosine is no text of a learned language.
 MIN_LANGUAGE_SCORE = 0.05
@@ -39,7 +39,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = jaccard.join(docs)
     copies = found.where("not kept").select("doc_id")
     left = docs.join(copies, "doc_id", "left_anti")
-    many = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    many = cut_lineage(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
+    if many.isEmpty():
+        return left.select(*docs.columns)
     once = left.join(many, "doc_id", "left_anti").select(*docs.columns)
     # ties among rows of one id: the first text, and so on through the columns
     again = left.join(many, "doc_id", "left_semi").select(*docs.columns)
