@@ -28,7 +28,7 @@ from gustlab.llm.jaccard import Forest
 from gustlab.session import cut_lineage
 
 DEGREE, BEAM, ALPHA, NEAREST = 24, 24, 1.2, 64
-SAMPLE, SHARD, OVERLAP = 20_000, 600, 3
+SAMPLE, SHARD, OVERLAP = 20_000, 300, 3
 SAMPLE_BYTES = 64 << 20
 AUDIT = 500
 
