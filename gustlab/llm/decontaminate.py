@@ -207,7 +207,7 @@ class Index:
 
 def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None,
              item_id: str = "item_id", item_text: str = "text", min_score: float = 0.6, min_overlap: float = 0.8,
-             min_part: float = 0.5, max_index_bytes: int = 32 << 20) -> DataFrame:
+             min_part: float = 0.5, max_index_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` (or its ``keep`` columns) plus ``contaminated`` boolean, ``item_ids`` array<bigint> (sorted, distinct) and
     ``best_score`` double (highest BM25 share of a leaked item, null if none).
 

@@ -35,7 +35,7 @@ def test_wand_finds_all_above_the_threshold(min_score):
         assert dict(ix.search(q, 16, 32)) == half
 
 
-@pytest.mark.parametrize("index_bytes", [32 << 20, 900])
+@pytest.mark.parametrize("index_bytes", [8 << 20, 900])
 def test_planted_passages(spark, index_bytes):
     rows = items()
     g = random.Random(9)

@@ -65,8 +65,7 @@ def test_mix_meets_targets(spark, monkeypatch, bin_rows):
 def test_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert M.mix(empty).collect() == []
-    one = M.mix(spark.createDataFrame([(1, "a b", None)], SCHEMA + ", size string, Target int") if False else
-                spark.createDataFrame([(1, "a b", None, "x")], SCHEMA + ", Size string")).collect()
+    one = M.mix(spark.createDataFrame([(1, "a b", None, "x")], SCHEMA + ", Size string")).collect()
     assert [(r["doc_id"], r["size"], r["target"]) for r in one] == [(1, 2, 3.0)]
     nothing = M.mix(spark.createDataFrame([(1, "", "s"), (None, None, "s")], SCHEMA), keep=["doc_id"]).collect()
     assert sorted([(r["taken"], r["copies"], r["target"]) for r in nothing]) == [(0, 0, 0.0), (0, 0, 0.0)]
