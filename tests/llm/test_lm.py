@@ -5,10 +5,11 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from gustlab.llm import lm
-from gustlab.llm.queries import remainder
+from gustlab.llm.queries import op7_backoff_automaton, remainder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -68,3 +69,26 @@ def test_nothing_to_learn(spark):
     r = lm.score(df, learn=lambda c: c < 0).first()
     assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (True, 3, 0, 0, 0.0, 0.0)
     assert lm.score(df.limit(0)).collect() == []
+
+
+def test_query_keeps_the_token_two_before(spark, tmp_path):
+    """After "x m" comes "p", after "y m" comes "q"; the token before alone cannot tell."""
+    rows = [(i, "x m p" if i % 2 else "y m q") for i in range(400)]
+    rows += [(i, "x m p" if i % 2 else "x m q") for i in range(400, 800)]
+    df = spark.createDataFrame([r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2 and r[0] < 400]
+                               + [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 == 2 and r[0] >= 400], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op7_backoff_automaton(spark, str(tmp_path)).collect() if r["held_out"]}
+    seen, mixed = [[r["score"] for i, r in got.items() if i % 2 == k] for k in (1, 0)]
+    assert min(seen) > max(mixed) + 0.5
+
+
+def test_packed_keys_and_counts():
+    g = np.random.default_rng(1)
+    for width in (5, 7, 8):
+        keys = np.unique(g.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) & np.uint64((1 << 8 * width) - 1))
+        assert (lm._unpack(lm._pack(keys, width), len(keys), width) == keys).all()
+        parts = lm._asking_order(keys, 7, width)
+        assert [p for p, _ in parts] == list(range(7)) and (np.concatenate([keys[at] for _, at in parts]) == keys).all()
+    c = g.choice([0, 1, 254, 255, 256, 1 << 40], 3000)
+    assert (lm._unpack_counts(*lm._pack_counts(c), len(c)) == c).all()
