@@ -3,7 +3,9 @@
 A page is cut into lines, one a block element, with the markup stripped. A line's length is that of its text, or 0 where
 the line is no article text by its place: menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, hidden parts and reader comments (by element, role, class or id), lines that are mostly links, and, on a page
-with an ``article`` or ``main`` element, all lines outside of it. Lengths are summed over sliding windows of ``WINDOW``
+with an ``article`` or ``main`` element, all lines outside of it. Inside of one, links are text of the article but for
+menus (rows and unordered lists of short links only), a name that may also be a subject ("discussion") counts only
+where a second such name or nothing but links comes with it, and a heading's id, often made of its words, never. Lengths are summed over sliding windows of ``WINDOW``
 lines; a region surges where the sum first passes the threshold and dives where it falls to 0, and the text lines
 between are kept. Inside an article element any text surges, elsewhere ``SURGE`` characters; where none surges, any
 text does.
@@ -28,7 +30,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes plainte
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
     figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option
     p pre section summary table tbody td tfoot th thead title tr ul""".split())
-DROPPED = frozenset("""head nav aside footer form script style noscript template iframe svg math button select option
+DROPPED = frozenset("""head nav aside footer form script style noscript template iframe svg button select option
     textarea title dialog menu canvas object audio video datalist input applet noembed noframes map""".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 PARTS = re.compile(r"""^(?:ads?|adverts?|adsense|adslot|adbox|advertis\w*|sponsor\w*|promo\w*|banners?|menus?|nav|navs|navbar|
@@ -36,6 +38,10 @@ PARTS = re.compile(r"""^(?:ads?|adverts?|adsense|adslot|adbox|advertis\w*|sponso
     cookiebar|consent|gdpr|notices?|notifications?|alerts?|disclaimers?|popups?|modals?|overlays?|newsletters?|subscribe|
     subscription|signup|login|comments?|commentlist|disqus|replies|reply|respond|discussion|toolbar|topbar|copyright|
     pagination|pager|masthead|skip|hidden)$""", re.X | re.I)
+#: Of these, words that also name what an article is about.
+AMBIGUOUS = re.compile(r"""^(?:sponsor\w*|promo\w*|banners?|menus?|navigation|navi|widgets?|related|recommend\w*|share|sharing|
+    social|consent|notices?|notifications?|alerts?|disclaimers?|overlays?|subscribe|subscription|signup|login|replies|reply|
+    respond|discussion|copyright|skip|hidden)$""", re.X | re.I)
 #: Of these, only outside of an article: an article's own header holds its title.
 HEADERS = re.compile(r"^(?:header|heading|masthead|topbar|top)$", re.I)
 CLOSED_BY_BLOCK = frozenset(["p"])
@@ -51,14 +57,15 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 
 
-def _is_part(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element is a page part that is no article text."""
+def _is_part(name: str, attrs: str, in_article: bool) -> bool | None:
+    """Whether an element is a page part that is no article text; None: only if it holds nothing but links."""
     if name in DROPPED:
         return True
     if name == "header" and not in_article:
         return True
     if not attrs or attrs.isspace():
         return False
+    unsure = set()
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -67,30 +74,38 @@ def _is_part(name: str, attrs: str, in_article: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id") and name not in ("body", "html", "main"):
+        if key in ("class", "id") and name not in ("body", "html", "main") and not (key == "id" and name in HEADINGS):
             for word in value.split():
                 pieces = re.split(r"[-_]+", word)
                 for x in (word, pieces[0], pieces[-1]):  # "ad", "ad-slot", "post-comments"
-                    if PARTS.match(x) or (not in_article and name not in HEADINGS and HEADERS.match(x)):
+                    if in_article and AMBIGUOUS.match(x):
+                        unsure.add(x.lower())
+                    elif PARTS.match(x) or (not in_article and name not in HEADINGS and HEADERS.match(x)):
                         return True
-    return False
+    return len(unsure) > 1 or (None if unsure else False)
 
 
 def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
     """(text, is a page part or mostly links, inside an article or main element, is a heading) of a page's blocks, in order."""
     out: list[tuple[str, bool, bool, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is a page part
+    stack: list[tuple[str, bool | None, int]] = []  # open elements, whether each is a page part, and the lines before it
     parts = articles = links = 0
     text: list[str] = []
-    size = linked = 0
+    size = linked = n_links = 0
+    label: list[tuple[bool, int, int]] = []  # of each line: is mostly links, its characters, its links
 
     def flush():
-        nonlocal text, size, linked
+        nonlocal text, size, linked, n_links
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                out.append((line, parts > 0 or 2 * linked > size, articles > 0, any(x[0] in HEADINGS for x in stack)))
-        text, size, linked = [], 0, 0
+                linky, n = 2 * linked > size, max(1, n_links)
+                block = next((x[0] for x in reversed(stack) if x[0] in BLOCK), "")
+                row = n > 1 and block in ("div", "section") and len(line) < EDGE * n
+                out.append((line, parts > 0 or linky and (not articles or row), articles > 0,
+                            any(x[0] in HEADINGS for x in stack)))
+                label.append((linky, len(line), n))
+        text, size, linked, n_links = [], 0, 0, 0
 
     def add(s):
         nonlocal size, linked
@@ -101,10 +116,15 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
 
     def pop():
         nonlocal parts, articles, links
-        name, part = stack.pop()
-        parts -= part
+        name, part, begin = stack.pop()
+        parts -= bool(part)
         articles -= name in ("article", "main")
         links -= name == "a"
+        if articles and (part is None or name == "ul"):
+            held = [x for x, y in zip(label[begin:], out[begin:]) if part is not None or not y[3]]
+            n = sum(x[2] for x in held)
+            if held and all(x[0] for x in held) and (part is None or n > 1 and sum(x[1] for x in held) < EDGE * n):
+                out[begin:] = [(x[0], True, *x[2:]) for x in out[begin:]]
 
     at, n = 0, len(page)
     while at < n:
@@ -166,12 +186,15 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        part = _is_part(name, attrs, articles > 0)
-        stack.append((name, part))
-        parts += part
+        part = _is_part(name, attrs, articles > 0 or name == "article")
+        stack.append((name, part, len(out)))
+        parts += bool(part)
         articles += name in ("article", "main")
         links += name == "a"
+        n_links += name == "a"
     flush()
+    while stack:
+        pop()
     return out
 
 

@@ -33,6 +33,31 @@ def test_cases(page, text):
     assert H.main_text(page) == text
 
 
+KEPT = [
+    ("<article><h1><a href=/t>Title</a></h1><p>x</p></article>", "Title\n\nx"),
+    ("<article><p>x</p><p><a href=/y>All of it a link</a></p></article>", "x\n\nAll of it a link"),
+    ("<article><p>x</p><ol><li><a href=/a>Smith 2010</a><li><a href=/b>Lee 2011</a></ol></article>", "x\n\nSmith 2010\n\nLee 2011"),
+    ("<main><p>x</p><ul><li><a href=/a>On the origin of species</a><li><a href=/b>A history of the tides</a></ul></main>",
+     "x\n\nOn the origin of species\n\nA history of the tides"),
+    *[(f"<article><p>x</p><section {k}={w}><h2 id={w}>H</h2><p>y</p></section></article>", "x\n\nH\n\ny") for k in ("id", "class")
+      for w in ("discussion", "related-work", "social-history", "privacy-notice", "disclaimer", "share", "hidden", "menu")],
+    ("<article id=discussion><p>x</p></article>", "x"),
+    ("<article><h2 id=comments>Comments</h2><p>x</p></article>", "Comments\n\nx"),
+    ("<article><p>E <math><mi>m</mi><mo>=</mo><mn>2</mn></math>.</p></article>", "E m=2."),
+    ("<article><p>x</p><math display=block><mi>m</mi></math><p>y</p></article>", "x\n\nm\n\ny"),
+    ("<article><math><mi>m</mi><p>in it</p></math></article>", "m\n\nin it"),
+    ("<article><p>x</p><div class=related><h3>More</h3><p><a href=/a>Another story</a></p></div><p>y</p></article>", "x\n\ny"),
+    ("<article><p>x</p><div class='share social'><p>Tell it</p></div><p>y</p></article>", "x\n\ny"),
+    ("<article><p>x</p><ul><li><a href=/>Home</a><li><a href=/b>Next</a></ul><div><a>Mail</a> <a>Print</a></div></article>", "x"),
+    ("<article><p>x</p><div class=notice role=alert>n</div></article>", "x"),
+]
+
+
+@pytest.mark.parametrize("page,text", KEPT)
+def test_article_text_is_kept_whole(page, text):
+    assert H.main_text(page) == text
+
+
 def test_line_blocks_without_an_article_element():
     paras = ["word " * 40 + str(i) for i in range(4)]
     page = ("<div><a href=/>Home</a> <a href=/x>About us and more</a></div><div>Log</div><br>"
