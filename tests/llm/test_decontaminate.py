@@ -67,3 +67,42 @@ def test_planted_passages(spark, index_bytes):
     wide = D.annotate(df.withColumnRenamed("doc_id", "Contaminated"), bench)
     assert wide.columns == ["text", "contaminated", "item_ids", "best_score"]
     assert D.annotate(df.limit(0), bench).collect() == []
+
+
+def test_words_in_order():
+    g = random.Random(4)
+    for _ in range(200):
+        a, b = ([g.randrange(6) for _ in range(g.randrange(12))] for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert D._in_order(np.array(a, np.uint64), np.array(b, np.uint64)) == t[-1][-1]
+
+
+def test_copies_with_edited_and_cut_words(spark):
+    size = {0: 25, 1: 12, 2: 34, 3: 60}
+    rows = [(i, " ".join(f"i{i}w{j}" for j in range(k))) for i, k in size.items()]
+    docs, want = [], {}
+
+    def plant(item, change, leaked):
+        words = rows[item][1].split()
+        fill = [f"f{len(docs)}x{j}" for j in range(40)]
+        want[len(docs)] = [item] if leaked else []
+        docs.append((len(docs), " ".join(fill[:20] + change(words) + fill[20:])))
+
+    swap = lambda j: lambda w: [*w[:j % len(w)], "other", *w[j % len(w) + 1:]]
+    for item in size:
+        plant(item, lambda w: w, True)
+        plant(item, lambda w: w[:-1], True)  # the last word cut off
+        plant(item, swap(-1), True)
+        plant(item, lambda w: w[1:], True)
+        plant(item, swap(0), True)
+        plant(item, lambda w: w[:len(w) // 2], False)
+    for j in (-2, -3, -4):
+        plant(0, swap(j), True)  # 17 or more of 21 shingles are left
+    plant(0, lambda w: w[:-2], True)
+    plant(2, lambda w: w[:-6], False)  # 24 of 30 shingles, and no word of the answer
+    got = {r["doc_id"]: r["item_ids"] for r in D.annotate(
+        spark.createDataFrame(docs, DOCS), spark.createDataFrame(rows, ITEMS), keep=["doc_id"]).collect()}
+    assert got == want
