@@ -7,14 +7,14 @@ weight of the mass left for it:
 
     p(w | h) = (c(hw) + K p(w | h')) / (c(h) + K),    p(w) = (c(w) + 1) / (N + V + 1),
 
-with h' the shorter context; so each context is a distribution over the V tokens seen and one unknown token. A text is
-read once from left to right: the state carried is the longest known context, an arc adds its log-probability and a
-missing arc adds the failure weight and tries again. All positions of a bucket of texts take these steps at once, since
-the words before a position fix its contexts.
+with h' the shorter context; so each context is a distribution over the V tokens seen and one unknown token. No state
+or arc is built and none is carried from token to token: the words before a position fix its contexts, so the formula is
+evaluated from the counts for all positions of a bucket of texts at once, an order a step. The scores are those of a
+traversal from left to right that follows arcs and failure arcs.
 
 The counts cover all training texts and are never gathered in one place. Texts are dealt to buckets of about
 ``BUCKET_BYTES``; a bucket asks, by token hash, for the counts of the n-grams in its own texts and gives its own training
-counts; the totals come back (only where others add to a count), and with them the bucket builds the part of the automaton
+counts; the totals come back (only where others add to a count), and with them the bucket has the counts of all arcs
 that its texts can reach. N-grams go by 64-bit hashes (``key_bytes`` for
 two tokens or more); a part is a range of hashes, and its keys travel in ascending order as compressed differences.
 """
@@ -184,7 +184,7 @@ def _totals(key, t: pa.Table, width: int) -> pa.Table:
 
 
 class Automaton:
-    """The part of the automaton that a bucket's texts can reach.
+    """Counts of the part of the automaton that a bucket's texts can reach.
 
     ``arcs[k]`` has the counts c(hw) of the distinct k-grams of the texts, by ``number[k]`` of each position; contexts are
     states where their count is above 0.
@@ -205,7 +205,7 @@ class Automaton:
             self.count.append(here)
 
     def read(self, N: int, V: int, texts: int, concentration: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(n_known, base score, score) of each text, reading from left to right; ``texts``: training texts, the count of
+        """(n_known, base score, score) of each text, all positions at once; ``texts``: training texts, the count of
         the begin state; ``concentration``: K of the orders from 2 on."""
         first = np.concatenate([[0], np.cumsum(self.n)[:-1]])
         pos = np.arange(len(self.h)) - np.repeat(first, self.n)
