@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustlab.llm import (decontaminate, embeddings, html_text, jaccard, language, lm, mixing, token_counts, toxicity,
-                         warc)
+from gustlab.llm import (decontaminate, embeddings, fill_middle, html_text, jaccard, language, lm, mixing, token_counts,
+                         toxicity, warc)
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -78,9 +78,21 @@ def op10_language(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", _held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def fill_middle_digests(docs: DataFrame) -> DataFrame:
+    """Operator 12 with digests in place of its outputs and of the texts rebuilt from them."""
+    got = fill_middle.transform(docs, keep=["doc_id"])
+    return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_fill_middle(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 12 over all documents: 90 of a hundred cut, 20 of a hundred of these with the suffix first."""
+    return fill_middle_digests(_table(spark, d, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_warc_roundtrip, op3_html_text, op4_toxicity, op5_token_counts, op6_mix_sources,
-    op7_backoff_automaton, op8_decontaminate, op9_ngram_jaccard, op10_language)}
+    op7_backoff_automaton, op8_decontaminate, op9_ngram_jaccard, op10_language, op12_fill_middle)}
 
 _OP1_SQL = """
     WITH RECURSIVE e AS (
@@ -107,4 +119,5 @@ _OP2_SQL = """
     FROM p LEFT JOIN f USING (payload_digest)
 """
 
-ORACLE = {"op1_embedding_near_dedup": _OP1_SQL, "op2_warc_roundtrip": _OP2_SQL, "op6_mix_sources": mixing.ORACLE}
+ORACLE = {"op1_embedding_near_dedup": _OP1_SQL, "op2_warc_roundtrip": _OP2_SQL, "op6_mix_sources": mixing.ORACLE,
+          "op12_fill_middle": fill_middle.ORACLE}
