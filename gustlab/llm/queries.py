@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustlab.llm import (decontaminate, embeddings, fill_middle, html_text, jaccard, language, lm, mixing, token_counts,
-                         toxicity, warc)
+from gustlab.llm import (decontaminate, embeddings, fill_middle, html_text, jaccard, language, lm, mixing, sentence_pieces,
+                         token_counts, toxicity, warc)
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -90,9 +90,22 @@ def op12_fill_middle(spark: SparkSession, d: str) -> DataFrame:
     return fill_middle_digests(_table(spark, d, "documents"))
 
 
+def op13_sentence_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 13 over all documents: encoded with begin and end ids, decoded again; ``covered_bytes`` is how many bytes of
+    the text the spans of the pieces cover."""
+    import public_tokenizers
+
+    model = sentence_pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    got = sentence_pieces.encode(_table(spark, d, "documents"), model, keep=["doc_id"])
+    covered = F.aggregate(F.zip_with("ends", "begins", lambda e, b: e - b), F.lit(0).cast("long"), lambda s, x: s + x)
+    back = sentence_pieces.decode(got.select("doc_id", "ids", covered.alias("covered_bytes")), model)
+    return back.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"), "covered_bytes")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_warc_roundtrip, op3_html_text, op4_toxicity, op5_token_counts, op6_mix_sources,
-    op7_backoff_automaton, op8_decontaminate, op9_ngram_jaccard, op10_language, op12_fill_middle)}
+    op7_backoff_automaton, op8_decontaminate, op9_ngram_jaccard, op10_language, op12_fill_middle, op13_sentence_pieces)}
 
 _OP1_SQL = """
     WITH RECURSIVE e AS (
