@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustlab.llm import (decontaminate, embeddings, fill_middle, html_text, jaccard, language, lm, mixing, sentence_pieces,
-                         token_counts, toxicity, warc)
+from gustlab.llm import (decontaminate, embeddings, fill_middle, html_text, jaccard, language, lm, merkle, mixing,
+                         sentence_pieces, token_counts, toxicity, warc)
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -78,6 +78,13 @@ def op10_language(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", _held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Operator 11 over all documents; the texts of the ids whose crc32 5 divides are lower-cased after the fact."""
+    got = merkle.proofs(_table(spark, d, "documents"), changed={"text": merkle.lower_ascii(F.col("text"))},
+                        tampered=remainder(F.col("doc_id"), 5) == 0)
+    return got.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def fill_middle_digests(docs: DataFrame) -> DataFrame:
     """Operator 12 with digests in place of its outputs and of the texts rebuilt from them."""
     got = fill_middle.transform(docs, keep=["doc_id"])
@@ -105,7 +112,8 @@ def op13_sentence_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_warc_roundtrip, op3_html_text, op4_toxicity, op5_token_counts, op6_mix_sources,
-    op7_backoff_automaton, op8_decontaminate, op9_ngram_jaccard, op10_language, op12_fill_middle, op13_sentence_pieces)}
+    op7_backoff_automaton, op8_decontaminate, op9_ngram_jaccard, op10_language, op11_merkle_manifest,
+    op12_fill_middle, op13_sentence_pieces)}
 
 _OP1_SQL = """
     WITH RECURSIVE e AS (
@@ -133,4 +141,4 @@ _OP2_SQL = """
 """
 
 ORACLE = {"op1_embedding_near_dedup": _OP1_SQL, "op2_warc_roundtrip": _OP2_SQL, "op6_mix_sources": mixing.ORACLE,
-          "op12_fill_middle": fill_middle.ORACLE}
+          "op11_merkle_manifest": merkle.ORACLE, "op12_fill_middle": fill_middle.ORACLE}

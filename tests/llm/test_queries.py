@@ -16,6 +16,7 @@ COLUMNS = {
     "op8": ("documents", "doc_id", "doc_id bigint, contaminated boolean, item_ids array<bigint>, best_score double"),
     "op9": ("documents", "doc_id", "doc_id bigint, n_links bigint, component_id bigint, kept boolean"),
     "op10": ("documents", "doc_id", "doc_id bigint, held_out boolean, lang_pred string, score double"),
+    "op11": ("documents", "doc_id", "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"),
     "op12": ("documents", "doc_id", "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string"),
     "op13": ("documents", "doc_id", "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, covered_bytes bigint"),
 }
