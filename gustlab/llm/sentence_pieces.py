@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from gustlab.llm import blocks as B
 
 SPACE = "▁"  # the visible space of normalised texts
-HELD_CHARS = 1 << 23  # about 150 MB of parts
+HELD_CHARS = 1 << 22  # about 100 MB of parts
 LONG_WORD = 48
 # The kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -160,11 +160,20 @@ class Encoder:
         # two characters can be in one piece only where some piece holds them next to each other
         self.pairs = {p[i:i + 2] for p in self.cost for i in range(len(p) - 1)}
         spaced = any(a != SPACE and b == SPACE for a, b in self.pairs) or any(SPACE in u for u in self.user)
-        self.words = None if spaced else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        self.words = None if spaced else self._splitter().findall
         self.symbols = re.compile("|".join(map(re.escape, sorted(self.user, key=len, reverse=True)))) if self.user else None
         self.begin, self.end = m.trainer_spec.bos_id, m.trainer_spec.eos_id
         self.clear()
 
+    def _splitter(self) -> re.Pattern:
+        """Cuts before visible spaces, and between letters and the marks that no piece holds right after anything else
+        than a mark or a visible space."""
+        marks = {c for p in self.pairs for c in p if not c.isalpha()} - {SPACE} | {"\n"}
+        while late := {p[1] for p in self.pairs if p[1] in marks and p[0] != SPACE and p[0] not in marks}:
+            marks -= late
+        m = re.escape("".join(sorted(marks)))
+        return re.compile(f"{SPACE}*[^{SPACE}{m}]+|{SPACE}*[{m}]+[^{SPACE}{m}]*|{SPACE}+")
+
     def clear(self) -> None:
         """Forget the parts met; the begin and end id stay as parts 0 and 1."""
         self.found: dict[str, int] = {}
