@@ -120,7 +120,9 @@ def backtest_grid(df: DataFrame, target: str, features: Sequence[str], horizons:
         train_end = test - val_days * day + h * hour if val_days else test
         known = pdf[f"__lead{h}"].notna().to_numpy()
         end = test + test_days * day + h * hour
-        return known & (t >= test - train_days * day) & (t < train_end), known & (t >= test) & (t + h * hour <= end)
+        # no label reaches the first test row, whatever the horizon
+        train = known & (t >= test - train_days * day) & (t < train_end) & (t + h * hour < test)
+        return train, known & (t >= test) & (t + h * hour <= end)
 
     def gram(batches):
         acc: dict = {}

@@ -313,6 +313,7 @@ def temporal_split(df: DataFrame, test_start: str, train_days: int, test_days: i
 
     As the reference: ``test = test_start - horizon``; train ``[test - train_days, val)``,
     validation ``[val, test)`` with ``val = test - val_days + horizon`` (or none), test ``[test, test + test_days + horizon]``.
+    A horizon beyond ``val_days`` leaves no validation rows; training rows still end before ``test``.
     """
     t = F.lit(test_start).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(horizon_hours))
     start = t - F.make_dt_interval(F.lit(train_days))
@@ -320,7 +321,7 @@ def temporal_split(df: DataFrame, test_start: str, train_days: int, test_days: i
     c = F.col(ts)
     if val_days:
         v = t - F.make_dt_interval(F.lit(val_days)) + F.make_dt_interval(F.lit(0), F.lit(horizon_hours))
-        lab = (F.when((c >= start) & (c < v), "train").when((c >= v) & (c < t), "validation")
+        lab = (F.when((c >= start) & (c < F.least(v, t)), "train").when((c >= v) & (c < t), "validation")
                .when((c >= t) & (c <= end), "test"))
     else:
         lab = F.when((c >= start) & (c < t), "train").when((c >= t) & (c <= end), "test")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gustlab.operators import spectrum
+from gustlab.operators import rolling, spectrum
 from gustlab.operators import timeseries as tsx
 from gustlab.plans import standins as S
 from gustlab.plans.catalog import HOURLY_SQL, present, register, round_sql
@@ -50,3 +50,32 @@ def q_acf_all_lags_revenue(spark, d):
     """All lags of the daily revenue (some 2,400 days) from one transform."""
     got = spectrum.acf_full(S.farm_series(spark, d), "revenue").withColumn("series", F.lit("revenue"))
     return present(got.drop("significant"), 7, ["acf", "ci"])
+
+
+# ------------------------------------------------------------------------------------------- H16
+ROLL_X = ["wind_speed_ms", "temp_rotor_bearing_c", "hub_temp_c"]
+
+
+@register("rolling_origin_backtest")
+def q_rolling_origin_backtest(spark, d):
+    """Every day an origin, horizons 1 to 48 hours, a week of training before each; metrics per cell."""
+    return rolling.rolling_backtest(_hourly(spark, d), "active_power_kw", ROLL_X, range(1, 49))
+
+
+@register("rolling_origin_persistence", round_sql(f"""
+    WITH h AS ({HOURLY}),
+    r AS (SELECT a.ts, a.active_power_kw AS x FROM h a JOIN h b ON b.ts = a.ts - INTERVAL 1 HOUR JOIN h c ON c.ts = a.ts - INTERVAL 2 HOUR
+          WHERE a.active_power_kw IS NOT NULL AND {" AND ".join(f"{t}.{c} IS NOT NULL" for t in "abc" for c in ROLL_X)}),
+    p AS (SELECT r.ts, r.x, k.horizon, l.ts AS label_ts, l.active_power_kw AS y
+          FROM r, (SELECT CAST(unnest(range(1, 49)) AS INTEGER) AS horizon) k, h l
+          WHERE l.ts = r.ts + k.horizon * INTERVAL 1 HOUR AND l.active_power_kw IS NOT NULL),
+    o AS (SELECT DISTINCT CAST(ts AS DATE) AS origin FROM r),
+    n AS (SELECT o.origin, p.horizon, count(*) AS n_train FROM o JOIN p ON p.label_ts < o.origin AND p.label_ts >= o.origin - INTERVAL 7 DAY
+          GROUP BY 1, 2)
+    SELECT n.origin, n.horizon, n.n_train, count(*) AS n, avg(abs(x - y)) AS mae_persistence, sqrt(avg((x - y) * (x - y))) AS rmse_persistence
+    FROM n JOIN p ON p.horizon = n.horizon AND CAST(p.ts AS DATE) = n.origin WHERE n.n_train >= 24 GROUP BY 1, 2, 3
+""", ["mae_persistence", "rmse_persistence"], 6))
+def q_rolling_origin_persistence(spark, d):
+    """The cells of the rolling back-test with their training and test rows, scored by persistence."""
+    got = rolling.rolling_backtest(_hourly(spark, d), "active_power_kw", ROLL_X, range(1, 49), units=8)
+    return present(got.select("origin", "horizon", "n_train", "n", "mae_persistence", "rmse_persistence"), 6)
