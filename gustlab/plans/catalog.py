@@ -16,7 +16,7 @@ from gustlab.plans import standins as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("q_quality", "q_impute", "q_sources", "q_stats", "q_models", "q_checked", "q_series")
+MODULES = ("q_quality", "q_impute", "q_sources", "q_stats", "q_models", "q_checked", "q_series", "q_forest")
 
 
 def register(name: str, sql: str | None = None):
