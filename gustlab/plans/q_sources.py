@@ -59,8 +59,7 @@ def q_read_scada_exact_trailer(spark, d):
 
 @register("read_scada_zip", LONG_FROM_EXPORT_SQL)
 def q_read_scada_zip(spark, d):
-    """A3: zipped exports read on the executors (each archive unzipped whole inside one task), then the same
-    reshaping."""
+    """A3: zipped exports read on the executors (each member a task), then the same reshaping."""
     zroot = X.write_scada_zips(spark, X.write_scada_exports(spark, d))
     lines = SRC.read_zipped_lines(spark, f"{zroot}/*.zip")
     wide = SRC.parse_delimited(lines, sep=";")

@@ -6,14 +6,16 @@ Readers keep every cell as text (no schema inference pass) and tag rows with the
 
 from __future__ import annotations
 
+import contextlib
 import io
+import json
 import zipfile
+import zlib
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gustlab.functions.columns import parse_dmy_hm
 
@@ -148,62 +150,138 @@ def _first_line(spark: SparkSession, path: str) -> str:
 
 
 # --------------------------------------------------------------------------------------------- A3
-_LINES = T.StructType([T.StructField("archive", T.StringType()), T.StructField("member", T.StringType()),
-                       T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType())])
+LINES_PER_BATCH = 100_000
+_LINES = "archive string, member string, line_no long, line string, header long"
 
 
-LINES_PER_BATCH = 100_000
+class _Member(InputPartition):
+    def __init__(self, archive: str, member: str):
+        self.archive, self.member = archive, member
 
 
-def _unzip_batches(batches):
-    """Stream every member line by line; batches of at most LINES_PER_BATCH lines bound the memory."""
+@contextlib.contextmanager
+def _opened(path: str):
+    """An archive on any of Arrow's file systems (local, HDFS, S3, GCS)."""
     from pyarrow import fs as pafs
 
-    for pdf in batches:
-        for path in pdf["path"]:
-            store, inner = pafs.FileSystem.from_uri(path)
-            with store.open_input_file(inner) as handle, zipfile.ZipFile(handle) as zf:
-                for member in zf.namelist():
-                    if member.endswith("/"):
-                        continue
-                    with zf.open(member) as raw:
-                        text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline=None)
-                        buf, start = [], 0
-                        for line in text:
-                            buf.append(line.rstrip("\n"))
-                            if len(buf) == LINES_PER_BATCH:
-                                yield pd.DataFrame({"archive": path, "member": member,
-                                                    "line_no": range(start, start + len(buf)), "line": buf})
-                                start += len(buf)
-                                buf = []
-                        if buf:
-                            yield pd.DataFrame({"archive": path, "member": member,
-                                                "line_no": range(start, start + len(buf)), "line": buf})
+    store, inner = pafs.FileSystem.from_uri(path)
+    with store.open_input_file(inner) as handle, zipfile.ZipFile(handle) as zf:
+        yield zf
+
+
+def _members(batches):
+    """Names of the members of each archive, from its central directory alone."""
+    import pyarrow as pa
+
+    for b in batches:
+        for path in b.column(0).to_pylist():
+            with _opened(path) as zf:
+                names = [m for m in zf.namelist() if not m.endswith("/")]
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(names), pa.string()), pa.array(names, pa.string())], ["archive", "member"])
+
+
+class _ZipReader(DataSourceReader):
+    def __init__(self, members: list[list[str]]):
+        self.members = members
+
+    def partitions(self):
+        return [_Member(a, m) for a, m in self.members] or [_Member("", "")]
+
+    def read(self, partition):
+        """The lines of a member in batches of at most LINES_PER_BATCH."""
+        import pyarrow as pa
+
+        if not partition.archive:
+            return
+
+        def batch(start, lines, header):
+            n = len(lines)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([partition.archive] * n), pa.array([partition.member] * n), pa.array(range(start, start + n), pa.int64()),
+                 pa.array(lines), pa.array([header] * n, pa.int64())], ["archive", "member", "line_no", "line", "header"])
+
+        with _opened(partition.archive) as zf, zf.open(partition.member) as raw:
+            text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace", newline=None)
+            lines, start, header = [], 0, None
+            for line in text:
+                lines.append(line.rstrip("\n"))
+                header = zlib.crc32(lines[0].encode()) if header is None else header
+                if len(lines) == LINES_PER_BATCH:
+                    yield batch(start, lines, header)
+                    start, lines = start + len(lines), []
+            if lines:
+                yield batch(start, lines, header)
+
+
+class ZipLines(DataSource):
+    """Spark data source ``zip_lines``: the text lines of the members of zip archives (option ``members``: a JSON list of
+    archive and member)."""
+
+    @classmethod
+    def name(cls):
+        return "zip_lines"
+
+    def schema(self):
+        return _LINES
+
+    def reader(self, schema):
+        return _ZipReader(json.loads(self.options["members"]))
 
 
 def read_zipped_lines(spark: SparkSession, pattern: str) -> DataFrame:
-    """Zip archives -> one row per text line of every member (A3).
+    """Zip archives -> one row per text line of every member (A3): archive, member, line_no from 0, line, and ``header``, a
+    checksum of the member's first line.
 
-    Spark lists the archives (names only); tasks open them through Arrow's file systems (local, HDFS, S3, GCS) and
-    stream the members, so neither an archive nor a member has to fit in memory. One archive is one task's work (zip is
-    not splittable).
+    Spark lists the archives and tasks list their members (names only). Every member is a partition: its task opens the
+    archive, goes to the member by the central directory and streams it, so one large archive is the work of many tasks
+    and nothing has to fit in memory.
     """
-    names = spark.read.format("binaryFile").load(pattern).select("path")
-    return names.mapInPandas(_unzip_batches, _LINES)
+    paths = spark.read.format("binaryFile").load(pattern).select("path")
+    names = paths.mapInArrow(_members, "archive string, member string").orderBy("archive", "member").collect()
+    spark.dataSource.register(ZipLines)
+    return spark.read.format("zip_lines").option("members", json.dumps([list(r) for r in names])).load()
 
 
 def parse_delimited(lines: DataFrame, sep: str = ";", header_line: int = 0) -> DataFrame:
-    """Lines of delimited text -> all-text columns named by the header line of the first member."""
-    first = lines.filter(F.col("line_no") == header_line).select("line").first()
-    if first is None:
+    """Lines of delimited text -> all-text columns by name: a member's first line (``header_line`` 0) names its columns.
+
+    Members may have other columns or another order: the result has the columns of all headers, by their first
+    appearance among the headers in the order of archive and member, NULL where a member lacks one. Of equal names in one
+    header the first, second, ... belong together. Distinct headers (one a file format) are read by the driver. Lines
+    without a ``header`` checksum, and headers on a later line, are taken as of one format, the first member's.
+    """
+    heads = lines.filter(F.col("line_no") == header_line)
+    by_member = "header" in lines.columns and header_line == 0
+    if by_member:
+        first = heads.groupBy("header", "line").agg(F.min(F.struct("archive", "member")).alias("at")).orderBy("at").collect()
+    else:
+        first = heads.orderBy("archive", "member").limit(1).collect()
+    if not first:
         raise ValueError("no header line")
-    names = [h.strip() for h in first["line"].split(sep)]
-    schema = ", ".join(f"c{i} STRING" for i in range(len(names)))
+    formats, order = [], {}
+    for r in first:
+        seen: dict[str, int] = {}
+        columns = {}
+        for i, name in enumerate(h.strip() for h in r["line"].split(sep)):
+            seen[name] = seen.get(name, 0) + 1
+            columns[(name, seen[name])] = i
+            order.setdefault((name, seen[name]), len(order))
+        formats.append((r["header"] if by_member else None, columns))
+    schema = ", ".join(f"c{i} STRING" for i in range(max(len(c) for _, c in formats)))
     opts = {"sep": sep, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
     body = lines.filter(F.col("line_no") != header_line)
-    p = body.select("archive", "member", F.from_csv("line", schema, opts).alias("r"))
-    return p.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)],
-                    F.col("member").alias("source_file"), F.col("archive").alias("source_archive"))
+    p = body.select("archive", "member", *(["header"] if by_member else []), F.from_csv("line", schema, opts).alias("r"))
+
+    def value(key):
+        at = [(h, c[key]) for h, c in formats if key in c]
+        if len(at) == len(formats) and len({i for _, i in at}) == 1:
+            return F.col(f"r.c{at[0][1]}")
+        out = F.lit(None).cast("string")
+        for h, i in at:
+            out = F.when(F.col("header") == h, F.col(f"r.c{i}")).otherwise(out)
+        return out
+
+    return p.select(*[value(k).alias(k[0]) for k in order], F.col("member").alias("source_file"), F.col("archive").alias("source_archive"))
 
 
 # --------------------------------------------------------------------------------------------- A6, A7
