@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gustlab.operators import evaluate as ev
 from gustlab.operators import likelihood as LK
+from gustlab.operators import reservoir as RS
 from gustlab.operators import rolling, spectrum
 from gustlab.operators import timeseries as tsx
 from gustlab.plans import standins as S
@@ -160,3 +161,11 @@ def q_arima_search_forecast(spark, d):
     inside = lambda a, b: F.avg(F.col("revenue").between(F.col(a), F.col(b)).cast("double"))
     return j.groupBy("p", "d", "q").agg(*ev.metric_columns(F.col("revenue"), F.col("forecast")), inside("lo80", "hi80").alias("inside80"),
                                         inside("lo95", "hi95").alias("inside95"))
+
+
+# ------------------------------------------------------------------------------------------- H8
+@register("reservoir_forecast_metrics")
+def q_reservoir_forecast_metrics(spark, d):
+    """H8: one hour ahead from an echo-state reservoir over the whole history, scored from 20 January on."""
+    got = RS.reservoir_forecast(_hourly(spark, d), "active_power_kw", ROLL_X, "2024-01-20 00:00:00", washout=100)
+    return ev.regression_metrics(got, "actual", "predicted")
