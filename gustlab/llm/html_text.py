@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ WINDOW, SURGE = 3, 86
 
 # The element sets of the HTML standard, and common names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
-    figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option
+    figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol
     p pre section summary table tbody td tfoot th thead title tr ul""".split())
 DROPPED = frozenset("""head nav aside footer form script style noscript template iframe svg button select option
     textarea title dialog menu canvas object audio video datalist input applet noembed noframes map""".split())
@@ -39,22 +40,33 @@ PARTS = re.compile(r"""^(?:ads?|adverts?|adsense|adslot|adbox|advertis\w*|sponso
     subscription|signup|login|comments?|commentlist|disqus|replies|reply|respond|discussion|toolbar|topbar|copyright|
     pagination|pager|masthead|skip|hidden)$""", re.X | re.I)
 #: Of these, words that also name what an article is about.
-AMBIGUOUS = re.compile(r"""^(?:sponsor\w*|promo\w*|banners?|menus?|navigation|navi|widgets?|related|recommend\w*|share|sharing|
+AMBIGUOUS = re.compile(r"""^(?:cookies?|sponsor\w*|promo\w*|banners?|menus?|navigation|navi|widgets?|related|recommend\w*|share|sharing|
     social|consent|notices?|notifications?|alerts?|disclaimers?|overlays?|subscribe|subscription|signup|login|replies|reply|
     respond|discussion|copyright|skip|hidden)$""", re.X | re.I)
+#: "ad" before one of these is an advert, before other words ("ad-hoc") it is not.
+AD = re.compile(r"^ads?$", re.I)
+AD_PLACE = re.compile(r"""^(?:slots?|box(?:es)?|units?|banners?|blocks?|containers?|wrapp?(?:er)?s?|holders?|spaces?|zones?|places?|areas?|
+    label|text|link|top|bottom|left|right|side\w*|header|footer|content|frame|panel|row|col\w*|inner|outer|native|mobile|desktop|\d*)$""",
+                      re.X | re.I)
 #: Of these, only outside of an article: an article's own header holds its title.
 HEADERS = re.compile(r"^(?:header|heading|masthead|topbar|top)$", re.I)
 CLOSED_BY_BLOCK = frozenset(["p"])
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
             "th": ("td", "th"), "option": ("option",)}
-LISTS = frozenset("ul ol dl table select".split())
+LISTS = frozenset("ul ol dl table".split())
+#: Dropped elements inside a line: nothing in them ends the line or closes an element around them.
+INERT = frozenset("svg button select object applet canvas audio video datalist map template".split())
+#: A form around one of these is the frame of the page, no form to fill in.
+FRAMED = frozenset("article main nav header footer aside h1".split())
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 EDGE = 20  # a shorter line at the edge of a region, no heading and no sentence, is a label beside the text
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
-    |<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.X | re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
+# a tag as the standard's tokenizer reads it: an unquoted value may hold quotes, "<!-->" and "<!--->" are whole comments
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
+    |<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+|=)*+)(?:>|\Z)""", re.X | re.S)
+_ATTR = re.compile(r"""([^\s=/>][^\s=/>]*)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
+_FORM = re.compile(rf"<(/?)({'|'.join(sorted(FRAMED))}|form)(?=[\s/>])", re.I)
 
 
 def _is_part(name: str, attrs: str, in_article: bool) -> bool | None:
@@ -78,6 +90,8 @@ def _is_part(name: str, attrs: str, in_article: bool) -> bool | None:
             for word in value.split():
                 pieces = re.split(r"[-_]+", word)
                 for x in (word, pieces[0], pieces[-1]):  # "ad", "ad-slot", "post-comments"
+                    if len(pieces) > 1 and x is pieces[0] and AD.match(x) and not AD_PLACE.match(pieces[1]):
+                        continue
                     if in_article and AMBIGUOUS.match(x):
                         unsure.add(x.lower())
                     elif PARTS.match(x) or (not in_article and name not in HEADINGS and HEADERS.match(x)):
@@ -85,117 +99,189 @@ def _is_part(name: str, attrs: str, in_article: bool) -> bool | None:
     return len(unsure) > 1 or (None if unsure else False)
 
 
-def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
-    """(text, is a page part or mostly links, inside an article or main element, is a heading) of a page's blocks, in order."""
-    out: list[tuple[str, bool, bool, bool]] = []
-    stack: list[tuple[str, bool | None, int]] = []  # open elements, whether each is a page part, and the lines before it
-    parts = articles = links = 0
-    text: list[str] = []
-    size = linked = n_links = 0
-    label: list[tuple[bool, int, int]] = []  # of each line: is mostly links, its characters, its links
-
-    def flush():
-        nonlocal text, size, linked, n_links
-        if text:
-            line = " ".join(html.unescape("".join(text)).split())
-            if line:
-                linky, n = 2 * linked > size, max(1, n_links)
-                block = next((x[0] for x in reversed(stack) if x[0] in BLOCK), "")
-                row = n > 1 and block in ("div", "section") and len(line) < EDGE * n
-                out.append((line, parts > 0 or linky and (not articles or row), articles > 0,
-                            any(x[0] in HEADINGS for x in stack)))
-                label.append((linky, len(line), n))
-        text, size, linked, n_links = [], 0, 0, 0
-
-    def add(s):
-        nonlocal size, linked
-        text.append(s)
+def _frames(page: str) -> set[int]:
+    """Where the forms begin that hold the page itself (tags inside comments and scripts may add one, which drops nothing)."""
+    out: set[int] = set()
+    form = None
+    for m in _FORM.finditer(page):
+        if m[2].lower() == "form":
+            form = None if m[1] else (m.start() if form is None else form)
+        elif form is not None and not m[1]:
+            out.add(form)
+    return out
+
+
+class _Page:
+    """The open elements of a page and the lines found so far.
+
+    Text is judged where it stands: a piece inside a page part never joins its line. Names, blocks and headings that are open
+    are counted, so a tag costs no walk through the open elements but for those it closes.
+    """
+
+    def __init__(self):
+        self.out: list[tuple[str, bool, bool, bool]] = []
+        self.label: list[tuple[bool, int, int]] = []  # of each line: is mostly links, its characters, its links
+        self.stack: list[tuple[str, bool | None, int]] = []  # open elements, whether each is a page part, and the lines before it
+        self.open: defaultdict[str, list[int]] = defaultdict(list)  # by name: places of open elements
+        self.blocks: list[int] = []  # places of open blocks, list items and their lists, and inert elements
+        self.marks: list[int] = []
+        self.inert: list[int] = []
+        self.parts = self.articles = self.headings = 0
+        self._new_line()
+
+    def _new_line(self):
+        self.text, self.gone = [], []
+        self.size = self.linked = self.n_links = 0
+
+    def flush(self):
+        if self.inert:
+            return
+        line, part = " ".join(html.unescape("".join(self.text)).split()), False
+        if not line and self.gone:
+            line, part = " ".join(html.unescape("".join(self.gone)).split()), True
+        if line:
+            linky, n = 2 * self.linked > self.size, max(1, self.n_links)
+            block = self.stack[self.blocks[-1]][0] if self.blocks else ""
+            row = n > 1 and block in ("div", "section") and len(line) < EDGE * n
+            self.out.append((line, part or linky and (not self.articles or row), self.articles > 0, self.headings > 0))
+            self.label.append((linky, len(line), n))
+        self._new_line()
+
+    def add(self, s: str):
+        if self.parts:
+            self.gone.append(s)
+            return
+        self.text.append(s)
         n = len(s) - s.count(" ")
-        size += n
-        linked += n if links else 0
-
-    def pop():
-        nonlocal parts, articles, links
-        name, part, begin = stack.pop()
-        parts -= bool(part)
-        articles -= name in ("article", "main")
-        links -= name == "a"
-        if articles and (part is None or name == "ul"):
-            held = [x for x, y in zip(label[begin:], out[begin:]) if part is not None or not y[3]]
+        self.size += n
+        self.linked += n if self.open["a"] else 0
+
+    def push(self, name: str, part: bool | None):
+        at = len(self.stack)
+        self.stack.append((name, part, len(self.out)))
+        self.open[name].append(at)
+        if name in BLOCK:
+            self.blocks.append(at)
+        if name in SIBLINGS or name in LISTS:
+            self.marks.append(at)
+        if name in INERT:
+            self.inert.append(at)
+        self.parts += bool(part)
+        self.articles += name in ("article", "main")
+        self.headings += name in HEADINGS
+        self.n_links += name == "a" and not self.parts
+
+    def pop(self):
+        name, part, begin = self.stack.pop()
+        at = len(self.stack)
+        self.open[name].pop()
+        for places in (self.blocks, self.marks, self.inert):
+            if places and places[-1] == at:
+                places.pop()
+        self.parts -= bool(part)
+        self.articles -= name in ("article", "main")
+        self.headings -= name in HEADINGS
+        if self.articles and (part is None or name == "ul"):
+            held = [x for x, y in zip(self.label[begin:], self.out[begin:]) if part is not None or not y[3]]
             n = sum(x[2] for x in held)
             if held and all(x[0] for x in held) and (part is None or n > 1 and sum(x[1] for x in held) < EDGE * n):
-                out[begin:] = [(x[0], True, *x[2:]) for x in out[begin:]]
+                self.out[begin:] = [(x[0], True, *x[2:]) for x in self.out[begin:]]
+
+    def pop_to(self, at: int):
+        while len(self.stack) > at:
+            self.pop()
+
+    def end(self, name: str):
+        """An end tag: closes the nearest element of its name, and what is open inside."""
+        if not self.open[name]:
+            if name in BLOCK:
+                self.flush()
+            return
+        if self.inert and self.open[name][-1] < self.inert[-1]:
+            if name not in BLOCK:  # an inline end tag stays inside
+                return
+            self.pop_to(self.inert[0])  # the block around ends, and with it what was left open
+        if name in BLOCK:
+            self.flush()
+        self.pop_to(self.open[name][-1])
+
+    def closes(self, name: str):
+        """What a start tag closes: an open paragraph before a block, and list items and cells before their like."""
+        floor = self.inert[-1] if self.inert else -1
+        if name in BLOCK and self.blocks and self.blocks[-1] > floor and self.stack[self.blocks[-1]][0] == "p":
+            self.pop_to(self.blocks[-1])
+        for at in reversed(self.marks) if name in SIBLINGS else ():
+            other = self.stack[at][0]
+            if at < floor or other in LISTS or other == "tr" and name in ("td", "th"):
+                break
+            if other in SIBLINGS[name]:
+                self.pop_to(at)
+                if name != "tr" or other == "tr":  # a row ends the cell, then the row before it
+                    break
+
 
-    at, n = 0, len(page)
+def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
+    """(text, is a page part or mostly links, inside an article or main element, is a heading) of a page's blocks, in order."""
+    p, frames, at, n = _Page(), _frames(page), 0, len(page)
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
-            add(page[at:])
+            p.add(page[at:])
             break
         if lt > at:
-            add(page[at:lt])
+            p.add(page[at:lt])
         m = _TOKEN.match(page, lt)
         if not m:
-            add("<")  # a sign, not a tag
+            p.add("<")  # a sign, not a tag
             at = lt + 1
             continue
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA["):
-                add(re.sub(r"\]\]>\Z", "", m[0][9:]))
+                p.add(re.sub(r"\]\]>\Z", "", m[0][9:]))
+            continue
+        if name == "br":
+            p.add(" ")
             continue
         if m[1]:
-            if name == "br":
-                add(" ")
-                continue
-            if name in BLOCK:
-                flush()
-            if any(x[0] == name for x in stack):
-                while stack[-1][0] != name:
-                    pop()
-                pop()
+            p.end(name)
             continue
         attrs = m[3] or ""
-        if name == "br":
-            add(" ")
-            continue
+        inside = p.stack[p.inert[-1]][0] if p.inert else ""
+        if inside == "select":  # it holds options, and another control ends it
+            if name not in ("select", "input", "textarea", "button"):
+                if name in RAW:
+                    at = _after(page, name, at)
+                continue
+            p.pop_to(p.inert[-1])
+            if name == "select":
+                continue
+        elif inside == "svg" and name in BLOCK and name != "title" and not p.open["foreignobject"] and not p.open["desc"]:
+            p.pop_to(p.inert[-1])  # text of the page ends a drawing that was left open
         if name in BLOCK:
-            flush()
-            if stack and stack[-1][0] in CLOSED_BY_BLOCK:
-                pop()
-            else:  # a paragraph left open around inline elements
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
-        if name in SIBLINGS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in LISTS:
-                    break
-                if stack[k][0] in SIBLINGS[name]:
-                    while len(stack) > k:
-                        pop()
-                    break
+            p.flush()
+        p.closes(name)
         if name in VOID or attrs.rstrip().endswith("/") and name not in BLOCK and name != "a":
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else n
+            at = _after(page, name, at)
             continue
-        part = _is_part(name, attrs, articles > 0 or name == "article")
-        stack.append((name, part, len(out)))
-        parts += bool(part)
-        articles += name in ("article", "main")
-        links += name == "a"
-        n_links += name == "a"
-    flush()
-    while stack:
-        pop()
-    return out
+        part = False if name == "form" and lt in frames else _is_part(name, attrs, p.articles > 0 or name == "article")
+        p.push(name, part)
+    p.pop_to(p.inert[0] if p.inert else len(p.stack))
+    p.flush()
+    p.pop_to(0)
+    return p.out
+
+
+def _after(page: str, name: str, at: int) -> int:
+    """The place after the end tag of an element whose content is no markup."""
+    end = _RAW_END[name].search(page, at)
+    return end.end() if end else len(page)
+
+
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
 def regions(lengths: np.ndarray, surge: int) -> np.ndarray:

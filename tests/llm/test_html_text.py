@@ -58,6 +58,96 @@ def test_article_text_is_kept_whole(page, text):
     assert H.main_text(page) == text
 
 
+HARD = [
+    ("<article><p data-x=it's>A</p><p>B</p></article>", "A\n\nB"),
+    ("<article><p><a href=x?q=\"a>A</a></p><p>B</p></article>", "A\n\nB"),
+    ("<article><p 'a>A</p><p>B's</p></article>", "A\n\nB's"),
+    ("<article><p a = 'x > y' b= c>A</p><p>B</p></article>", "A\n\nB"),
+    ("<article><p>First <select><option>One<option>Two</select> end.</p><p>Second</p></article>", "First end.\n\nSecond"),
+    ("<article><p>First <select><option>One</option><optgroup><option>Two</option></optgroup></select> end.</p></article>", "First end."),
+    ("<article><p>First <select><option>One<input> end.</p><p>Second</p></article>", "First end.\n\nSecond"),
+    ("<article><p>First <svg><title>icon</title><g><path d='M0'/></g></svg> tail</p></article>", "First tail"),
+    ("<article><p>First <svg><path><p>Second</p></article>", "First\n\nSecond"),
+    ("<article><p>First <svg><foreignObject><div>in it</div></foreignObject></svg> tail</p></article>", "First tail"),
+    ("<article><p>First <object><p>no plugin</p></object> tail</p></article>", "First tail"),
+    ("<article><p>First <video><source><div>old</div></video> tail <button><div>b</div></button></p></article>", "First tail"),
+    ("<article><p>First <button>b</p><p>Second</p></article>", "First\n\nSecond"),
+    ("<article><p>A<!-->B<!--->C<!-- D --!>E</p></article>", "ABCE"),
+    ("<body><form id=aspnetForm><nav>m</nav><article><p>A</p><form><p>f</p></form><p>B</p></article></form>", "A\n\nB"),
+    ("<body><article><p>A</p><form><p>Your mail</p><input></form></article>", "A"),
+    ("<article><section class=ad-hoc><p>A</p></section><section id=cookies><p>B</p></section></article>", "A\n\nB"),
+    ("<article><p>A</p><div class=ad-slot><p>x</p></div><div class=top-ad>y</div><div class=ads>z</div><div id=cookie-notice>n</div></article>", "A"),
+    ("<article><p>A <span hidden>h</span>b <i aria-hidden=true>i</i><span style='display:none'>n</span><noscript>s</noscript>"
+     "<span class=advert>buy</span> c</p></article>", "A b c"),
+    ("<article><p>A <span class=advert>buy</p><p>B</p></article>", "A\n\nB"),
+    ("<article><p>A</p><noscript><p>no</p></noscript><p>B</p></article>", "A\n\nB"),
+    ("<article><ul><li>a <svg><title>t</title></svg><li>b</ul></article>", "a\n\nb"),
+    ("<article><table><tr><td>a <select><option>x</select><td>b<tr><td>c</table></article>", "a\n\nb\n\nc"),
+]
+
+
+@pytest.mark.parametrize("page,text", HARD)
+def test_markup_as_the_standard_reads_it(page, text):
+    assert H.main_text(page) == text
+
+
+def test_planted_articles_in_hard_markup():
+    """Pages built piece by piece, so the article is known: what stands visible in it, and nothing else."""
+    g = random.Random(11)
+    word = lambda: g.choice(["alpha", "b&amp;b", "été", "x &lt; y", "it's", "\"q\"", "3 > 2"])
+    attr = lambda: g.choice(["", " class=lead", " data-x=it's", " title='a > b'", " href=x?q=\"a", " a = b", " x=\"'\""])
+    import html
+
+    def inline(deep=0):
+        """(markup, visible text)"""
+        k = g.randrange(12 if deep < 2 else 1)
+        w = " ".join(word() for _ in range(g.randrange(1, 5)))
+        if k < 5:
+            return w, w
+        if k == 5:
+            a, b = inline(deep + 1)
+            t = g.choice(["b", "i", "em", "span", "a", "code"])
+            return f"<{t}{attr()}>{a}</{t}>", b
+        hidden = ["<!-->", "<!--->", f"<!-- {w} <p> -->", f"<svg><title>{w}</title><path d='M0'/></svg>", f"<button{attr()}>{w}</button>",
+                  f"<select><option>{w}<option>{w}</select>", f"<span hidden>{w}</span>", f"<i aria-hidden=true>{w}</i>",
+                  f"<noscript><p>{w}</noscript>", f"<span class=advert>{w}</span>", f"<script>'<p>{w}'</script>",
+                  f"<object><p>{w}</p></object>", "<img alt='x > y'>", f"<video><div>{w}</div></video>", "<input value=it's>"]
+        return g.choice(hidden), ""
+
+    for i in range(500):
+        body, want = [], []
+        for _ in range(g.randrange(1, 6)):
+            parts = [(w := word(), w)] + [inline() for _ in range(g.randrange(6))]
+            markup, seen = " ".join(a for a, _ in parts), " ".join(b for _, b in parts)
+            body.append(g.choice([f"<p{attr()}>{markup}</p>", f"<p>{markup}", f"<div{attr()}>{markup}</div>", f"<section><p>{markup}</section>"]))
+            want.append(" ".join(html.unescape(seen).split()))
+        page = f"<!doctype html><html><head><title>t</title></head><body>{{}}<nav><a{attr()}>menu</a></nav><article>{''.join(body)}</article><footer>f</footer>{{}}"
+        page = page.format(*g.choice([("", ""), ("<form id=f>", "</form>"), ("<div class=wrap>", "</div>"), ("<form>", "")]))
+        assert H.main_text(page) == "\n\n".join(want), page
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    def took(page):
+        begin = time.perf_counter()
+        H.main_text(page)
+        return time.perf_counter() - begin
+
+    for make in (lambda n: "<span>" * n + "x</i>" * n, lambda n: "<svg>" + "<g>" * n + "</b>" * n, lambda n: "<p>" + "<b>x<hr>" * n,
+                 lambda n: "<table>" + "<tr><td>x" * n, lambda n: "<!" * n, lambda n: "<a b='" * n, lambda n: "<script>" * n,
+                 lambda n: "<p a=\"x" * n, lambda n: "<form>" * n + "<article>" * n):
+        small = min(took(make(5_000)) for _ in range(3))
+        assert min(took(make(40_000)) for _ in range(2)) < 30 * small + 0.2
+
+
+def test_very_long_and_badly_nested_pages():
+    assert H.main_text("<article>" + "<p>word " * 100_000) == "\n\n".join(["word"] * 100_000)
+    assert len(H.main_text("<article><p>" + "x" * 3_000_000)) == 3_000_000
+    assert H.main_text("<b><i><p></b>x</i></table></p></div></article>") == "x"
+    assert H.main_text("</p></svg></select><article></nav>x") == "x"
+
+
 def test_line_blocks_without_an_article_element():
     paras = ["word " * 40 + str(i) for i in range(4)]
     page = ("<div><a href=/>Home</a> <a href=/x>About us and more</a></div><div>Log</div><br>"
@@ -88,5 +178,6 @@ def test_query_over_planted_pages(spark):
     got = {r["page_id"]: r for r in H.extract(df, keep=["page_id", "url"]).collect()}
     assert {i: r["text"] for i, r in got.items()} == {**want, 100: "", None: "x"}
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+    assert H.extract(df.limit(0)).collect() == []
     clash = H.extract(df.withColumnRenamed("url", "Text"))
     assert clash.columns == ["page_id", "html", "text", "n_chars"] and clash.count() == 62
