@@ -161,14 +161,70 @@ def q_significant_correlates(spark, d):
 
 
 # ------------------------------------------------------------------------------------------- D18, D19
-@register("prune_correlated")
+def _greedy_sql(pairs: str, names: str, cutoff: float) -> str:
+    """CTEs up to ``g``, whose last row's ``dropped`` is the greedy pick; ``pairs`` gives (x, y, r), ``names`` (name, idx)."""
+    mean = ("list_avg(list_transform(list_filter({l}, lambda s: NOT list_contains(g.dropped, s.y)), lambda s: s.a))")
+    return f"""
+    m AS (SELECT x, y, abs(r) AS a FROM ({pairs}) UNION ALL SELECT y, x, abs(r) FROM ({pairs})),
+    o AS (SELECT x AS name, list({{'y': y, 'a': a}}) AS l, row_number() OVER (ORDER BY avg(a) DESC, min(idx)) AS k
+          FROM m JOIN ({names}) n ON n.name = m.x GROUP BY x),
+    p AS (SELECT row_number() OVER (ORDER BY i.k, j.k) AS step, i.name AS i, j.name AS j, i.l AS li, j.l AS lj, m.a AS a
+          FROM o i JOIN o j ON i.k < j.k JOIN m ON m.x = i.name AND m.y = j.name),
+    g AS (SELECT CAST(0 AS BIGINT) AS step, CAST([] AS VARCHAR[]) AS dropped
+          UNION ALL SELECT p.step, CASE WHEN list_contains(g.dropped, p.i) OR list_contains(g.dropped, p.j) OR p.a <= {cutoff} THEN g.dropped
+              WHEN {mean.format(l='p.li')} > {mean.format(l='p.lj')} THEN list_append(g.dropped, p.i) ELSE list_append(g.dropped, p.j) END
+          FROM g JOIN p ON p.step = g.step + 1)"""
+
+
+def _spearman_pairs(names) -> str:
+    return " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r FROM r" for i, a in enumerate(names) for b in names[i + 1:])
+
+
+_RANKS = f"""h AS (SELECT * FROM ({HOURLY}) WHERE {_l("{c} IS NOT NULL", sep=" AND ")}),
+    r AS (SELECT {_l("rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}")} FROM h)"""
+
+
+def _pruned_at(cutoff: float) -> str:
+    names = " UNION ALL ".join(f"SELECT '{c}' AS name, {i} AS idx" for i, c in enumerate(OTHERS))
+    return f"""
+    WITH RECURSIVE {_RANKS}, {_greedy_sql(_spearman_pairs(OTHERS), names, cutoff)}
+    SELECT unnest(dropped) AS feature FROM g WHERE step = (SELECT max(step) FROM g)"""
+
+
+@register("prune_correlated_strict", _pruned_at(0.05))
+def q_prune_correlated_strict(spark, d):
+    """Hourly features to drop so no kept pair has |Spearman ρ| above 0.05."""
+    drop = ST.prune_correlated(_hourly(spark, d), OTHERS, 0.05, "spearman", key=["ts"])
+    return spark.createDataFrame([(c,) for c in drop], "feature string")
+
+
+@register("prune_correlated", _pruned_at(0.75))
 def q_prune_correlated(spark, d):
     """Hourly features to drop so no kept pair has |Spearman ρ| above 0.75."""
     drop = ST.prune_correlated(_hourly(spark, d), OTHERS, 0.75, "spearman", key=["ts"])
     return spark.createDataFrame([(c,) for c in drop], "feature string")
 
 
-@register("select_by_correlation")
+def _against(target: str) -> str:
+    """(y_var, n, coefficient, Pearson r) of the features against a target, and the point its t is held against."""
+    others = [c for c in FEATS if c not in ("active_power_kw", "wind_speed_ms")]
+    one = "SELECT '{c}' AS y_var, count(*) AS n, corr(r.{c}, r.{t}) AS coef, corr(h.{c}, h.{t}) AS r FROM h JOIN r USING (ts)"
+    return (f"SELECT *, 1.959963984540054::DOUBLE AS z, (n - 2)::DOUBLE AS v FROM ("
+            + " UNION ALL ".join(one.format(c=c, t=target) for c in others) + ")")
+
+
+_OWN = [c for c in FEATS if c not in ("active_power_kw", "wind_speed_ms")]
+
+
+@register("select_by_correlation", f"""
+    WITH RECURSIVE {_RANKS.replace("r AS (SELECT ", "r AS (SELECT ts, ")},
+    speed AS (SELECT y_var FROM ({_against("wind_speed_ms")}) WHERE abs(r) * sqrt(v / (1 - r * r)) > {_T975} AND abs(coef) >= 0.7),
+    kept AS (SELECT y_var AS name, row_number() OVER (ORDER BY abs(coef) DESC) AS idx FROM ({_against("active_power_kw")})
+             WHERE abs(r) * sqrt(v / (1 - r * r)) > {_T975} AND y_var NOT IN (SELECT y_var FROM speed)),
+    {_greedy_sql(f"SELECT * FROM ({_spearman_pairs(_OWN)}) WHERE x IN (SELECT name FROM kept) AND y IN (SELECT name FROM kept)",
+                 "SELECT * FROM kept", 0.75)}
+    SELECT name AS feature FROM kept WHERE NOT list_contains((SELECT dropped FROM g WHERE step = (SELECT max(step) FROM g)), name)
+""")
 def q_select_by_correlation(spark, d):
     """The reference's three-step feature selection on the hourly farm table."""
     keep = ST.select_by_correlation(_hourly(spark, d), "active_power_kw", "wind_speed_ms", FEATS, key=["ts"])
