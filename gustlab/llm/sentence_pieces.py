@@ -26,6 +26,7 @@ from gustlab.llm import blocks as B
 SPACE = "▁"  # the visible space of normalised texts
 HELD_CHARS = 1 << 22  # about 100 MB of parts
 LONG_WORD = 48
+ROWS = 256  # decoded at a time
 # The kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
@@ -323,7 +324,7 @@ def read_model(path: str) -> bytes:
 
 def _once(kind: str, model: bytes, make):
     """One encoder or decoder of a model in a worker process."""
-    key = (kind, hash(model))
+    key = (kind, len(model), hash(model))
     if key not in _READY:
         _READY.clear()
         _READY[key] = make(model)
@@ -336,27 +337,35 @@ def _processor(model: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=model)
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def _decoded(sp, ids: np.ndarray) -> str:
+    return sp.decode(ids.tolist())
+
+
+def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
     """``docs`` (or its ``keep`` columns) plus the pieces of every whole text, as the library encodes it with begin and end ids:
     ``ids`` binary (unsigned 32-bit numbers, little endian), ``begins`` and ``ends`` array<int> (bytes of the original text
-    that each piece stands for; none for the begin and end id, and all at the last of several byte pieces).
+    that each piece stands for; none for the begin and end id, and all at the last of several byte pieces). A name in
+    ``decoded`` adds the text that the library decodes from these ids, in the same task.
 
     A null text encodes as the empty one: begin and end id. Repeated rows keep a row each; an empty table gives an
     empty result; input columns named like the outputs are replaced. Texts come in blocks of about a megabyte, a longer
     one alone.
     """
     def make():
-        enc = _once("encode", model, Encoder)
+        enc, sp = _once("both" if decoded else "encode", model, lambda m: (Encoder(m), _processor(m) if decoded else None))
 
         def f(texts, raw, off):
             ids, begins, ends, at = enc.encode(texts.to_pylist(), raw, off)
             place = pa.array(at.astype(np.int32))
             packed = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(ids)])
-            return {"ids": packed, "begins": pa.ListArray.from_arrays(place, pa.array(begins)),
-                    "ends": pa.ListArray.from_arrays(place, pa.array(ends))}
+            out = {"ids": packed, "begins": pa.ListArray.from_arrays(place, pa.array(begins)),
+                   "ends": pa.ListArray.from_arrays(place, pa.array(ends))}
+            if decoded:
+                out[decoded] = pa.array([_decoded(sp, ids[i:j]) for i, j in zip(at[:-1], at[1:])], pa.string())
+            return out
         return f
 
-    return B.append(docs, text, keep, "ids binary, begins array<int>, ends array<int>", make)
+    return B.append(docs, text, keep, "ids binary, begins array<int>, ends array<int>" + (f", {decoded} string" if decoded else ""), make)
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -369,7 +378,9 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded")
     def run(batches):
         sp = _once("decode", model, _processor)
         for b in batches:
-            texts = [None if x is None else sp.decode(np.frombuffer(x, "<u4").tolist()) for x in b.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*names, out])
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                texts = [None if x is None else _decoded(sp, np.frombuffer(x, "<u4")) for x in part.column(len(names)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*names, out])
 
     return src.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))

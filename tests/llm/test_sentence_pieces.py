@@ -107,6 +107,8 @@ def test_frames(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, IDS string, decoded int").repartition(4)
     sp = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
     got = S.decode(S.encode(df, MODEL), MODEL)
+    at_once = S.encode(df, MODEL, decoded="decoded")
+    assert at_once.columns == got.columns and sorted(at_once.collect(), key=str) == sorted(got.collect(), key=str)
     assert got.columns == ["doc_id", "text", "ids", "begins", "ends", "decoded"]
     got = got.collect()
     assert len(got) == len(rows)
