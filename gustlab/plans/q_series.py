@@ -116,7 +116,12 @@ def q_arima_ar1_likelihood(spark, d):
     return present(got, 6, ["sigma2", "loglik"])
 
 
-@register("arima_ar1_intervals", round_sql(f"""
+def _no_minus_zero(sql: str, cols) -> str:
+    """Far forecasts round to zero, of either sign in either engine."""
+    return f"SELECT * REPLACE ({', '.join(f'CASE WHEN {c} = 0 THEN 0.0::DOUBLE ELSE {c} END AS {c}' for c in cols)}) FROM ({sql})"
+
+
+@register("arima_ar1_intervals", _no_minus_zero(round_sql(f"""
     {_AR1_SUMS},
     z AS (SELECT series, n, a, b, c, last, 0 AS k, -0.99999::DOUBLE AS lo, 0.99999::DOUBLE AS hi FROM m
           UNION ALL SELECT series, n, a, b, c, last, k + 1,
@@ -130,14 +135,15 @@ def q_arima_ar1_likelihood(spark, d):
     SELECT series, phi, sigma2, -0.5 * n * (ln(2 * pi() * sigma2) + 1) + 0.5 * ln(1 - phi * phi) AS loglik, step, forecast, se,
            forecast - 1.2815515655446004 * se AS lo80, forecast + 1.2815515655446004 * se AS hi80,
            forecast - 1.959963984540054 * se AS lo95, forecast + 1.959963984540054 * se AS hi95 FROM h
-""", ["phi", "sigma2", "loglik", "forecast", "se", "lo80", "hi80", "lo95", "hi95"], 5))
+""", ["phi", "sigma2", "loglik", "forecast", "se", "lo80", "hi80", "lo95", "hi95"], 5), ["phi", "forecast"]))
 def q_arima_ar1_intervals(spark, d):
     """H9: AR(1) of largest likelihood for each priority's daily revenue (standardised), seven forecasts with 80 and 95 %
     bounds; the SQL finds the root of the likelihood's derivative."""
     fit = LK.auto_arima(_scaled(spark, d), "y", h=7, by=["series"], order=(1, 0), d=0, constant=False)
     got = fit.select("series", F.element_at("phi", 1).alias("phi"), "sigma2", "loglik", F.explode("forecasts").alias("f")).select(
         "series", "phi", "sigma2", "loglik", "f.*")
-    return present(got, 5)
+    got = present(got, 5)
+    return got.withColumns({c: F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.col(c)) for c in ("phi", "forecast")})
 
 
 @register("arima_search_by_series")
