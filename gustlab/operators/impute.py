@@ -289,9 +289,11 @@ def impute_by_knn(df: DataFrame, key: str, features: str, target: str, k: int =
 
 # --------------------------------------------------------------------------------------------- H3 + H4 (k tuning)
 def knn_cv(df: DataFrame, key: str, features: str, target: str, ks=(5, 7, 9), folds: int = 10, repeats: int = 3,
-           seed: int = 123, pivots: int = KNN_PIVOTS, block: int = KNN_BLOCK) -> DataFrame:
+           seed: int = 123, pivots: int = KNN_PIVOTS, block: int = KNN_BLOCK, fold_of=None) -> DataFrame:
     """Repeated k-fold CV of the exact kNN regressor for several k at once (H3 tuned as in H4).
 
+    A row's fold in repeat r is a hash of its key, or ``fold_of(r)``, an integer column from 0 to ``folds`` - 1.
+
     Every labelled row is a query; its neighbours from the same fold are left out per repeat, so one search
     (:func:`_nearest`) serves all folds, repeats and k. Output: per (k, repeat, fold) the metrics of
     :func:`regression_metrics`.
@@ -302,7 +304,7 @@ def knn_cv(df: DataFrame, key: str, features: str, target: str, ks=(5, 7, 9), fo
     lab = df.filter(qcol(target).isNotNull()).select(
         F.col(key).cast("long").alias("__tk"), F.col(features).cast("array<double>").alias("__x"),
         F.col(target).cast("double").alias("__y"),
-        F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(seed + r)), F.lit(folds)).cast("int")
+        F.array(*[(fold_of(r) if fold_of else F.pmod(F.xxhash64(F.col(key), F.lit(seed + r)), F.lit(folds))).cast("int")
                   for r in range(repeats)]).alias("__folds"))
     lab = cut_lineage(lab)
     top = _nearest(lab, lab.select(F.col("__tk").alias("__qk"), "__x", "__folds"), kmax, repeats, pivots, block)

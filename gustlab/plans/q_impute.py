@@ -246,25 +246,23 @@ def q_gust_regression_error(spark, d):
     return present(ev.regression_metrics(scored, "wind_gust", "pred", by=["split"]), 6)
 
 
-@register("knn_cv_error")
+@register("knn_cv_error", round_sql(f"""
+    WITH t AS (SELECT * FROM ({S.VECTORS_SQL}) WHERE label IS NOT NULL),
+    f AS (SELECT vec_id, r, CAST((vec_id * 48271 + 123 + r * 7919) % 2147483647 % 10 AS INTEGER) AS fold
+          FROM t, (SELECT CAST(unnest(range(0, 3)) AS INTEGER) AS r)),
+    pairs AS (SELECT q.vec_id AS qk, q.label AS act, n.vec_id AS tk, n.label AS y, list_distance(q.features, n.features) AS d
+              FROM t q, t n WHERE q.vec_id <> n.vec_id),
+    top AS (SELECT a.r, a.fold, qk, act, y, row_number() OVER (PARTITION BY a.r, qk ORDER BY d, tk) AS rn
+            FROM pairs JOIN f a ON a.vec_id = qk JOIN f b ON b.vec_id = tk AND b.r = a.r WHERE a.fold <> b.fold),
+    x AS (SELECT k, r, fold, qk, act, avg(y) AS pred FROM top, (SELECT CAST(unnest([5, 7, 9]) AS INTEGER) AS k)
+          WHERE rn <= k GROUP BY ALL)
+    SELECT k, r AS repeat, fold, {_METRICS_SQL} FROM x GROUP BY k, r, fold
+""", METRIC_COLS, 6))
 def q_knn_cv_error(spark, d):
-    """H3 + H4: 10-fold CV of the exact 5-NN regressor on the labelled vectors; metrics per fold."""
-    from gustlab.operators import evaluate as ev
-    from gustlab.operators import models as M
-
-    v = M.kfold(S.vectors(spark, d).filter(F.col("label").isNotNull()), ["vec_id"], folds=10).cache()
-
-    def fold(k):
-        def run():
-            pred = I.knn_predict(v.filter(F.col("fold") != k), v.filter(F.col("fold") == k), "vec_id", "features",
-                                 "label", k=5)
-            j = v.filter(F.col("fold") == k).join(pred, on="vec_id")
-            return ev.regression_metrics(j, "label", "prediction").select(F.lit(k).alias("fold"), "*").collect()
-        return run
-
-    rows = [r for rs in M._run_parallel([fold(k) for k in range(10)], 4) for r in rs]
-    return spark.createDataFrame(rows, "fold int, n long, mae double, rmse double, mape double, n_zero long, "
-                                       "r2 double, r2_corr double, mean_error_pct double")
+    """H3 + H4: 10-fold x 3 repeated CV of the exact nearest-neighbour regressor with 5, 7 and 9 neighbours on the labelled
+    vectors, in one search; metrics per setting, repeat and fold."""
+    fold = lambda r: (F.col("vec_id") * 48271 + 123 + r * 7919) % 2147483647 % 10
+    return present(I.knn_cv(S.vectors(spark, d), "vec_id", "features", "label", ks=(5, 7, 9), folds=10, repeats=3, fold_of=fold), 6)
 
 
 @register("knn_tuned_fill")
