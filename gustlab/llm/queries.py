@@ -43,8 +43,10 @@ def op5_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op7_backoff_automaton(spark: SparkSession, d: str) -> DataFrame:
-    """Operator 7 over all documents; learns from the ids whose crc32 leaves no 2 modulo 7."""
-    return lm.score(_table(spark, d, "documents"), learn=lambda id: remainder(id, 7) != 2)
+    """Operator 7 over all documents; learns from the ids whose crc32 leaves no 2 modulo 7 (a null id is neither learned from
+    nor held out)."""
+    got = lm.score(_table(spark, d, "documents"), learn=lambda id: remainder(id, 7) != 2)
+    return got.withColumn("held_out", _held_out(F.col("doc_id"), 7, 2))
 
 
 def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:

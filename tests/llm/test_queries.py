@@ -34,3 +34,13 @@ def test_one_row_a_row_of_its_table(spark, op):
     ids = sorted(r[0] for r in got.select(key).collect())
     assert ids == sorted(r[0] for r in spark.read.parquet(f"{SF_SMALL}/{table}.parquet").select(key).collect())
     assert not [c for c in columns.split(", ") if c.split(" ")[0] in ("score", "held_out") and got.where(f"{c.split(' ')[0]} is null").count()]
+
+
+def test_a_null_id_is_not_held_out(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "one two three", "en", "s", 13) for i in range(12)] + [(None, "one two", "en", "s", 7)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["held_out"] for r in E.queries()["op7_backoff_automaton"](spark, str(tmp_path)).collect()}
+    import zlib
+
+    assert got == {**{i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(12)}, None: False}
