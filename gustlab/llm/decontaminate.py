@@ -3,23 +3,33 @@
 Every document is cut into overlapping passages, and every passage is a query against the index: retrieved are all
 items whose BM25 score is at least ``min_score`` of the score the item gives itself. A passage whose sum of its
 words' highest possible contributions stays below that is dropped at once (vectorised); the rest go through
-block-max WAND. A retrieved item counts as leaked when at least ``min_overlap`` of its five-word shingles stand in
-the passage, and of its question and of its answer at least ``min_part`` of the words stand there in their order, so
-that no single edit empties a short part. The benchmark has no answer column: the last fifth of an item's words (5 at
-least) stands for it, the rest is the question; an item under 10 words is all question.
+block-max WAND. A retrieved item counts as leaked when
 
-The index lies in one broadcast of at most ``max_index_bytes`` of item text; a larger benchmark is split by item into
-as many indexes as needed, and each is searched by every passage.
+- the passage holds at least ``min_overlap`` of its five-word shingles, or a run of the passage's words becomes the item
+  by changing, dropping and adding at most ``1 - min_overlap`` of its words, so that an edit inside a short copy does not
+  clear it; and
+- of its question and of its answer at least ``min_part`` of the words stand there in their order. The benchmark has no
+  answer column: the last fifth of an item's words (5 at least) stands for it, the rest is the question; an item under
+  10 words is all question.
+
+An item under five words must stand there as it is. An index holds at most about ``max_index_bytes`` of item text; a
+larger benchmark is dealt to several, each searched in a pass of its own, so one index at a time is broadcast. The number
+of items, the items a word stands in, the mean length and the longest item are those of the whole benchmark in each of
+them: the results do not depend on the number of indexes.
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gustlab.llm import blocks as B
+from gustlab.session import cut_lineage
 
 K1, K2, POSTINGS_BLOCK, SHINGLE, BLOCKS = 1.2, 0.75, 16, 5, 64
 
@@ -44,22 +54,58 @@ def _in_order(words: np.ndarray, part: np.ndarray) -> int:
     return len(part) - left.bit_count()
 
 
+def _nearest(words: np.ndarray, item: np.ndarray) -> tuple[int, int]:
+    """Fewest changed, dropped and added words that make a run of ``words`` the item, and the place after the run's last
+    word (the first such run); a bit a word of the item (Myers' recurrence)."""
+    at: dict[int, int] = {}
+    for j, w in enumerate(item.tolist()):
+        at[w] = at.get(w, 0) | 1 << j
+    full, top = (1 << len(item)) - 1, 1 << len(item) - 1
+    up, down, cost = full, 0, len(item)
+    best = (cost, 0)
+    for j, w in enumerate(words.tolist()):
+        same = at.get(w, 0)
+        diagonal = same | down
+        across = ((same & up) + up ^ up | same) & full
+        more, less = down | full & ~(across | up), up & across
+        cost += bool(more & top) - bool(less & top)
+        more, less = more << 1 & full, less << 1 & full
+        up, down = less | full & ~(diagonal | more), more & diagonal
+        if cost < best[0]:
+            best = (cost, j + 1)
+    return best
+
+
+class Figures(NamedTuple):
+    """What an index must know of the whole benchmark: items, their mean number of words, the longest one's words, and
+    for ascending terms the number of items that hold each."""
+    n: int
+    mean: float
+    width: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Index:
     """Inverted index: per term its postings (item numbers, BM25 shares of the item's own score) in blocks, each with its
-    highest share. Items without words are never found."""
+    highest share. Texts come lower-cased. Items without words are never found. Without ``figures`` the items are the
+    whole benchmark."""
 
-    def __init__(self, ids: list, texts: list[str], min_score: float = 0.6):
+    def __init__(self, ids: list, texts: list[str], min_score: float = 0.6, figures: Figures | None = None):
         self.ids, self.min_score = list(ids), min_score
-        data, off = B.utf8(pa.array([t.lower() for t in texts], pa.string()))
+        data, off = B.utf8(pa.array(texts, pa.string()))
         s, e, row = B.tokens(data, off, B.IS_WORD)
         h, n = B.token_hashes(data, s, e), len(texts)
         self.n_words = np.bincount(row, minlength=n) if len(row) else np.zeros(n, np.int64)
         self.terms, term = np.unique(h, return_inverse=True)
         pair, tf = np.unique(term * np.int64(max(n, 1)) + row, return_counts=True)
         t, item = pair // max(n, 1), pair % max(n, 1)
-        df = np.bincount(t, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = max(self.n_words.mean() if n else 1, 1e-9)
+        if figures is None:
+            figures = Figures(n, float(self.n_words.mean()) if n else 1.0, int(self.n_words.max()) if n else 1, self.terms,
+                              np.bincount(t, minlength=len(self.terms)))
+        df = figures.df[np.searchsorted(figures.terms, self.terms)]
+        idf = np.log1p((figures.n - df + 0.5) / (df + 0.5))
+        mean = max(figures.mean, 1e-9)
         impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - K2 + K2 * self.n_words[item] / mean))
         own = np.bincount(item, weights=impact, minlength=n)
         share = impact / own[item]
@@ -78,12 +124,13 @@ class Index:
         self.block_last = [item[np.minimum(x + POSTINGS_BLOCK, b) - 1] for x, b in zip(self.blocks, self.start[1:])]
         self.block_top = [np.array([share[i:min(i + POSTINGS_BLOCK, b)].max() for i in x])
                           for x, b in zip(self.blocks, self.start[1:])]
-        self.width = int(max(self.n_words.max() if n else 1, 1))
-        # shingles of whole items, words of questions and of answers
+        self.width = max(figures.width, 1)
+        # words and shingles of whole items, words of questions and of answers
         bounds = np.searchsorted(row, np.arange(n + 1)) if len(row) else np.zeros(n + 1, np.int64)
         words = [h[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         cut = lambda k: k - max(5, k // 5) if k >= 10 else k
         self.whole = [np.unique(B.shingles(w, np.zeros(len(w), np.int64), 1, SHINGLE)[0]) for w in words]
+        self.words = words
         self.question, self.answer = [w[:cut(len(w))] for w in words], [w[cut(len(w)):] for w in words]
 
     def _survivors(self, passage: np.ndarray, term: np.ndarray, batch: int = 1 << 19):
@@ -137,7 +184,7 @@ class Index:
                     leave = last[c[3]] if leave is None else min(leave, last[c[3]])
             if bound >= need:
                 if cur[0][0] == item:
-                    score = sum(self.share[c[1]] for c in cur[:pivot + 1])
+                    score = math.fsum(self.share[c[1]] for c in cur[:pivot + 1])  # the same in any order
                     if score >= need:
                         out.append((item, float(score)))
                 to = item + 1
@@ -192,18 +239,22 @@ class Index:
         h, _, found = self.passages(data, off, width)
         out: dict[int, dict[int, float]] = {}
         for r, item, score, begin, size in found:
-            have, _ = B.shingles(h[begin:begin + size], np.zeros(size, np.int64), 1, SHINGLE)
-            have = np.unique(have)
-            if int(self.n_words[item]) < SHINGLE:  # shorter than a shingle: its words in order
-                same = self._run(h[begin:begin + size], item)
-            else:
-                same = _contains(have, self.whole[item]).mean() >= min_overlap and all(
-                    _in_order(h[begin:begin + size], x) >= min_part * len(x) for x in (self.question[item], self.answer[item]))
-            if same:
+            if self._holds(h[begin:begin + size], item, min_overlap, min_part):
                 d = out.setdefault(r, {})
                 d[item] = max(score, d.get(item, 0.0))
         return out
 
+    def _holds(self, words: np.ndarray, item: int, min_overlap: float, min_part: float) -> bool:
+        k = int(self.n_words[item])
+        if k < SHINGLE:  # shorter than a shingle: its words in order
+            return self._run(words, item)
+        both = lambda w: all(_in_order(w, x) >= min_part * len(x) for x in (self.question[item], self.answer[item]))
+        have, _ = B.shingles(words, np.zeros(len(words), np.int64), 1, SHINGLE)
+        if _contains(np.unique(have), self.whole[item]).mean() >= min_overlap and both(words):
+            return True
+        edits, end = _nearest(words, self.words[item])
+        return edits <= (1 - min_overlap) * k + 1e-9 and both(words[max(0, end - k - edits):end])
+
     def _run(self, words: np.ndarray, item: int) -> bool:
         k = int(self.n_words[item])
         if len(words) < k:
@@ -220,32 +271,73 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: li
     """``docs`` (or its ``keep`` columns) plus ``contaminated`` boolean, ``item_ids`` array<bigint> (sorted, distinct) and
     ``best_score`` double (highest BM25 share of a leaked item, null if none).
 
-    Null and empty texts are clean. Items with a null id or without words are left out; equal items are all reported; an
-    empty benchmark leaves every document clean. Input columns named like the outputs are replaced.
+    Null and empty texts are clean. Items with a null id or without words are left out; rows of the benchmark equal in id
+    and text count once; equal texts under several ids are all reported; an empty benchmark leaves every document clean.
+    Input columns named like the outputs are replaced.
     """
-    items = benchmark.select(F.col(item_id).cast("bigint").alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).where("id is not null")
+    items = benchmark.select(F.col(item_id).cast("bigint").alias("id"), F.lower(F.coalesce(F.col(item_text).cast("string"), F.lit(""))).alias("t"))
+    items = items.where("id is not null").distinct()
     size = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     shards = max(1, -(-int(size) // max_index_bytes))
     out = docs.select("*" if keep is None else F.col(f"`{text}`").alias("__t"), *([F.col(f"`{text}`").alias("__t")] if keep is None else
-                      [F.col(f"`{c}`") for c in keep]))
-    names = [c for c in out.columns if c != "__t"]
-    done = None
-    for k in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == k).orderBy("id", "t").collect()  # bounded by max_index_bytes
-        shared = docs.sparkSession.sparkContext.broadcast(Index([r["id"] for r in rows], [r["t"] for r in rows], min_score))
-        out = out.withColumn("__low", F.lower("__t"))
-        last = k == shards - 1
-        step = B.append(out, "__low", [c for c in out.columns if c not in ("__low",) and (not last or c != "__t")],
-                        f"__ids{k} array<bigint>, __best{k} double", _searcher(shared, k, min_overlap, min_part))
-        out, done = step, k
-    ids = F.array_sort(F.array_distinct(F.concat(*[F.col(f"__ids{k}") for k in range(done + 1)])))
-    best = F.greatest(*[F.col(f"__best{k}") for k in range(done + 1)]) if done else F.col("__best0")
+                      [F.col(f"`{c}`") for c in keep])).withColumn("__low", F.lower("__t"))
+    names = [c for c in out.columns if c not in ("__t", "__low")]
     kept = [c for c in names if c.lower() not in ("contaminated", "item_ids", "best_score")]
-    return out.select(*[F.col(f"`{c}`") for c in kept], (F.size(ids) > 0).alias("contaminated"), ids.alias("item_ids"),
-                      best.alias("best_score"))
+    sc, found = docs.sparkSession.sparkContext, "__ids array<bigint>, __best double"
+    if shards == 1:
+        rows = items.orderBy("id", "t").collect()  # bounded by max_index_bytes
+        shared = sc.broadcast(Index([r["id"] for r in rows], [r["t"] for r in rows], min_score))
+        got = B.append(out, "__low", names, found, _searcher(shared, min_overlap, min_part))
+    else:
+        # rows are numbered once; each pass leaves only the rows it found something in
+        base = cut_lineage(out.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), "__low", F.monotonically_increasing_id().alias("__no")))
+        hits = None
+        for ids, texts, figures in _dealt(items, shards):
+            shared = sc.broadcast(Index(ids, texts, min_score, figures))
+            step = cut_lineage(B.append(base, "__low", ["__no"], found, _searcher(shared, min_overlap, min_part)).where(F.size("__ids") > 0))
+            shared.unpersist()
+            hits = step if hits is None else hits.unionAll(step)
+        hits = hits.groupBy("__no").agg(F.flatten(F.collect_list("__ids")).alias("__ids"), F.max("__best").alias("__best"))
+        got = base.join(hits, "__no", "left").select("__row.*", F.coalesce("__ids", F.array().cast("array<bigint>")).alias("__ids"), "__best")
+    ids = F.array_sort(F.array_distinct("__ids"))
+    return got.select(*[F.col(f"`{c}`") for c in kept], (F.size(ids) > 0).alias("contaminated"), ids.alias("item_ids"),
+                      F.col("__best").alias("best_score"))
+
+
+def _dealt(items: DataFrame, shards: int):
+    """(ids, texts, figures) of each shard of the items, one at a time; the figures hold the shard's terms only."""
+    items = cut_lineage(items.withColumn("shard", F.pmod(F.xxhash64("id", "t"), F.lit(shards)).cast("int")))
+
+    def terms(batches):
+        for b in batches:
+            data, off = B.utf8(b.column(1))
+            s, e, row = B.tokens(data, off, B.IS_WORD)
+            h = B.token_hashes(data, s, e)
+            at = np.unique(np.rec.fromarrays([row, h])) if len(h) else np.rec.fromarrays([row, h])
+            shard = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(shard[at.f0], pa.int32()), pa.array(at.f1.astype(np.uint64).view(np.int64))], ["shard", "term"])
+
+    def lengths(batches):
+        for b in batches:
+            data, off = B.utf8(b.column(0))
+            row = B.tokens(data, off, B.IS_WORD)[2]
+            yield pa.RecordBatch.from_arrays([pa.array(np.bincount(row, minlength=b.num_rows).astype(np.int64))], ["k"])
+
+    n, words, width = items.select("t").mapInArrow(lengths, "k bigint").agg(F.count("*"), F.sum("k"), F.max("k")).first()
+    by_shard = items.select("shard", "t").mapInArrow(terms, "shard int, term bigint").groupBy("term", "shard").agg(F.count("*").alias("n"))
+    everywhere = by_shard.groupBy("term").agg(F.sum("n").alias("df"))
+    held = cut_lineage(by_shard.join(everywhere, "term").select("shard", "term", "df"))
+    for k in range(shards):
+        rows = items.where(F.col("shard") == k).select("id", "t").orderBy("id", "t").collect()  # about max_index_bytes
+        if rows:
+            t = held.where(F.col("shard") == k).select("term", "df").toArrow()
+            term = t.column("term").to_numpy().view(np.uint64)
+            order = np.argsort(term)
+            yield [r["id"] for r in rows], [r["t"] for r in rows], Figures(
+                int(n), words / n, int(width), term[order], t.column("df").to_numpy()[order])
 
 
-def _searcher(shared, k, min_overlap, min_part):
+def _searcher(shared, min_overlap, min_part):
     def make():
         index = shared.value
         width = max(16, index.width)
@@ -255,6 +347,6 @@ def _searcher(shared, k, min_overlap, min_part):
             n = len(off) - 1
             ids = [sorted({index.ids[i] for i in got[r]}) if r in got else [] for r in range(n)]
             best = [max(got[r].values()) if r in got else None for r in range(n)]
-            return {f"__ids{k}": pa.array(ids, pa.list_(pa.int64())), f"__best{k}": pa.array(best, pa.float64())}
+            return {"__ids": pa.array(ids, pa.list_(pa.int64())), "__best": pa.array(best, pa.float64())}
         return f
     return make
