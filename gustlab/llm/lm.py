@@ -7,10 +7,11 @@ weight of the mass left for it:
 
     p(w | h) = (c(hw) + K p(w | h')) / (c(h) + K),    p(w) = (c(w) + 1) / (N + V + 1),
 
-with h' the shorter context; so each context is a distribution over the V tokens seen and one unknown token. No state
-or arc is built and none is carried from token to token: the words before a position fix its contexts, so the formula is
-evaluated from the counts for all positions of a bucket of texts at once, an order a step. The scores are those of a
-traversal from left to right that follows arcs and failure arcs.
+with h' the shorter context; so each context is a distribution over the V tokens seen and one unknown token. A text is
+read once from left to right: the state is carried from token to token, an arc adds its log-probability, and where there
+is none the failure arc adds its weight and the shorter context tries. All texts of a bucket move together, a token a
+step; texts of more than ``SEGMENT`` tokens are read in pieces, each entered from the root ``order - 1`` tokens early, by
+when its state is that of the whole text's traversal.
 
 The counts cover all training texts and are never gathered in one place. Texts are dealt to buckets of about
 ``BUCKET_BYTES``; a bucket asks, by token hash, for the counts of the n-grams in its own texts and gives its own training
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from gustlab.llm import blocks as B
 
 BUCKET_BYTES = 8 << 20
+SEGMENT = 1024  # tokens of a text that are read as one piece
 ORDER = 3
 #: K of the orders 2 and 3, the best of a grid on sf0.1: learned without the ids whose crc32 leaves 2 or 3 modulo 7, read on those that leave 3.
 CONCENTRATION = (12800.0, 5.0)
@@ -184,45 +186,108 @@ def _totals(key, t: pa.Table, width: int) -> pa.Table:
 
 
 class Automaton:
-    """Counts of the part of the automaton that a bucket's texts can reach.
+    """The part of the automaton that a bucket's texts can reach.
 
-    ``arcs[k]`` has the counts c(hw) of the distinct k-grams of the texts, by ``number[k]`` of each position; contexts are
-    states where their count is above 0.
+    State 0 is the root, state 1 the begin of a text, the others are contexts that training has seen: ``fail`` is the
+    state of the context without its first token, ``back`` the weight of the failure arc. Arcs are ascending by ``arc``
+    (state times the number of tokens, plus the token), with their probability ``arc_p`` and the state they lead to,
+    ``arc_to``. The root fails nowhere: a token that it has no arc for is unknown, has ``unknown`` and leads to the root.
     """
 
-    def __init__(self, h, n, train, order, replies, parts, width):
-        self.h, self.n, self.order = h, n, order
-        self.keys = ngram_keys(h, n, order, width)
-        self.count = []
-        for k, (key, ok) in enumerate(self.keys, 1):
-            u, c, inv = local_counts(key[ok], train[ok])
-            total = c.copy()
+    def __init__(self, h, n, train, order, replies, parts, width, N: int, V: int, texts: int, concentration: list[float]):
+        """``texts``: training texts, the count of the begin state; ``concentration``: K of the orders from 2 on."""
+        self.n, self.order, self.first = n, order, np.concatenate([[0], np.cumsum(n)[:-1]])
+        pos = np.arange(len(h)) - np.repeat(self.first, n)
+        self.unknown = 1 / (N + V + 1)
+        K = [0.0, *concentration]  # of a context by its length
+        fail, back, count = [np.zeros(2, np.int64)], [np.array([1.0, K[1] / (texts + K[1]) if order > 1 else 1.0])], [np.array([N, texts])]
+        states = 2
+        at_level = [np.zeros(len(h), np.int64)]  # of each position, the state of the context of k tokens that ends there
+        low = None
+        arcs = []
+        for k, (key, ok) in enumerate(ngram_keys(h, n, order, width), 1):
+            u, total, inv = local_counts(key[ok], train[ok])
             for p, at in _asking_order(u, parts, 8 if k == 1 else width):
                 if (k, p) in replies:
                     total[at] += _unpack_counts(*replies[(k, p)], at.stop - at.start)
-            here = np.zeros(len(h), np.int64)
-            here[ok] = total[inv]
-            self.count.append(here)
-
-    def read(self, N: int, V: int, texts: int, concentration: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(n_known, base score, score) of each text, all positions at once; ``texts``: training texts, the count of
-        the begin state; ``concentration``: K of the orders from 2 on."""
-        first = np.concatenate([[0], np.cumsum(self.n)[:-1]])
-        pos = np.arange(len(self.h)) - np.repeat(first, self.n)
-        c1 = self.count[0]
-        base = (c1 + 1) / (N + V + 1)
-        p = base.copy()
-        for k in range(2, self.order + 1):
-            # the count of the context that ends before a position is that of the (k - 1)-gram there
-            state = np.zeros(len(self.h))
-            state[1:] = self.count[k - 2][:-1]
-            state[pos == 0] = texts if k == 2 else 0
-            arc = self.count[k - 1]
-            known = (state > 0) & self.keys[k - 1][1]  # else there is no such state, and the shorter one reads on
-            K = concentration[k - 2]
-            p = np.where(known, (arc + K * p) / (state + K), p)
-        add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
-        return add((c1 > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(p))
+            where = np.flatnonzero(ok)
+            if k == 1:
+                self.token, self.tokens = inv, max(len(u), 1)
+                self.known, self.base = total[inv] > 0, (total[inv] + 1) / (N + V + 1)
+            place = np.zeros(len(u), np.int64)
+            place[inv] = where  # one place of each n-gram
+            seen = np.flatnonzero(total)
+            place, total = place[seen], total[seen]
+            before = at_level[k - 1][place - 1] if k > 1 else np.zeros(len(seen), np.int64)
+            if k == 1:
+                prob = (total + 1) / (N + V + 1)
+            else:
+                before = np.where(pos[place] == 0, 1, before)
+                prob = (total + K[k - 1] * low[place]) / (np.concatenate(count)[before] + K[k - 1])
+            number = np.full(len(u), -1)
+            goes = h[place] != END  # nothing follows the end: its arcs lead to the root
+            if k < order:
+                to = np.where(goes, states + np.cumsum(goes) - 1, 0)
+                number[seen] = np.where(goes, to, -1)
+                states += int(goes.sum())
+                fail.append(at_level[k - 1][place[goes]])
+                back.append(K[k] / (total[goes] + K[k]))
+                count.append(total[goes])
+                here = np.full(len(h), -1)
+                here[where] = number[inv]
+                at_level.append(here)
+                chance = np.zeros(len(u))
+                chance[seen] = prob
+                low = np.zeros(len(h))
+                low[where] = chance[inv]
+            else:
+                to = np.where(goes, at_level[k - 1][place], 0)
+            arcs.append((before * self.tokens + self.token[place], prob, to))
+        key, prob, to = (np.concatenate(x) for x in zip(*arcs))
+        by = np.argsort(key)
+        self.arc, self.arc_p, self.arc_to = key[by], prob[by], to[by]
+        self.fail, self.back = np.concatenate(fail), np.concatenate(back)
+
+    def _pieces(self):
+        """(first token, token after the last, tokens read to reach the state, first state) of the pieces, longest first."""
+        count = -(-self.n // SEGMENT)
+        text = np.repeat(np.arange(len(self.n)), count)
+        at = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * SEGMENT
+        begin, end = self.first[text] + at, self.first[text] + np.minimum(at + SEGMENT, self.n[text])
+        warm = np.where(at > 0, self.order - 1, 0)
+        by = np.argsort(begin - warm - end, kind="stable")
+        return (begin - warm)[by], end[by], warm[by], np.where(at > 0, 0, 1 if self.order > 1 else 0)[by]
+
+    def _step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of the tokens after the states, failure arcs followed, and the states that they lead to."""
+        p, todo = np.ones(len(state)), np.arange(len(state))
+        state = state.copy()
+        while len(todo):
+            key = state[todo] * self.tokens + token[todo]
+            a = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
+            hit = self.arc[a] == key if len(self.arc) else np.zeros(len(todo), bool)
+            lost = ~hit & (state[todo] == 0)
+            p[todo[lost]] *= self.unknown
+            p[todo[hit]] *= self.arc_p[a[hit]]
+            state[todo[hit]] = self.arc_to[a[hit]]
+            todo = todo[~hit & ~lost]
+            p[todo] *= self.back[state[todo]]
+            state[todo] = self.fail[state[todo]]
+        return p, state
+
+    def read(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(n_known, base score, score) of each text."""
+        begin, end, warm, state = self._pieces()
+        size = end - begin
+        out = np.ones(len(self.token))
+        left = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")  # pieces with a token at each step
+        for step, m in enumerate(left.tolist()):
+            at = begin[:m] + step
+            p, state = self._step(state[:m], self.token[at])
+            mine = warm[:m] <= step
+            out[at[mine]] = p[mine]
+        add = lambda x: np.add.reduceat(x, self.first) if len(self.first) else np.zeros(0)
+        return add(self.known.astype(np.int64)), add(np.log10(self.base)), add(np.log10(out))
 
 
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text", learn=None, order: int = ORDER,
@@ -265,8 +330,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", learn=None, o
         h, n = token_stream(left.column("t"))
         train = np.asarray(left.column("train").to_numpy(zero_copy_only=False), bool)
         replies = {(r["k"], r["part"]): (r["small"], r["large"]) for r in right.to_pylist()}
-        a = Automaton(h, n, np.repeat(train, n), order, replies, buckets, width)
-        known, base, got = a.read(N, V, texts, strength)
+        known, base, got = Automaton(h, n, np.repeat(train, n), order, replies, buckets, width, N, V, texts, strength).read()
         return pa.table([left.column("id"), pa.array(~train), pa.array(n), pa.array(known), pa.array(np.full(len(n), N)),
                          pa.array(base), pa.array(got)], out.names)
 

@@ -50,9 +50,10 @@ def brute(rows, learn, order, K):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_scores_equal_brute_force(spark, monkeypatch, order):
+@pytest.mark.parametrize("order, segment", [(1, 1024), (2, 1024), (3, 5), (3, 1024), (4, 7)])
+def test_scores_equal_brute_force(spark, monkeypatch, order, segment):
     monkeypatch.setattr(lm, "BUCKET_BYTES", 300)
+    monkeypatch.setattr(lm, "SEGMENT", segment)
     g = random.Random(2)
     vocab = ["The", "the", "cat", "ÉTÉ", "été", "a,b", "x y", "dog", "z"]
     rows = [(i, g.choice([" ", "\t", "\x0b\n"]).join(g.choice(vocab) for _ in range(g.randint(0, 40)))) for i in range(150)]
@@ -92,3 +93,44 @@ def test_packed_keys_and_counts():
         assert [p for p, _ in parts] == list(range(7)) and (np.concatenate([keys[at] for _, at in parts]) == keys).all()
     c = g.choice([0, 1, 254, 255, 256, 1 << 40], 3000)
     assert (lm._unpack_counts(*lm._pack_counts(c), len(c)) == c).all()
+
+
+def automaton(texts, order=3, K=5.0):
+    """Learned from the texts themselves, in one bucket."""
+    import pyarrow as pa
+
+    h, n = lm.token_stream(pa.array(texts, pa.string()))
+    return lm.Automaton(h, n, np.ones(len(h), bool), order, {}, 1, 8, len(h), len(np.unique(h)), len(texts), [K] * (order - 1))
+
+
+def test_states_and_arcs():
+    a = automaton(["a b a b c", "b c", "", "a b d"])
+    tokens = a.tokens
+    source = a.arc // tokens
+    assert (np.diff(a.arc) > 0).all() and a.fail[0] == 0 and (a.fail[1:] < np.arange(1, len(a.fail))).all()
+    # each state's arcs and its failure arc share out all probability: known tokens and one unknown
+    for s in range(len(a.fail)):
+        p = sum(float(a._step(np.array([s]), np.array([t]))[0][0]) for t in range(tokens))
+        unknown, x = a.unknown, s
+        while x:
+            unknown, x = unknown * a.back[x], a.fail[x]
+        assert p + unknown == pytest.approx(1.0)
+    # a state is the longest context seen: after "a b" as after "b a b", and no state outlives an unknown token
+    state = np.array([1])
+    word = {t: int(a.token[i]) for t, i in (("a", 0), ("b", 1), ("c", 4))}
+    ab = a._step(a._step(state, np.array([word["a"]]))[1], np.array([word["b"]]))[1]
+    bab = ab
+    for w in "ab":
+        bab = a._step(bab, np.array([word[w]]))[1]
+    assert bab[0] == ab[0] and a.fail[ab[0]] not in (0, 1)  # "a b" both times, which fails to "b"
+    assert a._step(ab, np.array([tokens]))[1][0] == 0
+    assert set(np.unique(source)) <= set(range(len(a.fail)))
+
+
+def test_very_long_text(spark):
+    g = random.Random(4)
+    long = " ".join(f"w{min(int(g.paretovariate(0.6)), 5000)}" for _ in range(120_000))
+    rows = [(1, long), (2, "w1 w2"), (3, long[: len(long) // 2])]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), learn=lambda c: c != 2, concentration=5.0).collect()
+    got = sorted([(*r[:5], round(r[5], 4), round(r[6], 4)) for r in got], key=str)
+    assert got == [(*r[:5], round(r[5], 4), round(r[6], 4)) for r in brute(rows, lambda i: i != 2, 3, 5.0)]
