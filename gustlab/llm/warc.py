@@ -3,11 +3,14 @@
 The writer gives each page a ``response`` record, or a ``revisit`` record where an equal payload of at least
 ``MIN_REVISIT`` bytes stands under a smaller page id. The reader streams an archive in pieces of ``PIECE`` bytes through
 incremental decompression, one gzip member after the other; a record's block is framed by its Content-Length, which
-must end where the member ends, and its digests must hold: anything else is an error that names the file and the offset.
+must end where the member ends, and the digests it states must hold: anything else is an error that names the file and the
+offset. It takes archives of other writers too: records of any type, digests in hexadecimal or base 32 by any algorithm
+of ``hashlib`` (others are not checked) or none at all, folded header lines, HTTP headers without a length.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -95,12 +98,16 @@ def parse(content: bytes, where: str) -> dict:
     rows = head.decode("utf-8", "strict").split("\r\n")
     if not sep or not rows[0].startswith("WARC/"):
         raise WarcError(f"{where}: no WARC header")
-    fields = {}
+    fields, k = {}, None
     for row in rows[1:]:
+        if row[:1] in (" ", "\t") and k is not None:  # a folded line goes on with the field before
+            fields[k] = f"{fields[k]} {row.strip()}".strip()
+            continue
         k, colon, v = row.partition(":")
         if not colon:
             raise WarcError(f"{where}: a header line without a colon")
-        fields[k.strip().lower()] = v.strip()
+        k = k.strip().lower()
+        fields[k] = v.strip()
     try:
         size = int(fields["content-length"])
     except (KeyError, ValueError) as e:
@@ -108,19 +115,56 @@ def parse(content: bytes, where: str) -> dict:
     block = rest[:size]
     if len(block) != size or rest[size:] != b"\r\n\r\n":
         raise WarcError(f"{where}: Content-Length {size} does not frame the record")
-    if f"sha256:{hashlib.sha256(block).hexdigest()}" != fields.get("warc-block-digest", ""):
+    if not _digest_holds(fields.get("warc-block-digest"), block):
         raise WarcError(f"{where}: block digest")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    kind = fields.get("warc-type", "")
-    length = int(re.search(rb"(?im)^content-length:\s*(\d+)", http)[1])
-    if kind == "response":
-        if length != len(payload):
+    kind = fields.get("warc-type", "").lower()
+    http, payload, length = b"", block, len(block)
+    if kind == "revisit" or fields.get("content-type", "").lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        said = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", http)
+        length = int(said[1]) if said else None if kind == "revisit" else len(payload)
+    if kind != "revisit":
+        whole = "warc-truncated" not in fields and not re.search(rb"(?im)^transfer-encoding:", http)
+        if whole and length != len(payload):
             raise WarcError(f"{where}: HTTP Content-Length")
-        if f"sha256:{hashlib.sha256(payload).hexdigest()}" != fields.get("warc-payload-digest", ""):
+        if whole and not _digest_holds(fields.get("warc-payload-digest"), payload):
             raise WarcError(f"{where}: payload digest")
+        length = len(payload)
     return {"fields": fields, "kind": kind, "http": http, "payload": payload, "length": length}
 
 
+def _digest_bytes(stated: str | None) -> tuple[str, bytes] | None:
+    """(algorithm, digest) of a field ``algorithm:value``, the value in hexadecimal or base 32; None where it is unknown."""
+    name, _, value = (stated or "").partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    try:
+        size = hashlib.new(name).digest_size
+    except (ValueError, TypeError):
+        return None
+    try:
+        if len(value) == 2 * size:
+            return name, bytes.fromhex(value)
+        return name, base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        return name, b""
+
+
+def _digest_holds(stated: str | None, content: bytes) -> bool:
+    """Whether the content has the stated digest; true where none is stated or its algorithm is unknown."""
+    got = _digest_bytes(stated)
+    return got is None or hashlib.new(got[0], content).digest() == got[1]
+
+
+def _payload_digest(r: dict) -> str | None:
+    """SHA-256 of the payload in hexadecimal; of a revisit, whose payload is elsewhere, the stated digest (``algorithm:value``
+    as it stands where it is no SHA-256), null if none."""
+    if r["kind"] != "revisit":
+        return hashlib.sha256(r["payload"]).hexdigest()
+    stated = r["fields"].get("warc-payload-digest")
+    got = _digest_bytes(stated)
+    return got[1].hex() if got is not None and got[0] == "sha256" else stated
+
+
 def write_pages(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", html: str = "html",
                 file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write a record per row under ``folder``; returns the manifest, checkpointed: column ``file``, a row per archive.
@@ -167,7 +211,11 @@ def write_pages(pages: DataFrame, folder: str, id: str = "page_id", url: str = "
 def read_archives(spark: SparkSession, folder: str, files: DataFrame, payloads: bool = False) -> DataFrame:
     """A row per record of the archives named in column ``file``: page_id, url, record_type, refers_to, payload_bytes (from
     the HTTP header, so a revisit's too), payload_digest, file, offset, and the payload if asked for (null for revisits).
-    One task reads an archive from its begin to its end; a broken record ends the job."""
+    One task reads an archive from its begin to its end; a broken record ends the job.
+
+    Records of other writers have a null page_id and refers_to, and their WARC-Target-URI as url. The payload is what
+    follows the HTTP header, as stored (chunks and content codings are left), or the whole block of a record without one;
+    the digest is its SHA-256. A revisit has the size and digest that it states, null where it states none."""
     import json
 
     schema = ("page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, "
@@ -185,10 +233,11 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame, payloads:
                         r = parse(content, f"{name} at {offset}")
                         x = r["fields"]
                         page, ref = x.get("page-id"), x.get("refers-to-page-id")
-                        rows.append((int(page) if page is not None else None, json.loads(x["page-url"]) if "page-url" in x else None,
+                        url = json.loads(x["page-url"]) if "page-url" in x else x.get("warc-target-uri", "").strip("<>") or None
+                        rows.append((int(page) if page is not None else None, url,
                                      r["kind"], int(ref) if ref is not None else None, r["length"],
-                                     x["warc-payload-digest"].removeprefix("sha256:"), name, offset,
-                                     *([r["payload"] if r["kind"] == "response" else None] if payloads else [])))
+                                     _payload_digest(r), name, offset,
+                                     *([r["payload"] if r["kind"] != "revisit" else None] if payloads else [])))
                         size += len(content) if payloads else 200
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)

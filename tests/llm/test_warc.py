@@ -62,3 +62,60 @@ def test_broken_records():
         W.parse(c.replace(b"payload 1", b"payload 7", 1), "f")
     with pytest.raises(W.WarcError, match="frame"):
         W.parse(c + b"x", "f")
+
+
+def foreign(kind, block, *fields, version="WARC/1.0"):
+    import gzip
+
+    head = "\r\n".join([version, f"WARC-Type: {kind}", *fields, f"Content-Length: {len(block)}"]).encode()
+    return gzip.compress(head + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_other_writers(spark):
+    import base64
+
+    from gustlab.llm.files import open_folder
+    from gustlab.session import scratch_path
+
+    b32 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    http, body = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n", b"<p>one</p>" * 20
+    is_http = "Content-Type: application/http; msgtype=response"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 3\r\n\r\n5\r\nhello\r\n0\r\n\r\n"
+    records = [
+        foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "WARC-Target-URI: <http://a/>", "Content-Type: application/http; msgtype=request"),
+        foreign("response", http + body, "WARC-Target-URI: http://a/", is_http, f"WARC-Block-Digest: {b32(http + body)}",
+                f"WARC-Payload-Digest: {b32(body)}"),
+        foreign("response", chunked, "WARC-Target-URI: http://b/", is_http, "WARC-Payload-Digest: blake9:ABC"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 999\r\n\r\ncut", "WARC-Truncated: length", is_http),
+        foreign("revisit", b"", "WARC-Target-URI: http://c/", f"WARC-Payload-Digest: {b32(body)}"),
+        foreign("resource", b"dns", "WARC-Target-URI: dns:a", "Content-Type: text/dns", version="WARC/1.1"),
+        foreign("metadata", b"a: b", "X-Long: one\r\n two\r\n\tthree"),
+        W.record(9, "u", body, hashlib.sha256(body).hexdigest()),
+    ]
+    folder = scratch_path(spark, "warc-foreign")
+    fs, root = open_folder(folder)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/x.warc.gz", compression=None) as f:
+        f.write(b"".join(records))
+    got = W.read_archives(spark, folder, spark.createDataFrame([("x.warc.gz",)], "file string"), payloads=True).orderBy("offset").collect()
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    rest = chunked.partition(b"\r\n\r\n")[2]
+    assert [(r["page_id"], r["url"], r["record_type"], r["payload_bytes"], r["payload_digest"],
+             bytes(r["payload"]) if r["payload"] is not None else None) for r in got] == [
+        (None, None, "warcinfo", 13, sha(b"software: x\r\n"), b"software: x\r\n"),
+        (None, "http://a/", "request", 0, sha(b""), b""),
+        (None, "http://a/", "response", len(body), sha(body), body),
+        (None, "http://b/", "response", len(rest), sha(rest), rest),
+        (None, None, "response", 3, sha(b"cut"), b"cut"),
+        (None, "http://c/", "revisit", None, b32(body), None),
+        (None, "dns:a", "resource", 3, sha(b"dns"), b"dns"),
+        (None, None, "metadata", 4, sha(b"a: b"), b"a: b"),
+        (9, "u", "response", len(body), sha(body), body)]
+    content = next(W.members(io.BytesIO(records[7]), "x"))[1]
+    assert W.parse(content, "x")["fields"]["x-long"] == "one two three"
+    for bad in (foreign("response", http + body, is_http, f"WARC-Payload-Digest: {b32(b'other')}"),
+                foreign("response", http + body, is_http, "WARC-Block-Digest: sha256:zz"),
+                foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 7\r\n\r\nsix", is_http)):
+        with pytest.raises(W.WarcError):
+            W.parse(next(W.members(io.BytesIO(bad), "x"))[1], "x")
