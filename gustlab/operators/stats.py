@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustlab.functions.columns import qcol
@@ -115,7 +115,7 @@ def correlate(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     """Each column against ``target``: Spearman (average ranks) and Pearson coefficients on pairwise complete rows.
 
     Long form ``(t, var, val)``; the ranks of both sides are taken within each pair's complete rows.
-    Output ``(x_var, y_var, n, cor_coef, pearson_r)``.
+    Output ``(x_var, y_var, n, cor_coef, pearson_r)``; both coefficients are NULL where a side is constant.
     """
     long = df.select(qcol(target).cast("double").alias("__t"), *[qcol(c).cast("double").alias(c) for c in cols])
     long = long.unpivot(["__t"], list(cols), "y_var", "__v").filter(
@@ -124,8 +124,13 @@ def correlate(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     rt = average_rank_table(long, "__t", ["y_var"], "__rt")
     j = long.join(rv, on=["y_var", "__v"]).join(rt, on=["y_var", "__t"])
     return j.groupBy("y_var").agg(
-        F.count(F.lit(1)).alias("n"), F.corr("__rv", "__rt").alias("cor_coef"),
-        F.corr("__v", "__t").alias("pearson_r")).select(F.lit(target).alias("x_var"), "*")
+        F.count(F.lit(1)).alias("n"), _corr("__rv", "__rt").alias("cor_coef"),
+        _corr("__v", "__t").alias("pearson_r")).select(F.lit(target).alias("x_var"), "*")
+
+
+def _corr(a: str, b: str) -> Column:
+    """Pearson coefficient, NULL where a side is constant (``F.corr`` divides by zero there)."""
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
 
 
 def correlation_test(df: DataFrame, target: str, cols: Sequence[str], min_abs: float = 0.75,

@@ -90,6 +90,15 @@ def test_constant_columns_have_no_correlation(spark):
         assert width == 2 or got[("c1", "c2")] is not None
 
 
+def test_a_constant_column_correlates_with_nothing(spark):
+    df = spark.createDataFrame([(float(i), float(i % 5), 7.0, 2.0 * i + i % 3) for i in range(40)], "t double, a double, c double, b double")
+    got = {r["y_var"]: r for r in ST.correlate(df, "t", ["a", "b", "c"]).collect()}
+    assert got["c"]["n"] == 40 and got["c"]["cor_coef"] is None and got["c"]["pearson_r"] is None
+    assert got["b"]["cor_coef"] > 0.99 and got["a"]["pearson_r"] is not None
+    assert [r["y_var"] for r in ST.correlation_test(df, "t", ["b", "c"], 0.0).collect()] == ["b"]
+    assert ST.correlation_test(df, "c", ["a", "b"], 0.0).count() == 0
+
+
 def test_rank_columns_keeps_repeated_keys(spark):
     df = spark.createDataFrame([(1, 1.0, 5.0), (1, 2.0, 4.0), (2, 3.0, 4.0)], "k int, a double, b double")
     got = sorted(tuple(r) for r in ST.rank_columns(df, ["a", "b"], ["k"]).collect())
