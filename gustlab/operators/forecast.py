@@ -48,7 +48,7 @@ def lagged_forecast(df: DataFrame, target: str, features: Sequence[str], test_st
     d = tsx.difference(df, target, horizon, order=ts, wrap=True, lead_col="__lead", diff_col="__diff")
     d = tsx.temporal_split(d, test_start, train_days, test_days, val_days, horizon, ts=ts, label="__split")
     fit_filter = None if scale_on == "all" else (F.col("__split") == "train")
-    d = tsx.zscore(d, list(features), fit_filter=fit_filter)
+    d = tsx.zscore(d, list(features), fit_filter=fit_filter, centre_constant=True)
     d, lagged = lag_features(d, list(features), steps, ts)
     d = d.filter(F.col("__split").isNotNull())
     train = d.filter(F.col("__split").isin("train", "validation")).withColumn(
@@ -103,7 +103,7 @@ def backtest_grid(df: DataFrame, target: str, features: Sequence[str], horizons:
     first = min(starts) - np.timedelta64(max(horizons), "h")
     base = df.select(ts, target, *[c for c in features if c not in (ts, target)])
     raw = tsx.zscore(base.withColumn("__x", F.col(target).cast("double")), list(features),
-                     F.col(ts) < F.lit(str(first).replace("T", " ")).cast("timestamp_ntz"))
+                     F.col(ts) < F.lit(str(first).replace("T", " ")).cast("timestamp_ntz"), centre_constant=True)
     d, lagged = lag_features(raw, list(features), steps, ts)
     ix, nb = tsx._positions(d.select(ts, "__x", *lagged), ts, keep_bucket=True)
     # a lead is a lag in the reversed order

@@ -84,8 +84,8 @@ def weather_to_final(hourly: DataFrame, weather: DataFrame, power: str, ts: str
 
     all_stats = tsx.zscore_fit(base, feats)
     train_stats = tsx.zscore_fit(base, feats, F.col(knn_target).isNotNull()) if refit else all_stats
-    train = as_vectors(tsx.zscore(base.filter(F.col(knn_target).isNotNull()), feats, stats=train_stats))
-    need = as_vectors(tsx.zscore(base.filter(F.col(knn_target).isNull()), feats, stats=all_stats))
+    train = as_vectors(tsx.zscore(base.filter(F.col(knn_target).isNotNull()), feats, stats=train_stats, centre_constant=True))
+    need = as_vectors(tsx.zscore(base.filter(F.col(knn_target).isNull()), feats, stats=all_stats, centre_constant=True))
     vec = as_vectors(base)
     pred = I.knn_predict(train, need, "__id", "__f", "__t", k)
     ids = vec.select("__id", "__k").join(pred, on="__id").select(F.col("__k").alias(ts), "prediction")
@@ -119,7 +119,7 @@ def season_regression(hourly: DataFrame, target: str, speed: str, features: Sequ
         other = R.pick_groups(hourly, month, evaluate).select(month, ts, target, *cols)
         rows = rows.unionByName(other.withColumn("part", F.col(month)))
     rows = cut_lineage(rows)  # the scaler, every fit and every scoring read it
-    scaled = tsx.zscore(rows, cols, F.col("part") == "train")
+    scaled = tsx.zscore(rows, cols, F.col("part") == "train", centre_constant=True)
     train = scaled.filter(F.col("part") == "train")
     out = []
     for name, params in models.items():

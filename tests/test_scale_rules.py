@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gustlab.functions import columns as C
 from gustlab.operators import evaluate as EV
+from gustlab.operators import forecast as FC
 from gustlab.operators import models as M
 from gustlab.operators import stats as ST
 from gustlab.operators import timeseries as tsx
@@ -99,6 +100,23 @@ def test_a_constant_column_correlates_with_nothing(spark):
     assert ST.correlation_test(df, "c", ["a", "b"], 0.0).count() == 0
 
 
+def test_scaling_keeps_rows_of_constant_inputs_for_models(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0), (None, None)], "x double, c double")
+    got = tsx.zscore(df, ["x", "c"], centre_constant=True).collect()
+    assert [r["c"] for r in got] == [0.0, 0.0, None] and got[0]["x"] == -got[1]["x"] and got[2]["x"] is None
+
+
+def test_forecasts_learn_beside_a_constant_input(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(t + dt.timedelta(hours=h), 50.0 + 10 * ((h * 7) % 24) / 24, float((h * 5) % 11), 145.0) for h in range(240)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, p double, w double, c double")
+    with_c = FC.lagged_forecast(df, "p", ["w", "c"], "2024-01-09 00:00:00", max_iter=3)
+    without = FC.lagged_forecast(df, "p", ["w"], "2024-01-09 00:00:00", max_iter=3)
+    assert with_c.count() == without.count() > 20
+    grid = FC.backtest_grid(df, "p", ["w", "c"], [1, 2], ["2024-01-09 00:00:00"], units=8).collect()
+    assert len(grid) == 2 and all(r["n"] > 20 for r in grid)
+
+
 def test_rank_columns_keeps_repeated_keys(spark):
     df = spark.createDataFrame([(1, 1.0, 5.0), (1, 2.0, 4.0), (2, 3.0, 4.0)], "k int, a double, b double")
     got = sorted(tuple(r) for r in ST.rank_columns(df, ["a", "b"], ["k"]).collect())
