@@ -193,3 +193,13 @@ def test_positioned_lags_across_edges(spark, series):
     assert j.count() == 1000
     for k in (1, 2, 5):
         assert j.filter(~F.col(f"l{k}").eqNullSafe(F.col(f"r{k}"))).count() == 0
+
+
+def test_queries_that_ask_every_cell_leave_in_small_steps():
+    import pandas as pd
+
+    i, c = np.nonzero(np.ones((50, 30), bool))
+    got = list(I._asking(pd.DataFrame({"__qk": np.arange(50)}), i, c, 64))
+    assert max(map(len, got)) == 64
+    rows = pd.concat(got)
+    assert sorted(zip(rows["__qk"], rows["__cell"])) == sorted(zip(i, c))
