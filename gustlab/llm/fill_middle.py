@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustlab.llm import blocks as B
+from gustlab.session import small_batches
 
 UNIT = r"[A-Za-z]+|[^A-Za-z]"
 SENTINELS = ("<P>", "<S>", "<M>")  # prefix, suffix, middle
@@ -48,6 +49,7 @@ def transform(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: lis
     """
     if any(s[:1] in s[1:] or any(o[:1] in s[1:] for o in sentinels) for s in sentinels) or "" in sentinels:
         raise ValueError("a sentinel's first character must not occur again in a sentinel")
+    small_batches(docs.sparkSession)
     new = T.StructType.fromDDL(OUT)
     kept = B.without(docs if keep is None else docs.select(*[F.col(f"`{c}`") for c in keep]), new.names)
     names = kept.columns

@@ -67,6 +67,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of at most ``size`` bytes for Python tasks on whole texts, where the session still has Spark's default
+    (64 MB, held by the JVM and again by the Python worker of every running task); a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, str(size))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` to the shared checkpoint folder (survives executor loss)."""
     shared_dir(df.sparkSession)

@@ -90,3 +90,17 @@ def test_oracle(spark):
     want = con.execute(f"SELECT {cols} FROM ({M.ORACLE}) ORDER BY doc_id").fetchall()
     got = [tuple(r) for r in fill_middle_digests(df).select(*cols.split(", ")).orderBy("doc_id").collect()]
     assert got == want
+
+
+def test_texts_travel_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    spark.conf.unset(key)
+    try:
+        M.transform(df)
+        assert int(spark.conf.get(key)) == 4 << 20
+        spark.conf.set(key, "1000000")
+        M.transform(df)
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.unset(key)
