@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gustlab.llm import blocks as B
+from gustlab.session import small_batches
 
 DIM = 1024
 MAX_LANGUAGES = 5_000
+COUNTS = 1 << 18  # dense counts at a time
 
 
 def letter_vectors(codes: np.ndarray) -> np.ndarray:
@@ -92,8 +94,12 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
     codes, inv = np.unique(grams, return_inverse=True)
     base = letter_vectors(codes)
     inv = inv.reshape(grams.shape)
-    v = np.roll(base, 2, 1)[inv[:, 0]] * np.roll(base, 1, 1)[inv[:, 1]] * base[inv[:, 2]]
-    return v.astype(np.float32)
+    twice, once = np.roll(base, 2, 1), np.roll(base, 1, 1)
+    v = np.empty((len(grams), DIM), np.float32)
+    for i in range(0, len(v), 512):
+        a = inv[i:i + 512]
+        v[i:i + 512] = twice[a[:, 0]] * once[a[:, 1]] * base[a[:, 2]]
+    return v
 
 
 def bundles(data: np.ndarray, offsets: np.ndarray, groups: np.ndarray | None = None, size: int = 0):
@@ -107,8 +113,9 @@ def bundles(data: np.ndarray, offsets: np.ndarray, groups: np.ndarray | None = N
         ok = to >= 0
         to, inv = to[ok], inv[ok]
     v, out = gram_vectors(grams), np.empty((n, DIM), np.float32)
-    for i in range(0, n, 512):  # blocks of rows, so the dense counts stay small
-        j = min(n, i + 512)
+    step = max(1, min(512, COUNTS // len(v)))
+    for i in range(0, n, step):  # blocks of rows, so the dense counts stay small
+        j = min(n, i + step)
         if groups is None:
             a, b = np.searchsorted(to, [i, j])
             counts = np.bincount((to[a:b] - i) * len(v) + inv[a:b], minlength=(j - i) * len(v))
@@ -125,6 +132,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np
     Tasks add up their rows' vectors by language; sums meet in two steps (64 groups a language, then one), each of
     vectors of ``DIM`` numbers. The driver gets a vector a language (an error beyond ``MAX_LANGUAGES``).
     """
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(lang).cast("string").alias("lang"), F.lower(F.col(text)).alias("t")).where(
         "lang is not null and t is not null")
 
@@ -172,6 +180,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     where nothing was learned gives ``und`` and 0. Ties go to the first language by code point. Input columns named
     like the outputs are replaced.
     """
+    small_batches(docs.sparkSession)
     names = sorted(prototypes)
     shared = docs.sparkSession.sparkContext.broadcast(
         np.stack([prototypes[n] for n in names]).astype(np.float32) if names else np.zeros((0, DIM), np.float32))

@@ -58,3 +58,23 @@ def test_held_out_accuracy(spark):
     got = op10_language(spark, SF_MID).join(spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = got.where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held) > 0
+
+
+def test_bundles_hold_little_and_do_not_depend_on_the_blocks(spark, monkeypatch):
+    import random
+    import tracemalloc
+
+    from gustlab.llm import blocks as B
+
+    g = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèñçøå"
+    texts = pa.array([" ".join("".join(g.choices(letters, k=6)) for _ in range(40)) for _ in range(600)])
+    data, off = B.utf8(texts)
+    tracemalloc.start()
+    v, has = L.bundles(data, off)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n_grams = len(L.ngrams(data, off)[2])
+    assert has.all() and peak < 4 * L.DIM * (n_grams + 2 * len(texts)) + (40 << 20)
+    monkeypatch.setattr(L, "COUNTS", 1 << 30)
+    assert (L.bundles(data, off)[0] == v).all()
