@@ -113,3 +113,32 @@ def test_grid_cv_equals_one_penalty_at_a_time(spark, planted):
     tuned = M.rbf_tuning(planted, fmap.inputs, "y", ["id"], sigmas=(0.01, 0.2), costs=(1.0, 100.0), folds=3, repeats=1, units=30).collect()
     assert len(tuned) == 4 and [r["best"] for r in tuned].count(True) == 1
     assert min(r["rmse"] for r in tuned) == next(r["rmse"] for r in tuned if r["best"])
+
+
+def test_split_of_many_rows_equals_numbered_split(spark):
+    """Above ``rows_per_bucket`` rows are compared with the last training row; copies of it are divided, NULL keys come first,
+    and no window or sort runs over the rows."""
+    rows = [(None if i % 50 == 0 else i % 97, i % 5, float(i % 40) if i % 31 else None, i) for i in range(2000)]
+    rows += [(7, 3, 5.0, 5000 + i) for i in range(400)]  # equal in order key and tie-break
+    df = spark.createDataFrame(rows, "k int, t int, y double, id int")
+    lehmer = F.col("k") * 48271 % 1009
+    cases = [(0.7, lehmer, ["t"], ["k", "t"]), (0.013, lehmer, ["t"], ["k", "t"]), (0.0, lehmer, ["t"], []), (1.0, lehmer, ["t"], []),
+             (0.7, F.lit(1), ["t"], ["t"]), (0.7, F.xxhash64("id"), ["id"], ["id"])]
+    for p, key, tiebreak, alike in cases:  # rows alike in these may change places
+        args = dict(p=p, keys=["id"], shuffle_key=key, tiebreak=tiebreak)
+        got = M.stratified_split(df, "y", rows_per_bucket=10, **args).cache()
+        want = M.stratified_split(df, "y", **args)
+        assert got.columns == want.columns
+        count = lambda d: sorted(map(tuple, d.groupBy("stratum", "split", *alike).count().collect()), key=str)
+        assert count(got) == count(want), (p, tiebreak)
+        assert got.select("id").distinct().count() == got.count() == df.where("y IS NOT NULL").count()
+    plan = M.stratified_split(df, "y", keys=["id"], rows_per_bucket=10)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan
+
+
+def test_map_cosine_is_exact(spark):
+    z = np.random.default_rng(1).normal(0.0, 200.0, (500, 40))
+    assert np.abs(M._cos(z) - np.cos(z)).max() < 5e-15
+    odd = np.array([[1e9, np.nan, np.inf, 0.0]])
+    with np.errstate(invalid="ignore"):
+        assert np.array_equal(M._cos(odd), np.cos(odd), equal_nan=True)
