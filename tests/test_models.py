@@ -142,3 +142,24 @@ def test_map_cosine_is_exact(spark):
     odd = np.array([[1e9, np.nan, np.inf, 0.0]])
     with np.errstate(invalid="ignore"):
         assert np.array_equal(M._cos(odd), np.cos(odd), equal_nan=True)
+
+
+def test_permutation_importance_scores_all_inputs_in_one_join(spark, planted, monkeypatch):
+    """Equal to a join and a scoring an input; the rows are joined once, also for a tree model."""
+    joins = []
+    join = type(planted).join
+    for fit in ("random_layer", "rf"):
+        params = {"num_trees": 3} if fit == "rf" else {}
+        fm = M.FITTERS[fit](planted, ["x1", "x2"], "y", **params)
+        monkeypatch.setattr(type(planted), "join", lambda self, *a, **k: joins.append(1) or join(self, *a, **k))
+        got = {r["feature"]: r["importance"] for r in M.permutation_importance(fm, planted, "y", ["id"]).collect()}
+        monkeypatch.undo()
+        assert len(joins) == 1
+        joins.clear()
+        rows = [r.asDict() for r in planted.withColumn("h", F.xxhash64("id", F.lit(7))).collect()]
+        own, other = sorted(rows, key=lambda r: r["id"]), sorted(rows, key=lambda r: (r["h"], r["id"]))
+        rmse = lambda d: ev.regression_metrics(fm.predict(d), "y", "prediction").first()["rmse"]
+        for c in ("x1", "x2"):
+            swapped = spark.createDataFrame([(a["id"], *[(b if f == c else a)[f] for f in ("x1", "x2")], a["y"]) for a, b in zip(own, other)],
+                                            "id long, x1 double, x2 double, y double")
+            assert got[c] == pytest.approx(rmse(swapped) - rmse(planted), abs=1e-9)
