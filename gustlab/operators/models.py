@@ -133,6 +133,8 @@ def kfold(df: DataFrame, keys: Sequence[str], folds: int = 10, seed: int = 123,
 
 # --------------------------------------------------------------------------------------------- H6, H7
 MAP_ROWS = 256
+_PI_HIGH = math.floor(math.pi * 2.0 ** 38) / 2.0 ** 38  # times a few thousand this is exact
+_PI_LOW = math.pi - _PI_HIGH
 _PI_REST = 1.2246467991473532e-16  # what pi in double precision lacks
 _COS = [(-1.0) ** k / math.factorial(2 * k) for k in range(10, -1, -1)]
 
@@ -143,7 +145,8 @@ def _cos(z: np.ndarray) -> np.ndarray:
     if not (len(z) and np.abs(z).max() < 1e4):
         return np.cos(z)
     halves = np.rint(z * (1.0 / math.pi))
-    r = z - halves * math.pi
+    r = z - halves * _PI_HIGH
+    r -= halves * _PI_LOW
     r -= halves * _PI_REST
     r *= r
     c = r * _COS[0]
