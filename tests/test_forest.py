@@ -157,3 +157,41 @@ def test_edges_of_many_values(spark):
     assert 200 < len(e[0]) <= 256 and e[1].tolist() == [0, 1, 2] and e[2].tolist() == [2]
     b = FO.binned(np.array([[0.0, 1, 2], [7498.5, 2, 3], [1e9, 9, 9]]), e)
     assert b[0].tolist() == [0, 1, 0] and b[1, 1] == 2 and (b[2] == [len(v) - 1 for v in e]).all()
+
+
+def test_pieces_grow_the_whole_tree(monkeypatch):
+    """Cut into pieces of a few rows, with inputs of few and of many bins, a tree stays the tree of all rows."""
+    g = np.random.default_rng(6)
+    x = np.column_stack([g.integers(0, 256, 6000), g.integers(0, 5, 6000), g.integers(0, 90, 6000)]).astype(np.uint8)
+    y, w = x[:, 0] + 40.0 * x[:, 1] + g.normal(size=6000), g.integers(1, 4, 6000)
+    whole = FO.grow(x, y, w, 2, 5, 123, 3)
+    for rows in (1, 50, 2000):
+        monkeypatch.setattr(FO, "PIECE_ROWS", rows)
+        t = FO.grow(x, y, w, 2, 5, 123, 3)
+        assert len(t.value) == len(whole.value) and np.allclose(t.predict(x), whole.predict(x), atol=1e-8)
+        inner = t.feature >= 0
+        assert sorted([*t.left[inner], *(t.left[inner] + 1)]) == list(range(1, len(t.value)))
+
+
+def test_rows_are_read_a_step_at_a_time(monkeypatch):
+    g = np.random.default_rng(7)
+    x, y = g.integers(0, 256, (3000, 3)).astype(np.uint8), g.normal(size=3000)
+    t = FO.grow(x, y, np.ones(3000), 2, 5, 1, 0)
+    at = np.zeros(3000, np.int64)
+    for _ in range(60):
+        f = t.feature[at]
+        at = np.where(f >= 0, t.left[at] + (x[np.arange(3000), f] > t.split[at]), at)
+    monkeypatch.setattr(FO, "STEP_ROWS", 700)
+    assert (t.feature[at] == -1).all() and (t.leaves(x) == at).all() and (t.predict(x) == t.value[at]).all()
+
+
+def test_scoring_chunks_and_missing_trees(spark):
+    """Any number of chunks and of trees a batch gives the same predictions; trees whose sample was empty do not count."""
+    df = spark.createDataFrame([(i, float(i % 2), float(i)) for i in range(3)], "id long, x double, y double")
+    forest = FO.fit_forest(df, ["x"], "y", ["id"], num_trees=40, node_size=1, sample_rows=1)
+    trees = sorted(r[0] for r in forest.trees.select("tree").collect())
+    assert len(trees) < trees[-1] + 1 and forest.num_trees == len(trees)
+    one, many = ([r[0] for r in forest.predict(df, chunk_rows=n).orderBy("id").select("prediction").collect()] for n in (10, 1))
+    by_hand = np.mean([FO._tree(t, 0).predict(np.array([[0], [1], [0]], np.uint8)) for t in
+                       (forest.trees.where(F.col("tree") == i).toArrow() for i in trees)], axis=0)
+    assert np.allclose(one, many) and np.allclose(one, by_hand)
