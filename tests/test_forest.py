@@ -195,3 +195,11 @@ def test_scoring_chunks_and_missing_trees(spark):
     by_hand = np.mean([FO._tree(t, 0).predict(np.array([[0], [1], [0]], np.uint8)) for t in
                        (forest.trees.where(F.col("tree") == i).toArrow() for i in trees)], axis=0)
     assert np.allclose(one, many) and np.allclose(one, by_hand)
+
+
+def test_mirrored_inputs_tie_at_any_size():
+    """A mirrored input splits as the input itself does, so the first of the two is always taken, also in trees of many rows."""
+    g = np.random.default_rng(8)
+    a, y = g.integers(0, 256, (200_000, 2)).astype(np.uint8), g.uniform(0, 9e4, 200_000)
+    t = FO.grow(np.column_stack([a, 255 - a]), y, np.ones(200_000), 4, 5, 1, 0)
+    assert np.bincount(t.feature[t.feature >= 0], minlength=4)[2:].tolist() == [0, 0]
