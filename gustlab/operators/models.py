@@ -427,7 +427,7 @@ def repeated_cv(df: DataFrame, features: Sequence[str], label: str, keys: Sequen
     """Per-fold metrics of ``model`` under ``repeats`` x ``folds`` cross-validation (H4).
 
     Folds come from a hash of the key per repeat; the fold fits are independent Spark jobs submitted
-    ``parallelism`` at a time. Output: one row per (repeat, fold).
+    ``parallelism`` at a time, forests of many rows grow together (:func:`fit_random_forests`). Output: one row per (repeat, fold).
     """
     fit = FITTERS[model]
     d = df.select(*keys, *features, label)
@@ -436,10 +436,16 @@ def repeated_cv(df: DataFrame, features: Sequence[str], label: str, keys: Sequen
                                               F.lit(folds)).cast("int"))
     d = d.cache()
 
+    forests = {}
+    if model == "rf" and folds <= 256 and _whole(d, features, label).count() * (folds - 1) > MLLIB_ROWS * folds:
+        for r in range(repeats):
+            wanted = [dict(features=list(features), without=k, **params) for k in range(folds)]
+            forests.update({(r, k): m for k, m in enumerate(fit_random_forests(d, label, wanted, f"__fold{r}"))})
+
     def one(r, k):
         def task():
             fc = F.col(f"__fold{r}")
-            fm = fit(d.filter(fc != k), features, label, **params)
+            fm = forests.get((r, k)) or fit(d.filter(fc != k), features, label, **params)
             return regression_metrics(fm.predict(d.filter(fc == k)), label, "prediction").select(
                 F.lit(model).alias("model"), F.lit(r).alias("repeat"), F.lit(k).alias("fold"), "*").collect()
         return task
