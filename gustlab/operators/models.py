@@ -587,11 +587,20 @@ def rfe(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str],
     sizes = set(sizes or range(1, len(cur) + 1))
     d = kfold(df, keys, folds, seed).cache()
     rows = []
+    whole = _whole(d, cur, label).count()
+    packed = levels.pack(d, cur, label, "fold") if folds <= 256 and whole * (folds - 1) > MLLIB_ROWS * folds else None
     while cur:
+        wanted = [dict(features=list(cur), without=k, **rf_params) for k in range(folds)] if len(cur) in sizes else []
+        if len(cur) > 1:
+            wanted.append(dict(features=list(cur), **rf_params))
+        if packed is not None:
+            fits = fit_packed_forests(packed, [{"num_trees": 500, "mtry": 4, "max_depth": 8, "seed": 123, **w} for w in wanted])
+        else:
+            fits = None
         if len(cur) in sizes:
-            def one(k, feats=tuple(cur)):
+            def one(k, feats=tuple(cur), fits=fits):
                 def task():
-                    fm = fit_random_forest(d.filter(F.col("fold") != k), list(feats), label, **rf_params)
+                    fm = fits[k] if fits else fit_random_forest(d.filter(F.col("fold") != k), list(feats), label, **rf_params)
                     return regression_metrics(fm.predict(d.filter(F.col("fold") == k)), label, "prediction").first()
                 return task
             ms = _run_parallel([one(k) for k in range(folds)], parallelism)
@@ -600,7 +609,7 @@ def rfe(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str],
             rows.append((len(cur), ",".join(cur), math.sqrt(sq / n) if n else None))
         if len(cur) == 1:
             break
-        imp = fit_random_forest(d, cur, label, **rf_params).importances()
+        imp = (fits[-1] if fits else fit_random_forest(d, cur, label, **rf_params)).importances()
         cur.remove(min(imp, key=lambda t: t[1])[0])
     d.unpersist()
     return df.sparkSession.createDataFrame(rows, "n_features int, features string, rmse double")
