@@ -214,14 +214,15 @@ def q_rf_mtry_tuning(spark, d):
     train, test = sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test")
     grid = [r["mtry"] for r in param_grid(spark, mtry=list(range(1, len(X) + 1))).collect()]
 
-    def task(m):
+    fits = M.fit_random_forests(train, Y, [dict(features=X, num_trees=20, mtry=m) for m in grid])
+
+    def task(m, fm):
         def run():
-            fm = M.fit_random_forest(train, X, Y, num_trees=20, mtry=m)
             r = ev.regression_metrics(fm.predict(test), Y, "prediction").first()
             return (int(m), r["rmse"], r["mae"], r["r2_corr"])
         return run
 
-    rows = M._run_parallel([task(m) for m in grid], 4)
+    rows = M._run_parallel([task(m, fm) for m, fm in zip(grid, fits)], 4)
     res = spark.createDataFrame(rows, "mtry int, rmse double, mae double, r2_corr double")
     best = ev.best_setting(res.withColumn("model", F.lit("rf")), "model", "mtry", "rmse").first()["best_mtry"]
     return res.withColumn("best", F.col("mtry") == F.lit(best))
