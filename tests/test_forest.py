@@ -203,3 +203,32 @@ def test_mirrored_inputs_tie_at_any_size():
     a, y = g.integers(0, 256, (200_000, 2)).astype(np.uint8), g.uniform(0, 9e4, 200_000)
     t = FO.grow(np.column_stack([a, 255 - a]), y, np.ones(200_000), 4, 5, 1, 0)
     assert np.bincount(t.feature[t.feature >= 0], minlength=4)[2:].tolist() == [0, 0]
+
+
+def test_every_row_counts_above_the_rows_of_a_task(spark, monkeypatch):
+    """More rows than a task holds thin out no weights: trees in pieces are the trees of all rows, and score and permute as these do."""
+    x, y = data(1500, seed=9)
+    df = frame(spark, x, y)
+    f = ["x0", "x1", "x2", "x3"]
+    whole = FO.fit_forest(df, f, "y", ["id"], num_trees=4, mtry=2)
+    monkeypatch.setattr(FO, "TASK_ROWS", 300)
+    parts = FO.fit_forest(df.repartition(5), f, "y", ["id"], num_trees=4, mtry=2, chunk_rows=200, task_rows=FO.TASK_ROWS)
+    assert parts.rate == 1.0 and parts.num_trees == 4 and parts.trees.agg(F.max("piece")).first()[0] >= 3
+    leaves = lambda m: {r["tree"]: sum(1 for v in np.frombuffer(r["feature"], np.int16) if v >= 0) for r in m.trees.where("piece = 0").collect()}
+    assert all(v < leaves(whole)[t] for t, v in leaves(parts).items())  # no task grew a whole tree
+    a, b = ([r[0] for r in m.predict(df, chunk_rows=400).orderBy("id").select("prediction").collect()] for m in (whole, parts))
+    assert np.allclose(a, b, atol=1e-8)
+    a, b = ({r["tree"]: r for r in m.out_of_bag(df, chunk_rows=10_000).collect()} for m in (whole, parts))
+    assert a.keys() == b.keys() and all(a[t]["n"] == b[t]["n"] and np.allclose(a[t]["permuted"], b[t]["permuted"]) for t in a)
+
+
+def test_no_sample_by_default():
+    import inspect
+
+    assert inspect.signature(FO.fit_forest).parameters["sample_rows"].default is None
+
+
+def test_pieces_of_labels_that_cannot_be_split(spark):
+    df = spark.range(400).select("id", (F.col("id") % 5).cast("double").alias("x"), F.lit(3.0).alias("y"))
+    forest = FO.fit_forest(df, ["x"], "y", ["id"], num_trees=3, task_rows=50)
+    assert forest.num_trees == 3 and {r["prediction"] for r in forest.predict(df).collect()} == {3.0}
